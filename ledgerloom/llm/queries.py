@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerloom.llm import chat, media_ts, oracles, quality_rules, token_counts, tokens
+from ledgerloom.llm import chat, media_ts, oracles, quality_classifier, quality_rules, token_counts, tokens
 from ledgerloom.llm.common import documents
 
 #: The vocabulary file; only its place is known here.
@@ -38,6 +38,16 @@ def op5_length_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.suffix_sums(token_counts.length_histogram(documents(spark, sf_dir), vocabulary()))
 
 
+def op6_random_indexing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir).select("doc_id", "text")
+    fold = quality_classifier.fold
+    vectors, network = quality_classifier.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), lambda key: fold(key) != 1)
+    scored = quality_classifier.score(docs, vectors, network)
+    return scored.select(
+        "doc_id", F.coalesce(fold(F.col("doc_id")) == 1, F.lit(False)).alias("held_out"), F.col("_c_score").alias("score"), (F.col("_c_score") >= 0.5).cast("int").alias("predicted")
+    )
+
+
 def op7_event_sourced_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     control = "<|im_end|><|im_start|>assistant ok"
     turns = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text")
@@ -54,5 +64,5 @@ def op7_event_sourced_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op1_transport_streams, op2_bpe_tree, op4_weak_supervision, op5_length_histogram, op7_event_sourced_chat)}
+QUERIES = {f.__name__: f for f in (op1_transport_streams, op2_bpe_tree, op4_weak_supervision, op5_length_histogram, op6_random_indexing, op7_event_sourced_chat)}
 ORACLE_SQL = {"op4_weak_supervision": oracles.op4(), "op7_event_sourced_chat": oracles.OP7}
