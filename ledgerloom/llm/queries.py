@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerloom.llm import chat, media_ts, oracles, quality_classifier, quality_rules, token_counts, tokens
+from ledgerloom.llm import chat, media_ts, oracles, quality_classifier, quality_rules, simhash, token_counts, tokens
 from ledgerloom.llm.common import documents
 
 #: The vocabulary file; only its place is known here.
@@ -64,5 +64,10 @@ def op7_event_sourced_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op1_transport_streams, op2_bpe_tree, op4_weak_supervision, op5_length_histogram, op6_random_indexing, op7_event_sourced_chat)}
+def op10_simhash_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.near_duplicates(documents(spark, sf_dir))
+    return found.select("doc_id", F.lpad(F.lower(F.hex("_s_fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+QUERIES = {f.__name__: f for f in (op1_transport_streams, op2_bpe_tree, op4_weak_supervision, op5_length_histogram, op6_random_indexing, op7_event_sourced_chat, op10_simhash_trie)}
 ORACLE_SQL = {"op4_weak_supervision": oracles.op4(), "op7_event_sourced_chat": oracles.OP7}
