@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerloom.llm import chat, media_ts, oracles, quality_classifier, quality_rules, simhash, token_counts, tokens
+from ledgerloom.llm import chat, media_ts, oracles, packing, quality_classifier, quality_rules, simhash, token_counts, tokens
 from ledgerloom.llm.common import documents
 
 #: The vocabulary file; only its place is known here.
@@ -29,6 +29,11 @@ def op2_bpe_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.roundtrip_digests(documents(spark, sf_dir), vocabulary())
 
 
+def op3_sum_of_squares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces = packing.pack(documents(spark, sf_dir), vocabulary())
+    return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
 def op4_weak_supervision(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = quality_rules.judge(documents(spark, sf_dir), carry=["doc_id"])
     return judged.select("doc_id", *(F.col(f"_q_{c}").alias(c) for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")))
@@ -69,5 +74,5 @@ def op10_simhash_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lpad(F.lower(F.hex("_s_fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-QUERIES = {f.__name__: f for f in (op1_transport_streams, op2_bpe_tree, op4_weak_supervision, op5_length_histogram, op6_random_indexing, op7_event_sourced_chat, op10_simhash_trie)}
+QUERIES = {f.__name__: f for f in (op1_transport_streams, op2_bpe_tree, op3_sum_of_squares, op4_weak_supervision, op5_length_histogram, op6_random_indexing, op7_event_sourced_chat, op10_simhash_trie)}
 ORACLE_SQL = {"op4_weak_supervision": oracles.op4(), "op7_event_sourced_chat": oracles.OP7}
