@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from ledgerloom.llm import licenses
 from ledgerloom.llm import quality_rules as rules
 
 WORDS = r"list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '')"
@@ -53,3 +54,15 @@ SELECT conv_id, count(*)::BIGINT AS n_turns,
   sum(24 + length(replace(replace(regexp_replace(role, '<(\\*)\|', '<\\\1|', 'g'), '%', '%25'), chr(10), '%0A')) + length(regexp_replace(text, '<(\\*)\|', '<\\\1|', 'g')))::BIGINT AS formatted_chars
 FROM rows_ GROUP BY conv_id
 """
+
+
+def op9() -> str:
+    known = licenses.template_shingles(licenses.TEMPLATES)
+    rows = ", ".join(f"('{name}', '{g}', {len(s)})" for name, s in known.items() for g in s)
+    return rf"""
+WITH t(name, g, n) AS (VALUES {rows}),
+w AS (SELECT row_number() OVER () AS r, doc_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\p{{L}}\p{{N}}]+'), lambda x: x <> '') AS w FROM documents),
+g AS (SELECT DISTINCT r, list_aggregate(w[i:i + {licenses.SHINGLE - 1}], 'string_agg', ' ') AS g FROM w, unnest(range(1, len(w) - {licenses.SHINGLE - 2})) AS u(i)),
+m AS (SELECT r, name FROM g JOIN t USING (g) GROUP BY r, name, n HAVING count(*) >= {licenses.CONTAINED} * n)
+SELECT doc_id, count(name)::BIGINT AS n_licenses, coalesce(string_agg(name, ',' ORDER BY name), '') AS licenses FROM w LEFT JOIN m USING (r) GROUP BY r, doc_id
+"""
