@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerloom.llm import chat, licenses, media_ts, oracles, packing, quality_classifier, quality_rules, simhash, token_counts, tokens
+from ledgerloom.llm import chat, licenses, media_ts, oracles, packing, quality_classifier, quality_rules, simhash, suffix_dedup, token_counts, tokens
 from ledgerloom.llm.common import documents
 
 #: The vocabulary file; only its place is known here.
@@ -69,6 +69,10 @@ def op7_event_sourced_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_suffix_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.digests(suffix_dedup.removed(documents(spark, sf_dir).select("doc_id", "text")))
+
+
 def op9_license_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = licenses.scan(documents(spark, sf_dir).select("doc_id", "text"))
     return found.select("doc_id", F.size("_l_matches").cast("long").alias("n_licenses"), F.array_join(F.transform("_l_matches", lambda m: m["license"]), ",").alias("licenses"))
@@ -79,5 +83,5 @@ def op10_simhash_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lpad(F.lower(F.hex("_s_fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-QUERIES = {f.__name__: f for f in (op1_transport_streams, op2_bpe_tree, op3_sum_of_squares, op4_weak_supervision, op5_length_histogram, op6_random_indexing, op7_event_sourced_chat, op9_license_windows, op10_simhash_trie)}
+QUERIES = {f.__name__: f for f in (op1_transport_streams, op2_bpe_tree, op3_sum_of_squares, op4_weak_supervision, op5_length_histogram, op6_random_indexing, op7_event_sourced_chat, op8_suffix_sort, op9_license_windows, op10_simhash_trie)}
 ORACLE_SQL = {"op4_weak_supervision": oracles.op4(), "op7_event_sourced_chat": oracles.OP7, "op9_license_windows": oracles.op9()}
