@@ -1,4 +1,10 @@
 """All queries of the library over the driver's tables, with the DuckDB texts they are compared with."""
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from __future__ import annotations
+
+from ledgerloom.plans import ledger_queries
+
+_groups = (ledger_queries,)
+
+QUERIES = {name: pair[0] for g in _groups for name, pair in g.PAIRS.items()}
+ORACLE_SQL = {name: pair[1] for g in _groups for name, pair in g.PAIRS.items() if pair[1]}
