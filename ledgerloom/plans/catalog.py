@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from ledgerloom.plans import ledger_queries
+from ledgerloom.plans import document_queries, ledger_queries
 
-_groups = (ledger_queries,)
+_groups = (ledger_queries, document_queries)
 
 QUERIES = {name: pair[0] for g in _groups for name, pair in g.PAIRS.items()}
 ORACLE_SQL = {name: pair[1] for g in _groups for name, pair in g.PAIRS.items() if pair[1]}

@@ -42,7 +42,7 @@ SELECT l_orderkey AS doc_id, CAST(l_linenumber AS BIGINT) AS seq, CAST(l_linenum
 FROM (SELECT l_orderkey, CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS INT) AS l_linenumber, l_partkey, l_suppkey, l_shipdate, l_returnflag, l_extendedprice FROM {{lineitem}}) l""",
     "invoice_lines": f"""
 SELECT l_orderkey AS invoice_id, line_no, l_suppkey AS supplier_id, CAST(l_shipdate AS DATE) AS invoice_date,
-  CAST(l_quantity AS DECIMAL(18,4)) AS qty, CAST(CAST(l_extendedprice AS {MONEY}) / CAST(l_quantity AS DECIMAL(10,0)) AS {MONEY}) AS rate,
+  CAST(l_quantity AS DECIMAL(18,4)) AS qty, CAST(floor((CAST(CAST(l_extendedprice AS {MONEY}) * 100 AS BIGINT) * 2 + CAST(l_quantity AS BIGINT)) / (CAST(l_quantity AS BIGINT) * 2)) / 100 AS {MONEY}) AS rate,
   CAST(CASE WHEN l_partkey % 20 = 0 THEN NULL WHEN l_tax < 0.03 THEN 5 WHEN l_tax < 0.06 THEN 12 ELSE 18 END AS DECIMAL(5,2)) AS gst_rate,
   CAST(CAST(l_extendedprice AS {MONEY}) + CASE WHEN l_partkey % 37 = 0 THEN 7 ELSE 0 END AS {MONEY}) AS value
 FROM (SELECT *, CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS INT) AS line_no FROM {{lineitem}}) l""",
