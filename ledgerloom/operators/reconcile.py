@@ -59,6 +59,9 @@ def failing_pages(ledger: DataFrame, printed_pages: DataFrame) -> DataFrame:
     return sums.unionByName(chain).distinct()
 
 
+#: Ends of words in any script, whatever a pattern engine takes for one.
+WORD_START, WORD_END = r"(?<![\p{L}\p{Nd}_])", r"(?![\p{L}\p{Nd}_])"
+
 #: Words that tell statement kinds and issuers.
 BANK_SIGNS = ("account number", "ifsc", "opening balance", "closing balance", "withdrawal", "deposit", "statement of account")
 CARD_SIGNS = ("credit limit", "payment due date", "total amount due", "reward points", "available credit")
@@ -75,7 +78,7 @@ def classify(texts: DataFrame) -> DataFrame:
 def most_mentioned(texts: DataFrame, brands: list[str]) -> DataFrame:
     """FLT-16.  The brand that a text mentions most; of equals the first listed; null if none."""
     t = F.lower(F.coalesce("text", F.lit("")))
-    counts = F.array(*(F.struct(F.regexp_count(t, F.lit(rf"\b{b}\b")).alias("n"), F.lit(-k).alias("k"), F.lit(b).alias("b")) for k, b in enumerate(brands)))
+    counts = F.array(*(F.struct(F.regexp_count(t, F.lit(WORD_START + b + WORD_END)).alias("n"), F.lit(-k).alias("k"), F.lit(b).alias("b")) for k, b in enumerate(brands)))
     best = F.array_max(counts)
     return texts.select("doc_id", F.when(best["n"] > 0, best["b"]).alias("brand"))
 

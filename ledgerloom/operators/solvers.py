@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 
 #: Widths and costs of the searches.
-BEAM, SKIP, MISREAD, NEAR = 80, 1.0, 2.0, 0.05
+BEAM, SKIP, MISREAD = 80, 1.0, 2.0
 #: Digits that scans confuse.
 CONFUSED = {"0": "868", "1": "74", "3": "85", "4": "19", "5": "36", "6": "85", "7": "12", "8": "036", "9": "4"}
 
@@ -96,24 +96,35 @@ def chain(opening: float, rows: list[tuple[list[float], list[float]]], width: in
     Each row has candidate amounts and balances, likeliest first; a later candidate
     costs ``MISREAD`` times its place, a balance that the chain doesn't explain ``SKIP`` more.
     """
-    beam: list[tuple[float, float, list[tuple[float, float]]]] = [(0.0, opening, [])]
+    beam: list[tuple] = [(0.0, opening, None)]  # cost, balance, (step, what came before)
     for amounts, balances in rows:
-        grown: dict[float, tuple[float, float, list]] = {}
-        for cost, balance, path in beam:
-            options = []
-            for i, a in enumerate(amounts):
-                for sign in (1, -1):
-                    to = round(balance + sign * a, 2)
-                    k = next((k for k, b in enumerate(balances) if abs(b - to) <= NEAR), None)
-                    options.append((cost + MISREAD * i + (MISREAD * k if k is not None else 3 * MISREAD), to, (sign * a, to)))
-            if balances:  # the printed balance as it stands, whatever the amount says
-                options.append((cost + MISREAD + 4 * SKIP, balances[0], (round(balances[0] - balance, 2), balances[0])))
-            for c, to, step in options:
-                if to not in grown or c < grown[to][0]:
-                    grown[to] = (c, to, [*path, step])
+        place = {round(b, 2): k for k, b in reversed(list(enumerate(balances)))}
+        grown: dict[float, tuple] = {}
+
+        def grow(tried: list[tuple[int, float]]) -> None:
+            for cost, balance, path in beam:
+                for i, a in tried:
+                    for sign in (1, -1):
+                        to = round(balance + sign * a, 2)
+                        k = next((place[x] for x in (to, round(to + 0.01, 2), round(to - 0.01, 2)) if x in place), None)
+                        c = cost + MISREAD * i + (MISREAD * k if k is not None else 3 * MISREAD)
+                        if to not in grown or c < grown[to][0]:
+                            grown[to] = (c, to, ((sign * a, to), path))
+                if balances:  # the printed balance as it stands, whatever the amount says
+                    c, to = cost + MISREAD + 4 * SKIP, balances[0]
+                    if to not in grown or c < grown[to][0]:
+                        grown[to] = (c, to, ((round(to - balance, 2), to), path))
+
+        grow(list(enumerate(amounts[:1])))
+        if balances and not any(c <= beam[0][0] for c, _, _ in grown.values()):  # only what isn't explained as it stands can be misread
+            grow(list(enumerate(amounts))[1:])
         beam = sorted(grown.values(), key=lambda x: x[0])[:width] or beam
     cost, _, path = beam[0]
-    return cost, path
+    steps = []
+    while path:
+        steps.append(path[0])
+        path = path[1]
+    return cost, steps[::-1]
 
 
 def solve_chains(ledger: DataFrame) -> DataFrame:
