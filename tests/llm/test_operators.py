@@ -1,0 +1,394 @@
+"""The training-data operators on invented rows: brute force, round trips, and every odd case."""
+
+import hashlib
+import random
+import zlib
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+import corpus_pipeline
+from ledgerloom.llm import chat, licenses, media_ts, packing, quality_classifier, quality_rules, queries, simhash, suffix_dedup, token_counts, tokens
+from ledgerloom.llm.common import documents
+
+SF = "/root/testdata/sf0.001"
+DOCS = "doc_id long, text string, lang string, source string, n_chars long"
+
+
+@pytest.fixture(scope="module")
+def bpe():
+    return tokens.ByteBpe(queries.vocabulary())
+
+
+@pytest.fixture(scope="module")
+def library():
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_file(queries.vocabulary())
+
+
+def odd_rows():
+    """Nulls everywhere, empty, white space, ties, repeated rows, very long texts."""
+    rng = random.Random(1)
+    prose = " ".join(rng.choice(["the", "river", "of", "stone", "and", "light", "under", "green", "hills", "sang"]) for _ in range(120))
+    long = " ".join(str(rng.randrange(10**6)) for _ in range(30_000))
+    return [
+        (1, prose, "en", "a", 1), (1, prose, "en", "a", 1), (2, prose, None, None, None), (3, None, None, None, None), (4, "", "en", "a", 0), (5, " \t\n", "en", "b", 3),
+        (None, prose + " more", "en", "a", 2), (None, None, None, None, None), (6, long, "en", "a", 9), (7, "x" * 40_000, "en", "a", 9), (8, "né à 漢字 😀 <|endoftext|> <|im_end|>", "fr", "c", 9), (9, "one two", "en", "c", 7),
+    ]
+
+
+@pytest.fixture(scope="module")
+def odd(spark):
+    return spark.createDataFrame(odd_rows(), DOCS).cache()
+
+
+@pytest.fixture(scope="module")
+def nothing(spark):
+    return spark.createDataFrame([], DOCS)
+
+
+# -- tokens ----------------------------------------------------------------------
+
+
+def test_tree_concatenation_is_the_whole_encoding(bpe, library):
+    rng = random.Random(2)
+    parts = ["a", "the", " ", "  ", "\n", "'s", "'", "12", "é", "漢", "!!", "<|endoftext|>", " ", "\x1c", "　", "😀", "zq" * 30, "7" * 40, "'" * 9, "\t"]
+    for _ in range(3000):
+        s = "".join(rng.choice(parts) for _ in range(rng.randint(0, 40)))
+        ids = bpe.encode(s, rng.choice([3, 5, 16, 64, 4096]))
+        assert ids == library.encode(s, add_special_tokens=False).ids, s
+        assert bpe.decode(ids) == library.decode(ids, skip_special_tokens=False) == s
+    for alphabet in ("abcdefghijklmnopqrstuvwxyz", "0123456789", "漢字語文", "!?#"):
+        s = "".join(rng.choice(alphabet) for _ in range(6000))
+        assert bpe.encode(s, 200) == library.encode(s, add_special_tokens=False).ids
+
+
+def test_parallel_leaves(bpe, library):
+    s = "".join(random.Random(3).choice("abcde fgh") for _ in range(tokens.PARALLEL_CHARS + 17))
+    assert bpe.encode(s) == library.encode(s, add_special_tokens=False).ids
+
+
+def test_round_trip_query(spark, odd, nothing, library):
+    got = sorted(tuple(r) for r in tokens.roundtrip_digests(odd, queries.vocabulary()).fillna(-1).collect())
+    want = []
+    for doc, text, *_ in odd_rows():
+        ids = library.encode(text or "", add_special_tokens=False).ids
+        want.append((-1 if doc is None else doc, len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256((text or "").encode()).hexdigest()))
+    assert got == sorted(want)
+    assert tokens.roundtrip_digests(nothing, queries.vocabulary()).count() == 0
+    assert tokens.encode_documents(odd.where("doc_id = 9"), queries.vocabulary()).first().decoded == "one two"
+
+
+def test_length_histogram(spark, odd, nothing, library):
+    sums = token_counts.suffix_sums(token_counts.length_histogram(odd, queries.vocabulary())).cache()
+    lengths = [len(library.encode(t or "", add_special_tokens=False).ids) for _, t, *_ in odd_rows()]
+    for r in sums.collect():
+        n = r.n_tokens
+        assert (r.n_docs, r.docs_ge, r.tokens_ge) == (lengths.count(n), sum(x >= n for x in lengths), sum(x for x in lengths if x >= n))
+        assert (r.docs_le, r.truncated_tokens, r.tokens_all) == (sum(x <= n for x in lengths), sum(min(x, n) for x in lengths), sum(lengths))
+    for r in token_counts.at_limits(sums, [0, 1, 100, 1000, 10**6]).collect():
+        assert (r.docs_over, r.truncated_tokens) == (sum(x > r.context for x in lengths), sum(min(x, r.context) for x in lengths))
+    for r in token_counts.quantiles(sums, [0.1, 0.5, 1.0]).collect():
+        assert r.n_tokens == min(x for x in lengths if sum(y <= x for y in lengths) >= r.share * len(lengths))
+    assert token_counts.suffix_sums(token_counts.length_histogram(nothing, queries.vocabulary())).count() == 0
+
+
+# -- media -----------------------------------------------------------------------
+
+
+def test_streams_round_trip_and_faults():
+    rng = random.Random(4)
+    for n in [0, 1, 63, 64, *range(140, 210), 16384, 16385, 16384 * 9 + 5]:
+        payload = media_ts.padded(rng.randbytes(n))
+        media = media_ts.mux(payload)
+        s = media_ts.demux(media)
+        assert len(media) % 188 == 0 and s.payload() == payload
+        assert (s.gaps, s.damaged, s.bad_tables, s.lost_sync, s.programs, s.streams) == (0, 0, 0, 0, {1: 0x100}, {0x101: 6})
+        assert [u[1] for u in s.units] == [k * media_ts.TICKS for k in range(len(s.units))]
+        assert [k for k, _ in s.access_points()] == list(range(0, len(s.units), media_ts.GROUP))
+    media = media_ts.mux(media_ts.padded(rng.randbytes(5000)))
+    cut = media_ts.demux(media[: 188 * 5] + media[188 * 6 :])
+    assert cut.gaps == 1 and cut.damaged == 1
+    twice = media_ts.demux(b"junk" + media[: 188 * 5] + media[188 * 4 :])
+    assert (twice.repeated, twice.gaps) == (1, 0) and twice.lost_sync and len(twice.payload()) == 5056
+    bad = bytearray(media)
+    bad[20] ^= 1
+    assert media_ts.demux(bytes(bad)).bad_tables == 1
+    assert media_ts.demux(b"").packets == 0
+
+
+def test_stream_query(spark, odd, nothing):
+    got = media_ts.features(media_ts.store(odd)).collect()
+    assert len(got) == len(odd_rows())
+    by = {r.doc_id: r for r in got}
+    for doc, text, *_ in odd_rows():
+        if doc is not None:
+            payload = media_ts.padded((text or "").encode())
+            r = by[doc]
+            assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len((text or "").encode()), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]))
+    assert by[1].media_sha256 == by[2].media_sha256
+    assert media_ts.features(media_ts.store(nothing)).count() == 0
+
+
+# -- packing ---------------------------------------------------------------------
+
+
+@pytest.mark.parametrize("most_open", [4096, 4])
+def test_packer(most_open):
+    rng = np.random.default_rng(0)
+    packer, docs, pieces, filled = packing.Packer(1024, most_open), {}, {}, {}
+    for k in range(1500):
+        docs[k] = rng.integers(0, 50_000, int(rng.integers(1, 3000)) if k % 3 else 600).astype("<u4")
+        packer.add(k, docs[k])
+    packer.close()
+    for key, start, ids, total, sequence, offset in packer.out:
+        assert total == len(docs[key])
+        pieces.setdefault(key, []).append((start, ids))
+        filled.setdefault(sequence, []).append((offset, len(ids)))
+    for k, ids in docs.items():
+        assert np.array_equal(np.concatenate([p for _, p in sorted(pieces[k], key=lambda p: p[0])]), ids)
+    short = 0
+    for places in filled.values():
+        end = 0
+        for offset, size in sorted(places):
+            assert offset == end
+            end += size
+        assert end == 1024 or end & (end - 1) == 0
+        short += end < 1024
+    assert short <= 10
+
+
+def test_pack_query(spark, odd, nothing, library):
+    rows = packing.pack(odd, queries.vocabulary()).collect()
+    ids = [library.encode(t or "", add_special_tokens=False).ids + [0] for _, t, *_ in odd_rows()]
+    assert sum(r.length for r in rows) == sum(map(len, ids)) and all(len(r.ids) == 4 * r.length for r in rows)
+    mine = sorted((r.start, r.ids) for r in rows if r.doc_id == 6)
+    assert np.frombuffer(b"".join(b for _, b in mine), "<u4").tolist() == ids[8]
+    assert packing.pack(nothing, queries.vocabulary()).count() == 0
+
+
+# -- quality ---------------------------------------------------------------------
+
+
+def test_rule_counts_by_hand(spark):
+    text = "a b c x a b c\n\n# *\n# *\n a"
+    r = quality_rules.with_counts(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()
+    assert (r._q_n_words, r._q_word_chars, r._q_n_symbols, r._q_n_lines, r._q_n_dup_lines, r._q_n_repeat_words) == (12, 12, 4, 4, 1, 6)
+
+
+def test_rules_on_odd_rows(spark, odd, nothing):
+    clash = odd.withColumns({"kept": F.lit("mine"), "n_words": F.lit(0)})
+    kept = quality_rules.keep_good(clash)
+    assert kept.columns == clash.columns and {r.doc_id for r in kept.select("doc_id").collect()} <= {1, 2, None, 6}
+    judged = quality_rules.judge(odd, carry=["doc_id"])
+    assert judged.count() == len(odd_rows()) and judged.where("doc_id = 3").first()._q_n_words == 0
+    assert quality_rules.judge(nothing).count() == 0
+
+
+def test_label_model_finds_the_accurate_rules():
+    rng, counts = random.Random(6), {}
+    for _ in range(5000):
+        good = rng.random() < 0.8
+        v = tuple(0 if rng.random() < 0.2 else (1 if (rng.random() < a) == good else -1) for a in (0.95, 0.9, 0.9, 0.55, 0.9, 0.9))
+        counts[v] = counts.get(v, 0) + 1
+    share, tables = quality_rules.estimate(list(counts.items()))
+    assert abs(share - 0.8) < 0.05
+    assert tables[0][-1] < tables[3][-1] <= 1 <= tables[3][1] < tables[0][1]
+
+
+def test_classifier_held_out(spark):
+    rows = queries.op6_random_indexing(spark, "/root/testdata/sf0.01").join(spark.read.parquet("/root/testdata/sf0.01/labels.parquet"), "doc_id").where("held_out").collect()
+    assert np.mean([r.predicted == r.quality for r in rows]) >= 0.95 and all(0 <= r.score <= 1 for r in rows)
+
+
+def test_classifier_odd_rows(spark, odd, nothing):
+    labels = spark.createDataFrame([(k, k % 2, 0) for k in range(30)] + [(None, 1, 0), (1, None, 0)], "doc_id long, quality int, toxic int")
+    vectors, network = quality_classifier.train(odd, labels, lambda key: quality_classifier.fold(key) != 1)
+    scored = quality_classifier.score(odd, vectors, network).collect()
+    assert len(scored) == len(odd_rows()) and len({round(r._c_score, 12) for r in scored if r.doc_id in (1, 2)}) == 1
+    vectors, network = quality_classifier.train(odd, labels.limit(0), lambda key: quality_classifier.fold(key) != 1)
+    assert {r._c_score for r in quality_classifier.score(odd, vectors, network).collect()} == {0.5}
+    assert quality_classifier.keep_good(nothing, labels).count() == 0
+
+
+# -- chat ------------------------------------------------------------------------
+
+
+def test_fold_deltas_edits_and_regenerations(spark):
+    log = [
+        (1, 0, 0, "start", 10, "user", ""), (1, 1, 0, "delta", 10, None, "Hel"), (1, 2, 0, "delta", 10, None, "lo"), (1, 3, 0, "start", 11, "assistant", "bad"), (1, 4, 0, "start", 12, "user", "then"),
+        (1, 5, 0, "regenerate", 11, None, "go"), (1, 6, 0, "delta", 11, None, "od <|im_end|>"), (1, 7, 0, "start", 13, "user", "x"), (1, 8, 0, "edit", 13, None, "y"), (1, 9, 0, "start", 14, "user", "gone"), (1, 10, 0, "delete", 14, None, None),
+    ]
+    df = spark.createDataFrame(log, "conv_id long, seq long, part int, event string, message_id long, role string, text string")
+    turns = chat.parse(chat.render(chat.fold(df))).first()
+    assert [(t.role, t.text) for t in turns.turns] == [("user", "Hello"), ("assistant", "good <|im_end|>"), ("user", "y")]
+    assert list(turns.loss_texts) == ["good <|im_end|>"]
+
+
+def test_format_is_reversible(spark):
+    rng = random.Random(7)
+    text = lambda: "".join(rng.choice(["<", "|", "\\", "<|im_start|>", "<|im_end|>", "\n", "a", "é", "😀", "assistant"]) for _ in range(rng.randint(0, 30)))
+    rows = [(c, t, rng.choice(["user", "assistant", "a\n%0A<|", None]), text()) for c in range(8) for t in range(5)] + [(None, 0, "assistant", None), (9, 0, "assistant", "z" * 3000), (9, 0, "assistant", "z" * 3000)]
+    got = chat.parse(chat.format_conversations(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))).collect()
+    assert {r.conv_id for r in got} == {*range(8), 9, None}
+    for r in got:
+        want = sorted(((t, ro or "", x or "") for c, t, ro, x in rows if c == r.conv_id))
+        assert [(t.role, t.text) for t in r.turns] == [(ro, x) for _, ro, x in want]
+        assert list(r.loss_texts) == [x for _, ro, x in want if ro == "assistant"]
+    empty = spark.createDataFrame([], "conv_id long, turn long, role string, text string")
+    assert chat.format_conversations(empty).count() == 0
+
+
+# -- suffix sort -----------------------------------------------------------------
+
+
+def brute_repeats(texts, size=suffix_dedup.LENGTH):
+    seen = {}
+    for b in texts:
+        for i in range(len(b) - size + 1):
+            seen[b[i : i + size]] = seen.get(b[i : i + size], 0) + 1
+    out = []
+    for b in texts:
+        gone = np.zeros(len(b), bool)
+        for i in range(len(b) - size + 1):
+            if seen[b[i : i + size]] > 1:
+                gone[i : i + size] = True
+        out.append((int(gone.sum()), int((np.diff(gone.astype(int), prepend=0) == 1).sum()), hashlib.sha256(bytes(np.frombuffer(b, np.uint8)[~gone])).hexdigest()))
+    return out
+
+
+def planted():
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choice("abcdefgh é") for _ in range(rng.randint(2, 9)))
+    make = lambda n: " ".join(word() for _ in range(n))
+    shared = [make(60) for _ in range(4)]
+    texts = [make(20) + shared[k % 4][: rng.randint(150, 400)] + make(30) for k in range(60)]
+    return texts + [make(100)] * 3 + ["ab " * 300, "ab " * 150 + make(10), "x" * 500, None, "", "y" * 199, "y" * 199, "z" * 200, "z" * 200, make(50) + texts[5][30:] * 2]
+
+
+@pytest.mark.parametrize("most", [suffix_dedup.MOST, 1])
+def test_repeats_against_brute_force(spark, monkeypatch, most):
+    monkeypatch.setattr(suffix_dedup, "MOST", most)  # 1: all anchors take the window-by-window way
+    texts = planted()
+    df = spark.createDataFrame([(k if k % 7 else None, t, k) for k, t in enumerate(texts)], "doc_id long, text string, place long").repartition(5)
+    got = {r.place: (sum(s.end - s.begin for s in r._d_spans), len(r._d_spans), hashlib.sha256(r._d_kept).hexdigest()) for r in suffix_dedup.removed(df).collect()}
+    assert [got[k] for k in range(len(texts))] == brute_repeats([(t or "").encode() for t in texts])
+
+
+def test_lying_hashes_are_found_out(monkeypatch):
+    monkeypatch.setattr(suffix_dedup, "stretch_hash", lambda sums, down, start, length: np.zeros(len(start), np.uint64))
+    rng = random.Random(9)
+    a, b = rng.randbytes(300), rng.randbytes(300)
+    row, begin, end = suffix_dedup.covered([1, 1, 1], [50, 50, 50], [1, 1, 1], [a, b, a[:250] + b[250:]])
+    assert sorted(zip(row.tolist(), begin.tolist(), end.tolist())) == [(0, 0, 250), (2, 0, 250)]
+
+
+def test_repeats_odd_rows(spark, odd, nothing):
+    cut = suffix_dedup.without_repeats(odd)
+    assert cut.columns == odd.columns and cut.dtypes == odd.dtypes
+    got = {r.doc_id: r for r in cut.where("doc_id IS NOT NULL").collect()}
+    assert got[1].text == "" and got[2].text == "" and got[3].text is None and got[9].text == "one two" and got[7].text == "" and got[6].n_chars == len(odd_rows()[8][1])
+    assert cut.count() == len(odd_rows()) and suffix_dedup.without_repeats(nothing).count() == 0
+
+
+# -- licenses --------------------------------------------------------------------
+
+
+def test_license_windows(spark, odd, nothing):
+    filler = " ".join(f"w{k}" for k in range(200))
+    rows = [(k, f"{filler[: 40 * k]} {t.upper()} {filler}") for k, t in enumerate(licenses.TEMPLATES.values())] + [(99, filler), (100, None), (101, "mit license"), (102, list(licenses.TEMPLATES.values())[0])]
+    got = {r.doc_id: [m.license for m in r._l_matches] for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for k, name in enumerate(licenses.TEMPLATES):
+        assert name in got[k]
+    assert got[99] == got[100] == got[101] == [] and got[102] == ["apache-2.0"]
+    half = " ".join(licenses.TEMPLATES["mit-permission"].split()[:30])
+    assert licenses.scan(spark.createDataFrame([(1, half)], "doc_id long, text string")).first()._l_matches == []
+    assert licenses.scan(odd).count() == len(odd_rows()) and licenses.scan(nothing).count() == 0
+
+
+# -- simhash ---------------------------------------------------------------------
+
+
+def brute_components(values, budget=simhash.BUDGET):
+    label = list(range(len(values)))
+
+    def find(x):
+        while label[x] != x:
+            x = label[x]
+        return x
+
+    for i in range(len(values)):
+        for j in range(i + 1, len(values)):
+            if (int(values[i]) ^ int(values[j])).bit_count() <= budget:
+                a, b = find(i), find(j)
+                label[max(a, b)] = min(a, b)
+    return [find(i) for i in range(len(values))]
+
+
+def test_trie_join_against_brute_force():
+    rng = random.Random(10)
+    for _ in range(5):
+        values = set()
+        for _ in range(40):
+            base = rng.getrandbits(64)
+            for _ in range(8):
+                v = base
+                for _ in range(rng.randint(0, 5)):
+                    v ^= 1 << rng.randrange(64)
+                values.add(v)
+        line = np.array(sorted(values), np.uint64)
+        assert simhash.trie_join(line).tolist() == brute_components(line)
+
+
+def test_fingerprint_by_hand(spark):
+    import xxhash
+
+    text = "The  quick\tBROWN fox É the quick brown"
+    words = "the quick brown fox É the quick brown".split()
+    hashes = [xxhash.xxh64_intdigest(" ".join(words[i : i + 3]).encode(), 42) for i in range(len(words) - 2)]
+    want = sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
+    assert simhash.fingerprint(text) == want and simhash.fingerprint(" \n") == simhash.fingerprint(None) == 0
+    assert simhash.fingerprint("one TWO") == xxhash.xxh64_intdigest(b"one two", 42)
+
+
+def test_components_against_brute_force(spark, odd, nothing):
+    docs = documents(spark, SF)
+    rows = docs.select("doc_id", "text").orderBy("doc_id").collect()
+    prints = [simhash.fingerprint(r.text) for r in rows]
+    want = {r.doc_id: (p, rows[k].doc_id) for r, p, k in zip(rows, prints, brute_components(prints))}
+    assert {r.doc_id: (r._s_fp % (1 << 64), r.component_id) for r in simhash.near_duplicates(docs).collect()} == want
+    kept = simhash.keep_one(docs)
+    assert kept.columns == docs.columns and sorted(r.doc_id for r in kept.collect()) == sorted({c for _, c in want.values()})
+    got = simhash.near_duplicates(odd).collect()
+    assert len(got) == len(odd_rows()) and {r.component_id for r in got if r.doc_id in (1, 2)} == {1} and {r.component_id for r in got if r.doc_id in (3, 4, 5)} == {3}
+    left = simhash.keep_one(odd).collect()
+    assert sorted(-1 if r.doc_id is None else r.doc_id for r in left) == [-1, 1, 3, 6, 7, 8, 9] or sorted(-1 if r.doc_id is None else r.doc_id for r in left) == [1, 3, 6, 7, 8, 9]
+    assert simhash.near_duplicates(nothing).count() == 0 and simhash.keep_one(nothing).count() == 0
+
+
+def test_components_of_a_chain(spark):
+    links = spark.createDataFrame([(k, k + 1) for k in range(40)] + [(100, 101), (7, 7)], "a long, b long")
+    got = {r.node: r.root for r in simhash.components(links).collect()}
+    assert got == {k: 0 for k in range(1, 41)} | {101: 100}
+
+
+# -- pipeline --------------------------------------------------------------------
+
+
+def test_pipeline_stages(spark, nothing):
+    docs = documents(spark, SF)
+    names = [n for n, _ in corpus_pipeline.STAGES]
+    assert names == ["quality classifier", "quality rules", "simhash near-dedup", "suffix-array dedup", "packing"]
+    stage = dict(corpus_pipeline.STAGES)
+    judged = stage["quality rules"](spark, docs, SF)
+    want = {r.doc_id for r in quality_rules.judge(docs).where("_q_kept").collect()}
+    assert {r.doc_id for r in judged.collect()} == want and judged.dtypes == docs.dtypes
+    cut = {r.doc_id: r.text for r in stage["suffix-array dedup"](spark, docs, SF).collect()}
+    rows = docs.select("doc_id", "text").collect()
+    for (gone, _, digest), r in zip(brute_repeats([(r.text or "").encode() for r in rows]), rows):
+        assert gone or cut[r.doc_id] == r.text
+    for name, f in corpus_pipeline.STAGES:
+        assert f(spark, nothing, SF).count() == 0, name
+    assert corpus_pipeline.run(spark, SF).count() > 0
