@@ -98,7 +98,7 @@ def anchors(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray
     return tuple(map(np.concatenate, zip(*found)))
 
 
-ITEMS = "dk long, rk int, ah long, ch long, lo int, hi int, p int, n int"
+ITEMS = "dk long, rk long, ah long, ch long, lo int, hi int, p int, n int"
 
 
 def _text_items(data: bytes) -> dict:
@@ -321,16 +321,17 @@ def _squeezed(texts: pd.Series) -> pd.Series:
     return texts.map(lambda t: pack((t or "").encode()))
 
 
-def _keyed(df: DataFrame, text_column: str, key: str) -> DataFrame:
-    """``dk``, ``rk``: key and text hash, which tell rows apart; ``text``."""
+def _keys(text_column: str, key: str):
+    """Columns that tell rows apart: key and text hash."""
     text, k = F.coalesce(F.col(f"`{text_column}`"), F.lit("")), F.col(f"`{key}`").cast("long")
-    return df.select(F.coalesce(k, F.lit(-1)).alias("dk"), F.hash(text, k.isNull()).alias("rk"), text.alias("text"), *(F.col(f"`{c}`") for c in df.columns if c != text_column and c not in ("text", "dk", "rk")))
+    return F.coalesce(k, F.lit(-1)), F.xxhash64(text, k.isNull())
 
 
 def repeats(df: DataFrame, text_column: str = "text", key: str = "doc_id") -> DataFrame:
     """``dk``, ``rk``, ``spans``: the stretches to remove from each text that has any (not united yet)."""
     df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", ARROW_ROWS)
-    texts = _keyed(df.select(f"`{key}`", f"`{text_column}`"), text_column, key).select("dk", "rk", "text")
+    dk, rk = _keys(text_column, key)
+    texts = df.select(dk.alias("dk"), rk.alias("rk"), F.coalesce(F.col(f"`{text_column}`"), F.lit("")).alias("text"))
     found = staged(items(texts), "anchors")
     often = (
         found.where("ah IS NOT NULL").groupBy("ah").agg(F.sum("n").alias("c"), F.min("ch").alias("c1"), F.max("ch").alias("c2"))
@@ -369,13 +370,11 @@ def repeats(df: DataFrame, text_column: str = "text", key: str = "doc_id") -> Da
 
 def removed(df: DataFrame, text_column: str = "text", key: str = "doc_id") -> DataFrame:
     """All columns but the text, and ``_d_bytes``, ``_d_spans`` (united stretches), ``_d_kept`` (remaining bytes) of every row."""
-    keyed = _keyed(df, text_column, key)
     others = [c for c in df.columns if c != text_column]
-    clash = [c for c in others if c in ("dk", "rk", "text")]
-    if clash:
-        raise ValueError(f"columns {clash} of the input have names that are used here")
-    spans = repeats(df, text_column, key).select("dk", "rk", "spans")
-    joined = keyed.select("dk", "rk", *(f"`{c}`" for c in others), _squeezed("text").alias("_d_z")).join(spans, ["dk", "rk"], "left")
+    dk, rk = _keys(text_column, key)
+    keyed = df.select(dk.alias("_d_dk"), rk.alias("_d_rk"), *(F.col(f"`{c}`") for c in others), _squeezed(F.col(f"`{text_column}`")).alias("_d_z"))
+    spans = repeats(df, text_column, key).select(F.col("dk").alias("_d_dk"), F.col("rk").alias("_d_rk"), F.col("spans").alias("_d_found"))
+    joined = keyed.join(spans, ["_d_dk", "_d_rk"], "left")
     fields = {f.name: f for f in joined.schema}
     schema = ", ".join([f"`{c}` {fields[c].dataType.simpleString()}" for c in others] + ["_d_bytes long", "_d_spans array<struct<begin:long,end:long>>", "_d_kept binary"])
     arrow = arrow_schema(schema)
@@ -398,7 +397,7 @@ def removed(df: DataFrame, text_column: str = "text", key: str = "doc_id") -> Da
                 made = [pa.array(c, f.type) for c, f in zip((sizes, stretches, kept), list(arrow)[len(others) :])]
                 yield pa.RecordBatch.from_arrays([*part.columns[: len(others)], *made], schema=arrow)
 
-    return joined.select(*(f"`{c}`" for c in others), "_d_z", "spans").mapInArrow(run, schema)
+    return joined.select(*(f"`{c}`" for c in others), "_d_z", "_d_found").mapInArrow(run, schema)
 
 
 def digests(cut: DataFrame, key: str = "doc_id") -> DataFrame:

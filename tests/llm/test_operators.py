@@ -286,6 +286,8 @@ def test_lying_hashes_are_found_out(monkeypatch):
 
 
 def test_repeats_odd_rows(spark, odd, nothing):
+    clash = odd.withColumns({c: F.lit(1) for c in ("dk", "rk", "spans", "begin")})
+    assert suffix_dedup.without_repeats(clash).columns == clash.columns and suffix_dedup.without_repeats(clash).where("dk = 1").count() == len(odd_rows())
     cut = suffix_dedup.without_repeats(odd)
     assert cut.columns == odd.columns and cut.dtypes == odd.dtypes
     got = {r.doc_id: r for r in cut.where("doc_id IS NOT NULL").collect()}
