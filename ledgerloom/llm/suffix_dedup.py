@@ -17,8 +17,9 @@ How it is spread over a cluster
    which a binary search over prefix polynomial hashes finds in 8 steps.  Neighbours
    that have ``LENGTH`` bytes in common repeat; their bytes are compared afterwards, and
    a class of suffixes in which a hash lied is sorted again by its bytes.  An anchor
-   with more than ``MOST`` contexts is dealt out window by window instead, and windows
-   with equal 128-bit hashes are counted: the exact way for what is too large a group.
+   that occurs over ``MOST`` times is dealt out window by window instead, and windows
+   with equal 128-bit hashes are counted: the exact way for what may be too large a
+   group.  No join or count by anchor alone meets the contexts before that.
 4. *Removal.*  Stretches meet their document's text, are united and cut out.
 
 Rows with very many equals (boilerplate, copies) are counted by partial aggregates and
@@ -41,7 +42,7 @@ from pyspark.sql.types import BinaryType, StringType
 from ledgerloom.llm.common import ARROW_ROWS, arrow_schema, staged
 
 LENGTH, GRAM = 200, 64
-#: Window starts handled at once; bytes of contexts sorted at once; contexts of an anchor sorted together.
+#: Window starts handled at once; bytes of contexts sorted at once; occurrences of an anchor whose contexts are sorted together.
 PART, PORTION, MOST = 1 << 18, 1 << 20, 1 << 13
 
 _BASE = 0x9E3779B97F4A7C15
@@ -335,13 +336,12 @@ def repeats(df: DataFrame, text_column: str = "text", key: str = "doc_id") -> Da
     found = staged(items(texts), "anchors")
     often = (
         found.where("ah IS NOT NULL").groupBy("ah").agg(F.sum("n").alias("c"), F.min("ch").alias("c1"), F.max("ch").alias("c2"))
-        .where("c > 1").select("ah", (F.col("c1") != F.col("c2")).alias("several"))
+        .where("c > 1").select("ah", (F.col("c1") != F.col("c2")).alias("several"), (F.col("c") > MOST).alias("crowded"))
     )
     again = staged(found.where("ah IS NOT NULL").join(often, "ah"), "repeated-anchors")
     # one example of each context of an anchor that has several
-    kinds = again.where("several").groupBy("ah", "ch").agg(F.sum("n").alias("n"), F.min(F.struct("dk", "rk", "lo", "hi", "p")).alias("at"))
-    crowd = kinds.groupBy("ah").agg(F.count("*").alias("kinds"))
-    wanted = kinds.join(crowd, "ah").select("at.dk", "at.rk", F.struct("ah", "ch", "n", F.col("at.lo").alias("lo"), F.col("at.hi").alias("hi"), F.col("at.p").alias("p"), (F.col("kinds") > MOST).alias("crowded")).alias("item"))
+    kinds = again.where("several").groupBy("ah", "ch").agg(F.sum("n").alias("n"), F.bool_or("crowded").alias("crowded"), F.min(F.struct("dk", "rk", "lo", "hi", "p")).alias("at"))
+    wanted = kinds.select("at.dk", "at.rk", F.struct("ah", "ch", "n", F.col("at.lo").alias("lo"), F.col("at.hi").alias("hi"), F.col("at.p").alias("p"), "crowded").alias("item"))
     asked = wanted.groupBy("dk", "rk").agg(F.collect_list("item").alias("items"))
     squeezed = texts.select("dk", "rk", _squeezed("text").alias("z"))
     # rows equal in key and text give the same contexts: one of them is enough, below
