@@ -42,7 +42,7 @@ HIDDEN, EPOCHS, STEP, BATCH, DECAY = 32, 40, 3e-3, 256, 1e-4
 SEED = 20_240
 
 #: Words that a worker remembers at most, and words handled at once.
-REMEMBERED, CHUNK = 400_000, 1 << 16
+REMEMBERED, CHUNK = 100_000, 1 << 16
 
 _token = re.compile(r"[^\W\d_]+|\d+|[^\w\s]|_")
 _known: dict[str, int] = {}
