@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ledgerloom.llm import packing, quality_classifier, quality_rules, simhash, suffix_dedup
+from ledgerloom.llm import near_copies, packing, quality_classifier, quality_rules, suffix_dedup
 from ledgerloom.llm.common import documents, staged
 from ledgerloom.llm.queries import vocabulary
 
@@ -25,8 +25,8 @@ def apply_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group that SimHash links connect."""
-    return simhash.keep_one(docs)
+    """One document of each group that pairs of similarity 0.8 or more (5-word shingles) connect."""
+    return near_copies.keep_one(docs)
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -47,7 +47,7 @@ STAGES = [
     ("packing", pack),
 ]
 
-#: SimHash components, suffix sorts and trained networks are not expressible in SQL.
+#: Near-copy components, suffix sorts and trained networks are not expressible in SQL.
 ORACLE_SQL = None
 
 

@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from ledgerloom.llm import chat, licenses, media_ts, packing, quality_classifier, quality_rules, queries, simhash, suffix_dedup, token_counts, tokens
+from ledgerloom.llm import chat, licenses, media_ts, near_copies, packing, quality_classifier, quality_rules, queries, simhash, suffix_dedup, token_counts, tokens
 from ledgerloom.llm.common import documents
 
 SF = "/root/testdata/sf0.001"
@@ -376,6 +376,50 @@ def test_components_of_a_chain(spark):
     assert got == {k: 0 for k in range(1, 41)} | {101: 100}
 
 
+# -- near copies -----------------------------------------------------------------
+
+
+def brute_kept(rows):
+    """Least key of each group that 5-word Jaccard similarity of 0.8 or more connects."""
+    sets = []
+    for _, t in rows:
+        w = (t or "").encode().lower().split()
+        k = min(5, len(w))
+        sets.append({b" ".join(w[i : i + k]) for i in range(len(w) - k + 1)} if w else set())
+    label = list(range(len(rows)))
+    for i in range(len(rows)):
+        for j in range(i):
+            both = len(sets[i] & sets[j])
+            if label[i] != label[j] and (sets[i] == sets[j] or 5 * both >= 4 * (len(sets[i]) + len(sets[j]) - both)):
+                a, b = sorted((label[i], label[j]))
+                label = [a if x == b else x for x in label]
+    return sorted({min(rows[k][0] for k in range(len(rows)) if label[k] == x) for x in set(label)})
+
+
+def test_near_copy_stage_against_brute_jaccard(spark, odd):
+    rng, rows = random.Random(11), []
+    words = [f"w{k}" for k in range(300)]
+    for group in range(6):  # group 0 is larger than one round proposes in full
+        base = [rng.choice(words) for _ in range(rng.randint(60, 150))]
+        for _ in range(40 if group == 0 else 6):
+            text = list(base)
+            for _ in range(rng.randint(0, 5)):
+                text[rng.randrange(len(text))] = rng.choice(words)
+            rows.append((len(rows), " ".join(text)))
+    common = [rng.choice(words) for _ in range(60)]  # one passage in documents that are no copies
+    rows += [(len(rows) + k, " ".join(common + [rng.choice(words) for _ in range(20)])) for k in range(30)]
+    rows += [(900, None), (901, " "), (902, "a b"), (903, "A  b"), (904, "a b c")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    stage = dict(corpus_pipeline.STAGES)["simhash near-dedup"]
+    want = brute_kept(rows)
+    assert sorted(r.doc_id for r in stage(spark, docs, SF).collect()) == want
+    assert sorted(r.doc_id for r in simhash.keep_one(docs).collect()) != want  # 3-word shingles and 3 bits are another thing
+    docs = documents(spark, SF)
+    got = stage(spark, docs, SF)
+    assert got.dtypes == docs.dtypes and sorted(r.doc_id for r in got.collect()) == brute_kept([(r.doc_id, r.text) for r in docs.select("doc_id", "text").collect()])
+    assert len(stage(spark, odd, SF).collect()) <= len(odd_rows())
+
+
 # -- pipeline --------------------------------------------------------------------
 
 
