@@ -56,7 +56,7 @@ def with_opening(ledger):
 
 
 def order_rows(ledger):
-    return ledger.select("doc_id", ((F.col("seq") * 7919) % 1009).alias("seq"), (F.col("balance") + F.coalesce("withdrawal", F.lit(0)) - F.coalesce("deposit", F.lit(0))).alias("before"), F.col("balance").alias("after")).where("after IS NOT NULL AND doc_id % 10 <> 3")
+    return ledger.select("doc_id", ((F.col("seq") * 7919) % 1009).alias("seq"), (F.col("balance") + F.coalesce("withdrawal", F.lit(0)) - F.coalesce("deposit", F.lit(0))).alias("before"), F.col("balance").alias("after")).where("after IS NOT NULL")
 
 
 def notes(docs):
