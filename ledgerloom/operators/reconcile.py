@@ -95,7 +95,7 @@ def detect_layout(texts: DataFrame, layouts: list[tuple[str, list[str]]]) -> Dat
 
 
 def word_overlap(a: DataFrame, share: float = 0.6) -> DataFrame:
-    """FLT-21, SET-02.  Notes (``doc_id``, ``note``, ``text``) whose words mostly stand in the text already."""
+    """SET-02, and of FLT-21 the last rule alone.  Notes (``doc_id``, ``note``, ``text``) whose words mostly stand in the text already."""
     words = lambda c: F.array_distinct(F.filter(F.split(F.lower(F.coalesce(c, F.lit(""))), r"[^a-z0-9]+"), lambda w: w != ""))
     rows = a.select("doc_id", words("note").alias("n"), words("text").alias("t"))
     return rows.select("doc_id", F.size("n").alias("n_words"), ((F.size("n") > 0) & (F.size(F.array_intersect("n", "t")) >= share * F.size("n"))).alias("repeats"))

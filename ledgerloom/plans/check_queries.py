@@ -63,6 +63,11 @@ def notes(docs):
     return C.word_overlap(docs.select("doc_id", F.substring("text", 1, 60).alias("note"), F.substring(F.col("text"), F.lit(1) + (F.col("doc_id") % 50).cast("int"), F.lit(400)).alias("text")))
 
 
+def notes_of_next(docs):
+    """Each document's whole text against the whole text of the document with the next key."""
+    return C.word_overlap(docs.join(docs.select((F.col("doc_id") - 1).alias("doc_id"), F.col("text").alias("note")), "doc_id", "left"))
+
+
 PLUS = f"try_cast(o_ AS {M}) AS opening"
 
 PAIRS = {
@@ -107,6 +112,11 @@ SELECT DISTINCT doc_id, page, 'sum' AS why FROM ledger WHERE doc_id % 17 = 0 UNI
         documents(notes),
         r"""WITH w AS (SELECT doc_id, list_distinct(list_filter(regexp_split_to_array(lower(substr(text, 1, 60)), '[^a-z0-9]+'), lambda x: x <> '')) AS n, list_distinct(list_filter(regexp_split_to_array(lower(substr(text, (1 + doc_id % 50)::INT, 400)), '[^a-z0-9]+'), lambda x: x <> '')) AS t FROM documents)
 SELECT doc_id, len(n)::INT AS n_words, len(n) > 0 AND len(list_intersect(n, t)) >= 0.6 * len(n) AS repeats FROM w""",
+    ),
+    "flt_21_word_overlap_whole": (
+        documents(notes_of_next),
+        r"""WITH w AS (SELECT doc_id, list_distinct(list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^a-z0-9]+'), lambda x: x <> '')) AS w FROM documents)
+SELECT a.doc_id, coalesce(len(b.w), 0)::INT AS n_words, coalesce(len(b.w) > 0 AND len(list_intersect(b.w, a.w)) >= 0.6 * len(b.w), FALSE) AS repeats FROM w a LEFT JOIN w b ON b.doc_id = a.doc_id + 1""",
     ),
     "src_05_json_lines": (
         documents(lambda x: R.lines_from_json(replies(x)).select("doc_id", "line_no", F.md5("text").alias("h"))),

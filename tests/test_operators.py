@@ -100,6 +100,14 @@ def test_solvers():
     assert solvers.scan_distance("10", "70") == 0.5 and "78" in solvers.variants("18")
 
 
+def test_word_overlap_reads_whole_texts(spark):
+    from ledgerloom.plans.check_queries import notes_of_next
+
+    filler = " ".join(f"w{k}" for k in range(200))
+    docs = spark.createDataFrame([(1, filler + " paid in cash"), (2, "Paid in cash"), (3, filler), (4, None)], "doc_id long, text string")
+    assert {r.doc_id: (r.n_words, r.repeats) for r in notes_of_next(docs).collect()} == {1: (3, True), 2: (200, False), 3: (0, False), 4: (0, False)}
+
+
 def test_readers_and_writers(spark, tmp_path):
     tsv = "level\tp\n" + "\t".join("5 1 1 1 1 1 10 20 30 40 90".split()) + "\tWord\n" + "\t".join("4 1 1 1 1 1 10 20 30 40 90".split()) + "\tno"
     got = readers.parse_word_table(spark.createDataFrame([(1, tsv)], "doc_id long, tsv string")).collect()
