@@ -39,6 +39,15 @@ def replies(docs):
     return docs.select("doc_id", F.when(F.col("doc_id") % 2 == 0, F.to_json(boxed)).otherwise(F.to_json(plain)).alias("reply"))
 
 
+def whole_replies(docs):
+    """Replies with boxes for all words of all lines of every document with an even key."""
+    word = lambda w: F.struct(w.alias("WordText"), F.lit(1.0).alias("Left"), F.lit(2.0).alias("Top"), F.lit(3.0).alias("Height"), F.lit(4.0).alias("Width"))
+    lines = F.transform(F.split(F.coalesce("text", F.lit("")), r"\r?\n"), lambda x: F.struct(x.alias("LineText"), F.transform(F.split(x, " "), word).alias("Words")))
+    boxed = F.struct(F.col("text").alias("ParsedText"), F.struct(lines.alias("Lines")).alias("TextOverlay"))
+    plain = F.struct(F.col("text").alias("ParsedText"))
+    return docs.select("doc_id", F.when(F.col("doc_id") % 2 == 0, F.to_json(boxed)).otherwise(F.to_json(plain)).alias("reply"))
+
+
 def page_chars(spark, d):
     lines = T.lines_of(spark.read.parquet(f"{d}/documents.parquet"))
     pages = lines.groupBy("doc_id", "page").agg(F.sum(F.length("text")).alias("chars"))
@@ -123,6 +132,11 @@ SELECT a.doc_id, coalesce(len(b.w), 0)::INT AS n_words, coalesce(len(b.w) > 0 AN
         r"""WITH e AS (SELECT doc_id, 0 AS line_no, array_to_string(string_split(coalesce(text, ''), ' ')[1:6], ' ') AS t FROM documents WHERE doc_id % 2 = 0),
 p AS (SELECT doc_id, list_filter(regexp_split_to_array(text, '\r?\n'), lambda x: trim(x) <> '') AS l FROM documents WHERE doc_id % 2 = 1), q AS (SELECT doc_id, (i - 1)::INT AS line_no, l[i] AS t FROM p, unnest(range(1, len(l) + 1)) AS u(i))
 SELECT doc_id, line_no, md5(t) AS h FROM e UNION ALL SELECT doc_id, line_no, md5(t) FROM q""",
+    ),
+    "src_05_json_lines_whole": (
+        documents(lambda x: R.lines_from_json(whole_replies(x)).select("doc_id", "line_no", F.md5("text").alias("h"))),
+        r"""WITH p AS (SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN regexp_split_to_array(coalesce(text, ''), '\r?\n') ELSE list_filter(regexp_split_to_array(text, '\r?\n'), lambda x: trim(x) <> '') END AS l FROM documents)
+SELECT doc_id, (i - 1)::INT AS line_no, md5(l[i]) AS h FROM p, unnest(range(1, len(l) + 1)) AS u(i)""",
     ),
     "src_03_preflight": (
         page_chars,

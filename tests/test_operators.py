@@ -108,6 +108,15 @@ def test_word_overlap_reads_whole_texts(spark):
     assert {r.doc_id: (r.n_words, r.repeats) for r in notes_of_next(docs).collect()} == {1: (3, True), 2: (200, False), 3: (0, False), 4: (0, False)}
 
 
+def test_boxes_hold_all_lines_and_words(spark):
+    from ledgerloom.plans.check_queries import whole_replies
+
+    text = "a b c d e f g h\n\ni j\r\nk"
+    docs = spark.createDataFrame([(2, text), (4, None)], "doc_id long, text string")
+    got = readers.lines_from_json(whole_replies(docs)).orderBy("doc_id", "line_no").collect()
+    assert [(r.doc_id, r.line_no, r.text) for r in got] == [(2, 0, "a b c d e f g h"), (2, 1, ""), (2, 2, "i j"), (2, 3, "k"), (4, 0, "")]
+
+
 def test_readers_and_writers(spark, tmp_path):
     tsv = "level\tp\n" + "\t".join("5 1 1 1 1 1 10 20 30 40 90".split()) + "\tWord\n" + "\t".join("4 1 1 1 1 1 10 20 30 40 90".split()) + "\tno"
     got = readers.parse_word_table(spark.createDataFrame([(1, tsv)], "doc_id long, tsv string")).collect()
