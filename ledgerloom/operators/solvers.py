@@ -7,6 +7,7 @@ from __future__ import annotations
 
 from itertools import product
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 
@@ -35,6 +36,15 @@ def scan_distance(a: str, b: str) -> float:
     return row[-1]
 
 
+def edit_distance(a: str, b: str) -> int:
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        last, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+    return row[-1]
+
+
 def align(a: list[float], b: list[float], gap: float = 10.0) -> list[tuple[int, int]]:
     """JOIN-13.  Pairs of two ordered lists at least total distance, in order, where leaving one out costs ``gap``."""
     n, m = len(a), len(b)
@@ -74,20 +84,63 @@ def signs(opening: float, amounts: list[float], closing: float, near: float = 0.
     return None
 
 
+def nearest_signs(opening: float, amounts: list[float], closing: float, near: float = 0.5, most: int = 40) -> list[int] | None:
+    """SOL-03.  Signs of all amounts that lead nearest to ``closing``, within ``near``; of equals the one with the earlier credits.
+
+    Both halves' sums meet in the middle, in cents, so ``most`` amounts cost 2^(most/2).
+    """
+    if len(amounts) > most:
+        return None
+    cents, target = [round(a * 100) for a in amounts], round(closing * 100) - round(opening * 100)
+
+    def sums(part: list[int]) -> np.ndarray:
+        out = np.zeros(1, np.int64)
+        for a in part:
+            out = (out[:, None] + np.array([a, -a], np.int64)).ravel()
+        return out
+
+    def choice(k: int, n: int) -> list[int]:
+        return [-1 if k >> (n - 1 - i) & 1 else 1 for i in range(n)]
+
+    half = len(cents) // 2
+    left = sums(cents[:half])
+    right, first = np.unique(sums(cents[half:]), return_index=True)
+    at = np.searchsorted(right, target - left)
+    low, high = np.maximum(at - 1, 0), np.minimum(at, len(right) - 1)
+    off = np.stack([np.abs(target - left - right[low]), np.abs(target - left - right[high])])
+    places = np.stack([first[low], first[high]])
+    best = off.min()
+    if best > round(near * 100):
+        return None
+    i = int(np.flatnonzero((off == best).any(axis=0))[0])
+    j = int(places[:, i][off[:, i] == best].min())
+    return choice(i, half) + choice(j, len(cents) - half)
+
+
 def sign_runs(ledger: DataFrame) -> DataFrame:
-    """SOL-03 over a ledger: rows between two printed balances get the signs that explain the second."""
+    """SOL-03 over a ledger: rows between two printed balances get the signs that explain the second.
+
+    Runs that no signs explain, or that have no printed balance on a side, get a best
+    effort and are ``flagged``: amounts are credits unless the row's balance says otherwise.
+    """
     def one(rows: pd.DataFrame) -> pd.DataFrame:
         rows, out, run, last = rows.sort_values("seq"), [], [], None
         for r in rows.itertuples():
             run.append((r.seq, float(r.amount)))
             if pd.notna(r.balance):
-                found = signs(last, [a for _, a in run], float(r.balance)) if last is not None else None
-                out += [(r.doc_id, s, a, found[k] if found else 0) for k, (s, a) in enumerate(run)]
-                run, last = [], float(r.balance)
-        out += [(rows.doc_id.iloc[0], s, a, 0) for s, a in run]
-        return pd.DataFrame(out, columns=["doc_id", "seq", "amount", "sign"])
-
-    return ledger.groupBy("doc_id").applyInPandas(one, "doc_id long, seq long, amount double, sign int")
+                balance = float(r.balance)
+                found = nearest_signs(last, [a for _, a in run], balance) if last is not None else None
+                guess = [1] * len(run)
+                if found is None and last is not None:
+                    before = last + sum(a for _, a in run[:-1])
+                    if edit_distance(f"{balance:.2f}", f"{before + run[-1][1]:.2f}") > 2:  # the balance is trusted, not the amount
+                        guess[-1] = 1 if balance >= before else -1
+                out += [(r.doc_id, s, a, k, found is None) for (s, a), k in zip(run, found or guess)]
+                run, last = [], balance
+        out += [(rows.doc_id.iloc[0], s, a, 1, True) for s, a in run]
+        return pd.DataFrame(out, columns=["doc_id", "seq", "amount", "sign", "flagged"])
+
+    return ledger.groupBy("doc_id").applyInPandas(one, "doc_id long, seq long, amount double, sign int, flagged boolean")
 
 
 def chain(opening: float, rows: list[tuple[list[float], list[float]]], width: int = BEAM) -> tuple[float, list[tuple[float, float]]]:

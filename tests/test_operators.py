@@ -100,6 +100,22 @@ def test_solvers():
     assert solvers.scan_distance("10", "70") == 0.5 and "78" in solvers.variants("18")
 
 
+def test_signs_of_long_runs(spark):
+    from itertools import product
+
+    rng = random.Random(7)
+    for n in [1, 2, 5, 9, 11]:
+        amounts = [rng.randint(1, 3000) / 100 for _ in range(n)]
+        for target in [sum(rng.choice((1, -1)) * a for a in amounts) + rng.choice((0, 0.3)), 1e6]:
+            off = lambda c: abs(round(100 * target) - sum(s * round(100 * a) for s, a in zip(c, amounts)))  # noqa: B023, E731
+            best = min(product((1, -1), repeat=n), key=off)
+            assert solvers.nearest_signs(0, amounts, target) == (list(best) if off(best) <= 50 else None)
+    assert solvers.nearest_signs(100, [0.2, 0.1], 99.9) == [-1, 1]  # not the first within 0.5
+    rows = [(1, 0, 5.0, 100.0)] + [(1, k, float(2**k), None) for k in range(1, 10)] + [(1, 10, 1024.0, 100.0 + 1024 - sum(2**k for k in range(1, 10))), (1, 11, 3.0, None)]
+    got = solvers.sign_runs(spark.createDataFrame(rows, "doc_id long, seq long, amount double, balance double")).orderBy("seq").collect()
+    assert [(r.sign, r.flagged) for r in got] == [(1, True)] + [(-1, False)] * 9 + [(1, False), (1, True)]
+
+
 def test_word_overlap_reads_whole_texts(spark):
     from ledgerloom.plans.check_queries import notes_of_next
 
