@@ -144,7 +144,7 @@ def sign_runs(ledger: DataFrame) -> DataFrame:
 
 
 def chain(opening: float, rows: list[tuple[list[float], list[float]]], width: int = BEAM) -> tuple[float, list[tuple[float, float]]]:
-    """SOL-01, SOL-02, SOL-04.  The cheapest reading of rows as (signed amount, balance) chains.
+    """A beam search after SOL-01, on rows that have their one amount and balance already.  The cheapest reading of rows as (signed amount, balance) chains.
 
     Each row has candidate amounts and balances, likeliest first; a later candidate
     costs ``MISREAD`` times its place, a balance that the chain doesn't explain ``SKIP`` more.
@@ -181,7 +181,7 @@ def chain(opening: float, rows: list[tuple[list[float], list[float]]], width: in
 
 
 def solve_chains(ledger: DataFrame) -> DataFrame:
-    """SOL-01/02/04 over ``doc_id``, ``seq``, ``amount``, ``balance``, ``opening``: each row's amount and balance in the cheapest chain."""
+    """The search of ``chain`` over ``doc_id``, ``seq``, ``amount``, ``balance``, ``opening``: each row's amount and balance in the cheapest chain."""
     def one(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("seq")
         read = []
