@@ -3,20 +3,24 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows handed to Python at once, and per step inside Python.  Whole texts are
-#: rows, so this bounds a worker's memory to a few hundred texts.
-ARROW_ROWS = 512
-STEP_ROWS = 128
+#: Rows and bytes of text that one step inside Python handles at once.  Spark's own
+#: bound of an Arrow batch (``spark.sql.execution.arrow.maxBytesPerBatch``) holds before.
+STEP_ROWS, STEP_BYTES = 128, 8 << 20
+#: A key is hot if over one in SHARES rows has it, so at most SHARES keys are.
+SHARES = 4096
 
 _run = uuid.uuid4().hex[:12]
+_scopes: list[list[tuple[SparkSession, str]]] = []
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -26,11 +30,13 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 def shared_folder(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``.
 
-    Where the cluster names none (tests on one machine), a temporary folder is
-    made and set, once a session.
+    Where none is set and all runs on this machine, a temporary folder is made and
+    set, once a session; a cluster has to name one.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir has to name a folder that driver and executors share")
         folder = tempfile.mkdtemp(prefix="ledgerloom-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")
@@ -40,13 +46,35 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet into the shared folder and read it back.
 
     This cuts the lineage: a later stage that loses an executor reads these
-    files again and nothing before them.  The files stay until the driver ends.
+    files again and nothing before them.  The files stay until ``release`` is
+    called, the surrounding ``scratch`` ends, or the driver does.
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/ledgerloom-{_run}/{name}-{uuid.uuid4().hex[:12]}"
     df.write.parquet(path)
-    atexit.register(remove, spark, path)
-    return spark.read.schema(df.schema).parquet(path)
+    if _scopes:
+        _scopes[-1].append((spark, path))
+    else:
+        atexit.register(remove, spark, path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._staged_at = path
+    return out
+
+
+def release(df: DataFrame) -> None:
+    """Delete the files of a staged table that nothing reads any more."""
+    remove(df.sparkSession, df._staged_at)
+
+
+@contextlib.contextmanager
+def scratch():
+    """Delete, in the end, what is staged inside; results have to be written by then."""
+    _scopes.append([])
+    try:
+        yield
+    finally:
+        for spark, path in _scopes.pop():
+            remove(spark, path)
 
 
 def remove(spark: SparkSession, path: str) -> None:
@@ -58,18 +86,28 @@ def remove(spark: SparkSession, path: str) -> None:
     target.getFileSystem(context._jsc.hadoopConfiguration()).delete(target, True)
 
 
-def map_steps(df: DataFrame, step: Callable[[list[list]], Iterator | dict], schema: str) -> DataFrame:
+def portions(batch: pa.RecordBatch, text: int, rows: int = STEP_ROWS) -> Iterator[pa.RecordBatch]:
+    """Slices of a batch, of at most ``rows`` rows, and of ``STEP_BYTES`` in column ``text`` if several rows."""
+    sizes = pc.fill_null(pc.binary_length(batch.column(text)), 0).to_pylist()
+    start = held = 0
+    for at, size in enumerate(sizes):
+        if at > start and (at - start == rows or held + size > STEP_BYTES):
+            yield batch.slice(start, at - start)
+            start, held = at, 0
+        held += size
+    if len(sizes) > start:
+        yield batch.slice(start)
+
+
+def map_steps(df: DataFrame, step: Callable[[list[list]], Iterator | dict], schema: str, text: int = -1) -> DataFrame:
     """``mapInArrow`` in small steps.
 
-    ``step`` gets one list a column of ``df`` (Python values, at most
-    ``STEP_ROWS`` of them) and returns the result's columns by name.
+    ``step`` gets one list a column of ``df`` (Python values, ``portions`` of column
+    ``text``) and returns the result's columns by name.
     """
-    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", ARROW_ROWS)
-
     def run(batches):
         for batch in batches:
-            for at in range(0, batch.num_rows, STEP_ROWS):
-                part = batch.slice(at, STEP_ROWS)
+            for part in portions(batch, text % batch.num_columns):
                 yield record_batch(step([c.to_pylist() for c in part.columns]), arrow)
 
     arrow = arrow_schema(schema)
@@ -87,6 +125,51 @@ def record_batch(columns: dict, schema: pa.Schema) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(columns[f.name], f.type) for f in schema], schema=schema)
 
 
+def whole_groups(batches, columns: int, keys: int = 1) -> Iterator[list]:
+    """Stretches of whole groups of sorted rows as arrays; a group has equal first ``keys`` columns.
+
+    What is held is an Arrow batch and the longest group, not the partition.
+    """
+    import numpy as np
+
+    kept = None
+    for batch in batches:
+        now = [np.array(c.to_pylist(), object) if c.null_count else c.to_numpy(zero_copy_only=False) for c in batch.columns[:columns]]
+        kept = now if kept is None else [np.concatenate(p) for p in zip(kept, now)]
+        if len(kept[0]):
+            changes = np.zeros(len(kept[0]) - 1, bool)
+            for k in range(keys):
+                changes |= kept[k][1:] != kept[k][:-1]
+            found = np.flatnonzero(changes)
+            if len(found):
+                last = int(found[-1]) + 1
+                yield [c[:last] for c in kept]
+                kept = [c[last:] for c in kept]
+    if kept is not None and len(kept[0]):
+        yield kept
+
+
+def hot_keys(rows: DataFrame, on: list[str]) -> DataFrame:
+    """Keys that over one in ``SHARES`` of the rows have: fewer than ``SHARES``, whatever the input."""
+    counts = rows.groupBy(*on).agg(F.count("*").alias("_h_n"))
+    total = rows.agg(F.count("*").alias("_h_all"))  # one row
+    return counts.join(F.broadcast(total), F.col("_h_n") * SHARES > F.col("_h_all")).select(*on)
+
+
+def join_by_key(rows: DataFrame, keyed: DataFrame, on: list[str]) -> DataFrame:
+    """``rows`` (staged) joined with the one row that ``keyed`` has for each key.
+
+    Hot keys' rows stay where they lie and meet a broadcast of fewer than ``SHARES``
+    rows; only the others are shuffled.
+    """
+    hot = staged(hot_keys(rows, on), "hot-keys")
+    cold = rows.join(F.broadcast(hot), on, "left_anti").join(keyed, on)
+    if hot.isEmpty():
+        return rows.join(keyed, on)
+    there = F.broadcast(keyed.join(F.broadcast(hot), on, "left_semi"))
+    return cold.unionByName(rows.join(there, on))
+
+
 def words_of(text) -> F.Column:
     """The words ``[^\\x20\\x09-\\x0D]+`` of a text column, in order; null has none."""
     parts = F.split(F.coalesce(text, F.lit("")), r"[\x20\x09-\x0D]+")

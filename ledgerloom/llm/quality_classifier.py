@@ -111,7 +111,6 @@ def context_table(df: DataFrame, text_column: str = "text") -> tuple[np.ndarray,
         columns = [pa.array(found), pa.array(counts[found])] + [pa.array(np.ascontiguousarray(table[found, k])) for k in range(DIM)]
         yield pa.RecordBatch.from_arrays(columns, names=["bucket", "n", *names])
 
-    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 512)
     sums = df.select(text_column).mapInArrow(run, schema).groupBy("bucket").agg(F.sum("n").alias("n"), *(F.sum(c).alias(c) for c in names))
     rows = sums.toArrow()  # at most BUCKETS rows
     table, counts = np.zeros((BUCKETS + 1, DIM)), np.zeros(BUCKETS + 1)
@@ -234,7 +233,6 @@ def score_column(vectors: np.ndarray, network: Network):
 
 def score(df: DataFrame, vectors: np.ndarray, network: Network, text_column: str = "text") -> DataFrame:
     """``df`` and ``_c_score`` of every row."""
-    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 512)
     return df.withColumn("_c_score", score_column(vectors, network)(F.col(f"`{text_column}`")))
 
 

@@ -39,7 +39,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, StringType
 
-from ledgerloom.llm.common import ARROW_ROWS, arrow_schema, staged
+from ledgerloom.llm.common import arrow_schema, staged
 
 LENGTH, GRAM = 200, 64
 #: Window starts handled at once; bytes of contexts sorted at once; occurrences of an anchor whose contexts are sorted together.
@@ -330,7 +330,6 @@ def _keys(text_column: str, key: str):
 
 def repeats(df: DataFrame, text_column: str = "text", key: str = "doc_id") -> DataFrame:
     """``dk``, ``rk``, ``spans``: the stretches to remove from each text that has any (not united yet)."""
-    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", ARROW_ROWS)
     dk, rk = _keys(text_column, key)
     texts = df.select(dk.alias("dk"), rk.alias("rk"), F.coalesce(F.col(f"`{text_column}`"), F.lit("")).alias("text"))
     found = staged(items(texts), "anchors")

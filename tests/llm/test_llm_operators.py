@@ -135,40 +135,88 @@ def test_stream_query(spark, odd, nothing):
 # -- packing ---------------------------------------------------------------------
 
 
-@pytest.mark.parametrize("most_open", [4096, 4])
-def test_packer(most_open):
-    rng = np.random.default_rng(0)
-    packer, docs, pieces, filled = packing.Packer(1024, most_open), {}, {}, {}
-    for k in range(1500):
-        docs[k] = rng.integers(0, 50_000, int(rng.integers(1, 3000)) if k % 3 else 600).astype("<u4")
-        packer.add(k, docs[k])
-    packer.close()
-    for key, start, ids, total, sequence, offset in packer.out:
-        assert total == len(docs[key])
-        pieces.setdefault(key, []).append((start, ids))
-        filled.setdefault(sequence, []).append((offset, len(ids)))
-    for k, ids in docs.items():
-        assert np.array_equal(np.concatenate([p for _, p in sorted(pieces[k], key=lambda p: p[0])]), ids)
+def sequences_hold(pieces, lengths, window=1024):
+    """Every id in one piece, no gap in a sequence, full windows but for powers of two; how many are short."""
+    by_doc, by_sequence = {}, {}
+    for key, start, n, sequence, offset in pieces:
+        by_doc.setdefault(key, []).append((start, n))
+        by_sequence.setdefault(sequence, []).append((offset, n))
+    assert sorted(by_doc) == sorted(lengths)
+    for key, parts in by_doc.items():
+        end = 0
+        for start, n in sorted(parts):
+            assert start == end and n > 0
+            end += n
+        assert end == lengths[key]
     short = 0
-    for places in filled.values():
+    for places in by_sequence.values():
         end = 0
-        for offset, size in sorted(places):
+        for offset, n in sorted(places):
             assert offset == end
-            end += size
-        assert end == 1024 or end & (end - 1) == 0
-        short += end < 1024
-    assert short <= 10
+            end += n
+        assert end == window or end & (end - 1) == 0 and end < window
+        short += end < window
+    return short
+
+
+@pytest.mark.parametrize("most", [packing.LEVEL_MOST, 1])
+def test_packer_minimises_the_squares(most):
+    rng, docs = np.random.default_rng(0), {}
+    packer = packing.Packer(64, most)
+    for k in range(3000):
+        docs[k] = int(rng.integers(1, 200)) if k % 3 else 40  # many equal lengths, whose windows nothing completes
+        size = docs[k] % 64
+        if size:
+            def squares(level):
+                c = list(packer.counts)
+                c[level] -= level > 0
+                c[level + size] += level + size < 64
+                return sum(x * x for x in c[1:64])
+
+            can = [x for x in range(64 - size + 1) if x == 0 or packer.counts[x]]
+            best = min(map(squares, can))
+            assert packer.choose(size) == max(x for x in can if squares(x) == best)
+        packer.add(k, np.full(docs[k], k, "<u4"))
+        assert max(packer.counts) <= most
+        assert [len(w) for w in packer.stock] == packer.counts[:64] and all(sum(len(p[2]) for p in w) == level for level, ws in enumerate(packer.stock) for w in ws)
+    packer.finish()
+    assert sequences_hold([(k, s, len(i), q, o) for k, s, i, _, q, o in packer.out], docs, 64) <= 6 and all((i == k).all() and t == docs[k] for k, _, i, t, _, _ in packer.out)
+
+
+def test_most_rests_lie_where_the_rule_put_them():
+    """Four tasks, their open windows merged: what the last task has to cut is few by level, not by rows."""
+    rng = np.random.default_rng(1)
+    last, rests = packing.Packer(), 0
+    for task in range(4):
+        packer = packing.Packer()
+        for k in range(10_000):
+            n = int(rng.lognormal(6, 1)) + 1
+            rests += n % 1024 > 0
+            packer.add(k, np.zeros(n, "<u4"))
+        for piece in packer.drain():
+            last.place(piece)
+    assert sum(len(w) for ws in last.stock for w in ws) < rests / 10
 
 
 def test_pack_query(spark, odd, nothing, library):
-    rows = packing.pack(odd, queries.vocabulary()).collect()
+    clash = odd.withColumns({c: F.lit(1) for c in ("task", "place", "start", "sequence_id", "ids")})
     ids = [library.encode(t or "", add_special_tokens=False).ids + [0] for _, t, *_ in odd_rows()]
-    assert sum(r.length for r in rows) == sum(map(len, ids)) and all(len(r.ids) == 4 * r.length for r in rows)
-    mine = sorted((r.start, r.ids) for r in rows if r.doc_id == 6)
-    assert np.frombuffer(b"".join(b for _, b in mine), "<u4").tolist() == ids[8]
+    for df, fan in ((clash.repartition(3), 64), (odd.repartition(5), 2)):
+        rows = packing.pack(df, queries.vocabulary(), fan=fan).collect()
+        assert sum(r.length for r in rows) == sum(map(len, ids)) and all(len(r.ids) == 4 * r.length for r in rows)
+        mine = sorted((r.start, r.ids) for r in rows if r.doc_id == 6)
+        assert np.frombuffer(b"".join(b for _, b in mine), "<u4").tolist() == ids[8]
+        assert sum(r.length for r in rows if r.doc_id is None) == len(ids[6]) + 1
     assert packing.pack(nothing, queries.vocabulary()).count() == 0
 
 
+def test_pack_many_repeated_rows_and_tasks(spark):
+    docs = spark.range(3000).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 3 == 0, "one and the same").otherwise(F.repeat(F.lit("word "), F.col("id").cast("int") % 700)).alias("text")).repartition(7)
+    lengths = {r.doc_id: r.n_tokens + 1 for r in tokens.roundtrip_digests(docs, queries.vocabulary()).collect()}
+    rows = packing.pack(docs, queries.vocabulary(), fan=2).collect()
+    assert sequences_hold([(r.doc_id, r.start, r.length, r.sequence_id, r.offset) for r in rows], lengths) <= 10
+
+
 # -- quality ---------------------------------------------------------------------
 
 
