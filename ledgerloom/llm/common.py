@@ -150,10 +150,9 @@ def whole_groups(batches, columns: int, keys: int = 1) -> Iterator[list]:
 
 
 def hot_keys(rows: DataFrame, on: list[str]) -> DataFrame:
-    """Keys that over one in ``SHARES`` of the rows have: fewer than ``SHARES``, whatever the input."""
-    counts = rows.groupBy(*on).agg(F.count("*").alias("_h_n"))
-    total = rows.agg(F.count("*").alias("_h_all"))  # one row
-    return counts.join(F.broadcast(total), F.col("_h_n") * SHARES > F.col("_h_all")).select(*on)
+    """Keys that several rows and over one in ``SHARES`` of all have: fewer than ``SHARES`` keys, whatever the input."""
+    total = rows.count()
+    return rows.groupBy(*on).agg(F.count("*").alias("_h_n")).where((F.col("_h_n") > 1) & (F.col("_h_n") * SHARES > total)).select(*on)
 
 
 def join_by_key(rows: DataFrame, keyed: DataFrame, on: list[str]) -> DataFrame:

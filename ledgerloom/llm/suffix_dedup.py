@@ -4,46 +4,60 @@ Every byte that is covered by a string of ``LENGTH`` bytes which also starts any
 else in the corpus (same document included) goes; strings are judged on the input.
 
 How it is spread over a cluster
-1. *Anchors.*  Of the ``GRAM``-byte strings in a window of ``LENGTH`` bytes the one with
+1. *Texts.*  Equal texts are one class, known by 128 bits of their SHA-256; a task passes
+   a class's items on once, however often the text comes.
+2. *Anchors.*  Of the ``GRAM``-byte strings in a window of ``LENGTH`` bytes the one with
    the least hash (leftmost of equals) is the window's anchor.  It depends on the
    window's bytes alone, so equal windows have equal anchors at equal places, and each
    window belongs to one anchor.  Windows of one anchor make one item with one stretch
    of text, its context.  This pass reads each document where it lies and passes on
-   about 1.7 rows per 100 bytes; items that repeat within a document are merged there.
-2. *Counts.*  Anchors that occur once can't repeat and leave.  Where all contexts of an
-   anchor are equal, all its windows repeat.  Both are counted with partial aggregation.
-3. *Suffix sort.*  The rest, anchors with several different contexts, is sorted: one
+   about 1.7 rows per 100 bytes; items that repeat within a document are merged there,
+   and their bytes compared.
+3. *Counts.*  Anchors that occur once can't repeat and leave.  An anchor whose contexts
+   are all equal has a single class of suffixes at each place; there is nothing to sort.
+   Contexts are equal if 128 bits of their BLAKE2b digest are.
+4. *Suffix sort.*  The rest, anchors with several different contexts, is sorted: one
    example of each context, suffixes by mergesort, compared by their common extension,
    which a binary search over prefix polynomial hashes finds in 8 steps.  Neighbours
    that have ``LENGTH`` bytes in common repeat; their bytes are compared afterwards, and
-   a class of suffixes in which a hash lied is sorted again by its bytes.  An anchor
-   that occurs over ``MOST`` times is dealt out window by window instead, and windows
-   with equal 128-bit hashes are counted: the exact way for what may be too large a
-   group.  No join or count by anchor alone meets the contexts before that.
-4. *Removal.*  Stretches meet their document's text, are united and cut out.
+   a class of suffixes in which a hash lied is sorted again by its bytes.  An anchor's
+   contexts are sorted in runs of about ``RUN``, as an external mergesort does, so no task
+   meets all of a frequent anchor; runs are merged by their different suffixes only, one
+   of each, which meet by their digest (again 128 bits of BLAKE2b) with partial counts.
+5. *Removal.*  Stretches meet their class's rows, are united and cut out.
 
-Rows with very many equals (boilerplate, copies) are counted by partial aggregates and
-joined to unique rows, which Spark splits; no task collects such a group.
+What a digest decides and no bytes are compared for: equality of texts, of contexts
+that nothing else of their anchor differs from, and of suffixes of different runs.  All
+are 128 bits of cryptographic hashes.
+
+Skew: a text, an anchor or a context that over one in ``SHARES`` rows has is hot; there
+are fewer than ``SHARES`` of them, whatever the input.  Their rows stay where they lie and
+meet a broadcast of that many rows; only rows of other keys are shuffled by them.
 
 Defined results: a null text is empty; a text under ``LENGTH`` bytes stays whole;
-repeated rows are each other's repeats; null keys are allowed (rows are told apart by
-key and text, and rows equal in both have equal results); an empty table gives no rows.
+repeated rows are each other's repeats, whatever their keys; null keys are allowed;
+an empty table gives no rows; other columns are carried, whatever their names (but
+``_d_...``, which is this module's).
 """
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, StringType
 
-from ledgerloom.llm.common import arrow_schema, staged
+from ledgerloom.llm.common import SHARES, arrow_schema, hot_keys, portions, staged
 
 LENGTH, GRAM = 200, 64
-#: Window starts handled at once; bytes of contexts sorted at once; occurrences of an anchor whose contexts are sorted together.
-PART, PORTION, MOST = 1 << 18, 1 << 20, 1 << 13
+#: Window starts handled at once; bytes of contexts sorted at once; occurrences of an anchor that share a run of the sort.
+PART, PORTION, RUN = 1 << 18, 1 << 20, 256
+#: Texts that a task remembers; forgetting them costs equal rows, which are merged later.
+REMEMBERED = 100_000
 
 _BASE = 0x9E3779B97F4A7C15
 _powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
@@ -99,26 +113,43 @@ def anchors(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray
     return tuple(map(np.concatenate, zip(*found)))
 
 
-ITEMS = "dk long, rk long, ah long, ch long, lo int, hi int, p int, n int"
+ITEMS = "t1 long, t2 long, a long, c1 long, c2 long, lo int, hi int, p int, n int"
+
+
+def longs(digests: list[bytes]) -> np.ndarray:
+    """Two signed longs for each digest of 16 bytes."""
+    return np.frombuffer(b"".join(digests), ">i8").astype(np.int64).reshape(-1, 2)
 
 
-def _text_items(data: bytes) -> dict:
-    """Rows of one text: items (each (anchor, context) once), and stretches that repeat within the text (``ah`` null)."""
-    import xxhash
+def digest(data: bytes) -> bytes:
+    return hashlib.blake2b(data, digest_size=16).digest()
 
-    lo, hi, p, ah = anchors(data)
-    digest = xxhash.xxh3_64_intdigest
-    ch = np.array([digest(data[a:b], d) for a, b, d in zip(lo.tolist(), (hi + LENGTH).tolist(), (p - lo).tolist())], np.uint64)
-    _, first, inverse, times = np.unique(np.stack([ah, ch], axis=1), axis=0, return_index=True, return_inverse=True, return_counts=True) if len(ah) > 1 else (None, np.array([0]), np.array([0]), np.array([1]))
-    again = times[inverse.reshape(-1)] > 1
-    begin, end = united(lo[again], hi[again] + LENGTH)
-    none = np.zeros(len(begin), np.int64)
-    return {
-        "ah": [*ah[first].view(np.int64).tolist(), *[None] * len(begin)],
-        "ch": np.concatenate([ch[first].view(np.int64), none]),
-        "lo": np.concatenate([lo[first], begin]), "hi": np.concatenate([hi[first], end - LENGTH]),
-        "p": np.concatenate([p[first], begin]), "n": np.concatenate([np.minimum(times, 2), none]),
-    }
+
+def text_id(data: bytes) -> bytes:
+    """What tells texts apart: the first half of their SHA-256, as ``_text_id`` makes it in Spark."""
+    return hashlib.sha256(data).digest()[:16]
+
+
+def _text_items(data: bytes) -> list:
+    """Columns ``a`` to ``n`` of one text: items (each context once), and stretches that repeat within the text (``a`` null)."""
+    lo, hi, p, anchor = anchors(data)
+    start, stop = lo.tolist(), (hi + LENGTH).tolist()
+    index, first, again = {}, [], []
+    for k, (x, y) in enumerate(zip(start, stop)):
+        s = data[x:y]
+        d = digest(s)
+        while (j := index.setdefault(d, k)) != k and data[start[j] : stop[j]] != s:
+            d = digest(d)  # a digest that lied
+        if j == k:
+            first.append(k)
+        else:
+            again += [j, k]
+    n = np.ones(len(lo), np.int64)
+    n[again] = 2
+    begin, end = united(lo[again], hi[again] + LENGTH) if again else (np.zeros(0, np.int64),) * 2
+    c, none = longs(list(index)), np.zeros(len(begin), np.int64)
+    a = [*anchor[first].view(np.int64).tolist(), *[None] * len(begin)]
+    return [a, *(np.concatenate(x) for x in ((c[:, 0], none), (c[:, 1], none), (lo[first], begin), (hi[first], end - LENGTH), (p[first], begin), (n[first], none)))]
 
 
 def united(begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -131,25 +162,39 @@ def united(begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return begin[new], end[np.append(np.flatnonzero(new)[1:], len(end)) - 1]
 
 
-def items(keyed: DataFrame) -> DataFrame:
-    """Items of all texts of ``dk``, ``rk``, ``text``."""
+def _first_sights(texts: list, seen: dict):
+    """(text class, its bytes or None for a second sight) of the rows that a task has to pass on."""
+    for text in texts:
+        data = (text or "").encode()
+        if len(data) >= LENGTH:
+            t = text_id(data)
+            if t not in seen:
+                if len(seen) > REMEMBERED:
+                    seen.clear()
+                seen[t] = False
+                yield t, data, True
+            elif not seen[t]:
+                seen[t] = True
+                yield t, data, False
+
+
+def items(texts: DataFrame) -> DataFrame:
+    """Items of all texts, a class of equal texts once a task, and a whole stretch for a class that comes again there."""
     schema = arrow_schema(ITEMS)
 
     def run(batches):
+        seen: dict[bytes, bool] = {}
         for batch in batches:
-            for at in range(0, batch.num_rows, 64):
-                part, rows = batch.slice(at, 64), []
-                for dk, rk, text in zip(*(c.to_pylist() for c in part.columns)):
-                    data = (text or "").encode()
-                    if len(data) >= LENGTH:
-                        made = _text_items(data)
-                        count = len(made["lo"])
-                        rows.append([[dk] * count, [rk] * count, *(made[f.name] for f in list(schema)[2:])])
+            for part in portions(batch, 0, 64):
+                rows = []
+                for t, data, first in _first_sights(part.column(0).to_pylist(), seen):
+                    made = _text_items(data) if first else [[None], *(np.array([x]) for x in (0, 0, 0, len(data) - LENGTH, 0, 0))]
+                    rows.append([*(np.full(len(made[0]), x) for x in longs([t])[0]), *made])
                 if rows:
-                    columns = [np.concatenate(c) if f.name != "ah" else [x for y in c for x in y] for f, c in zip(schema, zip(*rows))]
+                    columns = [np.concatenate(c) if f.name != "a" else [x for y in c for x in y] for f, c in zip(schema, zip(*rows))]
                     yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for f, c in zip(schema, columns)], schema=schema)
 
-    return keyed.select("dk", "rk", "text").mapInArrow(run, ITEMS)
+    return texts.select("text").mapInArrow(run, ITEMS)
 
 
 # -- the suffix sort -----------------------------------------------------------
@@ -234,7 +279,7 @@ class Suffixes:
 
 
 def covered(groups: list, leads: list, counts: list, contexts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Stretches (row, begin, end) of contexts that repeat within their group.
+    """(context, place, whether it repeats within its group) of all windows of contexts.
 
     ``leads``: bytes before the anchor; ``counts``: how often the context occurs.
     """
@@ -245,7 +290,7 @@ def covered(groups: list, leads: list, counts: list, contexts: list[bytes]) -> t
     local = np.arange(len(row)) - np.repeat(np.cumsum(windows) - windows, windows)
     starts = (np.cumsum(sizes) - sizes)[row] + local
     # equal windows have equal anchors at equal places: those can only meet within a class
-    group = np.unique(np.array(groups), return_inverse=True)[1]
+    group = np.unique(np.array(groups), return_inverse=True, axis=0)[1].reshape(-1)
     classes = group[row] * (2 * LENGTH) + np.array(leads)[row] - local + LENGTH
     order = np.argsort(classes, kind="stable")
     line = classes[order]
@@ -254,7 +299,11 @@ def covered(groups: list, leads: list, counts: list, contexts: list[bytes]) -> t
     hit = np.zeros(len(data) + 1, bool)
     if len(order):
         hit[Suffixes(data).repeated(starts[order], classes[order])] = True
-    flag = hit[starts] | (np.array(counts)[row] > 1)
+    return row, local, hit[starts] | (np.array(counts)[row] > 1)
+
+
+def stretches(row: np.ndarray, local: np.ndarray, flag: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(context, begin, end) of the stretches that flagged windows make."""
     at = np.flatnonzero(flag)
     if not len(at):
         return (np.zeros(0, np.int64),) * 3
@@ -263,52 +312,55 @@ def covered(groups: list, leads: list, counts: list, contexts: list[bytes]) -> t
     return row[first], local[first], local[last] + LENGTH
 
 
+SORTED = "a long, c1 long, c2 long, begin int, end int, place int, w1 long, w2 long"
+
+
 def sort_contexts(contexts: DataFrame) -> DataFrame:
-    """``ah``, ``ch``, ``begin``, ``end``: stretches of contexts (``ah``, ``ch``, ``lead``, ``n``, ``context``) that repeat."""
-    def run(batches):
-        held, size, last = [], 0, None
+    """Sort each run of contexts (``a``, ``run``, ``runs``, ``c1``, ``c2``, ``lead``, ``n``, ``context``).
 
-        def flush():
-            ah, ch, lead, n, text = zip(*held)
-            row, begin, end = covered(ah, lead, n, text)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.array(ah)[row]), pa.array(np.array(ch)[row]), pa.array(begin.astype(np.int32)), pa.array(end.astype(np.int32))], names=["ah", "ch", "begin", "end"]
-            )
+    Rows: stretches of contexts that repeat within their run (``w1`` null), and, of anchors
+    with several runs, the different suffixes of each run (place to the anchor, digest; ``end``
+    is null if the suffix is known to repeat).
+    """
+    schema = arrow_schema(SORTED)
+
+    def sort(held: list[tuple]) -> pa.RecordBatch:
+        a, number, runs, c1, c2, lead, n, text = zip(*held)
+        row, local, flag = covered(list(zip(a, number)), lead, n, text)
+        at, begin, end = stretches(row, local, flag)
+        out = [(a[k], c1[k], c2[k], x, y, None, None, None) for k, x, y in zip(at.tolist(), begin.tolist(), end.tolist())]
+        several = np.array(runs)[row] > 1
+        met: dict[tuple, tuple] = {}
+        for k, i, known in zip(row[several].tolist(), local[several].tolist(), flag[several].tolist()):
+            d = digest(text[k][i : i + LENGTH])
+            met.setdefault((a[k], number[k], lead[k] - i, d), (k, i, known))
+        if met:
+            w = longs([key[3] for key in met]).tolist()
+            out += [(a[k], c1[k], c2[k], i, None if known else i + LENGTH, place, *x) for ((_, _, place, _), (k, i, known)), x in zip(met.items(), w)]
+        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out) if out else [[]] * len(schema), schema)], schema=schema)
 
+    def run(batches):
+        held, size, last = [], 0, None
         for batch in batches:
             for row in zip(*(c.to_pylist() for c in batch.columns)):
-                if size > PORTION and row[0] != last:
-                    yield from flush()
+                if size > PORTION and row[:2] != last:
+                    yield sort(held)
                     held, size = [], 0
                 held.append(row)
-                last, size = row[0], size + len(row[4])
+                last, size = row[:2], size + len(row[7])
         if held:
-            yield from flush()
+            yield sort(held)
 
-    dealt = contexts.select("ah", "ch", "lead", "n", "context").repartition("ah").sortWithinPartitions("ah")
-    return dealt.mapInArrow(run, "ah long, ch long, begin int, end int")
+    dealt = contexts.select("a", "run", "runs", "c1", "c2", "lead", "n", "context").repartition("a", "run").sortWithinPartitions("a", "run")
+    return dealt.mapInArrow(run, SORTED)
 
 
-def count_windows(contexts: DataFrame) -> DataFrame:
-    """The same for anchors with too many contexts: windows are dealt out by their hash and counted."""
-    def run(batches):
-        import xxhash
-
-        for batch in batches:
-            for ah, ch, lead, n, text in zip(*(c.to_pylist() for c in batch.columns)):
-                k = len(text) - LENGTH + 1
-                both = [xxhash.xxh3_128_intdigest(text[i : i + LENGTH]) for i in range(k)]
-                sign = lambda x: x - (1 << 64) if x >> 63 else x
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([ah] * k, pa.int64()), pa.array([ch] * k, pa.int64()), pa.array(range(k), pa.int32()), pa.array([lead - i for i in range(k)], pa.int32()),
-                     pa.array([n] * k, pa.int64()), pa.array([sign(b >> 64) for b in both], pa.int64()), pa.array([sign(b & (1 << 64) - 1) for b in both], pa.int64())],
-                    names=["ah", "ch", "i", "lead", "n", "w1", "w2"],
-                )
-
-    windows = contexts.select("ah", "ch", "lead", "n", "context").mapInArrow(run, "ah long, ch long, i int, lead int, n long, w1 long, w2 long")
-    same = ["ah", "lead", "w1", "w2"]
-    often = windows.groupBy(*same).agg(F.sum("n").alias("times")).where("times > 1")
-    return windows.drop("n").join(often, same).select("ah", "ch", F.col("i").alias("begin"), (F.col("i") + LENGTH).alias("end"))
+def merged_runs(sorted_: DataFrame) -> DataFrame:
+    """``a``, ``c1``, ``c2``, ``begin``, ``end``: stretches of contexts that repeat, within a run or between runs."""
+    names, same = ["a", "c1", "c2", "begin", "end"], ["a", "place", "w1", "w2"]
+    suffixes = sorted_.where("w1 IS NOT NULL")
+    several = suffixes.groupBy(*same).agg(F.count("*").alias("times")).where("times > 1")
+    return sorted_.where("w1 IS NULL").select(*names).unionByName(suffixes.where("end IS NOT NULL").join(several, same, "left_semi").select(*names))
 
 
 # -- the whole -----------------------------------------------------------------
@@ -322,59 +374,95 @@ def _squeezed(texts: pd.Series) -> pd.Series:
     return texts.map(lambda t: pack((t or "").encode()))
 
 
-def _keys(text_column: str, key: str):
-    """Columns that tell rows apart: key and text hash."""
-    text, k = F.coalesce(F.col(f"`{text_column}`"), F.lit("")), F.col(f"`{key}`").cast("long")
-    return F.coalesce(k, F.lit(-1)), F.xxhash64(text, k.isNull())
+def _text_id(text: Column) -> list[Column]:
+    sha = F.sha2(text, 256)
+    return [F.conv(F.substring(sha, k, 16), 16, -10).cast("long") for k in (1, 17)]
+
+
+def _squeezed_classes(texts: DataFrame) -> DataFrame:
+    """``t1``, ``t2``, ``z``: texts, a class once a task."""
+    def run(batches):
+        import zstandard
+
+        seen, pack = {}, zstandard.ZstdCompressor(level=3).compress
+        for batch in batches:
+            for part in portions(batch, 0, 64):
+                rows = [(t, pack(data)) for t, data, first in _first_sights(part.column(0).to_pylist(), seen) if first]
+                if rows:
+                    t = longs([r[0] for r in rows])
+                    yield pa.RecordBatch.from_arrays([pa.array(t[:, 0]), pa.array(t[:, 1]), pa.array([r[1] for r in rows], pa.binary())], names=["t1", "t2", "z"])
+
+    return texts.select("text").mapInArrow(run, "t1 long, t2 long, z binary")
+
+
+def _met(rows: DataFrame, keyed: DataFrame, on: list[str], hot: DataFrame) -> DataFrame:
+    """``rows`` joined with ``keyed``; rows of the (fewer than ``SHARES``) hot keys meet them by broadcast."""
+    if hot.isEmpty():
+        return rows.join(keyed, on)
+    hot = F.broadcast(hot.select(*on))
+    cold = rows.join(hot, on, "left_anti").join(keyed.join(hot, on, "left_anti"), on)
+    return cold.unionByName(rows.join(F.broadcast(keyed.join(hot, on, "left_semi")), on))
 
 
-def repeats(df: DataFrame, text_column: str = "text", key: str = "doc_id") -> DataFrame:
-    """``dk``, ``rk``, ``spans``: the stretches to remove from each text that has any (not united yet)."""
-    dk, rk = _keys(text_column, key)
-    texts = df.select(dk.alias("dk"), rk.alias("rk"), F.coalesce(F.col(f"`{text_column}`"), F.lit("")).alias("text"))
+def repeats(df: DataFrame, text_column: str = "text") -> DataFrame:
+    """``t1``, ``t2``, ``spans``: the stretches to remove from each class of texts that has any (not united yet)."""
+    texts = df.select(F.coalesce(F.col(f"`{text_column}`"), F.lit("")).alias("text"))
     found = staged(items(texts), "anchors")
-    often = (
-        found.where("ah IS NOT NULL").groupBy("ah").agg(F.sum("n").alias("c"), F.min("ch").alias("c1"), F.max("ch").alias("c2"))
-        .where("c > 1").select("ah", (F.col("c1") != F.col("c2")).alias("several"), (F.col("c") > MOST).alias("crowded"))
+    total = found.count()
+    known = found.where("a IS NOT NULL")
+    counts = (
+        known.groupBy("a").agg(F.sum("n").alias("times"), F.count("*").alias("rows"), *(f(c).alias(f"{f.__name__}_{c}") for c in ("c1", "c2") for f in (F.min, F.max)))
+        .where("times > 1").select("a", ((F.col("min_c1") != F.col("max_c1")) | (F.col("min_c2") != F.col("max_c2"))).alias("several"), "rows")
     )
-    again = staged(found.where("ah IS NOT NULL").join(often, "ah"), "repeated-anchors")
+    often = staged(counts, "frequent-anchors")
+    hot = F.col("rows") * SHARES > total
+    again = staged(_met(known, often, ["a"], often.where(hot)), "repeated-anchors")
     # one example of each context of an anchor that has several
-    kinds = again.where("several").groupBy("ah", "ch").agg(F.sum("n").alias("n"), F.bool_or("crowded").alias("crowded"), F.min(F.struct("dk", "rk", "lo", "hi", "p")).alias("at"))
-    wanted = kinds.select("at.dk", "at.rk", F.struct("ah", "ch", "n", F.col("at.lo").alias("lo"), F.col("at.hi").alias("hi"), F.col("at.p").alias("p"), "crowded").alias("item"))
-    asked = wanted.groupBy("dk", "rk").agg(F.collect_list("item").alias("items"))
-    squeezed = texts.select("dk", "rk", _squeezed("text").alias("z"))
-    # rows equal in key and text give the same contexts: one of them is enough, below
-    met = squeezed.join(asked, ["dk", "rk"]).select("z", "items")
-    schema = arrow_schema("ah long, ch long, lead int, n long, context binary, crowded boolean")
+    one = [F.first(c).alias(c) for c in ("t1", "t2", "lo", "hi", "p", "rows")]
+    kinds = staged(again.where("several").groupBy("a", "c1", "c2").agg(F.sum("n").alias("n"), F.count("*").alias("here"), *one), "kinds")
+    runs = F.ceil(F.col("rows") / RUN)
+    item = F.struct("a", F.pmod(F.col("c1"), runs).alias("run"), runs.alias("runs"), "c1", "c2", (F.col("p") - F.col("lo")).alias("lead"), "n", "lo", (F.col("hi") + LENGTH).alias("end"))
+    asked = kinds.groupBy("t1", "t2").agg(F.collect_list(item).alias("items"))  # at most the items of one text
+    met = _squeezed_classes(texts).join(asked, ["t1", "t2"]).select("z", "items")
+    cut_schema = "a long, run long, runs long, c1 long, c2 long, lead int, n long, context binary"
+    schema = arrow_schema(cut_schema)
 
     def cut(batches):
         import zstandard
 
         open_ = zstandard.ZstdDecompressor().decompress
         for batch in batches:
-            for z, wanted_ in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                data = open_(z)
-                rows = [(i["ah"], i["ch"], i["p"] - i["lo"], i["n"], data[i["lo"] : i["hi"] + LENGTH], i["crowded"]) for i in wanted_]
+            for z, wanted in zip(*(c for c in batch.columns)):
+                data = open_(z.as_py())
+                rows = [(*(i[f] for f in ("a", "run", "runs", "c1", "c2", "lead", "n")), data[i["lo"] : i["end"]]) for i in wanted.as_py()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for f, c in zip(schema, zip(*rows))], schema=schema)
 
-    contexts = staged(met.mapInArrow(cut, "ah long, ch long, lead int, n long, context binary, crowded boolean"), "contexts").dropDuplicates(["ah", "ch"])
-    parts = staged(sort_contexts(contexts.where("NOT crowded")).unionByName(count_windows(contexts.where("crowded"))), "context-repeats")
+    contexts = staged(met.mapInArrow(cut, cut_schema), "contexts").dropDuplicates(["a", "c1", "c2"])
+    sorted_ = staged(sort_contexts(contexts), "sorted-runs")
+    parts = staged(merged_runs(sorted_), "context-repeats")
+    several = _met(again.where("several").select("a", "c1", "c2", "t1", "t2", "lo"), parts, ["a", "c1", "c2"], kinds.where(F.col("here") * SHARES > total))
     spans = (
-        again.where("NOT several").select("dk", "rk", F.col("lo").alias("begin"), (F.col("hi") + LENGTH).alias("end"))
-        .unionByName(again.where("several").join(parts, ["ah", "ch"]).select("dk", "rk", (F.col("lo") + F.col("begin")).alias("begin"), (F.col("lo") + F.col("end")).alias("end")))
-        .unionByName(found.where("ah IS NULL").select("dk", "rk", F.col("lo").alias("begin"), (F.col("hi") + LENGTH).alias("end")))
+        again.where("NOT several").select("t1", "t2", F.col("lo").alias("begin"), (F.col("hi") + LENGTH).alias("end"))
+        .unionByName(several.select("t1", "t2", (F.col("lo") + F.col("begin")).alias("begin"), (F.col("lo") + F.col("end")).alias("end")))
+        .unionByName(found.where("a IS NULL").select("t1", "t2", F.col("lo").alias("begin"), (F.col("hi") + LENGTH).alias("end")))
     )
-    return spans.groupBy("dk", "rk").agg(F.collect_list(F.struct("begin", "end")).alias("spans"))
+    return spans.groupBy("t1", "t2").agg(F.collect_set(F.struct("begin", "end")).alias("spans"))
 
 
-def removed(df: DataFrame, text_column: str = "text", key: str = "doc_id") -> DataFrame:
+def removed(df: DataFrame, text_column: str = "text") -> DataFrame:
     """All columns but the text, and ``_d_bytes``, ``_d_spans`` (united stretches), ``_d_kept`` (remaining bytes) of every row."""
     others = [c for c in df.columns if c != text_column]
-    dk, rk = _keys(text_column, key)
-    keyed = df.select(dk.alias("_d_dk"), rk.alias("_d_rk"), *(F.col(f"`{c}`") for c in others), _squeezed(F.col(f"`{text_column}`")).alias("_d_z"))
-    spans = repeats(df, text_column, key).select(F.col("dk").alias("_d_dk"), F.col("rk").alias("_d_rk"), F.col("spans").alias("_d_found"))
-    joined = keyed.join(spans, ["_d_dk", "_d_rk"], "left")
-    fields = {f.name: f for f in joined.schema}
+    text = F.coalesce(F.col(f"`{text_column}`"), F.lit(""))
+    ids = dict(zip(("_d_t1", "_d_t2"), _text_id(text)))
+    keyed = df.select(*(c.alias(n) for n, c in ids.items()), *(F.col(f"`{c}`") for c in others), text.alias("_d_text"))
+    # rows of a hot text go whole, as they repeat; they are spread, not dealt by their text
+    hot = staged(hot_keys(keyed.select(*ids), list(ids)), "hot-texts").withColumn("_d_hot", F.lit(True))
+    marked = keyed.join(F.broadcast(hot), list(ids), "left").withColumn("_d_hot", F.coalesce("_d_hot", F.lit(False)))
+    marked = marked.withColumn("_d_t1", F.when(F.col("_d_hot"), F.xxhash64(F.monotonically_increasing_id())).otherwise(F.col("_d_t1")))
+    marked = marked.withColumn("_d_z", _squeezed("_d_text")).drop("_d_text")
+    spans = repeats(df, text_column).select(F.col("t1").alias("_d_t1"), F.col("t2").alias("_d_t2"), F.lit(False).alias("_d_hot"), F.col("spans").alias("_d_found"))
+    joined = marked.join(spans, ["_d_t1", "_d_t2", "_d_hot"], "left")
+    fields = {f.name: f for f in df.schema}
     schema = ", ".join([f"`{c}` {fields[c].dataType.simpleString()}" for c in others] + ["_d_bytes long", "_d_spans array<struct<begin:long,end:long>>", "_d_kept binary"])
     arrow = arrow_schema(schema)
 
@@ -383,20 +471,21 @@ def removed(df: DataFrame, text_column: str = "text", key: str = "doc_id") -> Da
 
         open_ = zstandard.ZstdDecompressor().decompress
         for batch in batches:
-            for at in range(0, batch.num_rows, 64):
-                part = batch.slice(at, 64)
-                sizes, stretches, kept = [], [], []
-                for z, found in zip(part.column(len(others)).to_pylist(), part.column(len(others) + 1).to_pylist()):
+            for part in portions(batch, len(others), 64):
+                sizes, found_, kept = [], [], []
+                for z, found, hot_ in zip(*(c.to_pylist() for c in part.columns[len(others) :])):
                     data = open_(z)
+                    if hot_:
+                        found = [{"begin": 0, "end": len(data)}] if len(data) >= LENGTH else []
                     begin, end = united(np.array([s["begin"] for s in found or ()], np.int64), np.array([s["end"] for s in found or ()], np.int64))
                     edges = [0, *(x for pair in zip(begin.tolist(), end.tolist()) for x in pair), len(data)]
                     sizes.append(len(data))
-                    stretches.append([{"begin": b, "end": e} for b, e in zip(begin.tolist(), end.tolist())])
+                    found_.append([{"begin": b, "end": e} for b, e in zip(begin.tolist(), end.tolist())])
                     kept.append(b"".join(data[a:b] for a, b in zip(edges[::2], edges[1::2])))
-                made = [pa.array(c, f.type) for c, f in zip((sizes, stretches, kept), list(arrow)[len(others) :])]
+                made = [pa.array(c, f.type) for c, f in zip((sizes, found_, kept), list(arrow)[len(others) :])]
                 yield pa.RecordBatch.from_arrays([*part.columns[: len(others)], *made], schema=arrow)
 
-    return joined.select(*(f"`{c}`" for c in others), "_d_z", "_d_found").mapInArrow(run, schema)
+    return joined.select(*(f"`{c}`" for c in others), "_d_z", "_d_found", "_d_hot").mapInArrow(run, schema)
 
 
 def digests(cut: DataFrame, key: str = "doc_id") -> DataFrame:
@@ -412,12 +501,12 @@ def _decoded(data: pd.Series) -> pd.Series:
     return data.map(lambda b: b.decode("utf-8", "ignore"))
 
 
-def without_repeats(df: DataFrame, text_column: str = "text", key: str = "doc_id", count_column: str = "n_chars") -> DataFrame:
+def without_repeats(df: DataFrame, text_column: str = "text", count_column: str = "n_chars") -> DataFrame:
     """``df`` with repeated stretches cut out of its texts; a character that a cut splits goes with it.
 
     A null text stays null; ``count_column``, if there is one, is set to the new text's length.
     """
-    cut = removed(df.withColumn("_d_null", F.col(f"`{text_column}`").isNull()), text_column, key)
+    cut = removed(df.withColumn("_d_null", F.col(f"`{text_column}`").isNull()), text_column)
     text = F.when(~F.col("_d_null"), _decoded("_d_kept"))
     out = cut.withColumn("_d_text", text)
     columns = []

@@ -316,23 +316,57 @@ def planted():
     return texts + [make(100)] * 3 + ["ab " * 300, "ab " * 150 + make(10), "x" * 500, None, "", "y" * 199, "y" * 199, "z" * 200, "z" * 200, make(50) + texts[5][30:] * 2]
 
 
-@pytest.mark.parametrize("most", [suffix_dedup.MOST, 1])
-def test_repeats_against_brute_force(spark, monkeypatch, most):
-    monkeypatch.setattr(suffix_dedup, "MOST", most)  # 1: all anchors take the window-by-window way
+@pytest.mark.parametrize("run, shares", [(suffix_dedup.RUN, suffix_dedup.SHARES), (2, 100), (10**6, 10**6)])
+def test_repeats_against_brute_force(spark, monkeypatch, run, shares):
+    monkeypatch.setattr(suffix_dedup, "RUN", run)  # 2: anchors are sorted in many runs, which are merged
+    monkeypatch.setattr(suffix_dedup, "SHARES", shares)  # 100: some anchors and contexts are hot
     texts = planted()
     df = spark.createDataFrame([(k if k % 7 else None, t, k) for k, t in enumerate(texts)], "doc_id long, text string, place long").repartition(5)
     got = {r.place: (sum(s.end - s.begin for s in r._d_spans), len(r._d_spans), hashlib.sha256(r._d_kept).hexdigest()) for r in suffix_dedup.removed(df).collect()}
     assert [got[k] for k in range(len(texts))] == brute_repeats([(t or "").encode() for t in texts])
 
 
+def test_runs_of_one_anchor_are_merged(spark, monkeypatch):
+    """One passage with a different neighbour in each of 300 texts: far more contexts at its edges than a run takes."""
+    monkeypatch.setattr(suffix_dedup, "RUN", 8)
+    rng = random.Random(12)
+    text = lambda n: "".join(rng.choice("abcdefghij ") for _ in range(n))
+    passage = text(420)
+    texts = [text(rng.randint(0, 150)) + passage + text(rng.randint(0, 150)) for _ in range(300)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    got = {r.doc_id: (sum(s.end - s.begin for s in r._d_spans), len(r._d_spans), hashlib.sha256(r._d_kept).hexdigest()) for r in suffix_dedup.removed(df).collect()}
+    assert [got[k] for k in range(len(texts))] == brute_repeats([t.encode() for t in texts])
+
+
+@pytest.mark.parametrize("times", [2000, 20_000])
+def test_a_row_repeated_many_times(spark, times):
+    """Work and results are linear in the rows; the other rows are as brute force has them."""
+    rng = random.Random(13)
+    row = " ".join(str(rng.randrange(10**6)) for _ in range(300))
+    others = [row[:900] + "!" + row[900:], row[300:700], " ".join(str(rng.randrange(10**6)) for _ in range(100))]
+    many = spark.range(times).select(F.lit(5).cast("long").alias("doc_id"), F.lit(row).alias("text"))
+    df = many.unionByName(spark.createDataFrame([(k, t) for k, t in enumerate(others)], "doc_id long, text string")).repartition(4)
+    got = suffix_dedup.removed(df).groupBy("doc_id", "_d_spans").count().collect()
+    assert sum(r["count"] for r in got) == times + 3 and len(got) == 4
+    want = brute_repeats([row.encode()] * 2 + [t.encode() for t in others])[2:]
+    assert [(sum(s.end - s.begin for s in r._d_spans), len(r._d_spans)) for r in sorted(got, key=lambda r: r.doc_id)] == [w[:2] for w in want] + [(len(row), 1)]
+
+
 def test_lying_hashes_are_found_out(monkeypatch):
     monkeypatch.setattr(suffix_dedup, "stretch_hash", lambda sums, down, start, length: np.zeros(len(start), np.uint64))
     rng = random.Random(9)
     a, b = rng.randbytes(300), rng.randbytes(300)
-    row, begin, end = suffix_dedup.covered([1, 1, 1], [50, 50, 50], [1, 1, 1], [a, b, a[:250] + b[250:]])
+    row, begin, end = suffix_dedup.stretches(*suffix_dedup.covered([(1, 0)] * 3, [50, 50, 50], [1, 1, 1], [a, b, a[:250] + b[250:]]))
     assert sorted(zip(row.tolist(), begin.tolist(), end.tolist())) == [(0, 0, 250), (2, 0, 250)]
 
 
+def test_lying_digests_within_a_text_are_found_out(monkeypatch):
+    data = random.Random(14).randbytes(700)
+    monkeypatch.setattr(suffix_dedup, "digest", lambda data, n=[0]: n.__setitem__(0, n[0] + 1) or (bytes(16) if len(data) > 16 else n[0].to_bytes(16)))
+    a, *_, n = suffix_dedup._text_items(data)
+    assert None not in a and set(n.tolist()) == {1}
+
+
 def test_repeats_odd_rows(spark, odd, nothing):
     clash = odd.withColumns({c: F.lit(1) for c in ("dk", "rk", "spans", "begin")})
     assert suffix_dedup.without_repeats(clash).columns == clash.columns and suffix_dedup.without_repeats(clash).where("dk = 1").count() == len(odd_rows())
