@@ -7,7 +7,9 @@ half of the hashes have it.  Fingerprints link at ``BUDGET`` or fewer differing
 *Join.*  Equal fingerprints are one first, with partial aggregation, so copies cost
 nothing.  Two fingerprints within 3 bits agree on one of 4 blocks of 16 bits: each
 fingerprint goes, with that block turned to the front, to the task of each of its
-blocks.  A task sorts what it has got, which is a binary trie, and walks pairs of
+blocks.  A block that over ``LARGE`` fingerprints agree on is dealt out again, by the
+same argument, by the four parts of their other 48 bits.  A task reads its fingerprints
+sorted, which is a binary trie, one stretch of whole blocks at a time, and walks pairs of
 trie nodes together from the block's node on, counting differing bits and leaving a
 pair once they exceed the budget.  Node pairs wait on a stack in bounded portions,
 deepest first, and pairs whose leaves are known to be connected are left too, so a
@@ -15,12 +17,15 @@ large group of near copies costs neither memory nor all its pairs.  A task passe
 one link a fingerprint, to its group's least: no more rows than it has read.
 
 *Components.*  Links become stars by alternating large-star and small-star rounds,
-each written to the shared folder; nothing is collected on the driver.
+each written to the shared folder; nothing is collected on the driver.  Keys that over
+one in ``SHARES`` rows have (a fingerprint of a third of all texts, the least of a large
+component) meet their rows by a bounded broadcast, see ``common.join_by_key``.
 
 Defined results: a null or empty text, or one of white space only, has fingerprint
 0, which links like any other; a text of one or two words is one shingle; repeated
 rows share a component; a row with a null key gets its component's least key that is
-not null, or null; an empty table gives no rows.
+not null, or null; an empty table gives no rows; other columns, whatever their names
+(but ``_s_...``, which is this module's), aren't read, or are kept by ``keep_one``.
 """
 
 from __future__ import annotations
@@ -31,10 +36,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
-from ledgerloom.llm.common import staged
+from ledgerloom.llm.common import join_by_key, release, staged, whole_groups
 
 SHINGLE, SEED, BITS, BUDGET = 3, 42, 64, 3
-BLOCKS, BLOCK_BITS = 4, 16
+#: Fingerprints that agree on a block from which on the block is dealt out again.
+LARGE = 1 << 15
 #: Node pairs in a portion, and shingles hashed at once.
 PORTION, CHUNK = 1 << 17, 1 << 16
 
@@ -148,30 +154,52 @@ def trie_join(values: np.ndarray, depth: int = 0, budget: int = BUDGET) -> np.nd
     return forest.label
 
 
-def near_links(fingerprints: DataFrame) -> DataFrame:
+def _turn(x, by: int, bits: int):
+    """The lowest ``bits`` of ``x`` turned left by ``by``; the bits above stay.  For columns and for unsigned arrays."""
+    if not by:
+        return x
+    low = (1 << bits) - 1
+    if isinstance(x, np.ndarray):
+        part = x & np.uint64(low)
+        return (x & np.uint64(low ^ (1 << BITS) - 1)) | ((part << np.uint64(by)) & np.uint64(low)) | (part >> np.uint64(bits - by))
+    signed = lambda v: F.lit(v - (1 << BITS) if v >> BITS - 1 else v)
+    part = x.bitwiseAND(signed(low))
+    kept = x.bitwiseAND(signed(low ^ (1 << BITS) - 1))
+    return kept.bitwiseOR(F.shiftleft(part, by).bitwiseAND(signed(low))).bitwiseOR(F.shiftrightunsigned(part, bits - by))
+
+
+def near_links(fingerprints: DataFrame, budget: int = BUDGET, large: int = LARGE) -> DataFrame:
     """``a``, ``b``: links that connect all of the column ``fp``, different values, that are within the budget."""
     import pyarrow as pa
 
-    def turn(k: int):
-        fp = F.col("fp")
-        return F.shiftleft(fp, k * BLOCK_BITS).bitwiseOR(F.shiftrightunsigned(fp, BITS - k * BLOCK_BITS)) if k else fp
-
-    turned = fingerprints.select(F.posexplode(F.array(*(turn(k) for k in range(BLOCKS)))).alias("block", "turned"))
-    dealt = turned.repartition("block", F.shiftrightunsigned("turned", BITS - BLOCK_BITS))
+    blocks = budget + 1
+    wide = BITS // blocks  # bits of a block,
+    narrow = (BITS - wide) // blocks  # and of a part of the other bits
+    turned = fingerprints.select(F.posexplode(F.array(*(_turn(F.col("fp"), k * wide, BITS) for k in range(blocks)))).alias("k", "turned"))
+    turned = turned.withColumn("head", F.shiftrightunsigned("turned", BITS - wide))
+    often = staged(turned.groupBy("k", "head").agg(F.count("*").alias("n")).where(F.col("n") > large).drop("n"), "large-blocks")
+    dealt = turned
+    if not often.isEmpty():
+        parts = F.posexplode(F.array(*(_turn(F.col("turned"), j * narrow, BITS - wide) for j in range(blocks)))).alias("j", "turned")
+        again = turned.join(often, ["k", "head"]).select("k", parts)
+        again = again.select((blocks + F.col("k") * blocks + F.col("j")).alias("k"), "turned", F.shiftrightunsigned("turned", BITS - wide - narrow).alias("head"))
+        dealt = turned.join(often, ["k", "head"], "left_anti").select("k", "turned", "head").unionByName(again)
 
     def run(batches):
-        got = [(b.column(0).to_numpy(zero_copy_only=False), b.column(1).to_numpy(zero_copy_only=False)) for b in batches]
-        if not got:
-            return
-        blocks, values = np.concatenate([g[0] for g in got]), np.concatenate([g[1] for g in got]).view(np.uint64)
-        for k in np.unique(blocks).tolist():
-            v = np.sort(values[blocks == k])
-            label = trie_join(v, BLOCK_BITS)
-            linked = np.flatnonzero(label != np.arange(len(v)))
-            back = lambda x: ((x >> np.uint64(k * BLOCK_BITS)) | (x << np.uint64(BITS - k * BLOCK_BITS)) if k else x).view(np.int64)  # noqa: E731, B023
-            yield pa.RecordBatch.from_arrays([pa.array(back(v[linked])), pa.array(back(v[label[linked]]))], names=["a", "b"])
-
-    return dealt.mapInArrow(run, "a long, b long")
+        for ks, heads, values in whole_groups(batches, 3, keys=2):
+            for code in np.unique(ks).tolist():
+                k, j = (code, 0) if code < blocks else divmod(code - blocks, blocks)
+                v = np.sort(values[ks == code].view(np.uint64))
+                label = trie_join(v, wide if code < blocks else wide + narrow, budget)
+                linked = np.flatnonzero(label != np.arange(len(v)))
+                back = []
+                for x in (v[linked], v[label[linked]]):
+                    x = _turn(x, (BITS - wide - j * narrow) % (BITS - wide), BITS - wide)
+                    back.append(pa.array(_turn(x, (BITS - k * wide) % BITS, BITS).view(np.int64)))
+                if len(linked):
+                    yield pa.RecordBatch.from_arrays(back, names=["a", "b"])
+
+    return dealt.select("k", "head", "turned").repartition("k", "head").sortWithinPartitions("k", "head").mapInArrow(run, "a long, b long")
 
 
 # -- components ----------------------------------------------------------------
@@ -180,8 +208,8 @@ def near_links(fingerprints: DataFrame) -> DataFrame:
 def components(links: DataFrame) -> DataFrame:
     """``node``, ``root``: the least node that each node of ``links`` (``a``, ``b``) can reach, for all but the roots.
 
-    Hubs are met by a partial minimum and a join that Spark can split, never by
-    collecting neighbours.
+    Hubs are met by a partial minimum and a bounded broadcast, never by collecting
+    neighbours; a round's tables are deleted after the next round.
     """
     def ordered(df: DataFrame) -> DataFrame:
         return df.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
@@ -194,12 +222,14 @@ def components(links: DataFrame) -> DataFrame:
     while now[0]:
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-        large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))  # large-star
-        large = ordered(large)
+        large = join_by_key(both, least, ["a"]).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))  # large-star
+        large = staged(ordered(large), "links")
+        release(edges)
         least = large.groupBy("a").agg(F.min("b").alias("m"))
-        pairs = large.join(least, "a")
+        pairs = join_by_key(large, least, ["a"])
         small = pairs.select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.select("a", F.col("m").alias("b")))  # small-star
         edges = staged(ordered(small), "links")
+        release(large)
         before, now = now, state(edges)
         if now == before:
             break
@@ -217,8 +247,10 @@ def near_duplicates(df: DataFrame, text_column: str = "text", key: str = "doc_id
     """``doc_id``, ``_s_fp``, ``component_id`` of every row."""
     rows = staged(with_fingerprint(df.select(F.col(f"`{key}`").alias("doc_id"), F.col(f"`{text_column}`").alias("_s_text")), "_s_text").drop("_s_text"), "fingerprints")
     least = rows.groupBy("_s_fp").agg(F.min("doc_id").alias("least")).join(fingerprint_roots(rows), F.col("_s_fp") == F.col("fp")).select("_s_fp", "root", "least")
+    least = staged(least, "fingerprint-roots")
     ids = least.groupBy("root").agg(F.min("least").alias("component_id"))
-    return rows.join(least.join(ids, "root").select("_s_fp", "component_id"), "_s_fp").select("doc_id", "_s_fp", "component_id")
+    named = join_by_key(least, ids, ["root"]).select("_s_fp", "component_id")
+    return join_by_key(rows, named, ["_s_fp"]).select("doc_id", "_s_fp", "component_id")
 
 
 def keep_one(df: DataFrame, text_column: str = "text", key: str = "doc_id") -> DataFrame:

@@ -447,9 +447,49 @@ def test_components_against_brute_force(spark, odd, nothing):
     assert kept.columns == docs.columns and sorted(r.doc_id for r in kept.collect()) == sorted({c for _, c in want.values()})
     got = simhash.near_duplicates(odd).collect()
     assert len(got) == len(odd_rows()) and {r.component_id for r in got if r.doc_id in (1, 2)} == {1} and {r.component_id for r in got if r.doc_id in (3, 4, 5)} == {3}
+    # a null key is the last choice: the null-keyed copy of row 1 and the empty null-keyed row go
     left = simhash.keep_one(odd).collect()
-    assert sorted(-1 if r.doc_id is None else r.doc_id for r in left) == [-1, 1, 3, 6, 7, 8, 9] or sorted(-1 if r.doc_id is None else r.doc_id for r in left) == [1, 3, 6, 7, 8, 9]
+    rows = odd_rows()
+    roots = brute_components([simhash.fingerprint(t) for _, t, *_ in rows])
+    want = [min(rows[k][0] if rows[k][0] is not None else 10**9 for k in range(len(rows)) if roots[k] == r) for r in set(roots)]
+    assert sorted(r.doc_id if r.doc_id is not None else 10**9 for r in left) == sorted(want)
     assert simhash.near_duplicates(nothing).count() == 0 and simhash.keep_one(nothing).count() == 0
+    clash = odd.withColumns({c: F.lit(1) for c in ("fp", "root", "least", "a", "b", "k", "head")})
+    assert simhash.keep_one(clash).columns == clash.columns and simhash.near_duplicates(clash).count() == len(rows)
+
+
+@pytest.mark.parametrize("budget, large", [(3, simhash.LARGE), (3, 4), (6, 3)])
+def test_links_against_brute_force(spark, budget, large):
+    """Small values of ``large`` deal most blocks out again."""
+    rng, values = random.Random(15), set()
+    for _ in range(30):
+        base = rng.getrandbits(64) if rng.random() < 0.5 else rng.getrandbits(40)
+        for _ in range(10):
+            v = base
+            for _ in range(rng.randint(0, 8)):
+                v ^= 1 << rng.randrange(64)
+            values.add(v)
+    values = sorted(values)
+    df = spark.createDataFrame([(v - (1 << 64) if v >> 63 else v,) for v in values], "fp long")
+    label = {v: v for v in values}
+
+    def find(x):
+        while label[x] != x:
+            x = label[x]
+        return x
+
+    for r in simhash.near_links(df, budget, large).collect():
+        a, b = sorted((find(r.a % (1 << 64)), find(r.b % (1 << 64))))
+        label[b] = a
+    want = brute_components(values, budget)
+    assert [find(v) for v in values] == [values[w] for w in want]
+
+
+def test_one_fingerprint_of_most_rows(spark):
+    """A third of the rows are empty, a third are one text: both keys are hot."""
+    df = spark.range(6000).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 3 == 0, "").when(F.col("id") % 3 == 1, "the very same text").otherwise(F.concat(F.lit("only one "), F.col("id"))).alias("text"))
+    got = {r.doc_id: r.component_id for r in simhash.near_duplicates(df).collect()}
+    assert len(got) == 6000 and all(got[k] == k % 3 for k in got if k % 3 < 2)
 
 
 def test_components_of_a_chain(spark):
