@@ -6,10 +6,16 @@ table and one private-data elementary stream of packets with time stamps;
 (checking their CRC), checks continuity counters, reassembles elementary packets
 and lists time stamps with random-access points.
 
-Memory is bounded by one payload and its stream.  Nothing is shuffled.
-
-Defined results: a null payload is empty; an empty stream has no program; packets
-that are damaged, repeated or scrambled are counted and skipped, never raised.
+Memory is bounded by one payload and its stream, or a few megabytes of short ones.
+Nothing is shuffled.
+
+Defined results: a null payload is empty and stored as bytes 0; an empty stream has no
+program; packets that are damaged, repeated or scrambled are counted and skipped, never
+raised.  An elementary packet that lost a part (a gap of the continuity counter, a
+damaged packet, an end before its stated length) is counted as damaged and is not
+among the units.  Texts of any length are cut into as many units as they need; repeated
+rows and null keys give a row each; an empty table gives no rows; other columns,
+whatever their names, aren't read.
 """
 
 from __future__ import annotations
@@ -123,6 +129,7 @@ class Stream:
 def demux(media: bytes) -> Stream:
     """Read a stream; bytes before, between and behind packets are skipped."""
     out, last, open_, sections, at = Stream(), {}, {}, {}, 0
+    broken: set[int] = set()  # streams whose open unit or section lacks a part
     view = memoryview(media)
     while at + PACKET <= len(media):
         if media[at] != SYNC or at + 2 * PACKET <= len(media) and media[at + PACKET] != SYNC:
@@ -136,6 +143,7 @@ def demux(media: bytes) -> Stream:
         out.packets += 1
         if b1 & 0x80 or b3 & 0xC0:
             out.damaged += 1
+            broken.add(pid)
             continue
         if pid == NULL_PID:
             continue
@@ -144,6 +152,7 @@ def demux(media: bytes) -> Stream:
             size = media[pos]
             if size > PACKET - 5:
                 out.damaged += 1
+                broken.add(pid)
                 continue
             if size:
                 flags = media[pos + 1]
@@ -160,10 +169,16 @@ def demux(media: bytes) -> Stream:
                     continue
                 if counter != last[pid][0] + 1 & 15:
                     out.gaps += 1
+                    broken.add(pid)
             last[pid] = counter, packet
         else:
             continue
         data = view[pos:at]
+        if pid in broken:
+            broken.discard(pid)
+            sections.pop(pid, None)
+            if open_.pop(pid, None):
+                out.damaged += 1
         if pid == PAT_PID or pid in out.programs.values():
             if starts and len(data):
                 begin = 1 + data[0]
@@ -183,7 +198,10 @@ def demux(media: bytes) -> Stream:
             else:
                 out.damaged += 1
     for pid, unit in open_.items():
-        _close(out, pid, unit)
+        if pid in broken:
+            out.damaged += 1
+        else:
+            _close(out, pid, unit)
     return out
 
 
@@ -221,9 +239,9 @@ def _close(out: Stream, pid: int, unit) -> None:
         return
     size, begin = int.from_bytes(pes[4:6]), 9 + pes[8]
     end = 6 + size if size else len(pes)
-    if end > len(pes):
+    if end > len(pes) or begin > end:
         out.damaged += 1
-        end = len(pes)
+        return
     pts = _time(pes[9:14]) if pes[7] & 0x80 and begin >= 14 else None
     dts = _time(pes[14:19]) if pes[7] & 0xC0 == 0xC0 and begin >= 19 else None
     out.units.append((pid, pts, dts, unit[0], pes[begin:end]))
@@ -235,6 +253,8 @@ def _time(b: bytes) -> int:
 
 def store(df, id_column: str = "doc_id", text_column: str = "text"):
     """``doc_id``, ``n_bytes`` and ``media``, the stream that holds each row's text as UTF-8."""
+    from pyspark.sql import functions as F
+
     from ledgerloom.llm.common import map_steps
 
     def step(columns):
@@ -242,7 +262,7 @@ def store(df, id_column: str = "doc_id", text_column: str = "text"):
         data = [(t or "").encode() for t in texts]
         return {"doc_id": keys, "n_bytes": list(map(len, data)), "media": [mux(padded(d)) for d in data]}
 
-    return map_steps(df.select(id_column, text_column), step, "doc_id long, n_bytes long, media binary")
+    return map_steps(df.select(F.col(f"`{id_column}`").alias("doc_id"), F.col(f"`{text_column}`").alias("text")), step, "doc_id long, n_bytes long, media binary")
 
 
 def features(media_rows):

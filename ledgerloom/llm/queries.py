@@ -22,7 +22,7 @@ def vocabulary() -> str:
 
 
 def op1_transport_streams(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return media_ts.features(media_ts.store(documents(spark, sf_dir))).drop("units")
+    return media_ts.features(media_ts.store(documents(spark, sf_dir)))
 
 
 def op2_bpe_tree(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -110,7 +110,7 @@ def test_streams_round_trip_and_faults():
         assert [k for k, _ in s.access_points()] == list(range(0, len(s.units), media_ts.GROUP))
     media = media_ts.mux(media_ts.padded(rng.randbytes(5000)))
     cut = media_ts.demux(media[: 188 * 5] + media[188 * 6 :])
-    assert cut.gaps == 1 and cut.damaged == 1
+    assert cut.gaps == 1 and cut.damaged and cut.payload() == b""  # its only unit lacks a part
     twice = media_ts.demux(b"junk" + media[: 188 * 5] + media[188 * 4 :])
     assert (twice.repeated, twice.gaps) == (1, 0) and twice.lost_sync and len(twice.payload()) == 5056
     bad = bytearray(media)
@@ -119,9 +119,63 @@ def test_streams_round_trip_and_faults():
     assert media_ts.demux(b"").packets == 0
 
 
+def read_plainly(media):
+    """The units of a stream that has no faults, read packet by packet as the format is written down: (access, PTS, data)."""
+    tables, units = {}, []
+    for at in range(0, len(media), 188):
+        packet = media[at : at + 188]
+        assert packet[0] == 0x47
+        pid, body = int.from_bytes(packet[1:3], "big") % 8192, packet[4:]
+        access = False
+        if packet[3] & 0x20:
+            access, body = body[0] > 0 and bool(body[1] & 0x40), body[1 + body[0] :]
+        if pid == 0x101:
+            if packet[1] & 0x40:
+                units.append([access, b""])
+            units[-1][1] += body
+        else:
+            tables.setdefault(pid, body[1:])
+    out = []
+    for access, pes in units:
+        bits = "".join(f"{b:08b}" for b in pes[9:14])
+        out.append((access, int(bits[4:7] + bits[8:23] + bits[24:39], 2), pes[9 + pes[8] : 6 + int.from_bytes(pes[4:6], "big")]))
+    pat, pmt = tables[0], tables[0x100]
+    assert int.from_bytes(pat[8:10], "big") == 1 and int.from_bytes(pat[10:12], "big") % 8192 == 0x100
+    assert pmt[0] == 2 and int.from_bytes(pmt[13:15], "big") % 8192 == 0x101
+    return out
+
+
+def test_a_plain_reader_reads_the_stream():
+    rng = random.Random(16)
+    for n in (1, 64, 171, 184, 16384, 16384 * 10 + 77):
+        payload = media_ts.padded(rng.randbytes(n))
+        units = read_plainly(media_ts.mux(payload))
+        assert b"".join(u[2] for u in units) == payload
+        assert [(u[0], u[1]) for u in units] == [(k % media_ts.GROUP == 0, k * media_ts.TICKS) for k in range(len(units))]
+
+
+def test_broken_units_are_left_out_and_whole_ones_kept():
+    payload = media_ts.padded(random.Random(17).randbytes(16384 * 4))
+    media = media_ts.mux(payload)
+    starts = [at for at in range(188 * 2, len(media), 188) if media[at + 1] & 0x40]
+    part = [payload[k : k + 16384] for k in range(0, len(payload), 16384)]
+    for hurt in (
+        lambda at: media[: at + 188] + media[at + 376 :],  # a packet is lost
+        lambda at: media[: at + 188] + bytes([0x47, media[at + 189] | 0x80]) + media[at + 190 :],  # a packet is marked as damaged
+        lambda at: media[:at] + media[at + 188 :],  # the unit's beginning is lost
+    ):
+        s = media_ts.demux(hurt(starts[1]))
+        assert s.payload() in (b"".join([part[0], *part[2:]]), b"".join(part[2:]))  # a lost beginning also leaves its forerunner's end in doubt
+        assert s.gaps + s.damaged and all(u[4] in part for u in s.units)
+    end = media_ts.demux(media[: starts[3] + 188 * 3])
+    assert end.payload() == b"".join(part[:3]) and end.damaged == 1
+
+
 def test_stream_query(spark, odd, nothing):
-    got = media_ts.features(media_ts.store(odd)).collect()
+    clash = odd.withColumns({c: F.lit(1) for c in ("media", "n_bytes", "units", "feature")})
+    got = media_ts.features(media_ts.store(clash)).collect()
     assert len(got) == len(odd_rows())
+    assert all([u.pts for u in r.units] == [k * media_ts.TICKS for k in range(len(r.units))] and r.units[0].random_access for r in got)
     by = {r.doc_id: r for r in got}
     for doc, text, *_ in odd_rows():
         if doc is not None:
