@@ -7,20 +7,24 @@ the text around the join is encoded again in a growing window until the window
 and both halves agree, so that the result is the encoding of the whole.
 
 Why agreement is enough
-    The splitting pattern works from left to right and looks ahead only behind
-    white space, so that a change from a letter or a digit to another class, or
-    from anything else into white space, ends a piece wherever the text came
-    from ("firm" places).  If the window starts at a firm place of the left half
-    and ends at one of the right half, its encoding is that of the whole there.
-    Where a half has no firm place near the join (one run of letters or digits
-    of any length), a *shared token* does: byte pair encoding of a run is valid
-    exactly if each two adjacent tokens are, so a window whose first token is the
-    left half's and whose last token is the right half's can be spliced in.
-    Failing both, the window grows to the half's end, which is always right.
+    A window begins where a token of the left half does and ends where one of the
+    right half does, and it is taken only if its first token is that token of the
+    left half and its last token that of the right half.  The splitting pattern works
+    from left to right and looks ahead only behind white space, so that a change from
+    a letter or a digit to another class, or from anything else into white space, ends
+    a piece wherever the text came from.  A window that begins at such a place is cut
+    into pieces as the whole is.  Where a half has none near the join (one run of letters,
+    of digits, of signs or of white space, of any length), the window begins inside the
+    run: byte pair encoding of a piece is valid exactly if each two adjacent tokens are,
+    so a window that shares a token with the half can be spliced in there.  (Not in front
+    of an apostrophe, which might begin a piece of its own.)  Failing both, the window
+    grows to the half's end, where there is nothing left to agree with.
 
 Defined results
     A null text counts as empty and has no ids.  Strings of added tokens inside
-    a text get the added token's id, as the library does by default.
+    a text get the added token's id, as the library does by default.  Rows are encoded
+    each, repeated ones and those with null keys too; an empty table gives no rows; a
+    text of any length is one row, and other columns, whatever their names, aren't read.
 """
 
 from __future__ import annotations
@@ -32,9 +36,8 @@ import re
 #: Characters of a leaf, and of a first window on either side of a join.
 LEAF_CHARS = 4096
 WINDOW_CHARS = 32
-#: Texts from this length on are encoded by several threads.
-PARALLEL_CHARS = 1 << 20
-THREADS = 4
+#: Threads of a worker that encode leaves; the library encodes outside Python's lock.
+THREADS = 2
 
 #: Unicode's white space.
 SPACE = "\t-\r \x85\xa0  -     　"
@@ -111,13 +114,7 @@ class ByteBpe:
         if len(text) <= leaf_chars:
             return self._plain(text)
         texts = _halves(text, leaf_chars)
-        if len(text) >= PARALLEL_CHARS:
-            from concurrent.futures import ThreadPoolExecutor
-
-            with ThreadPoolExecutor(THREADS) as pool:
-                ids = list(pool.map(self._plain, texts))
-        else:
-            ids = [self._plain(t) for t in texts]
+        ids = list(_pool().map(self._plain, texts))
         while len(texts) > 1:
             pairs = range(0, len(texts) - 1, 2)
             joined = [self._join(texts[i], ids[i], texts[i + 1], ids[i + 1]) for i in pairs]
@@ -128,41 +125,40 @@ class ByteBpe:
 
     def _join(self, left: str, left_ids: list[int], right: str, right_ids: list[int]) -> list[int]:
         """Ids of ``left + right`` from the ids of both."""
-        reach = WINDOW_CHARS
+        before = after = WINDOW_CHARS
         while True:
-            head, tail = self._left_cut(left, left_ids, reach), self._right_cut(right, right_ids, reach)
+            head, tail = self._left_cut(left, left_ids, before), self._right_cut(right, right_ids, after)
+            first = last = True
             if head and tail:
-                (start, kept, first), (end, rest, last) = head, tail
+                (start, kept), (end, rest) = head, tail
                 window = self._plain(left[start:] + right[:end])
-                if first in (None, window[0]) and last in (None, window[-1]):
+                first = start == 0 or window[0] == left_ids[kept]
+                last = end == len(right) or window[-1] == right_ids[rest - 1]
+                if first and last:
                     return left_ids[:kept] + window + right_ids[rest:]
-            reach *= 2
+            # the side that has no place or doesn't agree gets a longer window
+            before *= 1 if head and first else 4
+            after *= 1 if tail and last else 4
 
-    def _left_cut(self, text: str, ids: list[int], reach: int) -> tuple[int, int, int | None] | None:
-        """Place in the left half, ids before it, and the id that the window has to begin with."""
+    def _left_cut(self, text: str, ids: list[int], reach: int) -> tuple[int, int] | None:
+        """Place in the left half where a window may begin, and ids before it; None if there's none so near."""
         low = len(text) - reach
         if low <= 0:
-            return 0, 0, None
+            return 0, 0
+        run = _one_run(text[low - 1 :])
         for i in range(low, len(text)):
-            if _firm(text[i - 1], text[i]) and (kept := self._upto(ids, text, i)) is not None:
-                return i, kept, None
-        if _one_run(text[low - 1 :]):
-            for i in range(low, len(text)):
-                if (kept := self._upto(ids, text, i)) is not None:
-                    return i, kept, ids[kept]
+            if (text[i] != "'" if run else _firm(text[i - 1], text[i])) and (kept := self._upto(ids, text, i)) is not None:
+                return i, kept
         return None
 
-    def _right_cut(self, text: str, ids: list[int], reach: int) -> tuple[int, int, int | None] | None:
-        """Place in the right half, ids before it, and the id that the window has to end with."""
+    def _right_cut(self, text: str, ids: list[int], reach: int) -> tuple[int, int] | None:
+        """Place in the right half where a window may end, and ids before it; None if there's none so near."""
         if reach >= len(text):
-            return len(text), len(ids), None
+            return len(text), len(ids)
+        run = _one_run(text[: reach + 1])
         for i in range(reach, 0, -1):
-            if _firm(text[i - 1], text[i]) and (rest := self._before(ids, text, i)) is not None:
-                return i, rest, None
-        if _one_run(text[: reach + 1]):
-            for i in range(reach, 0, -1):
-                if (rest := self._before(ids, text, i)) is not None:
-                    return i, rest, ids[rest - 1]
+            if (run or _firm(text[i - 1], text[i])) and (rest := self._before(ids, text, i)) is not None:
+                return i, rest
         return None
 
     def _upto(self, ids: list[int], text: str, at: int) -> int | None:
@@ -217,8 +213,16 @@ def _firm(a: str, b: str) -> bool:
 
 
 def _one_run(text: str) -> bool:
-    """Whether all characters are letters, or all are digits."""
-    return len({_class(c) for c in text}) == 1 and _class(text[0]) in "LN"
+    """Whether all characters are of one class: letters, digits, signs or white space."""
+    first = _class(text[0])
+    return all(_class(c) == first for c in text)
+
+
+@functools.lru_cache(1)
+def _pool():
+    from concurrent.futures import ThreadPoolExecutor
+
+    return ThreadPoolExecutor(THREADS)
 
 
 @functools.lru_cache(4)
@@ -239,7 +243,7 @@ def encode_frame(df, path: str, emit, schema: str, id_column: str = "doc_id", te
         bpe = codec(path)
         return emit(keys, texts, [bpe.encode(t) for t in texts])
 
-    return map_steps(df.select(id_column, text_column), step, schema)
+    return map_steps(df.select(f"`{id_column}`", f"`{text_column}`"), step, schema)
 
 
 def encode_documents(df, path: str):

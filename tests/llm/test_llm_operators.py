@@ -60,13 +60,29 @@ def test_tree_concatenation_is_the_whole_encoding(bpe, library):
         ids = bpe.encode(s, rng.choice([3, 5, 16, 64, 4096]))
         assert ids == library.encode(s, add_special_tokens=False).ids, s
         assert bpe.decode(ids) == library.decode(ids, skip_special_tokens=False) == s
-    for alphabet in ("abcdefghijklmnopqrstuvwxyz", "0123456789", "漢字語文", "!?#"):
+    for alphabet in ("abcdefghijklmnopqrstuvwxyz", "0123456789", "漢字語文", "!?#", "-", " ", "\t \n", "'", "'s", "' ", "a", "é"):
         s = "".join(rng.choice(alphabet) for _ in range(6000))
-        assert bpe.encode(s, 200) == library.encode(s, add_special_tokens=False).ids
-
-
-def test_parallel_leaves(bpe, library):
-    s = "".join(random.Random(3).choice("abcde fgh") for _ in range(tokens.PARALLEL_CHARS + 17))
+        assert bpe.encode(s, 200) == library.encode(s, add_special_tokens=False).ids, alphabet
+    for c in " -'=a\n":  # halves of runs next to other text, cut at every place of the run's end
+        for k in range(90, 130):
+            for tail in ("word", "'s", " x", "9", "!"):
+                s = "x" * 3 + c * k + tail + c * 70
+                assert bpe.encode(s, 50) == library.encode(s, add_special_tokens=False).ids, (c, k, tail)
+
+
+def test_long_runs_take_little_work(bpe, library, monkeypatch):
+    """Runs of one character: windows stay short where halves can agree, and grow to a half's end, once a level, where they can't."""
+    seen, plain = [], bpe._plain
+    monkeypatch.setattr(bpe, "_plain", lambda t: seen.append(len(t)) or plain(t))
+    for c in " -a7'=漢":
+        s = c * 200_000
+        seen.clear()
+        assert bpe.encode(s) == library.encode(s, add_special_tokens=False).ids
+        assert sum(seen) < 12 * len(s), c
+
+
+def test_leaves_of_a_long_text(bpe, library):
+    s = "".join(random.Random(3).choice("abcde fgh") for _ in range((1 << 20) + 17))
     assert bpe.encode(s) == library.encode(s, add_special_tokens=False).ids
 
 
