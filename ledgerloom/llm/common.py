@@ -155,18 +155,22 @@ def hot_keys(rows: DataFrame, on: list[str]) -> DataFrame:
     return rows.groupBy(*on).agg(F.count("*").alias("_h_n")).where((F.col("_h_n") > 1) & (F.col("_h_n") * SHARES > total)).select(*on)
 
 
-def join_by_key(rows: DataFrame, keyed: DataFrame, on: list[str]) -> DataFrame:
-    """``rows`` (staged) joined with the one row that ``keyed`` has for each key.
+def join_with_hot(rows: DataFrame, keyed: DataFrame, on: list[str], hot: DataFrame) -> DataFrame:
+    """``rows`` joined with ``keyed``, where ``hot`` holds the keys (fewer than ``SHARES``) that very many rows have.
 
-    Hot keys' rows stay where they lie and meet a broadcast of fewer than ``SHARES``
-    rows; only the others are shuffled.
+    Hot keys' rows stay where they lie and meet a broadcast of what ``keyed`` has for
+    them; only the others are shuffled.
     """
-    hot = staged(hot_keys(rows, on), "hot-keys")
-    cold = rows.join(F.broadcast(hot), on, "left_anti").join(keyed, on)
     if hot.isEmpty():
         return rows.join(keyed, on)
-    there = F.broadcast(keyed.join(F.broadcast(hot), on, "left_semi"))
-    return cold.unionByName(rows.join(there, on))
+    hot = F.broadcast(hot.select(*on))
+    cold = rows.join(hot, on, "left_anti").join(keyed.join(hot, on, "left_anti"), on)
+    return cold.unionByName(rows.join(F.broadcast(keyed.join(hot, on, "left_semi")), on))
+
+
+def join_by_key(rows: DataFrame, keyed: DataFrame, on: list[str]) -> DataFrame:
+    """``rows`` (staged) joined with the one row that ``keyed`` has for each key."""
+    return join_with_hot(rows, keyed, on, staged(hot_keys(rows, on), "hot-keys"))
 
 
 def words_of(text) -> F.Column:

@@ -1,6 +1,8 @@
 """One document of each group of near copies: 5-word shingle sets whose Jaccard similarity is at least 0.8.
 
-*Pairs.*  An exact prefix filter: in any one order of all shingles, two sets of
+*Candidates.*  Sets' SimHash fingerprints are joined by the trie of ``simhash`` within its
+budget of bits, which no similarity of 0.8 is sure to keep; so an exact prefix filter
+proposes the rest: in any one order of all shingles, two sets of
 similarity 0.8 share one of the first n - ceil(0.8 n) + 1 of each.  Shingles that occur
 twice in a sample come last, so passages that many documents share bring few together;
 the sample decides that order only, never which pairs are found.  Sizes and places
@@ -8,12 +10,16 @@ bound the overlap that a pair can still have.
 
 *Rounds.*  Small groups under one shingle propose all their pairs; large ones first
 the pairs with a few of their own, and later only pairs that aren't connected yet, so
-a large group of near copies doesn't cost its square.  Every proposed pair's sets are
-compared; links become stars in ``simhash.components``.
+a large group of near copies doesn't cost its square.  Groups of over ``CHUNK`` sets aren't
+met by one task: they pick those few by partial aggregation, and later lie in chunks, of
+which two meet in a task.  Every proposed pair's sets are compared; links become stars in
+``simhash.components``.
 
 Shingles and whole sets are known by 64-bit hashes.  Words are cut and lower-cased as
 in ``simhash``; a text of fewer than five words is one shingle, texts without a word
-are copies of each other.
+(null, empty, white space) are copies of each other.  Repeated rows and rows with null
+keys are copies like any others; an empty table gives no rows; other columns are kept,
+whatever their names (but ``_s_...``).
 """
 
 from __future__ import annotations
@@ -23,13 +29,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ledgerloom.llm.common import staged
-from ledgerloom.llm.simhash import SEED, components
+from ledgerloom.llm.common import SHARES, join_with_hot, portions, staged, whole_groups
+from ledgerloom.llm.simhash import SEED, bits_over_half, components, near_links
 
 SHINGLE = 5
-#: Documents that the order of shingles is taken from, groups that propose all pairs at once, pairs made at once.
-SAMPLE, SMALL, PORTION = 20_000, 8, 1 << 20
-#: Bits of a set's hash by which sets that no pair needs are left out early.
+#: Documents that the order of shingles is taken from, and shingles that it ranks.
+SAMPLE, RANKED = 20_000, 1 << 18
+#: Groups that propose all pairs at once, groups that one task meets, pairs made at once.
+SMALL, CHUNK, PORTION = 8, 1024, 1 << 20
+#: Bits of a Bloom filter (4 MB whatever the input) by which sets that no pair needs are left out early.
 MARK = 25
 
 
@@ -74,20 +82,6 @@ def _can(na, ia, nb, ib):
     return 9 * np.minimum(na - ia, nb - ib) >= 4 * (na + nb)
 
 
-def _groups(batches, columns: int):
-    """Stretches of whole groups of the first column, which is sorted, as arrays."""
-    kept = None
-    for batch in batches:
-        now = [batch.column(k).to_numpy(zero_copy_only=False) for k in range(columns)]
-        kept = now if kept is None else [np.concatenate(p) for p in zip(kept, now)]
-        last = int(np.searchsorted(kept[0], kept[0][-1])) if len(kept[0]) else 0
-        if last:
-            yield [c[:last] for c in kept]
-            kept = [c[last:] for c in kept]
-    if kept is not None and len(kept[0]):
-        yield kept
-
-
 def _edges(keys: np.ndarray) -> np.ndarray:
     return np.concatenate([[0], np.flatnonzero(keys[1:] != keys[:-1]) + 1, [len(keys)]])
 
@@ -99,7 +93,7 @@ def _unpack(at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def propose(batches):
     """Rows (large, a, b, c): pairs a, b of sets under one shingle, or the rows of large groups as they are."""
     schema = pa.schema([("large", pa.bool_()), ("a", pa.int64()), ("b", pa.int64()), ("c", pa.int64())])
-    for keys, ids, at in _groups(batches, 3):
+    for keys, ids, at in whole_groups(batches, 3):
         first = np.concatenate([[True], (keys[1:] != keys[:-1]) | (ids[1:] != ids[:-1])])
         keys, ids, at = keys[first], ids[first], at[first]
         size, place = _unpack(at)
@@ -126,19 +120,31 @@ def propose(batches):
 
 
 def propose_rest(batches):
-    """Pairs a, b of large groups that aren't connected; rows are shingle, set, size and place, component."""
-    for keys, ids, at, roots in _groups(batches, 4):
+    """Pairs a, b that aren't connected; rows are shingle, pair of chunks, whether a row is of its second chunk, set, size and place, component."""
+    for shingle, low, high, second, ids, at, roots in whole_groups(batches, 7, keys=3):
         size, place = _unpack(at)
-        edges = _edges(keys)
+        change = (shingle[1:] != shingle[:-1]) | (low[1:] != low[:-1]) | (high[1:] != high[:-1])
+        edges = np.concatenate([[0], np.flatnonzero(change) + 1, [len(ids)]])
         for lo, hi in zip(edges[:-1].tolist(), edges[1:].tolist()):
             if (roots[lo:hi] == roots[lo]).all():
                 continue
-            step = max(1, PORTION // (hi - lo))
-            for x0 in range(lo, hi, step):
-                x, y = np.arange(x0, min(x0 + step, hi))[:, None], np.arange(lo, hi)[None, :]
-                x, y = np.nonzero(_can(size[x], place[x], size[y], place[y]) & (roots[x] != roots[y]) & (ids[x] < ids[y]))
+            other = np.flatnonzero(second[lo:hi]) + lo
+            mine = np.flatnonzero(~second[lo:hi]) + lo if len(other) else np.arange(lo, hi)
+            other = other if len(other) else mine
+            step = max(1, PORTION // len(other))
+            for k in range(0, len(mine), step):
+                x, y = mine[k : k + step, None], other[None, :]
+                x, y = np.nonzero(_can(size[x], place[x], size[y], place[y]) & (roots[x] != roots[y]))
                 if len(x):
-                    yield pa.RecordBatch.from_arrays([pa.array(ids[x + x0]), pa.array(ids[y + lo])], names=["a", "b"])
+                    a, b = ids[mine[x + k]], ids[other[y]]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
+
+
+def heads(large: DataFrame) -> DataFrame:
+    """``shingle``, ``head``, ``head_at``: some of each group: the shortest, the longest, and others at random."""
+    me = F.struct("id", "at")
+    picked = [F.min_by(me, "at"), F.max_by(me, "at"), *(F.min_by(me, F.xxhash64("id", F.lit(k))) for k in range(SMALL - 2))]
+    return large.groupBy("shingle").agg(F.array(*picked).alias("h")).select("shingle", F.explode(F.array_distinct("h")).alias("h")).select("shingle", F.col("h.id").alias("head"), F.col("h.at").alias("head_at"))
 
 
 def common_shingles(texts: DataFrame, sample: int = SAMPLE) -> tuple[np.ndarray, np.ndarray]:
@@ -147,11 +153,12 @@ def common_shingles(texts: DataFrame, sample: int = SAMPLE) -> tuple[np.ndarray,
 
     def run(batches):
         for batch in batches:
-            sets = [shingles(t) for t in batch.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sets).view(np.int64))], names=["h"])
+            for part in portions(batch, 0):
+                sets = [shingles(t) for t in part.column(0).to_pylist()]
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sets).view(np.int64))], names=["h"])
 
-    some = texts.where(F.pmod(F.xxhash64("_s_text"), F.lit(every)) == 0).mapInArrow(run, "h long")
-    got = some.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").toArrow()
+    some = texts.where(F.pmod(F.xxhash64("_s_key", "_s_text"), F.lit(every)) == 0).select("_s_text").mapInArrow(run, "h long")
+    got = some.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").orderBy(F.desc("n"), "h").limit(RANKED).toArrow()
     h, n = got.column("h").to_numpy().view(np.uint64), got.column("n").to_numpy()
     by = np.argsort(h)
     h, n = h[by], n[by]
@@ -163,23 +170,24 @@ def common_shingles(texts: DataFrame, sample: int = SAMPLE) -> tuple[np.ndarray,
 def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """The pairs (``a``, ``b``) of set ids whose sets are similar."""
     needed = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    marks = needed.select(F.col("id").bitwiseAND(F.lit((1 << MARK) - 1)).cast("int").alias("m")).distinct().toArrow().column("m").to_numpy()
-    asked = np.zeros(1 << MARK, bool)
-    asked[marks] = True
-    asked = np.packbits(asked)
+    mark = F.col("id").bitwiseAND(F.lit((1 << MARK) - 1))
+    words = needed.groupBy(F.shiftright(mark, 6).alias("w")).agg(F.bit_or(F.expr(f"shiftleft(1L, CAST((id & {(1 << MARK) - 1}) % 64 AS INT))")).alias("bits")).toArrow()  # at most 2 ** (MARK - 6) rows
+    asked = np.zeros(1 << MARK - 6, np.int64)
+    asked[words.column("w").to_numpy()] = words.column("bits").to_numpy()
 
     def run(batches):
         for batch in batches:
-            out = {}
-            for t in batch.column(0).to_pylist():
-                s = shingles(t)
-                k = set_id(s)
-                m = k & ((1 << MARK) - 1)
-                if asked[m >> 3] >> (7 - (m & 7)) & 1:
-                    out[k] = s.tobytes()
-            yield pa.RecordBatch.from_arrays([pa.array(list(out), pa.int64()), pa.array(list(out.values()), pa.binary())], names=["id", "s"])
-
-    found = texts.mapInArrow(run, "id long, s binary").join(needed, "id", "left_semi").dropDuplicates(["id"])
+            for part in portions(batch, 0):
+                out = {}
+                for t in part.column(0).to_pylist():
+                    s = shingles(t)
+                    k = set_id(s)
+                    m = k & ((1 << MARK) - 1)
+                    if int(asked[m >> 6]) >> (m & 63) & 1:
+                        out[k] = s.tobytes()
+                yield pa.RecordBatch.from_arrays([pa.array(list(out), pa.int64()), pa.array(list(out.values()), pa.binary())], names=["id", "s"])
+
+    found = texts.select("_s_text").mapInArrow(run, "id long, s binary").join(needed, "id", "left_semi").dropDuplicates(["id"])
     sets = staged(found, "sets")
 
     def compare(batches):
@@ -194,42 +202,79 @@ def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 
 def keep_one(df: DataFrame, text_column: str = "text", key: str = "doc_id") -> DataFrame:
     """One row of each group that similar pairs connect, with the columns of ``df``: the one with the least key (nulls last), then text hash, then row hash."""
-    conf = df.sparkSession.conf
-    conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", ARROW_ROWS)
     key_, names = F.col(f"`{key}`"), [F.col(f"`{c}`") for c in df.columns]
     marked = df.withColumns({"_s_null": key_.isNull(), "_s_key": F.coalesce(key_, F.lit(0)).cast("long"), "_s_hash": F.xxhash64(F.coalesce(F.col(f"`{text_column}`"), F.lit("")))})
-    texts = df.select(F.col(f"`{text_column}`").alias("_s_text"))
+    texts = marked.select("_s_key", F.col(f"`{text_column}`").alias("_s_text"))
     common, rank = common_shingles(texts)
 
     def read(batches):
         for batch in batches:
-            sets = [shingles(t) for t in batch.column(3).to_pylist()]
-            first = [prefix(s, common, rank).view(np.int64) for s in sets]
-            yield pa.RecordBatch.from_arrays(
-                [*batch.columns[:3], pa.array([set_id(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array(first, pa.list_(pa.int64()))],
-                names=["_s_null", "_s_key", "_s_hash", "id", "size", "first"],
-            )
-
-    rows = staged(marked.select("_s_null", "_s_key", "_s_hash", F.col(f"`{text_column}`").alias("_s_text")).mapInArrow(read, "_s_null boolean, _s_key long, _s_hash long, id long, size long, first array<long>"), "prefixes")
+            for part in portions(batch, 3):
+                sets = [shingles(t) for t in part.column(3).to_pylist()]
+                first = [prefix(s, common, rank).view(np.int64) for s in sets]
+                prints = np.array([bits_over_half(s) for s in sets], np.uint64).view(np.int64)
+                yield pa.RecordBatch.from_arrays(
+                    [*part.columns[:3], pa.array([set_id(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array(first, pa.list_(pa.int64())), pa.array(prints)],
+                    names=["_s_null", "_s_key", "_s_hash", "id", "size", "first", "fp"],
+                )
+
+    rows = marked.select("_s_null", "_s_key", "_s_hash", F.col(f"`{text_column}`").alias("_s_text"))
+    rows = staged(rows.mapInArrow(read, "_s_null boolean, _s_key long, _s_hash long, id long, size long, first array<long>, fp long"), "prefixes")
     dealt = rows.select("id", "size", F.posexplode("first").alias("place", "shingle")).select("shingle", "id", F.shiftleft("size", 32).bitwiseOR(F.col("place").cast("long")).alias("at"))
-    try:
-        conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 1 << 16)
-        proposed = staged(dealt.repartition("shingle").sortWithinPartitions("shingle", "id").mapInArrow(propose, "large boolean, a long, b long, c long"), "proposed")
-        pairs = staged(proposed.where("NOT large").select("a", "b").distinct(), "pairs")
-        conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", ARROW_ROWS)
-        links = verified(pairs, texts)
-        roots = components(links)
-        large = proposed.where("large").select(F.col("a").alias("shingle"), F.col("b").alias("id"), F.col("c").alias("at"))
-        large = large.join(roots, large["id"] == roots["node"], "left").select("shingle", "id", "at", F.coalesce("root", "id").alias("root"))
-        conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 1 << 16)
-        rest = staged(large.repartition("shingle").sortWithinPartitions("shingle").mapInArrow(propose_rest, "a long, b long").distinct(), "pairs")
-    finally:
-        conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", ARROW_ROWS)
-    if not rest.isEmpty():
-        roots = components(links.unionByName(verified(rest.join(pairs, ["a", "b"], "left_anti"), texts)))
+    large, small, chunks = _by_size(dealt)
+    proposed = staged(small.repartition("shingle").sortWithinPartitions("shingle", "id").mapInArrow(propose, "large boolean, a long, b long, c long"), "proposed")
+    pairs = [proposed.where("NOT large").select("a", "b"), _alike(rows)]
+    if chunks is not None:
+        met = join_with_hot(large, heads(large), ["shingle"], chunks.where("hot"))
+        pairs.append(met.where("id <> head").select(F.least("id", "head").alias("a"), F.greatest("id", "head").alias("b")))
+    out = pairs[0]
+    for more in pairs[1:]:
+        out = out.unionByName(more)
+    pairs = staged(out.distinct(), "pairs")
+    links = verified(pairs, texts)
+    roots = components(links)
+    left = proposed.where("large").select(F.col("a").alias("shingle"), F.col("b").alias("id"), F.col("c").alias("at"))
+    if chunks is not None:
+        left = left.unionByName(large.select("shingle", "id", "at"))
+    left = left.join(roots, left["id"] == roots["node"], "left").select("shingle", "id", "at", F.coalesce("root", "id").alias("root"))
+    left = staged(left.distinct(), "large-groups")
+    # a group whose sets are all connected has nothing left to propose
+    open_ = staged(left.groupBy("shingle").agg(F.min("root").alias("r1"), F.max("root").alias("r2"), F.ceil(F.count("*") / CHUNK).cast("int").alias("chunks"), F.count("*").alias("m")).where("r1 <> r2").select("shingle", "chunks", "m"), "open-groups")
+    if not open_.isEmpty():
+        met = join_with_hot(left, open_.select("shingle", "chunks"), ["shingle"], open_.where(F.col("m") * SHARES > left.count()))
+        met = met.withColumn("chunk", F.pmod(F.xxhash64("id"), F.col("chunks")).cast("int"))
+        # a chunk meets itself and each other chunk once
+        met = met.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+        met = met.select("shingle", F.least("chunk", "other").alias("low"), F.greatest("chunk", "other").alias("high"), (F.col("chunk") > F.col("other")).alias("second"), "id", "at", "root")
+        rest = staged(met.repartition("shingle", "low", "high").sortWithinPartitions("shingle", "low", "high").mapInArrow(propose_rest, "a long, b long").distinct(), "pairs")
+        rest = rest.join(pairs, ["a", "b"], "left_anti")
+        if not rest.isEmpty():
+            roots = components(links.unionByName(verified(rest, texts)))
     least = rows.groupBy("id").agg(F.min(F.struct("_s_null", "_s_key", "_s_hash")).alias("least"))
     kept = least.join(roots, least["id"] == roots["node"], "left").groupBy(F.coalesce("root", "id").alias("root")).agg(F.min("least").alias("k")).select("k.*")
     stay = marked.join(kept, ["_s_null", "_s_key", "_s_hash"], "left_semi")
     # equal keys and texts: one row of them
     order = Window.partitionBy("_s_null", "_s_key", "_s_hash").orderBy(F.xxhash64(*names))
     return stay.withColumn("_s_n", F.row_number().over(order)).where("_s_n = 1").select(*names)
+
+
+def _alike(rows: DataFrame) -> DataFrame:
+    """Pairs of sets whose fingerprints are equal or that the trie join links."""
+    prints = staged(rows.select("fp", "id").distinct(), "set-fingerprints")
+    least = prints.groupBy("fp").agg(F.min("id").alias("first"))
+    same = prints.join(least, "fp").where("id <> first").select(F.least("id", "first").alias("a"), F.greatest("id", "first").alias("b"))
+    links = near_links(least.select("fp"))
+    x, y = least.select(F.col("fp").alias("a"), F.col("first").alias("x")), least.select(F.col("fp").alias("b"), F.col("first").alias("y"))
+    linked = links.join(x, "a").join(y, "b").where("x <> y")
+    return same.unionByName(linked.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")))
+
+
+def _by_size(dealt: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame | None]:
+    """Rows of groups of over ``CHUNK`` sets, the other rows, and those groups (None if there are none)."""
+    counts = staged(dealt.groupBy("shingle").agg(F.count("*").alias("m")).where(F.col("m") > CHUNK), "large-shingles")
+    if counts.isEmpty():
+        return dealt, dealt, None
+    chunks = counts.select("shingle", (F.col("m") * SHARES > dealt.count()).alias("hot"))
+    large = staged(join_with_hot(dealt, counts.select("shingle"), ["shingle"], chunks.where("hot")).distinct(), "large-shingle-rows")
+    small = dealt.join(F.broadcast(chunks.where("hot")), "shingle", "left_anti").join(chunks.where("NOT hot"), "shingle", "left_anti")
+    return large, small, chunks

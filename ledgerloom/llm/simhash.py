@@ -56,11 +56,16 @@ def fingerprint(text: str | None, size: int = SHINGLE) -> int:
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
     starts = np.concatenate([[0], ends[:-1] + 1])[: len(words) - size + 1].tolist()
     ends = ends[size - 1 :].tolist()
-    set_, digest = np.zeros(BITS, np.int64), xxhash.xxh64_intdigest
-    for at in range(0, len(starts), CHUNK):
-        hashes = np.array([digest(line[a:b], SEED) for a, b in zip(starts[at : at + CHUNK], ends[at : at + CHUNK])], ">u8")
-        set_ += np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
-    return int.from_bytes(np.packbits(2 * set_ > len(starts)).tobytes())
+    digest = xxhash.xxh64_intdigest
+    return bits_over_half(np.fromiter((digest(line[a:b], SEED) for a, b in zip(starts, ends)), np.uint64, len(starts)))
+
+
+def bits_over_half(hashes: np.ndarray) -> int:
+    """The number whose bits over half of the hashes have."""
+    set_ = np.zeros(BITS, np.int64)
+    for at in range(0, len(hashes), CHUNK):
+        set_ += np.unpackbits(hashes[at : at + CHUNK].astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
+    return int.from_bytes(np.packbits(2 * set_ > len(hashes)).tobytes())
 
 
 @F.pandas_udf(LongType())

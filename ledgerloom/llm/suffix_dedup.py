@@ -51,7 +51,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, StringType
 
-from ledgerloom.llm.common import SHARES, arrow_schema, hot_keys, portions, staged
+from ledgerloom.llm.common import SHARES, arrow_schema, hot_keys, join_with_hot, portions, staged
 
 LENGTH, GRAM = 200, 64
 #: Window starts handled at once; bytes of contexts sorted at once; occurrences of an anchor that share a run of the sort.
@@ -395,15 +395,6 @@ def _squeezed_classes(texts: DataFrame) -> DataFrame:
     return texts.select("text").mapInArrow(run, "t1 long, t2 long, z binary")
 
 
-def _met(rows: DataFrame, keyed: DataFrame, on: list[str], hot: DataFrame) -> DataFrame:
-    """``rows`` joined with ``keyed``; rows of the (fewer than ``SHARES``) hot keys meet them by broadcast."""
-    if hot.isEmpty():
-        return rows.join(keyed, on)
-    hot = F.broadcast(hot.select(*on))
-    cold = rows.join(hot, on, "left_anti").join(keyed.join(hot, on, "left_anti"), on)
-    return cold.unionByName(rows.join(F.broadcast(keyed.join(hot, on, "left_semi")), on))
-
-
 def repeats(df: DataFrame, text_column: str = "text") -> DataFrame:
     """``t1``, ``t2``, ``spans``: the stretches to remove from each class of texts that has any (not united yet)."""
     texts = df.select(F.coalesce(F.col(f"`{text_column}`"), F.lit("")).alias("text"))
@@ -416,7 +407,7 @@ def repeats(df: DataFrame, text_column: str = "text") -> DataFrame:
     )
     often = staged(counts, "frequent-anchors")
     hot = F.col("rows") * SHARES > total
-    again = staged(_met(known, often, ["a"], often.where(hot)), "repeated-anchors")
+    again = staged(join_with_hot(known, often, ["a"], often.where(hot)), "repeated-anchors")
     # one example of each context of an anchor that has several
     one = [F.first(c).alias(c) for c in ("t1", "t2", "lo", "hi", "p", "rows")]
     kinds = staged(again.where("several").groupBy("a", "c1", "c2").agg(F.sum("n").alias("n"), F.count("*").alias("here"), *one), "kinds")
@@ -440,7 +431,7 @@ def repeats(df: DataFrame, text_column: str = "text") -> DataFrame:
     contexts = staged(met.mapInArrow(cut, cut_schema), "contexts").dropDuplicates(["a", "c1", "c2"])
     sorted_ = staged(sort_contexts(contexts), "sorted-runs")
     parts = staged(merged_runs(sorted_), "context-repeats")
-    several = _met(again.where("several").select("a", "c1", "c2", "t1", "t2", "lo"), parts, ["a", "c1", "c2"], kinds.where(F.col("here") * SHARES > total))
+    several = join_with_hot(again.where("several").select("a", "c1", "c2", "t1", "t2", "lo"), parts, ["a", "c1", "c2"], kinds.where(F.col("here") * SHARES > total))
     spans = (
         again.where("NOT several").select("t1", "t2", F.col("lo").alias("begin"), (F.col("hi") + LENGTH).alias("end"))
         .unionByName(several.select("t1", "t2", (F.col("lo") + F.col("begin")).alias("begin"), (F.col("lo") + F.col("end")).alias("end")))

@@ -588,7 +588,9 @@ def brute_kept(rows):
     return sorted({min(rows[k][0] for k in range(len(rows)) if label[k] == x) for x in set(label)})
 
 
-def test_near_copy_stage_against_brute_jaccard(spark, odd):
+@pytest.mark.parametrize("chunk", [near_copies.CHUNK, 10])
+def test_near_copy_stage_against_brute_jaccard(spark, odd, nothing, monkeypatch, chunk):
+    monkeypatch.setattr(near_copies, "CHUNK", chunk)  # 10: groups under a shingle lie in chunks
     rng, rows = random.Random(11), []
     words = [f"w{k}" for k in range(300)]
     for group in range(6):  # group 0 is larger than one round proposes in full
@@ -609,7 +611,9 @@ def test_near_copy_stage_against_brute_jaccard(spark, odd):
     docs = documents(spark, SF)
     got = stage(spark, docs, SF)
     assert got.dtypes == docs.dtypes and sorted(r.doc_id for r in got.collect()) == brute_kept([(r.doc_id, r.text) for r in docs.select("doc_id", "text").collect()])
-    assert len(stage(spark, odd, SF).collect()) <= len(odd_rows())
+    clash = odd.withColumns({c: F.lit(1) for c in ("id", "shingle", "a", "b", "root", "node", "size", "first")})
+    assert sorted(-1 if r.doc_id is None else r.doc_id for r in near_copies.keep_one(clash).collect()) == [1, 3, 6, 7, 8, 9]
+    assert near_copies.keep_one(nothing).count() == 0
 
 
 # -- pipeline --------------------------------------------------------------------
