@@ -1,14 +1,19 @@
 """Quality classifier: random-indexing word vectors, pooled, and a two-layer network.
 
-1. *Word vectors.*  Each word falls into one of ``BUCKETS`` buckets and each bucket
-   has a fixed sparse random index vector.  Over all documents, a bucket's context
-   vector is the sum of the index vectors of the words around its occurrences.
-   A task keeps one table of fixed size and passes it on once, as does the driver;
-   neither grows with the input.
-2. *Pooling.*  A document is the mean and the spread of its word vectors, and its
-   logarithmic length.
-3. *Network.*  Two layers, trained in numpy on at most ``TRAIN_ROWS`` labelled rows,
-   those with the least hash of their key (the one place where a sample is taken).
+1. *Word vectors.*  Each word has a sparse random index vector of its own, drawn from
+   its 64-bit hash.  Over all documents, a word's context vector is the sum of the
+   index vectors of the words around its occurrences; a task passes on partial sums by
+   word, which Spark adds up.  A word that is at least one in ``SHARES`` of all words has
+   its context vector in the table that scoring uses: at most ``SHARES`` words can, so
+   the table's size is bounded whatever the input (and every input is treated alike).
+   Rarer words stand for themselves by their index vector alone; none is left out, and
+   no two words share a vector.  Case doesn't matter to a word, and digits are one word
+   a length.
+2. *Pooling.*  A document is the mean and the spread of its word vectors, its
+   logarithmic length, and its shares of different words, capitals, digits and signs.
+3. *Network.*  Two layers, trained in numpy on at most ``TRAIN_ROWS`` labelled documents,
+   those with the least hash of their key (the one place where a sample is taken), one
+   row each however often the key comes.
 4. *Calibration.*  One temperature, fitted on labelled rows that the layers did not
    see, turns the network's output into a probability.
 
@@ -27,62 +32,91 @@ import zlib
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerloom.llm.common import map_steps
+from ledgerloom.llm.common import map_steps, portions, staged
 
-#: Size of the word table, of a vector, and how many places of an index vector are not 0.
-BUCKETS, DIM, NONZERO = 1 << 15, 32, 4
+#: Words in the table at most (and the share of all words that brings one there), and occurrences that it needs.
+SHARES, LEAST = 1 << 18, 5
+#: Size of a vector, and how many places of an index vector are drawn.
+DIM, NONZERO = 32, 4
 #: Words on either side that count as context.
 REACH = 2
-#: Labelled rows that the network sees at most; one in CALIBRATE is kept for the temperature.
+#: Labelled documents that the network sees at most; one in CALIBRATE is kept for the temperature.
 TRAIN_ROWS, CALIBRATE = 20_000, 5
 HIDDEN, EPOCHS, STEP, BATCH, DECAY = 32, 40, 3e-3, 256, 1e-4
 SEED = 20_240
+FEATURES = 2 * DIM + 5
 
 #: Words that a worker remembers at most, and words handled at once.
 REMEMBERED, CHUNK = 100_000, 1 << 16
 
 _token = re.compile(r"[^\W\d_]+|\d+|[^\w\s]|_")
-_known: dict[str, int] = {}
 
 
-def index_vectors() -> np.ndarray:
-    """One sparse vector of 1 and -1 a bucket, and a zero row for "no word"."""
-    rng = np.random.default_rng(SEED)
-    out = np.zeros((BUCKETS + 1, DIM), np.int8)
-    places = rng.random((BUCKETS, DIM)).argsort(axis=1)[:, :NONZERO]
-    np.put_along_axis(out[:-1], places, rng.choice(np.array([-1, 1], np.int8), (BUCKETS, NONZERO)), axis=1)
+def word_id(token: str) -> int:
+    """The hash of a word, signed; digits are one word a length."""
+    import xxhash
+
+    word = f"\0digits{len(token)}" if token.isdigit() else token.lower()
+    h = xxhash.xxh64_intdigest(word.encode("utf-8", "replace"), SEED)
+    return h - (1 << 64) if h >> 63 else h
+
+
+def index_vectors(ids: np.ndarray) -> np.ndarray:
+    """Sparse vectors of 1 and -1, drawn from the ids' bits."""
+    h, rows = ids.astype(np.int64).view(np.uint64), np.arange(len(ids))
+    out = np.zeros((len(ids), DIM), np.int8)
+    for k in range(NONZERO):
+        place = ((h >> np.uint64(5 * k)) % np.uint64(DIM)).astype(np.int64)
+        out[rows, place] += np.where(h >> np.uint64(40 + k) & np.uint64(1), 1, -1).astype(np.int8)
     return out
 
 
-def bucket_of(token: str) -> int:
-    """Words in capitals share a bucket, as do numbers of equal length; others are lower-cased."""
-    if len(token) > 1 and token.isupper():
-        token = "\0capitals"
-    elif token.isdigit():
-        token = f"\0digits{len(token)}"
-    return zlib.crc32(token.lower().encode("utf-8", "replace")) % BUCKETS
-
-
-def buckets_of(text: str | None) -> np.ndarray:
-    tokens = _token.findall(text or "")
-    if len(_known) > REMEMBERED:
-        _known.clear()
-    try:
-        return np.fromiter(map(_known.__getitem__, tokens), np.int32, len(tokens))
-    except KeyError:
-        for t in tokens:
-            if t not in _known:
-                _known[t] = bucket_of(t)
-        return np.fromiter(map(_known.__getitem__, tokens), np.int32, len(tokens))
-
-
-def add_contexts(table: np.ndarray, counts: np.ndarray, texts: list, index: np.ndarray) -> None:
-    """Add the context vectors of all words of the texts to the table."""
-    gap = np.full(REACH, BUCKETS, np.int32)
-    line = np.concatenate([gap] + [x for t in texts for x in (buckets_of(t), gap)])
+class Words:
+    """The words that a worker has met, as rows of arrays that double when full; row 0 is no word."""
+
+    def __init__(self, made):
+        """``made`` gives arrays for new words' ids and tokens."""
+        self.row: dict[str, int] = {}
+        self.n, self.made = 1, made
+        self.ids = np.zeros(1024, np.int64)
+        self.arrays = [np.zeros((1024, *x.shape[1:]), x.dtype) for x in made(np.zeros(1, np.int64), ["-"])]
+
+    def full(self) -> bool:
+        return len(self.row) > REMEMBERED
+
+    def rows(self, text: str | None) -> np.ndarray:
+        """Rows of a text's words, in order."""
+        tokens = _token.findall(text or "")
+        new = [t for t in dict.fromkeys(tokens) if t not in self.row]
+        if new:
+            at, self.n = self.n, self.n + len(new)
+            self.row.update(zip(new, range(at, self.n)))
+            ids = np.array([word_id(t) for t in new], np.int64)
+            self.ids = grown(self.ids, self.n)
+            self.ids[at : self.n] = ids
+            self.arrays = [grown(x, self.n) for x in self.arrays]
+            for x, y in zip(self.arrays, self.made(ids, new)):
+                x[at : self.n] = y
+        return np.fromiter(map(self.row.__getitem__, tokens), np.int32, len(tokens))
+
+
+def grown(x: np.ndarray, n: int) -> np.ndarray:
+    """``x`` with room for ``n`` rows, the new ones zero."""
+    if n <= len(x):
+        return x
+    out = np.zeros((max(n, 2 * len(x)), *x.shape[1:]), x.dtype)
+    out[: len(x)] = x
+    return out
+
+
+def add_contexts(table: np.ndarray, counts: np.ndarray, texts: list[np.ndarray], index: np.ndarray) -> None:
+    """Add the context vectors of all words of the texts (rows of words) to the table."""
+    gap = np.zeros(REACH, np.int32)
+    line = np.concatenate([gap] + [x for t in texts for x in (t, gap)])
     for at in range(REACH, len(line) - REACH, CHUNK):
         end = min(at + CHUNK, len(line) - REACH)
         words = line[at:end]
@@ -94,63 +128,92 @@ def add_contexts(table: np.ndarray, counts: np.ndarray, texts: list, index: np.n
         counts[found] += np.diff(edges, append=len(words))
 
 
-def context_table(df: DataFrame, text_column: str = "text") -> tuple[np.ndarray, np.ndarray]:
-    """Context sums and word counts by bucket, over all rows."""
-    import pyarrow as pa
-
+def context_sums(df: DataFrame, text_column: str = "text") -> DataFrame:
+    """``w``, ``n`` and ``s0`` to ``s31``: count and context sum of every word of all rows (written)."""
     names = [f"s{k}" for k in range(DIM)]
-    schema = "bucket int, n long, " + ", ".join(f"{c} long" for c in names)
+    schema = "w long, n long, " + ", ".join(f"{c} long" for c in names)
 
     def run(batches):
-        index, table, counts = index_vectors(), np.zeros((BUCKETS + 1, DIM), np.int64), np.zeros(BUCKETS + 1, np.int64)
+        words = None
+
+        def flush():
+            found = np.flatnonzero(counts[1:]) + 1
+            yield pa.RecordBatch.from_arrays([pa.array(words.ids[found]), pa.array(counts[found])] + [pa.array(np.ascontiguousarray(table[found, k])) for k in range(DIM)], names=["w", "n", *names])
+
         for batch in batches:
-            texts = batch.column(0)
-            for at in range(0, len(texts), 128):
-                add_contexts(table, counts, texts.slice(at, 128).to_pylist(), index)
-        found = np.flatnonzero(counts[:-1]).astype(np.int32)
-        columns = [pa.array(found), pa.array(counts[found])] + [pa.array(np.ascontiguousarray(table[found, k])) for k in range(DIM)]
-        yield pa.RecordBatch.from_arrays(columns, names=["bucket", "n", *names])
-
-    sums = df.select(text_column).mapInArrow(run, schema).groupBy("bucket").agg(F.sum("n").alias("n"), *(F.sum(c).alias(c) for c in names))
-    rows = sums.toArrow()  # at most BUCKETS rows
-    table, counts = np.zeros((BUCKETS + 1, DIM)), np.zeros(BUCKETS + 1)
-    at = rows["bucket"].to_numpy()
-    counts[at] = rows["n"].to_numpy()
-    for k, c in enumerate(names):
-        table[at, k] = rows[c].to_numpy()
-    return table, counts
-
-
-def word_vectors(table: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    """Vectors by bucket: the usual context taken off, unit length, and a little of the word's own index vector."""
-    mean = table.sum(axis=0) / max(1.0, counts.sum())
-    vectors = table / np.maximum(counts, 1)[:, None] - mean
+            for part in portions(batch, 0):
+                if words is not None and words.full():
+                    yield from flush()
+                    words = None
+                if words is None:
+                    words, table, counts = Words(lambda ids, _: (index_vectors(ids),)), np.zeros((1, DIM), np.int64), np.zeros(1, np.int64)
+                rows = [words.rows(t) for t in part.column(0).to_pylist()]
+                table, counts = grown(table, words.n), grown(counts, words.n)
+                add_contexts(table, counts, rows, words.arrays[0])
+        if words is not None:
+            yield from flush()
+
+    sums = df.select(f"`{text_column}`").mapInArrow(run, schema)
+    return staged(sums.groupBy("w").agg(F.sum("n").alias("n"), *(F.sum(c).alias(c) for c in names)), "word-contexts")
+
+
+class Vectors:
+    """Context vectors of the words that have one, by sorted id."""
+
+    def __init__(self, ids: np.ndarray, vectors: np.ndarray):
+        self.ids, self.vectors = ids, vectors
+
+    def of(self, ids: np.ndarray) -> np.ndarray:
+        """The words' vectors: their context's, if known, and a little of their own."""
+        out = index_vectors(ids).astype(np.float32) / NONZERO**0.5
+        if len(self.ids):
+            at = np.minimum(np.searchsorted(self.ids, ids), len(self.ids) - 1)
+            known = self.ids[at] == ids
+            out[known] += self.vectors[at[known]]
+        return out
+
+
+def word_vectors(sums: DataFrame, shares: int = SHARES, least: int = LEAST) -> Vectors:
+    """Vectors of the words that are one in ``shares`` of all at least: the usual context taken off, unit length."""
+    names = [f"s{k}" for k in range(DIM)]
+    whole = sums.agg(F.sum("n").alias("n"), *(F.sum(c).alias(c) for c in names)).first()
+    total = whole["n"] or 0
+    rows = sums.where((F.col("n") * shares >= total) & (F.col("n") >= least)).select("w", *(F.expr(f"CAST({c} / n AS FLOAT) AS {c}") for c in names)).orderBy("w").toArrow()  # at most ``shares``
+    mean = np.array([(whole[c] or 0) / max(1, total) for c in names])
+    vectors = np.stack([rows[c].to_numpy() for c in names], axis=1).astype(np.float32) - mean.astype(np.float32)
     vectors /= np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-9)
-    vectors[counts == 0] = 0
-    own = index_vectors().astype(float) / NONZERO**0.5
-    return (vectors + own).astype(np.float32)
+    return Vectors(rows["w"].to_numpy(), vectors.astype(np.float16))
+
+
+def shapes(tokens: list[str]) -> np.ndarray:
+    """Whether each word is in capitals, digits, or a sign."""
+    return np.array([(len(t) > 1 and t.isupper(), t.isdigit(), not t.isalnum()) for t in tokens], np.float32).reshape(len(tokens), 3)
+
+
+_met: list = [None, None]  # the vectors that this worker uses, and the words that it has met
 
 
-def pooled(texts: list, vectors: np.ndarray) -> np.ndarray:
-    """Mean, spread and logarithmic length of each text's words."""
-    out = np.zeros((len(texts), 2 * DIM + 2), np.float32)
+def pooled(texts: list, vectors: Vectors) -> np.ndarray:
+    """Each text's features."""
+    if _met[0] is not vectors or _met[1].full():
+        _met[:] = vectors, Words(lambda ids, tokens: (vectors.of(ids), shapes(tokens)))
+    words = _met[1]
+    out = np.zeros((len(texts), FEATURES), np.float32)
     for row, text in zip(out, texts):
-        words = buckets_of(text)
-        if len(words):
-            kinds, times = np.unique(words, return_counts=True)
-            v, w = vectors[kinds].astype(np.float64), times / len(words)
+        rows = words.rows(text)
+        if len(rows):
+            kinds, times = np.unique(rows, return_counts=True)
+            v, w = words.arrays[0][kinds].astype(np.float64), times / len(rows)
             mean = w @ v
             row[:DIM], row[DIM : 2 * DIM] = mean, np.sqrt(np.maximum(w @ v**2 - mean**2, 0))
-            row[-2], row[-1] = np.log1p(len(words)), len(kinds) / len(words)
+            row[2 * DIM], row[2 * DIM + 1], row[2 * DIM + 2 :] = np.log1p(len(rows)), len(kinds) / len(rows), w @ words.arrays[1][kinds]
     return out
 
 
-def pool_frame(df: DataFrame, vectors: np.ndarray, columns: list[str], schema: str, finish=None) -> DataFrame:
-    """``columns`` of ``df`` and, of its last column, a text, the pooled vector (or what ``finish`` makes of them)."""
+def pool_frame(df: DataFrame, vectors: Vectors, columns: list[str], schema: str) -> DataFrame:
+    """``columns`` of ``df``, of whose last, a text, the features are made."""
     def step(values):
-        x = pooled(values[-1], vectors)
-        made = finish(x) if finish else {"vector": list(x)}
-        return dict(zip(columns[:-1], values[:-1])) | made
+        return dict(zip(columns[:-1], values[:-1])) | {"vector": list(pooled(values[-1], vectors))}
 
     return map_steps(df.select(*columns), step, schema)
 
@@ -209,20 +272,20 @@ class Network:
 TEMPERATURES = np.geomspace(0.5, 8, 49)
 
 
-def train(df: DataFrame, labels: DataFrame, learn, text_column: str = "text", key: str = "doc_id") -> tuple[np.ndarray, Network]:
+def train(df: DataFrame, labels: DataFrame, learn, text_column: str = "text", key: str = "doc_id") -> tuple[Vectors, Network]:
     """Word vectors from all of ``df`` and a network from the labelled rows for which ``learn(key)`` holds."""
-    vectors = word_vectors(*context_table(df, text_column))
+    vectors = word_vectors(context_sums(df, text_column))
     texts = df.select(F.col(f"`{key}`").alias("doc_id"), F.col(f"`{text_column}`").alias("text"))
     sample = texts.join(F.broadcast(training_keys(labels, learn)), "doc_id")  # at most TRAIN_ROWS short rows
-    rows = pool_frame(sample, vectors, ["doc_id", "quality", "text"], "doc_id long, quality double, vector array<float>").toArrow()
-    rows = rows.sort_by("doc_id")
+    rows = pool_frame(sample, vectors, ["doc_id", "quality", "text"], "doc_id long, quality double, vector array<float>")
+    rows = rows.groupBy("doc_id", "quality").agg(F.min("vector").alias("vector")).orderBy("doc_id").toArrow()  # at most TRAIN_ROWS
     keys, y = rows["doc_id"].to_numpy(), rows["quality"].to_numpy()
-    x = np.array(rows["vector"].to_pylist(), np.float32).reshape(len(keys), 2 * DIM + 2)
+    x = np.array(rows["vector"].to_pylist(), np.float32).reshape(len(keys), FEATURES)
     calibrate = np.array([zlib.crc32(b"calibrate %d" % k) % CALIBRATE == 0 for k in keys.tolist()], bool)
     return vectors, Network(x, y, calibrate)
 
 
-def score_column(vectors: np.ndarray, network: Network):
+def score_column(vectors: Vectors, network: Network):
     """A column function: text to the probability of label 1.  Only the text goes to Python."""
     @F.pandas_udf("double")
     def scored(texts: pd.Series) -> pd.Series:
@@ -231,7 +294,7 @@ def score_column(vectors: np.ndarray, network: Network):
     return scored
 
 
-def score(df: DataFrame, vectors: np.ndarray, network: Network, text_column: str = "text") -> DataFrame:
+def score(df: DataFrame, vectors: Vectors, network: Network, text_column: str = "text") -> DataFrame:
     """``df`` and ``_c_score`` of every row."""
     return df.withColumn("_c_score", score_column(vectors, network)(F.col(f"`{text_column}`")))
 
