@@ -23,8 +23,10 @@ the tasks; only finished messages meet by conversation, whose one string is the
 result.  Nothing is quadratic in a conversation's length.
 
 Defined results: a null text or role is empty; rows with a null ``conv_id`` make one
-conversation; messages with equal order follow by role and text; equal rows each
-make their message; an empty log gives no conversation.
+conversation, as SQL groups them; messages with equal order follow by role and text;
+equal rows each make their message; an empty log gives no conversation; a conversation
+is one row of the result and so has to fit in one, however many events it took; other
+columns, whatever their names, aren't read.
 """
 
 from __future__ import annotations

@@ -345,6 +345,49 @@ def test_fold_deltas_edits_and_regenerations(spark):
     assert list(turns.loss_texts) == ["good <|im_end|>"]
 
 
+def replayed(events):
+    """Final messages of one conversation, event by event: what a reader of the log would do."""
+    messages, order = {}, []
+    for seq, event, message, role, text in sorted(events):
+        m = messages.get(message)
+        if m is None:
+            m = messages[message] = {"role": role or "", "text": "", "gone": False}
+            order.append(message)
+        if event == "delta":
+            m["text"] += text or ""
+        elif event == "delete":
+            m["gone"] = True
+        else:
+            m["text"], m["gone"] = text or "", False
+            if event == "regenerate":  # what had begun after it answered what is gone
+                for later in order[order.index(message) + 1 :]:
+                    messages[later]["dropped"] = True
+        m["role"] = m["role"] or role or ""
+    return [(messages[k]["role"], messages[k]["text"]) for k in order if not messages[k]["gone"] and "dropped" not in messages[k]]
+
+
+def test_random_logs_against_a_replay(spark):
+    rng, logs = random.Random(19), {}
+    for conv in range(60):
+        events, begun = [], []
+        for seq in range(rng.randint(1, 60)):
+            if not begun or rng.random() < 0.2:
+                begun.append(seq)
+                events.append((seq, "start", seq, rng.choice(["user", "assistant"]), rng.choice(["", "a"])))
+            else:
+                kind = rng.choices(["delta", "edit", "regenerate", "delete"], [8, 1, 1, 1])[0]
+                events.append((seq, kind, rng.choice(begun), None, None if kind == "delete" else "".join(rng.choice("xy<|\\ ") for _ in range(rng.randint(0, 5)))))
+        logs[conv] = events
+    rows = [(conv, seq, 0, event, message, role, text) for conv, events in logs.items() for seq, event, message, role, text in events]
+    rng.shuffle(rows)
+    df = spark.createDataFrame(rows, "conv_id long, seq long, part int, event string, message_id long, role string, text string").repartition(5)
+    got = {r.conv_id: r for r in chat.parse(chat.render(chat.fold(df))).collect()}
+    for conv, events in logs.items():
+        want = replayed(events)
+        assert ([(t.role, t.text) for t in got[conv].turns] if conv in got else []) == want, conv
+        assert not want or list(got[conv].loss_texts) == [x for role, x in want if role == "assistant"]
+
+
 def test_format_is_reversible(spark):
     rng = random.Random(7)
     text = lambda: "".join(rng.choice(["<", "|", "\\", "<|im_start|>", "<|im_end|>", "\n", "a", "é", "😀", "assistant"]) for _ in range(rng.randint(0, 30)))
@@ -459,7 +502,39 @@ def test_license_windows(spark, odd, nothing):
     assert got[99] == got[100] == got[101] == [] and got[102] == ["apache-2.0"]
     half = " ".join(licenses.TEMPLATES["mit-permission"].split()[:30])
     assert licenses.scan(spark.createDataFrame([(1, half)], "doc_id long, text string")).first()._l_matches == []
-    assert licenses.scan(odd).count() == len(odd_rows()) and licenses.scan(nothing).count() == 0
+    clash = odd.withColumns({c: F.lit(1) for c in ("a", "x", "i", "s", "v", "bits", "templates", "sig", "name")})
+    found = licenses.scan(clash)
+    assert found.count() == len(odd_rows()) and found.columns[:-2] == clash.columns and licenses.scan(nothing).count() == 0
+
+
+def brute_licenses(text, known):
+    held = set(licenses.shingles_of(licenses.normal_words(text or "")))
+    return sorted(name for name, s in known.items() if sum(g in held for g in s) >= licenses.CONTAINED * len(s))
+
+
+def damaged(rng, text, share):
+    """Single words changed so that about this share of the shingles is lost."""
+    words = text.split()
+    for _ in range(max(0, round(share * len(words) / licenses.SHINGLE))):
+        words[rng.randrange(len(words))] = f"q{rng.randrange(1000)}"
+    return " ".join(words)
+
+
+@pytest.mark.parametrize("most", [licenses.MOST_BANDS, 150])
+def test_recall_of_damaged_templates(spark, monkeypatch, most):
+    """Whole license texts, one of 3,000 words, and short notices, damaged up to what containment allows."""
+    monkeypatch.setattr(licenses, "MOST_BANDS", most)  # 150: the list is scanned in several parts
+    rng = random.Random(18)
+    templates = licenses.TEMPLATES | {"long": " ".join(f"clause{rng.randrange(2000)}" for _ in range(3000))}
+    known = licenses.template_shingles(templates)
+    filler = lambda: " ".join(f"w{rng.randrange(10**4)}" for _ in range(rng.randint(0, 150)))
+    texts = [f"{filler()} {damaged(rng, t, share)} {filler()}" for t in templates.values() for share in (0, 0.05, 0.1, 0.15, 0.2) for _ in range(4)]
+    got = {r.doc_id: [m.license for m in r._l_matches] for r in licenses.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), templates).collect()}
+    want = [brute_licenses(t, known) for t in texts]
+    assert all(set(got[k]) <= set(w) and got[k] == sorted(got[k]) for k, w in enumerate(want))
+    hit, all_ = sum(len(set(got[k]) & set(w)) for k, w in enumerate(want)), sum(map(len, want))
+    assert all_ > 200 and hit >= 0.99 * all_
+    assert sum("long" in got[k] for k in got) == sum("long" in w for w in want) > 5
 
 
 # -- simhash ---------------------------------------------------------------------
