@@ -23,7 +23,10 @@ def split_reference(text: Column) -> tuple[Column, Column]:
 
 
 #: Words of narrations and what they tell, most specific first.
-KINDS = (("ATM", r"\bATM|CASH WDL\b"), ("UPI", r"\bUPI\b"), ("NEFT", r"\bNEFT\b"), ("RTGS", r"\bRTGS\b"), ("IMPS", r"\bIMPS\b"), ("CHEQUE", r"\bCHQ|CHEQUE\b"), ("INTEREST", r"\bINT(EREST)?\b"), ("CHARGES", r"\bCHARGES?\b|\bFEE\b"), ("CASH", r"\bCASH\b"))
+KINDS = (
+    ("ATM", r"\b(ATM|CASH WDL)\b"), ("UPI", r"\bUPI\b"), ("NEFT", r"\bNEFT\b"), ("RTGS", r"\bRTGS\b"), ("IMPS", r"\bIMPS\b"), ("CHEQUE", r"\b(CHQ|CHEQUE)\b"), ("INTEREST", r"\bINT(EREST)?\b"),
+    ("CHARGES", r"\b(CHARGES?|FEE)\b"), ("CASH", r"\bCASH\b"),
+)
 
 
 def kind_of(text: Column, default: str | None = "MISC", kinds=KINDS) -> Column:
@@ -34,10 +37,20 @@ def kind_of(text: Column, default: str | None = "MISC", kinds=KINDS) -> Column:
     return out
 
 
-def entry_type(names: Column) -> Column:
-    """FLT-20.  STOCK, TCS or NORMAL by words of the item names (an array)."""
-    text = F.upper(F.array_join(names, " "))
-    return F.when(text.rlike("WINE|BEER|WHISKY|LIQUOR|RUM"), "TCS").when(text.rlike("STEEL|CEMENT|BOLT|WIRE|PIPE"), "STOCK").otherwise("NORMAL")
+#: Words of bills for liquor and for services.
+LIQUOR = r"(?i)\b(liquor|beer|whisk(?:e)?y|wine|rum|vodka|gin|brandy|imfl|bar|pint|peg)\b"
+SERVICE = r"(?i)\b(work|works|labou?r|service|services|repair|construction|contractor|installation|fitting|cutting|levelling|transport|charges|consultancy)\b"
+
+
+def entry_type(names: Column, codes: Column | None = None) -> Column:
+    """FLT-20.  TCS for liquor, NORMAL for services (words, or a service code that begins with 99), STOCK for goods with a code, else NORMAL.
+
+    ``names`` are the items' descriptions and the supplier's name, ``codes`` the items' codes; without codes all items are goods.
+    """
+    text = F.array_join(names, " ")
+    service = text.rlike(SERVICE) if codes is None else text.rlike(SERVICE) | F.exists(codes, lambda c: c.startswith("99"))
+    goods = F.size(names) > 0 if codes is None else F.exists(codes, lambda c: c.isNotNull() & (c != ""))
+    return F.when(text.rlike(LIQUOR), "TCS").when(service, "NORMAL").when(goods, "STOCK").otherwise("NORMAL")
 
 
 def amount_text(text: Column) -> Column:

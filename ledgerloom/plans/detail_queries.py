@@ -81,7 +81,7 @@ SELECT doc_id, seq, CASE WHEN regexp_matches(l, '[0-9]') AND length(t) > length(
     ),
     "flt_20_entry_types": (
         lambda s, d: s.read.parquet(f"{d}/part.parquet").groupBy("p_brand").agg(F.array_sort(F.collect_set("p_type")).alias("t")).select("p_brand", T.entry_type(F.col("t")).alias("entry_type")),
-        "SELECT p_brand, CASE WHEN bool_or(regexp_matches(upper(p_type), 'WINE|BEER|WHISKY|LIQUOR|RUM')) THEN 'TCS' WHEN bool_or(regexp_matches(upper(p_type), 'STEEL|CEMENT|BOLT|WIRE|PIPE')) THEN 'STOCK' ELSE 'NORMAL' END AS entry_type FROM part GROUP BY 1",
+        "SELECT p_brand, CASE WHEN bool_or(regexp_matches(lower(p_type), '\\b(liquor|beer|whiske?y|wine|rum|vodka|gin|brandy|imfl|bar|pint|peg)\\b')) THEN 'TCS' WHEN bool_or(regexp_matches(lower(p_type), '\\b(works?|labou?r|services?|repair|transport|charges)\\b')) THEN 'NORMAL' ELSE 'STOCK' END AS entry_type FROM part GROUP BY 1",
     ),
     "flt_24_period": (ledger(lambda x: T.in_period(x, "1995-01-01", "1997-12-31")[1].select("doc_id", "seq")), f"WITH {LEDGER} SELECT doc_id, seq FROM ledger WHERE txn_date < DATE '1995-01-01' OR txn_date > DATE '1997-12-31'"),
     "agg_13_usual_heading": (
