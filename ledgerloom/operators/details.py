@@ -101,14 +101,25 @@ def backfill(rows: DataFrame, column: str) -> DataFrame:
     return rows.withColumn("filled", F.coalesce(F.col(column), only))
 
 
-def group_problems(problems: DataFrame) -> DataFrame:
-    """AGG-16, LIM-02.  Problems by kind: count, first row, sum of sizes, and the first five rows."""
-    return problems.groupBy("doc_id", "kind").agg(
+def group_problems(problems: DataFrame, most: int = 5) -> DataFrame:
+    """AGG-16.  Problems by kind: count, first row, sum of sizes, and the first five rows; no group is collected."""
+    place = F.row_number().over(Window.partitionBy("doc_id", "kind").orderBy("seq"))
+    rows = problems.withColumn("_i", place)
+    return rows.groupBy("doc_id", "kind").agg(
         F.count("*").alias("n"), F.min("seq").alias("first_seq"), F.sum(F.abs("amount")).cast(MONEY).alias("total"),
-        F.array_join(F.transform(F.slice(F.array_sort(F.collect_list("seq")), 1, 5), lambda x: x.cast("string")), ",").alias("shown"),
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("_i") <= most, F.col("seq")))), lambda x: x.cast("string")), ",").alias("shown"),
     )
 
 
+def first_few(rows: DataFrame, most: int = 5) -> DataFrame:
+    """LIM-02.  The first few rows of each document, and how many more there are."""
+    w = Window.partitionBy("doc_id").orderBy("seq")
+    numbered = rows.select("doc_id", "seq", F.row_number().over(w).alias("_i"))
+    few = numbered.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.when(F.col("_i") <= most, F.col("seq")))).alias("s"), F.count("*").alias("n"))
+    more = F.when(F.col("n") > most, F.concat(F.lit(" +"), (F.col("n") - most).cast("string"), F.lit(" more"))).otherwise("")
+    return few.select("doc_id", F.concat(F.array_join(F.transform("s", lambda x: x.cast("string")), ", "), more).alias("shown"))
+
+
 def serial_gap(rows: DataFrame) -> DataFrame:
     """AGG-25.  Largest serial number against the number of rows."""
     return rows.groupBy("doc_id").agg(F.max("serial").alias("max_serial"), F.count("*").alias("n_rows"), (F.max("serial") - F.count("*")).alias("missing"))

@@ -18,7 +18,7 @@ def _order():
 
 
 def _money(text: Column) -> Column:
-    return F.replace(text, F.lit(","), F.lit("")).try_cast(MONEY)
+    return F.regexp_replace(text, ",", "").try_cast(MONEY)
 
 
 def parse_rows(lines: DataFrame) -> DataFrame:
@@ -35,10 +35,10 @@ def parse_rows(lines: DataFrame) -> DataFrame:
     at = lambda k: F.get("_a", n - k)
     rows = rows.withColumns({"n": n, "date": S.parse_date(F.col("_d")), "balance": _money(at(1)), "_first": F.when(n >= 3, at(3)).otherwise(at(2)), "_x": _money(F.when(n >= 3, at(3)).otherwise(at(2))), "_y": _money(at(2))})
     rows = rows.where("date IS NOT NULL").withColumn("_before", F.lag("balance").over(_order()))
-    body = F.substring_index(F.expr("substring(text, locate(_d, text) + length(_d))"), F.col("_first"), 1)
+    body = F.expr("substring_index(substring(text, locate(_d, text) + length(_d)), _first, 1)")
     body = S.clean(F.regexp_replace(body, r"\b\d{2}[/-]\d{2}[/-]\d{2,4}\s*$", ""))
     rows = rows.withColumn("_body", body)
-    last = F.element_at(F.split("_body", " "), -1)
+    last = F.element_at(F.split(F.col("_body"), " "), -1)
     ref = F.when(last.rlike(r"(?i)^[A-Z0-9]{6,}$") & last.rlike(r"\d") & (F.length("_body") > F.length(last)), last)
     rows = rows.withColumn("_ref", ref)
     text = S.tighten(F.when(F.col("_ref").isNull(), F.col("_body")).otherwise(F.expr("left(_body, length(_body) - length(_ref))")))

@@ -246,7 +246,7 @@ SELECT o_orderkey, sign || CASE WHEN length(w) > 7 THEN left(w, length(w) - 7) |
     ),
     "num_05_paise": (
         orders(lambda: [F.round((K() % 1000).cast("decimal(10,0)") * F.round((PRICE() / 1000).cast("decimal(18,4)"), 2), 2).cast("decimal(18,2)").alias("v")]),
-        f"WITH p AS (SELECT o_orderkey, ({WHOLE} * 100)::BIGINT AS c FROM orders) SELECT o_orderkey, ((o_orderkey % 1000) * ((c // 10 + 50) // 100) / 100)::{M} AS v FROM p",
+        f"WITH p AS (SELECT o_orderkey, ({WHOLE} * 100)::BIGINT AS c FROM orders) SELECT o_orderkey, ((o_orderkey % 1000) * (((c + 5) // 10 + 50) // 100) / 100)::{M} AS v FROM p",
     ),
     "num_06_half_even": (
         orders(lambda: [R.half_even(((K() % 4001 - 2000) * F.lit(5) / F.lit(1000)).cast("decimal(18,3)")).alias("v")]),

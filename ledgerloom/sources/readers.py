@@ -60,6 +60,20 @@ def page_preflight(pages: DataFrame, least: int = 8, empty_share: float = 0.75)
     )
 
 
+def password_problem(message: Column) -> Column:
+    """SRC-02.  What a reader's error message means for the caller; null without one."""
+    m = F.lower(message)
+    return F.when(m.contains("no password"), "password_required").when(m.contains("password"), "password_wrong").when(message.isNotNull(), "unreadable")
+
+
+def typed_errors(replies: DataFrame) -> DataFrame:
+    """SRC-21.  Typed values of recorded replies, and why one is missing."""
+    raw = F.get_json_object("reply", "$.k")
+    value = raw.try_cast("long")
+    errors = F.when(raw.isNull(), "k: missing").when(value.isNull(), "k: not a number").otherwise("")
+    return replies.select("event_id", value.alias("k"), errors.alias("errors"))
+
+
 def invoices(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """SRC-13, SRC-17, SRC-21.  Recorded readings as typed rows; what doesn't fit stands in ``_corrupt``."""
     return spark.read.schema(schema + ", _corrupt string").option("columnNameOfCorruptRecord", "_corrupt").option("mode", "PERMISSIVE").json(path)
