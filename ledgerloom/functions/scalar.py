@@ -28,9 +28,13 @@ def join_wrapped(lines: Column) -> Column:
     return F.aggregate(lines, F.lit(""), lambda a, x: F.when(a == "", x).when(a.endswith("/"), F.concat(a, x)).otherwise(F.concat(a, F.lit(" "), x)))
 
 
+#: Letters that scans confuse with digits, and those digits.
+LOOKALIKES = ("OoIlSsB", "0011558")
+
+
 def ocr_digits(token: Column) -> Column:
     """STR-05.  Letters that are read for digits put right, only where that makes a date or an amount."""
-    fixed = F.translate(token, "OoIlSsB", "0011558")
+    fixed = F.translate(token, *LOOKALIKES)
     return F.when(fixed.rlike(r"^(\d{1,2}[-/.]\d{1,2}[-/.]\d{2,4}|\d{1,3}(,?\d{2,3})*\.\d{2})$"), fixed).otherwise(token)
 
 
@@ -46,7 +50,7 @@ def similarity(a: Column, b: Column) -> Column:
 
 
 #: Words that say nothing about which company is meant.
-COMPANY_WORDS = ("AND", "CO", "COMPANY", "CORP", "INC", "LIMITED", "LLP", "LTD", "PRIVATE", "PVT", "THE")
+COMPANY_WORDS = ("M", "S", "MS", "THE", "PVT", "PRIVATE", "LTD", "LIMITED", "CO", "COMPANY", "AND")
 
 
 def party_name(x: Column) -> Column:

@@ -78,9 +78,14 @@ def rebuild_amounts(ledger: DataFrame) -> DataFrame:
     missing: then rows are missing in between.  Balances are read and amounts are
     written, so nothing depends on an earlier correction.
     """
+    return rebuilt(statement_order(ledger)).select("doc_id", "seq", "withdrawal", "deposit", "new_withdrawal", "new_deposit", "changed")
+
+
+def rebuilt(ordered: DataFrame) -> DataFrame:
+    """The columns that ``rebuild_amounts`` makes, for rows that have their ``ord``."""
     move = F.col("balance") - F.lag("balance").over(_by_ord())
     before = F.lag("txn_date").over(_by_ord())
-    rows = statement_order(ledger).withColumns({"move": _money(move), "before": before})
+    rows = ordered.withColumns({"move": _money(move), "before": before})
     size = F.abs("move")
     printed = F.col("withdrawal").isNotNull() | F.col("deposit").isNotNull()
     # a null side never is far from the movement
@@ -93,7 +98,7 @@ def rebuild_amounts(ledger: DataFrame) -> DataFrame:
     d = F.when(keep, F.col("deposit")).when(still, F.lit(None)).when(F.col("move") > 0, size)
     fixed = rows.select("*", _money(w).alias("new_withdrawal"), _money(d).alias("new_deposit"))
     changed = (_zero("withdrawal") != _zero("new_withdrawal")) | (_zero("deposit") != _zero("new_deposit"))
-    return fixed.select("doc_id", "seq", "withdrawal", "deposit", "new_withdrawal", "new_deposit", changed.alias("changed"))
+    return fixed.withColumn("changed", changed)
 
 
 def classify_by_delta(ledger: DataFrame, tolerance: str = "0.02", newest_first: bool = False) -> DataFrame:
@@ -197,26 +202,56 @@ def page_totals(ledger: DataFrame) -> DataFrame:
     return ledger.groupBy("doc_id", "page").agg(F.count("*").alias("n_rows"), _money(F.sum(_zero("withdrawal"))).alias("debits"), _money(F.sum(_zero("deposit"))).alias("credits"))
 
 
+def _both() -> Column:
+    return (_zero("withdrawal") != 0) & (_zero("deposit") != 0)
+
+
+def _negative() -> Column:
+    return ~F.coalesce("is_reversal", F.lit(False)) & ((_zero("withdrawal") < 0) | (_zero("deposit") < 0))
+
+
 def both_sides(ledger: DataFrame) -> DataFrame:
     """CHK-03.  Rows with amounts on both sides, or a negative amount that is no reversal."""
-    both = (_zero("withdrawal") != 0) & (_zero("deposit") != 0)
-    negative = ~F.coalesce("is_reversal", F.lit(False)) & ((_zero("withdrawal") < 0) | (_zero("deposit") < 0))
-    return ledger.where(both | negative).select("doc_id", "seq", F.when(both, "both_sides").otherwise("negative").alias("kind"))
+    return ledger.where(_both() | _negative()).select("doc_id", "seq", F.when(_both(), "both_sides").otherwise("negative").alias("kind"))
 
 
-def confidence(ledger: DataFrame, review_below: int = 80) -> DataFrame:
-    """CHK-04.  100, less 40 without a date, 40 without an amount, 30 for a broken chain, 15 for a corrected reading; with reasons."""
-    expected = F.lag("balance").over(_by_ord()) - _zero("withdrawal") + _zero("deposit")
-    rows = statement_order(ledger).withColumn("broken", F.coalesce(F.abs(expected - F.col("balance")) > F.lit(BREAK).cast(MONEY), F.lit(False)))
-    faults = [
+def _faults() -> list:
+    """What costs a row confidence: condition (on a row with ``broken``), how much, name."""
+    return [
         (F.col("txn_date").isNull(), 40, "no_date"),
         (F.col("withdrawal").isNull() & F.col("deposit").isNull(), 40, "no_amount"),
         (F.col("broken"), 30, "chain"),
         (F.coalesce("ocr_corrected", F.lit(False)), 15, "ocr"),
     ]
-    score = F.greatest(F.lit(0), F.lit(100) - sum((F.when(c, n).otherwise(0) for c, n, _ in faults), F.lit(0)))
-    reasons = F.array_join(F.array_compact(F.array(*(F.when(c, name) for c, _, name in faults))), ",")
-    return rows.select("doc_id", "seq", score.cast("int").alias("score"), reasons.alias("reasons"), (score < review_below).alias("review"))
+
+
+def _score() -> Column:
+    return F.greatest(F.lit(0), F.lit(100) - sum((F.when(c, n).otherwise(0) for c, n, _ in _faults()), F.lit(0)))
+
+
+def _broken() -> Column:
+    expected = F.lag("balance").over(_by_ord()) - _zero("withdrawal") + _zero("deposit")
+    return F.coalesce(F.abs(expected - F.col("balance")) > F.lit(BREAK).cast(MONEY), F.lit(False))
+
+
+def confidence(ledger: DataFrame, review_below: int = 80) -> DataFrame:
+    """CHK-04.  100, less 40 without a date, 40 without an amount, 30 for a broken chain, 15 for a corrected reading; with reasons."""
+    rows = statement_order(ledger).withColumn("broken", _broken())
+    reasons = F.array_join(F.array_compact(F.array(*(F.when(c, name) for c, _, name in _faults()))), ",")
+    return rows.select("doc_id", "seq", _score().cast("int").alias("score"), reasons.alias("reasons"), (_score() < review_below).alias("review"))
+
+
+def counts_of_faults(ledger: DataFrame, review_below: int = 80) -> DataFrame:
+    """CHK-01.  One row a document, in one pass over its rows: chain breaks, totals, opening, closing, corrections, duplicates, side faults and weak rows."""
+    rows = rebuilt(statement_order(ledger).withColumn("broken", _broken()))
+    sums = rows.groupBy("doc_id").agg(
+        F.count_if("broken").alias("breaks"), _money(F.sum(_zero("withdrawal"))).alias("debits"), _money(F.sum(_zero("deposit"))).alias("credits"),
+        _money(F.min_by(F.col("balance") + _zero("withdrawal") - _zero("deposit"), "ord")).alias("opening"),
+        _money(F.max_by("balance", F.when(F.col("balance").isNotNull(), F.col("ord")))).alias("closing"),
+        F.count_if("changed").alias("corrections"), (F.count("*") - F.size(F.collect_set(F.struct(*dedupe_key())))).alias("duplicates"),
+        F.count_if(_both() | _negative()).alias("side_faults"), F.count_if(_score() < review_below).alias("weak_rows"), F.count("*").alias("n_rows"),
+    )
+    return sums.withColumn("difference", _money(F.col("opening") + F.col("credits") - F.col("debits") - F.col("closing")))
 
 
 def fill_dates(ledger: DataFrame) -> DataFrame:

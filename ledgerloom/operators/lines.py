@@ -57,10 +57,10 @@ def split_merged(lines: DataFrame, marker: str) -> DataFrame:
     return lines.select("doc_id", "page", "line_no", F.posexplode(F.filter(F.split("text", f"(?={marker})"), lambda t: t != "")).alias("part", "text"))
 
 
-def two_columns(lines: DataFrame, right: str = "text") -> DataFrame:
-    """ROW-14, SRT-02.  Reading order of two-column pages: a page's left lines, then its right ones (odd lines)."""
-    side = F.col("line_no") % 2
-    return lines.select("doc_id", "line_no", F.row_number().over(Window.partitionBy("doc_id").orderBy("page", side, "line_no")).alias("place"))
+def two_columns(lines: DataFrame, middle: float) -> DataFrame:
+    """ROW-14.  Reading order of two-column pages: a page's lines left of ``middle``, then the others."""
+    w = Window.partitionBy("doc_id").orderBy("page", F.col("x") >= middle, "line_no")
+    return lines.select("doc_id", "line_no", F.row_number().over(w).alias("place"))
 
 
 def noise(lines: DataFrame, patterns: list[str]) -> DataFrame:

@@ -31,16 +31,13 @@ def against_printed(ledger: DataFrame, printed: DataFrame) -> DataFrame:
 
 
 def verdict(ledger: DataFrame) -> DataFrame:
-    """CHK-01, CHK-05.  One row a document: reasons for review, raw and after correction, and ok or needs_review.
+    """CHK-05.  One row a document: reasons for review, raw and after correction, and ok or needs_review.
 
     Chain breaks are counted on the rows as they stand, so corrections can't hide them.
     """
-    check = L.closing_check(ledger).select("doc_id", "breaks", "difference", "status")
-    fixed = L.rebuild_amounts(ledger).groupBy("doc_id").agg(F.count_if("changed").alias("corrections"))
-    twice = L.mark_duplicates(ledger).groupBy("doc_id").agg(F.count("duplicate_of").alias("duplicates"))
-    sides = L.both_sides(ledger).groupBy("doc_id").agg(F.count("*").alias("side_faults"))
-    weak = L.confidence(ledger).groupBy("doc_id").agg(F.count_if("review").alias("weak_rows"))
-    rows = check.join(fixed, "doc_id").join(twice, "doc_id").join(weak, "doc_id").join(sides, "doc_id", "left").withColumn("side_faults", F.coalesce("side_faults", F.lit(0)))
+    rows = L.counts_of_faults(ledger)
+    bad = F.abs(F.col("difference")) > F.lit(L.BREAK).cast(MONEY)
+    rows = rows.withColumn("status", F.when(F.col("difference").isNotNull() & (bad | (F.col("breaks") > 0)), "FAIL").otherwise("PASS"))
     reason = lambda c, name: F.when(F.col(c) > 0, F.concat(F.lit(name + "="), F.col(c).cast("string")))
     reasons = F.array_compact(F.array(reason("breaks", "chain"), F.when(F.col("status") == "FAIL", "closing"), reason("corrections", "corrected"), reason("duplicates", "duplicates"), reason("side_faults", "sides"), reason("weak_rows", "weak")))
     return rows.select("doc_id", F.array_join(reasons, ";").alias("reasons"), F.when(F.size(reasons) == 0, "ok").otherwise("needs_review").alias("review"))

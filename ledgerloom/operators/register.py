@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -29,16 +29,15 @@ def suggestions(register: DataFrame) -> DataFrame:
     return rows.where("suggested >= 0 AND suggested <> net").select("product", "day", "net", "suggested", one_digit_apart(F.col("net"), F.col("suggested")).alias("plausible"))
 
 
-def serials(register: DataFrame, letter: str = "A") -> DataFrame:
-    """WIN-13, SRT-05.  Numbers A1, A2, … by day and product within each day's month block."""
-    # days are at most 31 and products few: rows of a month, whatever the input
-    n = F.row_number().over(Window.partitionBy(F.lit(letter)).orderBy("day", "product"))
-    return register.select("product", "day", F.concat(F.lit(letter), n.cast("string")).alias("serial"))
+def serials(registers: DataFrame, letter: str = "A") -> DataFrame:
+    """WIN-13.  Numbers A1, A2, … by day and product within each register (``register_id``: one station's month)."""
+    n = F.row_number().over(Window.partitionBy("register_id").orderBy("day", "product"))
+    return registers.select("register_id", "product", "day", F.concat(F.lit(letter), n.cast("string")).alias("serial"))
 
 
-def missing_days(register: DataFrame, days: int = 31) -> DataFrame:
-    """SET-03.  Days of the month that a product has no row for."""
-    wanted = register.select("product").distinct().select("product", F.explode(F.sequence(F.lit(1), F.lit(days))).alias("day"))
+def missing_days(register: DataFrame, days) -> DataFrame:
+    """SET-03.  Days of the month, which has ``days`` (a number or a column), that a product has no row for."""
+    wanted = register.select("product").distinct().select("product", F.explode(F.sequence(F.lit(1), days if isinstance(days, Column) else F.lit(days))).alias("day"))
     return wanted.join(register.select("product", "day"), ["product", "day"], "left_anti")
 
 
@@ -50,9 +49,9 @@ def meter_flags(register: DataFrame) -> DataFrame:
 
 
 def merge_reads(first: DataFrame, second: DataFrame) -> DataFrame:
-    """JOIN-06.  Cells in which two readings differ, null-safe: product, day, column, both values."""
+    """JOIN-06.  Cells in which two readings differ, null-safe: product, day, column, both values; rows that one reading lacks differ in all cells it would have."""
     columns = ["net", "cumulative", "sales_by_meter", "pump_test"]
-    both = first.alias("a").join(second.alias("b"), ["product", "day"], "left")
+    both = first.alias("a").join(second.alias("b"), ["product", "day"], "full")
     cells = both.select("product", "day", F.inline(F.array(*(F.struct(F.lit(c).alias("col"), F.col(f"a.{c}").alias("read1"), F.col(f"b.{c}").alias("read2")) for c in columns))))
     return cells.where(~F.col("read1").eqNullSafe(F.col("read2")))
 

@@ -5,35 +5,55 @@ All keep the first of equal solutions, so results don't depend on partitioning.
 
 from __future__ import annotations
 
+from collections import deque
 from itertools import product
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 #: Widths and costs of the searches.
 BEAM, SKIP, MISREAD = 80, 1.0, 2.0
-#: Digits that scans confuse.
-CONFUSED = {"0": "868", "1": "74", "3": "85", "4": "19", "5": "36", "6": "85", "7": "12", "8": "036", "9": "4"}
+#: What it costs to read a printed digit as another one, by both digits, printed first.
+CONFUSABLE = {
+    "41": 0.1, "14": 0.8, "17": 0.5, "71": 0.5, "38": 0.4, "83": 0.4, "68": 0.4, "86": 0.4, "08": 0.4, "80": 0.4, "56": 0.4, "65": 0.4, "98": 0.4, "89": 0.4, "06": 0.4, "60": 0.4,
+    "27": 0.5, "72": 0.5,
+}
+#: What a read 1 may stand for, all ones of a number at once, and in how many ones that is tried.
+ONES, MOST_ONES = "147", 4
 
 
-def variants(number: str) -> list[str]:
-    """NUM-08.  A number and what it may be misread for by one digit, itself first."""
+def single_swaps(number: str) -> list[str]:
+    """A number as read, itself first, and what may have been printed if one digit is misread."""
     out = [number]
     for i, d in enumerate(number):
-        out += [number[:i] + c + number[i + 1 :] for c in CONFUSED.get(d, "")]
+        out += [number[:i] + pair[0] + number[i + 1 :] for pair in CONFUSABLE if pair[1] == d]
     return list(dict.fromkeys(out))
 
 
-def scan_distance(a: str, b: str) -> float:
-    """STR-09.  Edit distance in which confusable digits cost a half."""
-    row = [float(j) for j in range(len(b) + 1)]
-    for i, x in enumerate(a, 1):
-        last, row[0] = row[0], float(i)
-        for j, y in enumerate(b, 1):
-            swap = 0.0 if x == y else 0.5 if y in CONFUSED.get(x, "") or x in CONFUSED.get(y, "") else 1.0
-            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + swap)
-    return row[-1]
+def variants(number: str) -> list[str]:
+    """NUM-08.  ``single_swaps``, and every choice of 1, 4 and 7 for the ones of a number that has few."""
+    ones = [i for i, d in enumerate(number) if d == "1"]
+    out = single_swaps(number)
+    if len(ones) <= MOST_ONES:
+        for choice in product(ONES, repeat=len(ones)):
+            digits = list(number)
+            for i, d in zip(ones, choice):
+                digits[i] = d
+            out.append("".join(digits))
+    return list(dict.fromkeys(out))
+
+
+def scan_distance(printed: str, read: str) -> float:
+    """STR-09.  Edit distance from a printed number to what was read: a confusable digit costs what ``CONFUSABLE`` says, another edit 1, junk read in front of the number 0.5 a sign."""
+    costs = [0.5 * j for j in range(len(read) + 1)]
+    for i, p in enumerate(printed, 1):
+        above, costs = costs, [float(i)]
+        for j, r in enumerate(read, 1):
+            swap = 0.0 if p == r else CONFUSABLE.get(p + r, 1.0)
+            costs.append(min(above[j] + 1, costs[j - 1] + 1, above[j - 1] + swap))
+    return costs[-1]
 
 
 def edit_distance(a: str, b: str) -> int:
@@ -149,24 +169,25 @@ def chain(opening: float, rows: list[tuple[list[float], list[float]]], width: in
     Each row has candidate amounts and balances, likeliest first; a later candidate
     costs ``MISREAD`` times its place, a balance that the chain doesn't explain ``SKIP`` more.
     """
-    beam: list[tuple] = [(0.0, opening, None)]  # cost, balance, (step, what came before)
+    beam: list[tuple] = [(0.0, round(opening * 100), None)]  # cost, balance in cents, (step, what came before)
     for amounts, balances in rows:
-        place = {round(b, 2): k for k, b in reversed(list(enumerate(balances)))}
-        grown: dict[float, tuple] = {}
+        amounts, balances = [round(a * 100) for a in amounts], [round(b * 100) for b in balances]
+        place = {b: k for k, b in reversed(list(enumerate(balances)))}
+        grown: dict[int, tuple] = {}
 
-        def grow(tried: list[tuple[int, float]]) -> None:
+        def grow(tried: list[tuple[int, int]]) -> None:
             for cost, balance, path in beam:
                 for i, a in tried:
                     for sign in (1, -1):
-                        to = round(balance + sign * a, 2)
-                        k = next((place[x] for x in (to, round(to + 0.01, 2), round(to - 0.01, 2)) if x in place), None)
+                        to = balance + sign * a
+                        k = next((place[x] for x in (to, to + 1, to - 1) if x in place), None)
                         c = cost + MISREAD * i + (MISREAD * k if k is not None else 3 * MISREAD)
                         if to not in grown or c < grown[to][0]:
                             grown[to] = (c, to, ((sign * a, to), path))
                 if balances:  # the printed balance as it stands, whatever the amount says
                     c, to = cost + MISREAD + 4 * SKIP, balances[0]
                     if to not in grown or c < grown[to][0]:
-                        grown[to] = (c, to, ((round(to - balance, 2), to), path))
+                        grown[to] = (c, to, ((to - balance, to), path))
 
         grow(list(enumerate(amounts[:1])))
         if balances and not any(c <= beam[0][0] for c, _, _ in grown.values()):  # only what isn't explained as it stands can be misread
@@ -175,7 +196,7 @@ def chain(opening: float, rows: list[tuple[list[float], list[float]]], width: in
     cost, _, path = beam[0]
     steps = []
     while path:
-        steps.append(path[0])
+        steps.append((path[0][0] / 100, path[0][1] / 100))
         path = path[1]
     return cost, steps[::-1]
 
@@ -186,8 +207,8 @@ def solve_chains(ledger: DataFrame) -> DataFrame:
         rows = rows.sort_values("seq")
         read = []
         for r in rows.itertuples():
-            amounts = [float(v) for v in variants(f"{r.amount:.2f}")] if pd.notna(r.amount) else []
-            balances = [float(v) for v in variants(f"{r.balance:.2f}")] if pd.notna(r.balance) and r.balance >= 0 else [float(r.balance)] if pd.notna(r.balance) else []
+            amounts = [float(v) for v in single_swaps(f"{r.amount:.2f}")] if pd.notna(r.amount) else []
+            balances = [float(v) for v in single_swaps(f"{r.balance:.2f}")] if pd.notna(r.balance) and r.balance >= 0 else [float(r.balance)] if pd.notna(r.balance) else []
             read.append((amounts, balances))
         _, path = chain(float(rows.opening.iloc[0]), read)
         path += [(float("nan"), float("nan"))] * (len(rows) - len(path))
@@ -197,17 +218,23 @@ def solve_chains(ledger: DataFrame) -> DataFrame:
 
 
 def chain_order(before: list[float], after: list[float]) -> list[int]:
-    """WIN-22.  Rows in the order in which each one's balance is the next one's previous balance; rows that don't link follow in file order."""
-    waiting: dict[float, list[int]] = {}
-    for i, b in enumerate(before):
-        waiting.setdefault(round(b, 2), []).append(i)
-    starts = [i for i, b in enumerate(before) if round(b, 2) not in {round(a, 2) for a in after}]
-    out, seen = [], set()
-    for i in [*starts, *range(len(before))]:
+    """WIN-22.  Rows in the order in which each one's balance is the next one's previous balance; rows that don't link follow in file order.
+
+    Linear: a waiting row is looked at once.
+    """
+    start, end = [round(b * 100) for b in before], [round(a * 100) for a in after]
+    waiting: dict[int, deque] = {}
+    for i, b in enumerate(start):
+        waiting.setdefault(b, deque()).append(i)
+    ends, out, seen = set(end), [], set()
+    for i in [*(i for i, b in enumerate(start) if b not in ends), *range(len(start))]:
         while i is not None and i not in seen:
             out.append(i)
             seen.add(i)
-            i = next((j for j in waiting.get(round(after[i], 2), []) if j not in seen), None)
+            queue = waiting.get(end[i], ())
+            while queue and queue[0] in seen:
+                queue.popleft()
+            i = queue[0] if queue else None
     return out
 
 
@@ -221,6 +248,18 @@ def order_chains(ledger: DataFrame) -> DataFrame:
     return ledger.groupBy("doc_id").applyInPandas(one, "doc_id long, seq long, place long")
 
 
+@F.pandas_udf("array<string>")
+def variants_of(numbers: pd.Series) -> pd.Series:
+    """NUM-08 over a column of amounts as text."""
+    return numbers.map(variants)
+
+
+@F.pandas_udf("double")
+def scan_distances(printed: pd.Series, read: pd.Series) -> pd.Series:
+    """STR-09 over two columns."""
+    return pd.Series([scan_distance(a, b) for a, b in zip(printed, read)], dtype="float64")
+
+
 def resolve_dates(candidates: list[list], start=None) -> list:
     """SOL-05.  The first candidate of each row that isn't before the last date chosen; else none."""
     out, last = [], start
@@ -232,16 +271,18 @@ def resolve_dates(candidates: list[list], start=None) -> list:
 
 
 def bands(ys: list[float], tolerance: float = 3.0) -> list[int]:
-    """ROW-01 (exact).  Line of each of the sorted positions: the first band whose running mean is near, else a new one."""
-    centres: list[list[float]] = []
-    out = []
+    """ROW-01 (exact).  Line of each of the sorted positions: the first band whose running mean is near, else a new one.
+
+    Positions rise, so a band that one position is too far below is too far for all
+    later ones, and only the newest is looked at.
+    """
+    out, line, total, n = [], -1, 0.0, 0
     for y in ys:
-        k = next((k for k, c in enumerate(centres) if abs(y - sum(c) / len(c)) <= tolerance), None)
-        if k is None:
-            centres.append([])
-            k = len(centres) - 1
-        centres[k].append(y)
-        out.append(k)
+        if n and abs(y - total / n) <= tolerance:
+            total, n = total + y, n + 1
+        else:
+            line, total, n = line + 1, y, 1
+        out.append(line)
     return out
 
 

@@ -32,13 +32,6 @@ def printed(ledger):
     return t.select("doc_id", F.col("debits").alias("printed_debits"), (F.col("credits") + F.when(F.col("doc_id") % 3 == 0, 1).otherwise(0)).cast("decimal(18,2)").alias("printed_credits"), F.when(F.col("doc_id") % 2 == 0, F.col("closing")).alias("printed_closing"))
 
 
-def replies(docs):
-    words = F.transform(F.slice(F.split(F.coalesce("text", F.lit("")), " "), 1, 6), lambda w: F.struct(w.alias("WordText"), F.lit(1.0).alias("Left"), F.lit(2.0).alias("Top"), F.lit(3.0).alias("Height"), F.lit(4.0).alias("Width")))
-    boxed = F.struct(F.col("text").alias("ParsedText"), F.struct(F.array(F.struct(F.lit("x").alias("LineText"), words.alias("Words"))).alias("Lines")).alias("TextOverlay"))
-    plain = F.struct(F.col("text").alias("ParsedText"))
-    return docs.select("doc_id", F.when(F.col("doc_id") % 2 == 0, F.to_json(boxed)).otherwise(F.to_json(plain)).alias("reply"))
-
-
 def whole_replies(docs):
     """Replies with boxes for all words of all lines of every document with an even key."""
     word = lambda w: F.struct(w.alias("WordText"), F.lit(1.0).alias("Left"), F.lit(2.0).alias("Top"), F.lit(3.0).alias("Height"), F.lit(4.0).alias("Width"))
@@ -60,7 +53,7 @@ def amounts(ledger):
 
 
 def with_opening(ledger):
-    o = L.closing_balance(ledger).where("opening IS NOT NULL").select("doc_id", "opening")
+    o = L.closing_balance(ledger).select("doc_id", F.coalesce("opening", F.lit(0)).cast("decimal(18,2)").alias("opening"))
     return amounts(ledger).join(o, "doc_id")
 
 
@@ -68,8 +61,9 @@ def order_rows(ledger):
     return ledger.select("doc_id", ((F.col("seq") * 7919) % 1009).alias("seq"), (F.col("balance") + F.coalesce("withdrawal", F.lit(0)) - F.coalesce("deposit", F.lit(0))).alias("before"), F.col("balance").alias("after")).where("after IS NOT NULL")
 
 
-def notes(docs):
-    return C.word_overlap(docs.select("doc_id", F.substring("text", 1, 60).alias("note"), F.substring(F.col("text"), F.lit(1) + (F.col("doc_id") % 50).cast("int"), F.lit(400)).alias("text")))
+def notes_of_previous(docs):
+    """Each document's whole text against the whole text of the document with the key before."""
+    return C.word_overlap(docs.join(docs.select((F.col("doc_id") + 1).alias("doc_id"), F.col("text").alias("note")), "doc_id", "left"))
 
 
 def notes_of_next(docs):
@@ -118,9 +112,9 @@ SELECT DISTINCT doc_id, page, 'sum' AS why FROM ledger WHERE doc_id % 17 = 0 UNI
         "SELECT doc_id, CASE " + " ".join("WHEN " + " AND ".join(rf"regexp_matches(coalesce(text, ''), '(^|[^\p{{L}}\p{{Nd}}_]){w}($|[^\p{{L}}\p{{Nd}}_])')" for w in ws) + f" THEN '{n}'" for n, ws in WORDS) + " ELSE 'generic' END AS layout FROM documents",
     ),
     "flt_21_word_overlap": (
-        documents(notes),
-        r"""WITH w AS (SELECT doc_id, list_distinct(list_filter(regexp_split_to_array(lower(substr(text, 1, 60)), '[^a-z0-9]+'), lambda x: x <> '')) AS n, list_distinct(list_filter(regexp_split_to_array(lower(substr(text, (1 + doc_id % 50)::INT, 400)), '[^a-z0-9]+'), lambda x: x <> '')) AS t FROM documents)
-SELECT doc_id, len(n)::INT AS n_words, len(n) > 0 AND len(list_intersect(n, t)) >= 0.6 * len(n) AS repeats FROM w""",
+        documents(notes_of_previous),
+        r"""WITH w AS (SELECT doc_id, list_distinct(list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^a-z0-9]+'), lambda x: x <> '')) AS w FROM documents)
+SELECT a.doc_id, coalesce(len(b.w), 0)::INT AS n_words, coalesce(len(b.w) > 0 AND len(list_intersect(b.w, a.w)) >= 0.6 * len(b.w), FALSE) AS repeats FROM w a LEFT JOIN w b ON b.doc_id = a.doc_id - 1""",
     ),
     "flt_21_word_overlap_whole": (
         documents(notes_of_next),
@@ -128,10 +122,9 @@ SELECT doc_id, len(n)::INT AS n_words, len(n) > 0 AND len(list_intersect(n, t))
 SELECT a.doc_id, coalesce(len(b.w), 0)::INT AS n_words, coalesce(len(b.w) > 0 AND len(list_intersect(b.w, a.w)) >= 0.6 * len(b.w), FALSE) AS repeats FROM w a LEFT JOIN w b ON b.doc_id = a.doc_id + 1""",
     ),
     "src_05_json_lines": (
-        documents(lambda x: R.lines_from_json(replies(x)).select("doc_id", "line_no", F.md5("text").alias("h"))),
-        r"""WITH e AS (SELECT doc_id, 0 AS line_no, array_to_string(string_split(coalesce(text, ''), ' ')[1:6], ' ') AS t FROM documents WHERE doc_id % 2 = 0),
-p AS (SELECT doc_id, list_filter(regexp_split_to_array(text, '\r?\n'), lambda x: trim(x) <> '') AS l FROM documents WHERE doc_id % 2 = 1), q AS (SELECT doc_id, (i - 1)::INT AS line_no, l[i] AS t FROM p, unnest(range(1, len(l) + 1)) AS u(i))
-SELECT doc_id, line_no, md5(t) AS h FROM e UNION ALL SELECT doc_id, line_no, md5(t) FROM q""",
+        documents(lambda x: R.lines_from_json(whole_replies(x)).groupBy("doc_id").agg(F.count("*").alias("n_lines"), F.sum(F.length("text")).cast("long").alias("chars"))),
+        r"""WITH p AS (SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN regexp_split_to_array(coalesce(text, ''), '\r?\n') ELSE list_filter(regexp_split_to_array(text, '\r?\n'), lambda x: trim(x) <> '') END AS l FROM documents)
+SELECT doc_id, len(l)::BIGINT AS n_lines, list_sum(list_transform(l, lambda x: length(x)))::BIGINT AS chars FROM p WHERE len(l) > 0""",
     ),
     "src_05_json_lines_whole": (
         documents(lambda x: R.lines_from_json(whole_replies(x)).select("doc_id", "line_no", F.md5("text").alias("h"))),
@@ -162,6 +155,8 @@ SELECT o_orderkey, (floor((m + 5) / 10) / 100)::{M} AS up, (sign(m) * floor((abs
         documents(lambda x: T.split_merged(T.lines_of(x), " The ").groupBy("doc_id").agg(F.count("*").alias("n_parts"), F.sum(F.length("text")).cast("long").alias("chars"))),
         f"""WITH {LINES}, p AS (SELECT doc_id, string_split(replace(text, ' The ', chr(1) || ' The '), chr(1)) AS p FROM lines), q AS (SELECT doc_id, unnest(p) AS t FROM p) SELECT doc_id, count(*) AS n_parts, sum(length(t))::BIGINT AS chars FROM q WHERE t <> '' GROUP BY 1""",
     ),
+    "num_08_variants": (lambda s, d: s.read.parquet(f"{d}/orders.parquet").select("o_orderkey", F.array_join(V.variants_of(F.col("o_totalprice").cast("decimal(18,2)").cast("string")), "|").alias("variants")), None),
+    "str_09_scan_distance": (lambda s, d: s.read.parquet(f"{d}/orders.parquet").select("o_orderkey", V.scan_distances(F.col("o_totalprice").cast("decimal(18,2)").cast("string"), F.concat(F.lit("0"), F.translate(F.col("o_totalprice").cast("decimal(18,2)").cast("string"), "413", "178"))).alias("distance")), None),
     "sol_03_sign_runs": (lambda s, d: V.sign_runs(amounts(view(s, d, "ledger"))), None),
     "sol_01_solve_chains": (lambda s, d: V.solve_chains(with_opening(view(s, d, "ledger"))), None),
     "win_22_chain_order": (lambda s, d: V.order_chains(order_rows(view(s, d, "ledger"))), None),

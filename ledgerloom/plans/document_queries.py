@@ -133,17 +133,21 @@ SELECT doc_id, unnest(['Total debits', 'Total credits', 'Net']) AS label, unnest
         f"""WITH {REG}, p AS (SELECT *, cumulative - coalesce(last_value(cumulative IGNORE NULLS) OVER (PARTITION BY product ORDER BY day ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS s FROM register)
 SELECT product, day, net, s AS suggested, length(net::VARCHAR) = length(s::VARCHAR) AND hamming(rpad(net::VARCHAR, 12, ' '), rpad(s::VARCHAR, 12, ' ')) = 1 AS plausible FROM p WHERE s >= 0 AND s <> net""",
     ),
-    "win_13_serials": (on("register", R.serials), f"WITH {REG} SELECT product, day, 'A' || row_number() OVER (ORDER BY day, product) AS serial FROM register"),
-    "set_03_missing_days": (on("register", R.missing_days), f"WITH {REG} SELECT p.product, d::INT AS day FROM (SELECT DISTINCT product FROM register) p, unnest(range(1, 32)) AS u(d) WHERE NOT EXISTS (SELECT 1 FROM register r WHERE r.product = p.product AND r.day = d)"),
+    "win_13_serials": (
+        table("events", lambda e: R.serials(e.select((F.col("user_id") % 100).alias("register_id"), F.col("event_type").alias("product"), F.day("ts").alias("day")).distinct())),
+        "WITH r AS (SELECT DISTINCT user_id % 100 AS register_id, event_type AS product, day(ts)::INT AS day FROM events) SELECT *, 'A' || row_number() OVER (PARTITION BY register_id ORDER BY day, product) AS serial FROM r",
+    ),
+    "set_03_missing_days": (on("register", lambda r: R.missing_days(r, S.days_in_month(F.lit("2024-01-15").cast("date")))), f"WITH {REG} SELECT p.product, d::INT AS day FROM (SELECT DISTINCT product FROM register) p, unnest(range(1, 32)) AS u(d) WHERE NOT EXISTS (SELECT 1 FROM register r WHERE r.product = p.product AND r.day = d)"),
     "chk_13_meter_flags": (
         on("register", R.meter_flags),
         f"""WITH {REG}, f AS (SELECT product, day, 'meter' AS kind FROM register WHERE sales_by_meter - pump_test <> net UNION ALL SELECT product, day, 'blank_cumulative' FROM register WHERE cumulative IS NULL)
 SELECT kind || '|' || product || '|' || day AS id, kind, product, day FROM f""",
     ),
     "join_06_merge_reads": (
-        on("register", lambda r: R.merge_reads(r, second_read(r))),
-        f"""WITH {REG}, b AS (SELECT *, CASE WHEN day % 10 = 5 THEN net + 1 ELSE net END AS net2, CASE WHEN day % 9 = 5 THEN NULL ELSE cumulative END AS cumulative2 FROM register)
-SELECT product, day, 'net' AS col, net AS read1, net2 AS read2 FROM b WHERE net IS DISTINCT FROM net2 UNION ALL SELECT product, day, 'cumulative', cumulative, cumulative2 FROM b WHERE cumulative IS DISTINCT FROM cumulative2""",
+        on("register", lambda r: R.merge_reads(r.where("day % 13 <> 6"), second_read(r).where("day % 12 <> 4"))),
+        f"""WITH {REG}, b AS (SELECT *, day % 13 <> 6 AS in1, day % 12 <> 4 AS in2, CASE WHEN day % 10 = 5 THEN net + 1 ELSE net END AS net2, CASE WHEN day % 9 = 5 THEN NULL ELSE cumulative END AS cumulative2 FROM register),
+u AS (SELECT product, day, in1, in2, 'net' AS col, net AS a, net2 AS b FROM b UNION ALL SELECT product, day, in1, in2, 'cumulative', cumulative, cumulative2 FROM b UNION ALL SELECT product, day, in1, in2, 'sales_by_meter', sales_by_meter, sales_by_meter FROM b UNION ALL SELECT product, day, in1, in2, 'pump_test', pump_test, pump_test FROM b),
+v AS (SELECT product, day, col, CASE WHEN in1 THEN a END AS read1, CASE WHEN in2 THEN b END AS read2 FROM u) SELECT * FROM v WHERE read1 IS DISTINCT FROM read2""",
     ),
     "join_10_rates": (
         with_rates,
@@ -255,7 +259,10 @@ SELECT doc_id, block, max(line_no) AS last_line, count(*) AS n_lines FROM b WHER
         lines(lambda t: T.sections(t, lambda x: x.rlike(STARTS)).select("doc_id", "line_no", "header_line")),
         f"WITH {LINES} SELECT doc_id, line_no, last_value(CASE WHEN regexp_matches(text, '{STARTS}') THEN line_no END IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY line_no ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS header_line FROM lines",
     ),
-    "row_14_two_columns": (lines(T.two_columns), f"WITH {LINES} SELECT doc_id, line_no, row_number() OVER (PARTITION BY doc_id ORDER BY page, line_no % 2, line_no)::INT AS place FROM lines"),
+    "row_14_two_columns": (
+        on("tokens", lambda t: T.two_columns(t.select("doc_id", F.floor(F.col("y") / 200).alias("page"), F.col("token_id").alias("line_no"), "x"), 300)),
+        f"WITH {TOK} SELECT doc_id, token_id AS line_no, row_number() OVER (PARTITION BY doc_id ORDER BY floor(y / 200), x >= 300, token_id)::INT AS place FROM tokens",
+    ),
     "flt_09_page_furniture": (
         lines(lambda t: T.page_furniture(t).select("doc_id", "page", "line_no", F.md5("text").alias("h"))),
         f"""WITH {LINES}, s AS (SELECT *, lower(regexp_replace(text, '[0-9]', '#', 'g')) AS shape FROM lines), p AS (SELECT doc_id, count(DISTINCT page) AS pages FROM lines GROUP BY 1),

@@ -66,8 +66,8 @@ g AS (SELECT doc_id, page, max(balance) FILTER (z = 1) AS carried, max(balance)
 SELECT doc_id, page, abs(brought - lag(carried) OVER (PARTITION BY doc_id ORDER BY page)) <= 0.05 AS continues, u > 0.1 * n AS "drop" FROM g""",
     ),
     "set_04_missing_pages": (
-        ledger(lambda x: P.missing_pages(x.where("seq % 3 <> 1").select("doc_id", "page"))),
-        f"""WITH {LEDGER}, p AS (SELECT DISTINCT doc_id, page FROM ledger WHERE seq % 3 <> 1), r AS (SELECT doc_id, list(page) AS h, min(page) AS a, max(page) AS b FROM p GROUP BY 1)
+        ledger(lambda x: P.missing_pages(x.select("doc_id", (F.col("page") + (F.col("page") % 3 == 1).cast("int")).alias("page")))),
+        f"""WITH {LEDGER}, p AS (SELECT DISTINCT doc_id, (page + (page % 3 = 1)::INT)::INT AS page FROM ledger), r AS (SELECT doc_id, list(page) AS h, min(page) AS a, max(page) AS b FROM p GROUP BY 1)
 SELECT doc_id, array_to_string(list_filter(range(a, b + 1), lambda x: NOT list_contains(h, x::INT)), ',') AS missing FROM r""",
     ),
     "row_11_month_segments": (

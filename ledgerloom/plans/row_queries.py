@@ -303,6 +303,14 @@ SELECT invoice_id, line_no, CASE WHEN has THEN qty WHEN a = 0 THEN line_no END::
         of("invoice_lines", lambda x: H.round_off(invoice_totals(x))),
         f"""WITH {TOTALS} SELECT invoice_id, CASE invoice_id % 4 WHEN 0 THEN CASE WHEN invoice_id % 3 = 0 THEN 0 END WHEN 1 THEN 0.40 WHEN 2 THEN -0.03 ELSE CASE WHEN invoice_id % 3 = 0 THEN 0 END END::{M} AS round_off,
   CASE WHEN invoice_id % 2 <> 0 AND invoice_id % 5 > 1 THEN NULL WHEN invoice_id % 5 > 1 THEN 'paid' WHEN invoice_id % 5 = 0 OR taxable >= grand_total - 1 THEN 'paid' ELSE 'partial' END AS payment FROM t""",
+    ),
+    "chk_01_validation_report": (
+        ledger(L.counts_of_faults),
+        f"""WITH {FIXED.rsplit("n AS (SELECT", 1)[0]}d AS (SELECT *, min(seq) OVER (PARTITION BY doc_id, {KEY}) AS first_ FROM f),
+s AS (SELECT doc_id, count(*) FILTER (abs(expected - balance) > 0.05) AS breaks, sum(w0)::{M} AS debits, sum(d0)::{M} AS credits, try_cast(arg_min(coalesce((balance + w0 - d0)::VARCHAR, 'x'), ord) AS {M}) AS opening, arg_max(balance, ord) FILTER (balance IS NOT NULL) AS closing,
+  count(*) FILTER (w0 <> nw OR d0 <> nd) AS corrections, count(*) FILTER (seq <> first_) AS duplicates, count(*) FILTER ((w0 <> 0 AND d0 <> 0) OR (NOT is_reversal AND (w0 < 0 OR d0 < 0))) AS side_faults,
+  count(*) FILTER (100 - CASE WHEN txn_date IS NULL THEN 40 ELSE 0 END - CASE WHEN withdrawal IS NULL AND deposit IS NULL THEN 40 ELSE 0 END - CASE WHEN abs(expected - balance) > 0.05 THEN 30 ELSE 0 END - CASE WHEN ocr_corrected THEN 15 ELSE 0 END < 80) AS weak_rows, count(*) AS n_rows FROM d GROUP BY 1)
+SELECT *, (opening + credits - debits - closing)::{M} AS difference FROM s""",
     ),
     "chk_08_unknown_layout": (
         ledger(lambda l: H.unknown_layout(checks(l))),

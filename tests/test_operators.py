@@ -97,7 +97,8 @@ def test_solvers():
     assert solvers.align([1, 50], [2, 20, 51]) == [(0, 0), (1, 2)]
     assert solvers.chain_order([10, 30, 20], [20, 40, 30]) == [0, 2, 1]
     assert solvers.bands([0, 2, 4, 20]) == [0, 0, 0, 1]
-    assert solvers.scan_distance("10", "70") == 0.5 and "78" in solvers.variants("18")
+    assert solvers.scan_distance("47", "17") == 0.1 and solvers.scan_distance("30.00", "0230.00") == 1.0 and solvers.scan_distance("14", "44") == 0.8
+    assert {"48", "78", "16", "13"} <= set(solvers.variants("18")) and "4747" in solvers.variants("1111")
 
 
 def test_signs_of_long_runs(spark):
