@@ -12,6 +12,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType, StringType
 
 #: Widths and costs of the searches.
 BEAM, SKIP, MISREAD = 80, 1.0, 2.0
@@ -248,13 +249,13 @@ def order_chains(ledger: DataFrame) -> DataFrame:
     return ledger.groupBy("doc_id").applyInPandas(one, "doc_id long, seq long, place long")
 
 
-@F.pandas_udf("array<string>")
+@F.pandas_udf(ArrayType(StringType()))
 def variants_of(numbers: pd.Series) -> pd.Series:
     """NUM-08 over a column of amounts as text."""
     return numbers.map(variants)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def scan_distances(printed: pd.Series, read: pd.Series) -> pd.Series:
     """STR-09 over two columns."""
     return pd.Series([scan_distance(a, b) for a, b in zip(printed, read)], dtype="float64")
