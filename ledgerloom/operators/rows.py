@@ -182,3 +182,51 @@ def nearest_band(tokens: DataFrame, centres: list[tuple[str, float]]) -> DataFra
     right = F.col("x") + F.col("width")
     best = F.array_min(F.array(*(F.struct(F.abs(right - c).alias("d"), F.lit(k).alias("k"), F.lit(name).alias("name")) for k, (name, c) in enumerate(centres))))
     return tokens.select("doc_id", "token_id", best["name"].alias("column"), best["d"].alias("distance"))
+
+
+def fragments_to_amounts(fragments: DataFrame) -> DataFrame:
+    """ROW-24.  Amount and balance of each row (``row_id``) from fragments in order: they are put together until an amount is whole, then the balance is; what follows is left."""
+    parts = fragments.groupBy("row_id").agg(F.array_sort(F.collect_list(F.struct("place", "text"))).alias("x"))
+    start = F.struct(F.lit("").alias("amount"), F.lit("").alias("balance"))
+    whole = lambda t: t.rlike(r"^[\d,]+\.\d{2}$")
+
+    def step(a, x):
+        first = ~whole(a["amount"])
+        second = whole(a["amount"]) & ~whole(a["balance"])
+        return F.struct(F.when(first, F.concat(a["amount"], x["text"])).otherwise(a["amount"]).alias("amount"), F.when(second, F.concat(a["balance"], x["text"])).otherwise(a["balance"]).alias("balance"))
+
+    rows = parts.select("row_id", F.aggregate("x", start, step).alias("r"))
+    return rows.select("row_id", _money(F.nullif(F.col("r.amount"), F.lit(""))).alias("amount"), _money(F.nullif(F.col("r.balance"), F.lit(""))).alias("balance"))
+
+
+#: Labels of card summaries and the keys they stand for, likeliest first.
+SUMMARY_LABELS = (("due", "total amount due|total dues|new balance"), ("minimum", "minimum amount due|minimum due"), ("limit", "credit limit"), ("previous", "previous balance|opening balance"), ("purchases", "purchases"), ("payments", "payments"))
+
+
+def summary_fields(lines: DataFrame) -> DataFrame:
+    """ROW-17.  Summary fields of card statements (``doc_id``, ``line_no``, ``text``): label and amount on a line, else the amount on the next line; the first hit of a key, labels by priority."""
+    w = _order()
+    rows = lines.withColumn("_next", F.lead("text").over(w))
+    money = r"((?:\d{1,3}(?:,\d{2,3})+|\d+)\.\d{2})"
+    hits = []
+    for key, labels in SUMMARY_LABELS:
+        for rank, label in enumerate(labels.split("|")):
+            here = F.regexp_extract("text", rf"(?i)\b{label}\b\D*?{money}", 1)
+            below = F.when(F.col("text").rlike(rf"(?i)\b{label}\s*:?\s*$"), F.regexp_extract(F.coalesce("_next", F.lit("")), rf"^\s*{money}", 1)).otherwise("")
+            value = F.coalesce(F.nullif(here, F.lit("")), F.nullif(below, F.lit("")))
+            hits.append(F.when(value.isNotNull(), F.struct(F.lit(key).alias("key"), F.lit(rank).alias("rank"), F.col("line_no"), value.alias("value"))))
+    found = rows.select("doc_id", F.explode(F.array_compact(F.array(*hits))).alias("h")).select("doc_id", "h.*")
+    return found.groupBy("doc_id", "key").agg(_money(F.min_by("value", F.struct("rank", "line_no"))).alias("amount"))
+
+
+def right_edges(tokens: DataFrame, gap: float = 8, top: int = 3) -> DataFrame:
+    """ROW-18.  Columns of a document: its largest clusters of right edges, named c1, c2, … from the left, each at its upper median."""
+    w = Window.partitionBy("doc_id").orderBy("edge", "token_id")
+    rows = tokens.select("doc_id", "token_id", (F.col("x") + F.col("width")).alias("edge"))
+    rows = rows.withColumn("_n", F.when(F.col("edge") - F.lag("edge").over(w) > gap, 1).otherwise(0)).withColumn("cluster", F.sum("_n").over(w))
+    place, size = F.row_number().over(Window.partitionBy("doc_id", "cluster").orderBy("edge", "token_id")), F.count("*").over(Window.partitionBy("doc_id", "cluster"))
+    rows = rows.withColumns({"_i": place, "n": size})
+    medians = rows.where(F.col("_i") == F.floor(F.col("n") / 2) + 1).select("doc_id", "cluster", "n", "edge")
+    best = medians.withColumn("_r", F.row_number().over(Window.partitionBy("doc_id").orderBy(F.desc("n"), "edge"))).where(F.col("_r") <= top)
+    name = F.concat(F.lit("c"), F.row_number().over(Window.partitionBy("doc_id").orderBy("edge")).cast("string"))
+    return best.select("doc_id", name.alias("column"), "edge", "n")

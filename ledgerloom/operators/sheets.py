@@ -192,3 +192,18 @@ def repeats_invoice(notes: DataFrame) -> DataFrame:
     gstin = F.array_contains(F.transform("gstins", F.upper), F.upper(F.regexp_replace(t, r"\s", "")))
     yes = (t == "") | t.rlike(r"(?i)^p\.?\s*t\.?\s*o\.?$") | amount | F.coalesce(gstin, F.lit(False)) | F.coalesce(number, F.lit(False)) | F.coalesce(dated, F.lit(False)) | overlap
     return notes.select("note_id", F.coalesce(yes, F.lit(False)).alias("repeats"))
+
+
+def tally_sheets(lines: DataFrame, totals: DataFrame) -> dict[str, DataFrame]:
+    """SNK-09.  The sheets of an export of invoices, by name: GST Entries, Lines, Stock Items, Review, Party Settings."""
+    from ledgerloom.operators import invoice as I
+
+    rows = gst_rows(lines, totals.select("invoice_id", F.col("taxable").alias("printed_taxable"), F.col("cgst").alias("printed_cgst")))
+    printed = totals.select("invoice_id", F.col("taxable").alias("printed"))
+    return {
+        "GST Entries": rows,
+        "Lines": lines.select("invoice_id", "line_no", "qty", "rate", "gst_rate", "value"),
+        "Stock Items": lines.where("qty IS NOT NULL AND rate IS NOT NULL").select("invoice_id", "line_no", "qty", "rate", F.round(F.col("qty") * F.col("rate"), 2).cast(MONEY).alias("amount")),
+        "Review": I.invoice_status(lines, printed).where("status <> 'OK'"),
+        "Party Settings": lines.select("supplier_id").distinct(),
+    }

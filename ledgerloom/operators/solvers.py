@@ -5,7 +5,7 @@ All keep the first of equal solutions, so results don't depend on partitioning.
 
 from __future__ import annotations
 
-from collections import deque
+from collections import Counter, deque
 from itertools import product
 
 import numpy as np
@@ -218,6 +218,140 @@ def solve_chains(ledger: DataFrame) -> DataFrame:
     return ledger.groupBy("doc_id").applyInPandas(one, "doc_id long, seq long, signed double, balance double")
 
 
+CHECKPOINT_RESET, DROP_WITH_BALANCE, DROP_WITHOUT = 8.0, 6.0, 2.0
+
+
+def passbook(opening: float, steps: list[tuple], width: int = 60) -> tuple[float, list[tuple]]:
+    """SOL-02.  The cheapest reading of a whole passbook: a beam over its balances.
+
+    Steps: ("row", amount read, balance read or None) and ("checkpoint", balance): figures
+    brought or carried forward.  A row moves the balance by a variant of its amount, up or down,
+    to a variant of its printed balance (any balance if none is printed), at the scan
+    distances of both; or it is dropped, which costs more where it has a balance.  At a
+    checkpoint the balance stands, or is reset at a price.  Returns the cost and, by step, the
+    signed amount and the balance after it (None for dropped rows and checkpoints).
+    """
+    beam = {round(opening * 100): (0.0, None)}  # balance in cents: cost, path
+    for step in steps:
+        grown: dict[int, tuple] = {}
+
+        def offer(balance: int, cost: float, path: tuple) -> None:
+            if balance not in grown or cost < grown[balance][0]:
+                grown[balance] = (cost, path)  # noqa: B023
+
+        if step[0] == "checkpoint":
+            mark = round(step[1] * 100)
+            for balance, (cost, path) in beam.items():
+                offer(mark, cost + (0.0 if abs(balance - mark) <= 1 else CHECKPOINT_RESET), (None, path))
+        else:
+            amount, printed = step[1], step[2]
+            moves = [(round(float(v) * 100), scan_distance(v, amount)) for v in variants(amount)]
+            targets = None if printed is None else {round(float(v) * 100): scan_distance(v, printed) for v in reversed(variants(printed))}
+            for balance, (cost, path) in beam.items():
+                offer(balance, cost + (DROP_WITHOUT if printed is None else DROP_WITH_BALANCE), (None, path))
+                for cents, d in moves:
+                    for signed in (cents, -cents):
+                        to = balance + signed
+                        if targets is None:
+                            offer(to, cost + d, ((signed, to), path))
+                        elif to in targets:
+                            offer(to, cost + d + targets[to], ((signed, to), path))
+        beam = dict(sorted(grown.items(), key=lambda x: x[1][0])[:width])
+    cost, path = min(beam.values(), key=lambda x: x[0])
+    out = []
+    while path:
+        out.append(None if path[0] is None else (path[0][0] / 100, path[0][1] / 100))
+        path = path[1]
+    return cost, out[::-1]
+
+
+def solve_passbooks(rows: DataFrame) -> DataFrame:
+    """SOL-02 over ``doc_id``, ``seq``, ``kind`` (row or checkpoint), ``amount``, ``balance`` (text) and ``opening``: one call a document."""
+    def one(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("seq")
+        steps = [("checkpoint", float(r.balance)) if r.kind == "checkpoint" else ("row", r.amount, r.balance if isinstance(r.balance, str) else None) for r in rows.itertuples()]
+        _, found = passbook(float(rows.opening.iloc[0]), steps)
+        nan = float("nan")
+        return pd.DataFrame({"doc_id": rows.doc_id, "seq": rows.seq, "signed": [f[0] if f else nan for f in found], "balance": [f[1] if f else nan for f in found], "dropped": [f is None and k == "row" for f, k in zip(found, rows.kind)]})
+
+    return rows.groupBy("doc_id").applyInPandas(one, "doc_id long, seq long, signed double, balance double, dropped boolean")
+
+
+def repair_page(opening: float, rows: list[tuple[str, str]]) -> list[tuple[float, float, str]]:
+    """SOL-04.  Rows of a page (amount, balance as read) with the readings that fit: signed amount, balance, and how it was settled.
+
+    A row that fits the balance before it stands ("read").  Else the cheapest variants of
+    amount and balance that fit are taken if the next row as read confirms the balance
+    ("confirmed"), else the printed balance is trusted and the amount is what it moved ("trusted").
+    """
+    def fits(before: int, amount: str, balance: str):
+        for sign in (1, -1):
+            if abs(before + sign * round(float(amount) * 100) - round(float(balance) * 100)) <= 1:
+                return sign * round(float(amount) * 100), round(float(balance) * 100)
+        return None
+
+    out, now = [], round(opening * 100)
+    for k, (amount, balance) in enumerate(rows):
+        found, how = fits(now, amount, balance), "read"
+        if found is None:
+            tries = sorted(((scan_distance(a, amount) + scan_distance(b, balance), i, j, a, b) for i, a in enumerate(variants(amount)) for j, b in enumerate(variants(balance))), key=lambda t: t[:3])
+            for *_, a, b in tries:
+                found = fits(now, a, b)
+                if found and (k + 1 == len(rows) or fits(found[1], *rows[k + 1])):
+                    how = "confirmed"
+                    break
+                found = None
+        if found is None:
+            to = round(float(balance) * 100)
+            found, how = (to - now, to), "trusted"
+        now = found[1]
+        out.append((found[0] / 100, now / 100, how))
+    return out
+
+
+def repair_pages(rows: DataFrame) -> DataFrame:
+    """SOL-04 over ``doc_id``, ``seq``, ``amount``, ``balance`` (text) and ``opening``."""
+    def one(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("seq")
+        found = repair_page(float(rows.opening.iloc[0]), list(zip(rows.amount, rows.balance)))
+        return pd.DataFrame({"doc_id": rows.doc_id, "seq": rows.seq, "signed": [f[0] for f in found], "balance": [f[1] for f in found], "how": [f[2] for f in found]})
+
+    return rows.groupBy("doc_id").applyInPandas(one, "doc_id long, seq long, signed double, balance double, how string")
+
+
+def balance_trail(values: list[float], opening: float, near: int = 5) -> list[bool]:
+    """ROW-23.  Which of a mixed list of amounts are balances: those that the balance before and one waiting amount make up, within 0.05."""
+    now, waiting, out = round(opening * 100), Counter(), []
+    for v in values:
+        cents = round(v * 100)
+        hit = next((p for off in range(-near, near + 1) for p in (cents - now + off, now - cents + off) if p > 0 and waiting[p] > 0), None)
+        out.append(hit is not None)
+        if hit is None:
+            waiting[cents] += 1
+        else:
+            waiting[hit] -= 1
+            now = cents
+    return out
+
+
+def balance_trails(rows: DataFrame) -> DataFrame:
+    """ROW-23 over ``doc_id``, ``seq``, ``value`` and ``opening``."""
+    def one(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("seq")
+        return pd.DataFrame({"doc_id": rows.doc_id, "seq": rows.seq, "is_balance": balance_trail(rows.value.astype(float).tolist(), float(rows.opening.iloc[0]))})
+
+    return rows.groupBy("doc_id").applyInPandas(one, "doc_id long, seq long, is_balance boolean")
+
+
+def date_choices(rows: DataFrame) -> DataFrame:
+    """SOL-05 over ``doc_id``, ``seq`` and ``candidates`` (dates, likeliest first)."""
+    def one(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("seq")
+        return pd.DataFrame({"doc_id": rows.doc_id, "seq": rows.seq, "chosen": resolve_dates([list(c) for c in rows.candidates])})
+
+    return rows.groupBy("doc_id").applyInPandas(one, "doc_id long, seq long, chosen date")
+
+
 def chain_order(before: list[float], after: list[float]) -> list[int]:
     """WIN-22.  Rows in the order in which each one's balance is the next one's previous balance; rows that don't link follow in file order.
 

@@ -16,6 +16,7 @@ from ledgerloom.operators import reconcile as V
 from ledgerloom.operators import register as G
 from ledgerloom.operators import rows as W
 from ledgerloom.operators import sheets as H
+from ledgerloom.operators import solvers as X
 from ledgerloom.plans.ledger_queries import KEY, ORDERED
 from ledgerloom.plans.views import duck, view
 from ledgerloom.sources import readers as R
@@ -160,6 +161,56 @@ def usage(e):
     return e.groupBy("event_type").agg(F.count("*").alias("calls"), F.sum(F.col("event_id") % 100).alias("tokens_in"), F.sum(F.col("user_id") % 50).alias("tokens_out"), F.when(F.count_if(F.col("event_id") % 97 == 0) == 0, F.sum(cost)).alias("cost"))
 
 
+PAGES = """doc_ AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS l FROM documents), pages_ AS (SELECT doc_id, ((i - 1) // 20)::INT AS page, sum(length(l[i]))::BIGINT AS chars FROM doc_, unnest(range(1, len(l) + 1)) AS u(i) GROUP BY 1, 2)"""
+
+
+def pages(spark, d):
+    lines = T.lines_of(spark.read.parquet(f"{d}/documents.parquet").select("doc_id", "text"))
+    return lines.groupBy("doc_id", "page").agg(F.sum(F.length("text")).alias("chars"))
+
+
+def hybrid(spark, d):
+    own = pages(spark, d).select("doc_id", "page", F.repeat(F.lit("x"), F.col("chars").cast("int")).alias("text"))
+    return R.hybrid_pages(own, own.where("page % 2 = 1").select("doc_id", "page", F.lit("read").alias("text"))).select("doc_id", "page", "source")
+
+
+def tally(x):
+    sheets = H.tally_sheets(x, invoice_totals(x))
+    out = None
+    for name, df in sheets.items():
+        one = df.agg(F.count("*").alias("n_rows")).select(F.lit(name).alias("sheet"), "n_rows")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+def summary_lines(o):
+    k, p = F.col("o_orderkey") % 5, F.col("o_totalprice").cast("decimal(18,2)").cast("string")
+    text = F.when(k == 0, F.concat(F.lit("Total Amount Due: Rs "), p)).when(k == 1, F.concat(F.lit("New balance "), p)).when(k == 2, "Credit Limit :").when(k == 3, F.concat(p, F.lit(" x"))).otherwise("thank you")
+    return o.select(F.col("o_custkey").alias("doc_id"), F.col("o_orderkey").alias("line_no"), text.alias("text"))
+
+
+def fragments(o):
+    p, b = F.col("o_totalprice").cast("decimal(18,2)").cast("string"), (F.col("o_totalprice").cast("decimal(18,2)") + 7).cast("decimal(18,2)").cast("string")
+    parts = F.array(F.left(p, F.lit(2)), F.expr("substring(CAST(CAST(o_totalprice AS DECIMAL(18,2)) AS STRING), 3)"), F.left(b, F.lit(3)), F.expr("substring(CAST(CAST(CAST(o_totalprice AS DECIMAL(18,2)) + 7 AS DECIMAL(18,2)) AS STRING), 4)"), F.lit("9.99"))
+    return o.select(F.col("o_orderkey").alias("row_id"), F.posexplode(parts).alias("place", "text"))
+
+
+def passbook_steps(l):
+    """Ledger rows as a scan reads them: ones for fours here and there, checkpoints, dropped balances."""
+    start = L.closing_balance(l).select("doc_id", (F.coalesce("opening", F.lit(0)) + 50000000).cast("decimal(18,2)").alias("opening"))
+    amount = F.coalesce("withdrawal", "deposit").cast("string")
+    balance = (F.col("balance") + 50000000).cast("decimal(18,2)").cast("string")
+    rows = l.select("doc_id", "seq", F.when(F.col("seq") % 19 == 5, "checkpoint").otherwise("row").alias("kind"), F.when(F.col("seq") % 6 == 2, F.translate(amount, "4", "1")).otherwise(amount).alias("amount"), balance.alias("balance"))
+    return rows.where("kind = 'row' OR balance IS NOT NULL").join(start, "doc_id")
+
+
+def mixed_values(l):
+    start = L.closing_balance(l).select("doc_id", F.coalesce("opening", F.lit(0)).alias("opening"))
+    values = F.array_compact(F.array(F.coalesce("withdrawal", "deposit"), "balance"))
+    rows = l.select("doc_id", "seq", F.posexplode(values).alias("k", "value"))
+    return rows.select("doc_id", (F.col("seq") * 2 + F.col("k")).alias("seq"), "value").join(start, "doc_id")
+
+
 PAIRS = {
     "row_03_parsed_rows": (
         ledger(lambda l: W.parse_rows(printed_rows(l))),
@@ -476,4 +527,65 @@ SELECT doc_id, string_agg(seq::VARCHAR, ', ' ORDER BY seq) || CASE WHEN max(n) >
         table("events", lambda e: R.typed_errors(e.select("event_id", F.when(F.col("event_id") % 5 == 0, F.lit('{"k": "x"}')).when(F.col("event_id") % 5 == 1, F.lit("{}")).otherwise(F.col("props")).alias("reply")))),
         "SELECT event_id, CASE WHEN event_id % 5 > 1 THEN json_extract_string(props, '$.k')::BIGINT END AS k, CASE event_id % 5 WHEN 0 THEN 'k: not a number' WHEN 1 THEN 'k: missing' ELSE '' END AS errors FROM events",
     ),
+    "flt_12_good_text_layer": (
+        lambda s, d: R.text_layer(pages(s, d)).select("doc_id", "good_layer"),
+        f"WITH {PAGES} SELECT doc_id, count(*) FILTER (chars > 200) * 2 >= count(*) AS good_layer FROM pages_ GROUP BY 1",
+    ),
+    "flt_13_sparse_text_layer": (
+        lambda s, d: R.text_layer(pages(s, d)).select("doc_id", "sparse"),
+        f"WITH {PAGES} SELECT doc_id, count(*) FILTER (chars > 0) * 2 < count(*) AS sparse FROM pages_ GROUP BY 1",
+    ),
+    "src_04_word_boxes": (
+        table("orders", lambda o: R.words_from_json(o.select(F.col("o_orderkey").alias("doc_id"), F.to_json(F.struct(F.struct(F.array(F.struct(F.array(F.struct(F.col("o_orderpriority").alias("WordText"), F.lit(1.5).alias("Left"), F.lit(2.5).alias("Top")), F.struct(F.col("o_orderstatus").alias("WordText"), F.lit(3.5).alias("Left"), F.lit(2.5).alias("Top"))).alias("Words"))).alias("Lines")).alias("TextOverlay"))).alias("reply")))),
+        "SELECT o_orderkey AS doc_id, 0 AS line_no, 0 AS word_no, o_orderpriority AS text, 1.5::DOUBLE AS \"left\", 2.5::DOUBLE AS top FROM orders UNION ALL SELECT o_orderkey, 0, 1, o_orderstatus, 3.5, 2.5 FROM orders",
+    ),
+    "src_08_hybrid_pages": (
+        hybrid,
+        f"WITH {PAGES} SELECT doc_id, page, CASE WHEN chars >= 100 OR page % 2 = 0 THEN 'text' ELSE 'recognised' END AS source FROM pages_",
+    ),
+    "src_09_routes": (
+        table("orders", lambda o: R.route(o.select(F.col("o_orderkey").alias("doc_id"), (F.col("o_orderkey") % 40).alias("pages"), (F.col("o_totalprice") * 10).cast("long").alias("bytes"), (F.col("o_orderkey") % 11 == 0).alias("cached"), (F.col("o_orderkey") % 13 != 0).alias("has_key")))),
+        "SELECT o_orderkey AS doc_id, CASE WHEN o_orderkey % 11 = 0 THEN 'cache' WHEN o_orderkey % 40 > 30 OR o_orderkey % 13 = 0 THEN 'local' WHEN o_orderkey % 40 > 3 OR o_totalprice * 10 >= 1200001 THEN 'split' ELSE 'remote' END AS route FROM orders",
+    ),
+    "src_13_recorded_lines": (
+        of("invoice_lines", lambda x: R.recorded_lines(x.groupBy("invoice_id").agg(F.to_json(F.struct(F.array_sort(F.collect_list(F.struct("line_no", F.col("value").cast("string").alias("value")))).alias("lineItems"))).alias("reply")), "lineItems array<struct<line_no:int,value:decimal(18,2)>>")),
+        f"WITH {LINES} SELECT invoice_id, line_no - 1 AS line, line_no, value FROM invoice_lines",
+    ),
+    "src_17_latest_readings": (
+        table("orders", lambda o: R.latest_readings(o.select(F.sha2("o_orderpriority", 256).alias("content"), F.col("o_orderdate").alias("saved_at"), F.col("o_orderkey").alias("reading_id"), F.col("o_orderkey").alias("reading")))),
+        "SELECT sha256(o_orderpriority) AS content, arg_max(o_orderkey, o_orderdate::TIMESTAMP::VARCHAR || lpad(o_orderkey::VARCHAR, 20, '0')) AS reading, count(*) AS n_saved FROM orders GROUP BY 1",
+    ),
+    "src_16_disputed_pages": (
+        of("register", lambda r: G.merge_reads(r, r.withColumn("net", F.when(F.col("day") % 6 == 2, F.col("net") + 9).otherwise(F.col("net")))).select(F.floor((F.col("day") - 1) / 10).alias("page"), "product").distinct()),
+        f"WITH {REG} SELECT DISTINCT (day - 1) // 10 AS page, product FROM register WHERE day % 6 = 2",
+    ),
+    "snk_09_tally_sheets": (
+        of("invoice_lines", tally),
+        f"""WITH {TOTALS}, p AS (SELECT *, (qty * rate)::{M} AS product, count(gst_rate) OVER (PARTITION BY invoice_id) AS rated FROM invoice_lines), f AS (SELECT DISTINCT invoice_id FROM p WHERE abs(product - value) > 1 OR (gst_rate IS NULL AND rated > 0))
+SELECT 'GST Entries' AS sheet, count(*) AS n_rows FROM (SELECT DISTINCT invoice_id, gst_rate FROM invoice_lines) UNION ALL SELECT 'Lines', count(*) FROM invoice_lines UNION ALL SELECT 'Stock Items', count(*) FROM invoice_lines UNION ALL SELECT 'Review', count(*) FROM f UNION ALL SELECT 'Party Settings', count(DISTINCT supplier_id) FROM invoice_lines""",
+    ),
+    "snk_14_counters": (
+        table("events", lambda e: e.groupBy("event_type").agg(F.count("*").alias("conversions"), F.count_if(F.col("value") > 100).alias("large"), F.max("event_id").alias("last_id"))),
+        "SELECT event_type, count(*) AS conversions, count(*) FILTER (value > 100) AS large, max(event_id) AS last_id FROM events GROUP BY 1",
+    ),
+    "row_17_summary_fields": (
+        table("orders", lambda o: W.summary_fields(summary_lines(o))),
+        f"""WITH s AS (SELECT o_custkey AS doc_id, o_orderkey AS k, lead(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS n, o_totalprice::{M} AS p, lead(o_totalprice::{M}) OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS np FROM orders),
+h AS (SELECT doc_id, 'due' AS key, 0 AS r, k, p AS v FROM s WHERE k % 5 = 0 UNION ALL SELECT doc_id, 'due', 2, k, p FROM s WHERE k % 5 = 1 UNION ALL SELECT doc_id, 'limit', 0, k, np FROM s WHERE k % 5 = 2 AND n % 5 = 3)
+SELECT doc_id, key, arg_min(v, r * 100000000000 + k) AS amount FROM h GROUP BY 1, 2""",
+    ),
+    "row_18_right_edges": (
+        of("tokens", lambda t: W.right_edges(t, 3)),
+        f"""WITH {TOKENS}, e AS (SELECT doc_id, token_id, x + width AS edge FROM tokens), g AS (SELECT *, CASE WHEN edge - lag(edge) OVER (PARTITION BY doc_id ORDER BY edge, token_id) > 3 THEN 1 ELSE 0 END AS new FROM e),
+c AS (SELECT *, sum(new) OVER (PARTITION BY doc_id ORDER BY edge, token_id) AS c FROM g), m AS (SELECT *, row_number() OVER (PARTITION BY doc_id, c ORDER BY edge, token_id) AS i, count(*) OVER (PARTITION BY doc_id, c) AS n FROM c),
+b AS (SELECT doc_id, edge, n FROM m WHERE i = n // 2 + 1 QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, edge) <= 3) SELECT doc_id, 'c' || row_number() OVER (PARTITION BY doc_id ORDER BY edge) AS "column", edge, n FROM b""",
+    ),
+    "row_24_fragments": (
+        table("orders", lambda o: W.fragments_to_amounts(fragments(o))),
+        f"SELECT o_orderkey AS row_id, o_totalprice::{M} AS amount, (o_totalprice::{M} + 7)::{M} AS balance FROM orders",
+    ),
+    "row_23_balance_trail": (ledger(lambda l: X.balance_trails(mixed_values(l))), None),
+    "sol_02_passbooks": (ledger(lambda l: X.solve_passbooks(passbook_steps(l))), None),
+    "sol_04_page_repair": (ledger(lambda l: X.repair_pages(passbook_steps(l).where("kind = 'row' AND balance IS NOT NULL").select("doc_id", "seq", "amount", "balance", "opening"))), None),
+    "sol_05_dates": (ledger(lambda l: X.date_choices(l.select("doc_id", "seq", F.array_compact(F.array("txn_date", F.date_add("txn_date", 31))).alias("candidates")))), None),
 }

@@ -279,7 +279,8 @@ SELECT o_orderkey, CASE WHEN length(a) = length(b) THEN list_sum(list_transform(
     ),
     "join_08_code_by_prefix": (
         lambda s, d: W.code_by_prefix(s.read.parquet(f"{d}/orders.parquet").select(K().alias("row_id"), F.concat(choice(["NEFT INWARD", "NEFTINWARD", "CASH DEP", "C ASH DEP", "ZZZZZZZZ QQQQQQQQ", "NEFT INWRD", "SERVICE CHARGE"]), F.lit(" "), K().cast("string")).alias("text")), [("NEFT", "INWARD"), ("CASH", "DEP"), ("SERVICE", "CHARGE")]),
-        None,
+        """SELECT o_orderkey AS row_id, CASE o_orderkey % 7 WHEN 2 THEN 'CASH DEP' WHEN 3 THEN 'CASH DEP' WHEN 4 THEN NULL WHEN 6 THEN 'SERVICE CHARGE' ELSE 'NEFT INWARD' END AS code,
+CASE o_orderkey % 7 WHEN 3 THEN 0 WHEN 4 THEN NULL WHEN 5 THEN CASE WHEN length(o_orderkey::VARCHAR) <= 2 THEN 1 + length(o_orderkey::VARCHAR) ELSE 1 END ELSE CASE WHEN length(o_orderkey::VARCHAR) <= 3 THEN length(o_orderkey::VARCHAR) ELSE 0 END END::INT AS edits FROM orders""",
     ),
     "join_09_nearest_word": (
         orders(lambda: [W.nearest_word(choice(["NEFT", "NEFI", "RTG5", "1MPS", "cash", "XXXXXX", "TFR"]), ["NEFT", "RTGS", "IMPS", "CASH", "TFR"]).alias("word")]),

@@ -60,6 +60,44 @@ def page_preflight(pages: DataFrame, least: int = 8, empty_share: float = 0.75)
     )
 
 
+def words_from_json(replies: DataFrame) -> DataFrame:
+    """SRC-04.  Word boxes of recorded recogniser replies, in order."""
+    r = F.from_json("reply", WORD_JSON)
+    lines = replies.select("doc_id", F.posexplode(r["TextOverlay"]["Lines"]).alias("line_no", "line"))
+    words = lines.select("doc_id", "line_no", F.posexplode("line.Words").alias("word_no", "w"))
+    return words.select("doc_id", "line_no", "word_no", F.col("w.WordText").alias("text"), F.col("w.Left").alias("left"), F.col("w.Top").alias("top"))
+
+
+def text_layer(pages: DataFrame, good: int = 200) -> DataFrame:
+    """FLT-12, FLT-13.  Whether over ``good`` characters stand on half of a document's pages, and whether under half of them have any text."""
+    s = pages.groupBy("doc_id").agg(F.count("*").alias("pages"), F.count_if(F.col("chars") > good).alias("good"), F.count_if(F.col("chars") > 0).alias("some"))
+    return s.select("doc_id", (F.col("good") * 2 >= F.col("pages")).alias("good_layer"), (F.col("some") * 2 < F.col("pages")).alias("sparse"))
+
+
+def hybrid_pages(pages: DataFrame, recognised: DataFrame, least: int = 100) -> DataFrame:
+    """SRC-08.  A page's own text if it has ``least`` characters, else what a recogniser read there, else its own again."""
+    rows = pages.join(recognised.select("doc_id", "page", F.col("text").alias("_r")), ["doc_id", "page"], "left")
+    own = F.length("text") >= least
+    return rows.select("doc_id", "page", F.when(own | F.col("_r").isNull(), F.col("text")).otherwise(F.col("_r")).alias("text"), F.when(own | F.col("_r").isNull(), "text").otherwise("recognised").alias("source"))
+
+
+def route(files: DataFrame) -> DataFrame:
+    """SRC-09.  How a scanned file is read (``pages``, ``bytes``, ``cached``, ``has_key``): from the cache, locally, in parts, or remotely."""
+    way = F.when(F.col("cached"), "cache").when((F.col("pages") > 30) | ~F.col("has_key"), "local").when((F.col("pages") > 3) | (F.col("bytes") > 1_200_000), "split").otherwise("remote")
+    return files.select("doc_id", way.alias("route"))
+
+
+def recorded_lines(replies: DataFrame, schema: str) -> DataFrame:
+    """SRC-13.  Line items of recorded readings (``invoice_id``, ``reply``), typed by a schema with an array ``lineItems``."""
+    rows = replies.select("invoice_id", F.from_json("reply", schema).alias("r"))
+    return rows.select("invoice_id", F.posexplode("r.lineItems").alias("line", "i")).select("invoice_id", "line", "i.*")
+
+
+def latest_readings(readings: DataFrame) -> DataFrame:
+    """SRC-17.  The latest saved reading of each content, whoever saved it."""
+    return readings.groupBy("content").agg(F.max_by("reading", F.struct("saved_at", "reading_id")).alias("reading"), F.count("*").alias("n_saved"))
+
+
 def password_problem(message: Column) -> Column:
     """SRC-02.  What a reader's error message means for the caller; null without one."""
     m = F.lower(message)

@@ -141,3 +141,125 @@ def test_readers_and_writers(spark, tmp_path):
     assert spark.range(1).select(readers.json_in_reply(F.lit('ok {"a": {"b": 1}} bye'))).first()[0] == '{"a": {"b": 1}}'
     sheets = {"a": spark.range(3), "empty": spark.range(0)}
     assert writers.write_sheets(sheets, str(tmp_path)) == {"a": 3}
+
+
+# -- solvers against brute force -----------------------------------------------------
+
+
+def plain_scan_distance(printed, read, i=0, j=0):
+    """The same costs by plain recursion over both ends."""
+    if i == len(printed):
+        return (len(read) - j) * (0.5 if i == 0 else 1.0)
+    options = [plain_scan_distance(printed, read, i + 1, j) + 1.0]
+    if j < len(read):
+        same = printed[i] == read[j]
+        options.append(plain_scan_distance(printed, read, i + 1, j + 1) + (0.0 if same else solvers.CONFUSABLE.get(printed[i] + read[j], 1.0)))
+        options.append(plain_scan_distance(printed, read, i, j + 1) + (0.5 if i == 0 else 1.0))
+    return min(options)
+
+
+def test_scan_distance_against_recursion():
+    rng = random.Random(21)
+    for _ in range(150):
+        a, b = ("".join(rng.choice("14780.") for _ in range(rng.randint(0, 5))) for _ in range(2))
+        assert solvers.scan_distance(a, b) == pytest.approx(plain_scan_distance(a, b)), (a, b)
+
+
+def cheapest_passbook(opening, steps):
+    """Every reading of every step, by recursion."""
+    def best(k, balance):
+        if k == len(steps):
+            return 0.0
+        step = steps[k]
+        if step[0] == "checkpoint":
+            mark = round(step[1] * 100)
+            return (0.0 if abs(balance - mark) <= 1 else solvers.CHECKPOINT_RESET) + best(k + 1, mark)
+        found = (solvers.DROP_WITHOUT if step[2] is None else solvers.DROP_WITH_BALANCE) + best(k + 1, balance)
+        for v in solvers.variants(step[1]):
+            for sign in (1, -1):
+                to = balance + sign * round(float(v) * 100)
+                cost = solvers.scan_distance(v, step[1])
+                if step[2] is not None:
+                    fits = [solvers.scan_distance(t, step[2]) for t in solvers.variants(step[2]) if round(float(t) * 100) == to]
+                    if not fits:
+                        continue
+                    cost += min(fits)
+                found = min(found, cost + best(k + 1, to))
+        return found
+
+    return best(0, round(opening * 100))
+
+
+def test_passbooks_against_every_reading():
+    rng = random.Random(22)
+    for _ in range(25):
+        balance, steps = 500, []
+        for _ in range(4):
+            amount = rng.randint(1, 99)
+            balance += rng.choice([1, -1]) * amount
+            read = f"{amount}.00".replace("4", "1") if rng.random() < 0.4 else f"{amount}.00"
+            printed = None if rng.random() < 0.2 else f"{balance}.00"
+            if printed and rng.random() < 0.2:
+                printed = printed.replace("4", "1")
+            steps.append(("checkpoint", float(balance + rng.choice([0, 0, 7]))) if rng.random() < 0.2 else ("row", read, printed))
+        assert solvers.passbook(500.0, steps, width=10**6)[0] == pytest.approx(cheapest_passbook(500.0, steps)), steps
+    assert solvers.passbook(100.0, [("row", "10.00", "110.00"), ("row", "5.00", "105.00")]) == (0.0, [(10.0, 110.0), (-5.0, 105.0)])
+    assert solvers.passbook(100.0, [("row", "10.00", "110.00"), ("row", "99.00", "555.00"), ("checkpoint", 110.0)])[1] == [(10.0, 110.0), None, None]
+
+
+def test_page_repair():
+    assert solvers.repair_page(100.0, [("10.00", "110.00"), ("5.00", "105.00")]) == [(10.0, 110.0, "read"), (-5.0, 105.0, "read")]
+    # 47 read as 17: the next row confirms 147
+    assert solvers.repair_page(100.0, [("17.00", "147.00"), ("3.00", "150.00")]) == [(47.0, 147.0, "confirmed"), (3.0, 150.0, "read")]
+    # nothing near fits: the printed balance is trusted
+    assert solvers.repair_page(100.0, [("5.00", "222.00"), ("3.00", "225.00")]) == [(122.0, 222.0, "trusted"), (3.0, 225.0, "read")]
+
+
+def test_balance_trail_and_dates():
+    assert solvers.balance_trail([10, 110, 20, 30, 140, 120], 100) == [False, True, False, False, True, True]
+    days = [dt.date(2024, 1, d) for d in range(1, 9)]
+    assert solvers.resolve_dates([[days[3]], [days[1], days[4]], [], [days[2]], [days[5]]]) == [days[3], days[4], None, None, days[5]]
+    rng = random.Random(23)
+    for _ in range(50):  # greedy by hand
+        rows, last = [[rng.choice(days) for _ in range(rng.randint(0, 3))] for _ in range(6)], None
+        got = solvers.resolve_dates(rows)
+        for row, pick in zip(rows, got):
+            can = [d for d in row if last is None or d >= last]
+            assert pick == (can[0] if can else None)
+            last = pick or last
+
+
+def test_alignment_against_every_pairing():
+    rng = random.Random(24)
+
+    def best(a, b):
+        if not a or not b:
+            return 10.0 * (len(a) + len(b))
+        return min(best(a[1:], b[1:]) + abs(a[0] - b[0]), best(a[1:], b) + 10.0, best(a, b[1:]) + 10.0)
+
+    for _ in range(60):
+        a, b = (sorted(rng.randint(0, 60) for _ in range(rng.randint(0, 5))) for _ in range(2))
+        pairs = solvers.align(a, b)
+        assert all(x < y and u < v for (x, u), (y, v) in zip(pairs, pairs[1:]))
+        cost = sum(abs(a[i] - b[j]) for i, j in pairs) + 10.0 * (len(a) + len(b) - 2 * len(pairs))
+        assert cost == best(a, b)
+
+
+def test_bands_against_all_lines():
+    rng = random.Random(25)
+    for _ in range(60):
+        ys = sorted(rng.uniform(0, 40) for _ in range(30))
+        lines = []
+        for y in ys:  # the first line whose mean is near, of all lines
+            k = next((k for k, line in enumerate(lines) if abs(y - sum(line) / len(line)) <= 3.0), None)
+            lines.append([y]) if k is None else lines[k].append(y)
+        assert solvers.bands(ys) == [k for k, line in enumerate(lines) for _ in line]
+
+
+def test_sheets_are_written_once_and_read_back(spark, tmp_path):
+    from ledgerloom.sources import writers
+
+    sheets = {"a": spark.range(3), "empty": spark.range(0)}
+    assert writers.write_sheets(sheets, str(tmp_path)) == {"a": 3} and not (tmp_path / "empty").exists()
+    with pytest.raises(Exception, match="(?i)exists"):
+        writers.write_sheets(sheets, str(tmp_path))
