@@ -294,13 +294,16 @@ def repair_page(opening: float, rows: list[tuple[str, str]]) -> list[tuple[float
     for k, (amount, balance) in enumerate(rows):
         found, how = fits(now, amount, balance), "read"
         if found is None:
-            tries = sorted(((scan_distance(a, amount) + scan_distance(b, balance), i, j, a, b) for i, a in enumerate(variants(amount)) for j, b in enumerate(variants(balance))), key=lambda t: t[:3])
-            for *_, a, b in tries:
-                found = fits(now, a, b)
-                if found and (k + 1 == len(rows) or fits(found[1], *rows[k + 1])):
-                    how = "confirmed"
+            printed = {round(float(b) * 100): (scan_distance(b, balance), j) for j, b in reversed(list(enumerate(variants(balance))))}
+            tries = []
+            for i, a in enumerate(variants(amount)):
+                cost = scan_distance(a, amount)
+                for signed in (round(float(a) * 100), -round(float(a) * 100)):
+                    tries += [(cost + printed[to][0], i, printed[to][1], signed, to) for to in (now + signed - 1, now + signed, now + signed + 1) if to in printed]
+            for *_, signed, to in sorted(tries):
+                if k + 1 == len(rows) or fits(to, *rows[k + 1]):
+                    found, how = (signed, to), "confirmed"
                     break
-                found = None
         if found is None:
             to = round(float(balance) * 100)
             found, how = (to - now, to), "trusted"
