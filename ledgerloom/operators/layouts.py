@@ -1,0 +1,95 @@
+"""Statement layouts as data, and one reader for all of them.
+
+Tokens: ``doc_id``, ``page``, ``token_id``, ``x``, ``y``, ``text``.  A layout says in which
+stretch of x each column lies, either in fixed figures or by the words of its heading
+line, and where rows begin; the reader is a composition of shared operators: a heading
+lookup by page, columns by interval, rows by the date cells above, cells put together in
+reading order.
+"""
+
+from __future__ import annotations
+
+from dataclasses import dataclass, field
+
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
+
+from ledgerloom.functions import scalar as S
+from ledgerloom.operators import details as D
+
+MONEY = "decimal(18,2)"
+END = 1e9
+
+
+@dataclass(frozen=True)
+class Layout:
+    """``bands``: columns with their left and right end; ``heading``: words whose left edges are column positions, by column, where the ends follow from them."""
+
+    name: str
+    detect: tuple[str, ...]
+    date: str  # what a date cell looks like
+    bands: dict[str, tuple[float, float]] = field(default_factory=dict)
+    heading: dict[str, str] = field(default_factory=dict)
+    midpoints: bool = False  # columns end halfway to the next heading word, else at it
+    flagged: bool = False  # one amount column with a debit or credit mark
+
+
+# Patterns and column positions of the layouts.
+LAYOUTS = (
+    Layout("canara", (r"(?i)CANARA\s+BANK", r"(?i)TRANS\s+VALUE\s+BRANCH\s+REF/CHQ\.NO\s+DESCRIPTION"), r"^\d{2}-[A-Za-z]{3}-\d{2}$",
+           {"date": (0, 45), "branch": (120, 170), "reference": (175, 255), "particulars": (255, 350), "debit": (350, 420), "credit": (420, 500), "balance": (500, END)}),
+    Layout("csb", (r"(?i)TRANS\s+VALUE\s+DETAILS\s+REF NO\.\s+DEBITS\s+CREDITS\s+BALANCE", r"(?i)\bCSB\b"), r"^\d{2}-[A-Za-z]{3}-\d{4}$",
+           {"date": (0, 60), "particulars": (100, 240), "reference": (240, 300), "debit": (300, 400), "credit": (400, 480), "balance": (480, END)}),
+    Layout("bank-of-india", (r"(?i)BANK\s+OF\s+INDIA|IFSC:\s*BKID", r"(?i)\|\s*DATE\s*\|\s*PARTICULARS\s*\|CHQ-NO\|\s*Debit\s*\|\s*Credit"), r"^\d{2}-\d{2}-\d{4}$",
+           {"date": (0, 100), "particulars": (100, 300), "reference": (300, 390), "debit": (390, 470), "credit": (560, 635), "balance": (730, END)}),
+    Layout("idfc-first", (r"(?i)IDFC FIRST BANK", r"\bIDFB0\d{6}\b"), r"^\d{2}-[A-Za-z]{3}-\d{4}$",
+           heading={"date": "Value Date", "particulars": "Particulars", "reference": "Cheque", "debit": "Debit", "credit": "Credit", "balance": "Balance"}, midpoints=True),
+    Layout("axis-report", (r"(?i)Statement of Axis Bank Account No\s*:", r"(?i)S\.NO Transaction\b"), r"^\d{2}/\d{2}/\d{4}$",
+           heading={"date": "S.NO", "particulars": "Particulars", "amount": "Amount(INR)", "flag": "Debit/Credit", "balance": "Balance(INR)", "reference": "Cheque"}, flagged=True),
+)
+
+
+def _fixed(tokens: DataFrame, layout: Layout) -> DataFrame:
+    out = F.lit(None).cast("string")
+    for name, (low, high) in layout.bands.items():
+        out = F.when((F.col("x") >= low) & (F.col("x") < high), name).otherwise(out)
+    return tokens.withColumn("column", out)
+
+
+def _by_heading(tokens: DataFrame, layout: Layout) -> DataFrame:
+    """Columns by the page's own heading: found once a page by a window, so no join."""
+    page = Window.partitionBy("doc_id", "page")
+    rows = tokens
+    for name, word in layout.heading.items():
+        rows = rows.withColumn(f"_x_{name}", F.min(F.when(F.col("text") == word, F.col("x"))).over(page))
+    rows = rows.withColumn("_top", F.max(F.when(F.col("text").isin(*layout.heading.values()), F.col("y"))).over(page)).where("y > _top")
+    names = list(layout.heading)
+    out: Column = F.lit(None).cast("string")
+    for k, name in enumerate(names):
+        here = F.col(f"_x_{name}")
+        if layout.midpoints:
+            low = (F.col(f"_x_{names[k - 1]}") + here) / 2 if k else F.lit(-END)
+            high = (here + F.col(f"_x_{names[k + 1]}")) / 2 if k + 1 < len(names) else F.lit(END)
+        else:
+            low = here - 2 if k else F.lit(-END)
+            high = F.col(f"_x_{names[k + 1]}") - 2 if k + 1 < len(names) else F.lit(END)
+        out = F.when((F.col("x") >= low) & (F.col("x") < high), name).otherwise(out)
+    return rows.withColumn("column", out).drop("_top", *(f"_x_{n}" for n in names))
+
+
+def read_layout(tokens: DataFrame, layout: Layout) -> DataFrame:
+    """Rows of documents of one layout: a date cell in the date column opens a row, which ends at the next or with its page."""
+    cells = _by_heading(tokens, layout) if layout.heading else _fixed(tokens, layout)
+    opens = (F.col("column") == "date") & F.col("text").rlike(layout.date)
+    # all of a line belongs to the row that its date opens, wherever in the line the date stands
+    rows = cells.withColumn("row", F.sum(F.when(opens, 1).otherwise(0)).over(Window.partitionBy("doc_id", "page").orderBy("y"))).where("row > 0 AND column IS NOT NULL")
+    first = lambda c, ok=None: F.min_by("text", F.when((F.col("column") == c) & (ok if ok is not None else F.lit(True)), F.struct("y", "x", "token_id")))
+    amount = lambda c: F.regexp_replace(first(c, D.amount_text(F.col("text"))), ",", "").try_cast(MONEY)
+    words = F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("column") == "particulars", F.struct("y", "x", "token_id", "text")))), lambda t: t["text"]), " ")
+    debit, credit = ("amount", "amount") if layout.flagged else ("debit", "credit")
+    found = rows.groupBy("doc_id", "page", "row").agg(
+        S.parse_date(first("date")).alias("date"), words.alias("particulars"), first("reference").alias("reference"), amount(debit).alias("_d"), amount(credit).alias("_c"), amount("balance").alias("balance"), first("flag").alias("_flag"),
+    )
+    side = F.upper("_flag")
+    w_, d_ = (F.when(side == "DR", F.col("_d")), F.when(side == "CR", F.col("_c"))) if layout.flagged else (F.col("_d"), F.col("_c"))
+    return found.select("doc_id", "page", "row", "date", "particulars", "reference", F.when(w_ > 0, w_).alias("withdrawal"), F.when(d_ > 0, d_).alias("deposit"), "balance")

@@ -36,15 +36,11 @@ def _zero(c: str) -> Column:
 
 def chronology(ledger: DataFrame) -> DataFrame:
     """WIN-01.  ``doc_id``, ``forward``, ``backward``, ``chronological``: steps between neighbouring dated rows; ties and under two dates count as forward."""
-    dated = ledger.where(F.col("txn_date").isNotNull()).select("doc_id", "seq", "txn_date").withColumn("before", F.lag("txn_date").over(_in_order()))
-    steps = dated.groupBy("doc_id").agg(
+    before = F.last("txn_date", ignorenulls=True).over(_in_order().rowsBetween(Window.unboundedPreceding, -1))
+    steps = ledger.select("doc_id", "txn_date", before.alias("before")).groupBy("doc_id").agg(
         F.count_if(F.col("txn_date") > F.col("before")).alias("forward"), F.count_if(F.col("txn_date") < F.col("before")).alias("backward")
     )
-    docs = ledger.select("doc_id").distinct()
-    return docs.join(steps, "doc_id", "left").select(
-        "doc_id", F.coalesce("forward", F.lit(0)).alias("forward"), F.coalesce("backward", F.lit(0)).alias("backward"),
-        (F.coalesce("forward", F.lit(0)) >= F.coalesce("backward", F.lit(0))).alias("chronological"),
-    )
+    return steps.withColumn("chronological", F.col("forward") >= F.col("backward"))
 
 
 def statement_order(ledger: DataFrame) -> DataFrame:

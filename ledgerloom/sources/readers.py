@@ -51,7 +51,7 @@ def sniff(content: Column) -> Column:
 
 
 def page_preflight(pages: DataFrame, least: int = 8, empty_share: float = 0.75) -> DataFrame:
-    """SRC-03, SRC-08, FLT-12, FLT-13.  Of each document: pages, pages with text, whether it is empty, sparse, and how to read it."""
+    """SRC-03.  Of each document: pages, pages with text, whether it is empty, sparse, and how to read it."""
     sums = pages.groupBy("doc_id").agg(F.count("*").alias("pages"), F.count_if((F.col("chars") == 0) & ~F.col("has_image")).alias("empty"), F.count_if(F.col("chars") > 200).alias("texty"))
     sampled = F.least("pages", F.lit(least))
     return sums.select(
@@ -113,5 +113,5 @@ def typed_errors(replies: DataFrame) -> DataFrame:
 
 
 def invoices(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """SRC-13, SRC-17, SRC-21.  Recorded readings as typed rows; what doesn't fit stands in ``_corrupt``."""
+    """Recorded readings of files as typed rows; what doesn't fit stands in ``_corrupt``."""
     return spark.read.schema(schema + ", _corrupt string").option("columnNameOfCorruptRecord", "_corrupt").option("mode", "PERMISSIVE").json(path)
