@@ -13,11 +13,13 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows and bytes of text that one step inside Python handles at once.  Spark's own
-#: bound of an Arrow batch (``spark.sql.execution.arrow.maxBytesPerBatch``) holds before.
+#: Rows and bytes of text that one step inside Python handles at once.
 STEP_ROWS, STEP_BYTES = 128, 8 << 20
-#: A key is hot if over one in SHARES rows has it, so at most SHARES keys are.
-SHARES = 4096
+#: Rows of an Arrow batch, and the setting that tells them; its bytes are bounded by Spark's own
+#: ``spark.sql.execution.arrow.maxBytesPerBatch``.
+ARROW_ROWS, ARROW_SETTING, SPARK_ROWS = 512, "spark.sql.execution.arrow.maxRecordsPerBatch", "10000"
+#: Keys that are treated as hot at most, and rows that a key has at least to be one.
+SHARES, HOT_ROWS = 4096, 1024
 
 _run = uuid.uuid4().hex[:12]
 _scopes: list[list[tuple[SparkSession, str]]] = []
@@ -47,15 +49,14 @@ def staged(df: DataFrame, name: str) -> DataFrame:
 
     This cuts the lineage: a later stage that loses an executor reads these
     files again and nothing before them.  The files stay until ``release`` is
-    called, the surrounding ``scratch`` ends, or the driver does.
+    called, what ``collected`` them calls ``discard``, or the driver ends.
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/ledgerloom-{_run}/{name}-{uuid.uuid4().hex[:12]}"
     df.write.parquet(path)
     if _scopes:
         _scopes[-1].append((spark, path))
-    else:
-        atexit.register(remove, spark, path)
+    atexit.register(remove, spark, path)
     out = spark.read.schema(df.schema).parquet(path)
     out._staged_at = path
     return out
@@ -67,14 +68,19 @@ def release(df: DataFrame) -> None:
 
 
 @contextlib.contextmanager
-def scratch():
-    """Delete, in the end, what is staged inside; results have to be written by then."""
-    _scopes.append([])
+def collected(into: list):
+    """Note in a list what is staged inside, so that ``discard`` can delete it once its results are written."""
+    _scopes.append(into)
     try:
         yield
     finally:
-        for spark, path in _scopes.pop():
-            remove(spark, path)
+        _scopes.pop()
+
+
+def discard(noted: list) -> None:
+    """Delete what ``collected`` has noted."""
+    while noted:
+        remove(*noted.pop())
 
 
 def remove(spark: SparkSession, path: str) -> None:
@@ -86,6 +92,18 @@ def remove(spark: SparkSession, path: str) -> None:
     target.getFileSystem(context._jsc.hadoopConfiguration()).delete(target, True)
 
 
+def small_batches(df: DataFrame) -> DataFrame:
+    """``df``, whose session hands whole texts to Python in small batches, unless its user has chosen a size.
+
+    Results are lazy, so this can't be undone when they are returned: a session that
+    has Spark's own value keeps ``ARROW_ROWS``, one with another value keeps that.
+    """
+    conf = df.sparkSession.conf
+    if conf.get(ARROW_SETTING, SPARK_ROWS) == SPARK_ROWS:
+        conf.set(ARROW_SETTING, ARROW_ROWS)
+    return df
+
+
 def portions(batch: pa.RecordBatch, text: int, rows: int = STEP_ROWS) -> Iterator[pa.RecordBatch]:
     """Slices of a batch, of at most ``rows`` rows, and of ``STEP_BYTES`` in column ``text`` if several rows."""
     sizes = pc.fill_null(pc.binary_length(batch.column(text)), 0).to_pylist()
@@ -111,7 +129,7 @@ def map_steps(df: DataFrame, step: Callable[[list[list]], Iterator | dict], sche
                 yield record_batch(step([c.to_pylist() for c in part.columns]), arrow)
 
     arrow = arrow_schema(schema)
-    return df.mapInArrow(run, schema)
+    return small_batches(df).mapInArrow(run, schema)
 
 
 def arrow_schema(schema: str) -> pa.Schema:
@@ -125,19 +143,25 @@ def record_batch(columns: dict, schema: pa.Schema) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(columns[f.name], f.type) for f in schema], schema=schema)
 
 
-def whole_groups(batches, columns: int, keys: int = 1) -> Iterator[list]:
+def whole_groups(batches, columns: int, keys: int = 1, least: int = 1 << 14) -> Iterator[list]:
     """Stretches of whole groups of sorted rows as arrays; a group has equal first ``keys`` columns.
 
-    What is held is an Arrow batch and the longest group, not the partition.
+    What is held is about ``least`` rows and the longest group, not the partition.
     """
     import numpy as np
 
-    kept = None
+    def joined(parts: list) -> list:
+        return parts[0] if len(parts) == 1 else [np.concatenate(p) for p in zip(*parts)]
+
+    parts, held = [], 0
     for batch in batches:
-        now = [np.array(c.to_pylist(), object) if c.null_count else c.to_numpy(zero_copy_only=False) for c in batch.columns[:columns]]
-        kept = now if kept is None else [np.concatenate(p) for p in zip(kept, now)]
-        if len(kept[0]):
-            changes = np.zeros(len(kept[0]) - 1, bool)
+        if not batch.num_rows:
+            continue
+        parts.append([np.array(c.to_pylist(), object) if c.null_count else c.to_numpy(zero_copy_only=False) for c in batch.columns[:columns]])
+        held += batch.num_rows
+        if held >= least:
+            kept = joined(parts)
+            changes = np.zeros(held - 1, bool)
             for k in range(keys):
                 changes |= kept[k][1:] != kept[k][:-1]
             found = np.flatnonzero(changes)
@@ -145,32 +169,59 @@ def whole_groups(batches, columns: int, keys: int = 1) -> Iterator[list]:
                 last = int(found[-1]) + 1
                 yield [c[:last] for c in kept]
                 kept = [c[last:] for c in kept]
-    if kept is not None and len(kept[0]):
-        yield kept
+            parts, held = [kept], len(kept[0])
+    if held:
+        yield joined(parts)
+
 
+def hot_keys(rows: DataFrame, on: list[str]) -> DataFrame | None:
+    """The ``SHARES`` most frequent keys of those that over ``HOT_ROWS`` rows have; None if there are none.
+
+    Their number is bounded whatever the input, so they can be collected and
+    broadcast.  Any other key has at most ``HOT_ROWS`` rows or one in ``SHARES`` of all.
+    """
+    return most_rows(rows.groupBy(*on).agg(F.count("*").alias("_h_n")), on, "_h_n")
 
-def hot_keys(rows: DataFrame, on: list[str]) -> DataFrame:
-    """Keys that several rows and over one in ``SHARES`` of all have: fewer than ``SHARES`` keys, whatever the input."""
-    total = rows.count()
-    return rows.groupBy(*on).agg(F.count("*").alias("_h_n")).where((F.col("_h_n") > 1) & (F.col("_h_n") * SHARES > total)).select(*on)
 
+def most_rows(counted: DataFrame, on: list[str], rows: str) -> DataFrame | None:
+    """As ``hot_keys``, of keys whose rows are counted already in column ``rows``."""
+    found = counted.where(F.col(rows) > HOT_ROWS).orderBy(F.desc(rows), *on).limit(SHARES).select(*on).collect()
+    return counted.sparkSession.createDataFrame(found, counted.select(*on).schema) if found else None
 
-def join_with_hot(rows: DataFrame, keyed: DataFrame, on: list[str], hot: DataFrame) -> DataFrame:
-    """``rows`` joined with ``keyed``, where ``hot`` holds the keys (fewer than ``SHARES``) that very many rows have.
+
+def join_with_hot(rows: DataFrame, keyed: DataFrame, on: list[str], hot: DataFrame | None) -> DataFrame:
+    """``rows`` joined with ``keyed``, where ``hot`` holds the keys (``SHARES`` at most) that very many rows have.
 
     Hot keys' rows stay where they lie and meet a broadcast of what ``keyed`` has for
     them; only the others are shuffled.
     """
-    if hot.isEmpty():
+    if hot is None:
         return rows.join(keyed, on)
-    hot = F.broadcast(hot.select(*on))
+    hot = F.broadcast(hot)
     cold = rows.join(hot, on, "left_anti").join(keyed.join(hot, on, "left_anti"), on)
     return cold.unionByName(rows.join(F.broadcast(keyed.join(hot, on, "left_semi")), on))
 
 
 def join_by_key(rows: DataFrame, keyed: DataFrame, on: list[str]) -> DataFrame:
     """``rows`` (staged) joined with the one row that ``keyed`` has for each key."""
-    return join_with_hot(rows, keyed, on, staged(hot_keys(rows, on), "hot-keys"))
+    return join_with_hot(rows, keyed, on, hot_keys(rows, on))
+
+
+def join_spread(rows: DataFrame, keyed: DataFrame, on: str, by: str) -> DataFrame:
+    """``rows`` (staged, narrow) joined with ``keyed`` (staged, one possibly wide row a key).
+
+    A key that over ``HOT_ROWS`` rows have is dealt out to as many tasks as that takes: its
+    rows by column ``by``, and a copy of what ``keyed`` has for it to each.
+    """
+    hot = hot_keys(rows, [on])
+    if hot is None:
+        return rows.join(keyed, on)
+    counts = rows.groupBy(on).agg(F.count("*").alias("_h_n")).where(F.col("_h_n") > HOT_ROWS)
+    salts = staged(counts.select(on, F.ceil(F.col("_h_n") / HOT_ROWS).cast("int").alias("_h_s")), "spread-keys")
+    many = join_with_hot(rows, salts, [on], hot).withColumn("_h_s", F.pmod(F.xxhash64(by), F.col("_h_s")).cast("int"))
+    copies = keyed.join(salts, on).withColumn("_h_s", F.explode(F.sequence(F.lit(0), F.col("_h_s") - 1)))
+    few = rows.join(F.broadcast(hot), on, "left_anti").join(salts.select(on), on, "left_anti")
+    return few.join(keyed, on).unionByName(many.join(copies, [on, "_h_s"]).drop("_h_s"))
 
 
 def words_of(text) -> F.Column:

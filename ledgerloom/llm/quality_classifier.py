@@ -2,8 +2,8 @@
 
 1. *Word vectors.*  Each word has a sparse random index vector of its own, drawn from
    its 64-bit hash.  Over all documents, a word's context vector is the sum of the
-   index vectors of the words around its occurrences; a task passes on partial sums by
-   word, which Spark adds up.  A word that is at least one in ``SHARES`` of all words has
+   index vectors of the words around its occurrences; tasks pass on partial counts by word
+   and then partial sums of frequent ones, which Spark adds up.  A word that is at least one in ``SHARES`` of all words has
    its context vector in the table that scoring uses: at most ``SHARES`` words can, so
    the table's size is bounded whatever the input (and every input is treated alike).
    Rarer words stand for themselves by their index vector alone; none is left out, and
@@ -29,6 +29,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from collections import Counter
 
 import numpy as np
 import pandas as pd
@@ -36,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerloom.llm.common import map_steps, portions, staged
+from ledgerloom.llm.common import map_steps, portions, small_batches, staged
 
 #: Words in the table at most (and the share of all words that brings one there), and occurrences that it needs.
 SHARES, LEAST = 1 << 18, 5
@@ -128,17 +129,51 @@ def add_contexts(table: np.ndarray, counts: np.ndarray, texts: list[np.ndarray],
         counts[found] += np.diff(edges, append=len(words))
 
 
-def context_sums(df: DataFrame, text_column: str = "text") -> DataFrame:
-    """``w``, ``n`` and ``s0`` to ``s31``: count and context sum of every word of all rows (written)."""
+def word_counts(df: DataFrame, text_column: str = "text") -> DataFrame:
+    """``w``, ``n``: how often each word occurs, over all rows."""
+    def run(batches):
+        counts: Counter = Counter()
+
+        def flush():
+            ids = np.array([word_id(t) for t in counts], np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(np.fromiter(counts.values(), np.int64, len(counts)))], names=["w", "n"])
+            counts.clear()
+
+        for batch in batches:
+            for text in batch.column(0):
+                counts.update(_token.findall(text.as_py() or ""))
+                if len(counts) > REMEMBERED:
+                    yield from flush()
+        yield from flush()
+
+    return small_batches(df).select(f"`{text_column}`").mapInArrow(run, "w long, n long").groupBy("w").agg(F.sum("n").alias("n"))
+
+
+def frequent_words(df: DataFrame, text_column: str = "text", shares: int = SHARES, least: int = LEAST) -> np.ndarray:
+    """Sorted ids of the words that are one in ``shares`` of all words and occur ``least`` times: at most ``shares`` of them."""
+    counts = staged(word_counts(df, text_column), "word-counts")
+    total = counts.agg(F.sum("n")).first()[0] or 0
+    return counts.where((F.col("n") * shares >= total) & (F.col("n") >= least)).select("w").orderBy("w").toArrow()["w"].to_numpy()
+
+
+def context_sums(df: DataFrame, frequent: np.ndarray, text_column: str = "text") -> DataFrame:
+    """``w``, ``n`` and ``s0`` to ``s31``: count and context sum of each frequent word, and of all words together (``w`` null), over all rows."""
     names = [f"s{k}" for k in range(DIM)]
     schema = "w long, n long, " + ", ".join(f"{c} long" for c in names)
 
     def run(batches):
-        words = None
+        words, whole = None, np.zeros((1, DIM + 1), np.int64)
+
+        def row(ids, counts, table):
+            return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(counts)] + [pa.array(np.ascontiguousarray(table[:, k])) for k in range(DIM)], names=["w", "n", *names])
 
         def flush():
-            found = np.flatnonzero(counts[1:]) + 1
-            yield pa.RecordBatch.from_arrays([pa.array(words.ids[found]), pa.array(counts[found])] + [pa.array(np.ascontiguousarray(table[found, k])) for k in range(DIM)], names=["w", "n", *names])
+            ids = words.ids[: words.n]
+            at = np.minimum(np.searchsorted(frequent, ids), max(len(frequent) - 1, 0))
+            found = np.flatnonzero((counts[: words.n] > 0) & (frequent[at] == ids if len(frequent) else False))
+            whole[0, 0] += counts[1 : words.n].sum()
+            whole[0, 1:] += table[1 : words.n].sum(axis=0)
+            yield row(ids[found], counts[found], table[found])
 
         for batch in batches:
             for part in portions(batch, 0):
@@ -152,9 +187,10 @@ def context_sums(df: DataFrame, text_column: str = "text") -> DataFrame:
                 add_contexts(table, counts, rows, words.arrays[0])
         if words is not None:
             yield from flush()
+        yield row([None], whole[:, 0], whole[:, 1:])
 
-    sums = df.select(f"`{text_column}`").mapInArrow(run, schema)
-    return staged(sums.groupBy("w").agg(F.sum("n").alias("n"), *(F.sum(c).alias(c) for c in names)), "word-contexts")
+    sums = small_batches(df).select(f"`{text_column}`").mapInArrow(run, schema)
+    return sums.groupBy("w").agg(F.sum("n").alias("n"), *(F.sum(c).alias(c) for c in names))
 
 
 class Vectors:
@@ -173,16 +209,17 @@ class Vectors:
         return out
 
 
-def word_vectors(sums: DataFrame, shares: int = SHARES, least: int = LEAST) -> Vectors:
-    """Vectors of the words that are one in ``shares`` of all at least: the usual context taken off, unit length."""
-    names = [f"s{k}" for k in range(DIM)]
-    whole = sums.agg(F.sum("n").alias("n"), *(F.sum(c).alias(c) for c in names)).first()
-    total = whole["n"] or 0
-    rows = sums.where((F.col("n") * shares >= total) & (F.col("n") >= least)).select("w", *(F.expr(f"CAST({c} / n AS FLOAT) AS {c}") for c in names)).orderBy("w").toArrow()  # at most ``shares``
-    mean = np.array([(whole[c] or 0) / max(1, total) for c in names])
-    vectors = np.stack([rows[c].to_numpy() for c in names], axis=1).astype(np.float32) - mean.astype(np.float32)
+def word_vectors(df: DataFrame, text_column: str = "text") -> Vectors:
+    """Vectors of the frequent words: the usual context taken off, unit length."""
+    rows = context_sums(df, frequent_words(df, text_column), text_column).orderBy("w").toArrow()  # at most ``SHARES`` and one
+    ids, n = rows["w"], rows["n"].to_numpy().astype(np.float64)
+    table = np.stack([rows[f"s{k}"].to_numpy() for k in range(DIM)], axis=1)
+    if not len(n):
+        return Vectors(np.zeros(0, np.int64), np.zeros((0, DIM), np.float16))
+    mean = table[0] / max(1.0, n[0])  # null, all words, comes first
+    vectors = table[1:] / n[1:, None] - mean
     vectors /= np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-9)
-    return Vectors(rows["w"].to_numpy(), vectors.astype(np.float16))
+    return Vectors(ids.slice(1).to_numpy().astype(np.int64), vectors.astype(np.float16))
 
 
 def shapes(tokens: list[str]) -> np.ndarray:
@@ -274,7 +311,7 @@ TEMPERATURES = np.geomspace(0.5, 8, 49)
 
 def train(df: DataFrame, labels: DataFrame, learn, text_column: str = "text", key: str = "doc_id") -> tuple[Vectors, Network]:
     """Word vectors from all of ``df`` and a network from the labelled rows for which ``learn(key)`` holds."""
-    vectors = word_vectors(context_sums(df, text_column))
+    vectors = word_vectors(df, text_column)
     texts = df.select(F.col(f"`{key}`").alias("doc_id"), F.col(f"`{text_column}`").alias("text"))
     sample = texts.join(F.broadcast(training_keys(labels, learn)), "doc_id")  # at most TRAIN_ROWS short rows
     rows = pool_frame(sample, vectors, ["doc_id", "quality", "text"], "doc_id long, quality double, vector array<float>")
@@ -296,7 +333,7 @@ def score_column(vectors: Vectors, network: Network):
 
 def score(df: DataFrame, vectors: Vectors, network: Network, text_column: str = "text") -> DataFrame:
     """``df`` and ``_c_score`` of every row."""
-    return df.withColumn("_c_score", score_column(vectors, network)(F.col(f"`{text_column}`")))
+    return small_batches(df).withColumn("_c_score", score_column(vectors, network)(F.col(f"`{text_column}`")))
 
 
 def fold(key) -> F.Column:

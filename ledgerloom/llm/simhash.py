@@ -17,8 +17,8 @@ large group of near copies costs neither memory nor all its pairs.  A task passe
 one link a fingerprint, to its group's least: no more rows than it has read.
 
 *Components.*  Links become stars by alternating large-star and small-star rounds,
-each written to the shared folder; nothing is collected on the driver.  Keys that over
-one in ``SHARES`` rows have (a fingerprint of a third of all texts, the least of a large
+each written to the shared folder; nothing is collected on the driver.  The most
+frequent keys (a fingerprint of a third of all texts, the least of a large
 component) meet their rows by a bounded broadcast, see ``common.join_by_key``.
 
 Defined results: a null or empty text, or one of white space only, has fingerprint
@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
-from ledgerloom.llm.common import join_by_key, release, staged, whole_groups
+from ledgerloom.llm.common import join_by_key, release, small_batches, staged, whole_groups
 
 SHINGLE, SEED, BITS, BUDGET = 3, 42, 64, 3
 #: Fingerprints that agree on a block from which on the block is dealt out again.
@@ -75,7 +75,7 @@ def _fingerprints(texts: pd.Series) -> pd.Series:
 
 def with_fingerprint(df: DataFrame, text_column: str = "text") -> DataFrame:
     """``df`` and ``_s_fp``, the fingerprint as a signed long."""
-    return df.withColumn("_s_fp", _fingerprints(F.col(f"`{text_column}`")))
+    return small_batches(df).withColumn("_s_fp", _fingerprints(F.col(f"`{text_column}`")))
 
 
 # -- the trie self-join --------------------------------------------------------
@@ -182,9 +182,10 @@ def near_links(fingerprints: DataFrame, budget: int = BUDGET, large: int = LARGE
     narrow = (BITS - wide) // blocks  # and of a part of the other bits
     turned = fingerprints.select(F.posexplode(F.array(*(_turn(F.col("fp"), k * wide, BITS) for k in range(blocks)))).alias("k", "turned"))
     turned = turned.withColumn("head", F.shiftrightunsigned("turned", BITS - wide))
-    often = staged(turned.groupBy("k", "head").agg(F.count("*").alias("n")).where(F.col("n") > large).drop("n"), "large-blocks")
+    often = turned.groupBy("k", "head").agg(F.count("*").alias("n")).where(F.col("n") > large).drop("n")
     dealt = turned
-    if not often.isEmpty():
+    if often.count():
+        often = staged(often, "large-blocks")
         parts = F.posexplode(F.array(*(_turn(F.col("turned"), j * narrow, BITS - wide) for j in range(blocks)))).alias("j", "turned")
         again = turned.join(often, ["k", "head"]).select("k", parts)
         again = again.select((blocks + F.col("k") * blocks + F.col("j")).alias("k"), "turned", F.shiftrightunsigned("turned", BITS - wide - narrow).alias("head"))

@@ -30,9 +30,9 @@ What a digest decides and no bytes are compared for: equality of texts, of conte
 that nothing else of their anchor differs from, and of suffixes of different runs.  All
 are 128 bits of cryptographic hashes.
 
-Skew: a text, an anchor or a context that over one in ``SHARES`` rows has is hot; there
-are fewer than ``SHARES`` of them, whatever the input.  Their rows stay where they lie and
-meet a broadcast of that many rows; only rows of other keys are shuffled by them.
+Skew: of the texts, anchors and contexts that over ``HOT_ROWS`` rows have, the ``SHARES``
+most frequent are hot.  Their rows stay where they lie and meet a broadcast of that many
+rows; only rows of other keys are shuffled by them.
 
 Defined results: a null text is empty; a text under ``LENGTH`` bytes stays whole;
 repeated rows are each other's repeats, whatever their keys; null keys are allowed;
@@ -51,11 +51,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, StringType
 
-from ledgerloom.llm.common import SHARES, arrow_schema, hot_keys, join_with_hot, portions, staged
+from ledgerloom.llm.common import arrow_schema, hot_keys, join_with_hot, most_rows, portions, small_batches, staged
 
 LENGTH, GRAM = 200, 64
 #: Window starts handled at once; bytes of contexts sorted at once; occurrences of an anchor that share a run of the sort.
-PART, PORTION, RUN = 1 << 18, 1 << 20, 256
+PART, PORTION, RUN = 1 << 18, 1 << 20, 4096
 #: Texts that a task remembers; forgetting them costs equal rows, which are merged later.
 REMEMBERED = 100_000
 
@@ -397,17 +397,15 @@ def _squeezed_classes(texts: DataFrame) -> DataFrame:
 
 def repeats(df: DataFrame, text_column: str = "text") -> DataFrame:
     """``t1``, ``t2``, ``spans``: the stretches to remove from each class of texts that has any (not united yet)."""
-    texts = df.select(F.coalesce(F.col(f"`{text_column}`"), F.lit("")).alias("text"))
+    texts = small_batches(df).select(F.coalesce(F.col(f"`{text_column}`"), F.lit("")).alias("text"))
     found = staged(items(texts), "anchors")
-    total = found.count()
     known = found.where("a IS NOT NULL")
     counts = (
         known.groupBy("a").agg(F.sum("n").alias("times"), F.count("*").alias("rows"), *(f(c).alias(f"{f.__name__}_{c}") for c in ("c1", "c2") for f in (F.min, F.max)))
         .where("times > 1").select("a", ((F.col("min_c1") != F.col("max_c1")) | (F.col("min_c2") != F.col("max_c2"))).alias("several"), "rows")
     )
     often = staged(counts, "frequent-anchors")
-    hot = F.col("rows") * SHARES > total
-    again = staged(join_with_hot(known, often, ["a"], often.where(hot)), "repeated-anchors")
+    again = staged(join_with_hot(known, often, ["a"], most_rows(often, ["a"], "rows")), "repeated-anchors")
     # one example of each context of an anchor that has several
     one = [F.first(c).alias(c) for c in ("t1", "t2", "lo", "hi", "p", "rows")]
     kinds = staged(again.where("several").groupBy("a", "c1", "c2").agg(F.sum("n").alias("n"), F.count("*").alias("here"), *one), "kinds")
@@ -431,7 +429,7 @@ def repeats(df: DataFrame, text_column: str = "text") -> DataFrame:
     contexts = staged(met.mapInArrow(cut, cut_schema), "contexts").dropDuplicates(["a", "c1", "c2"])
     sorted_ = staged(sort_contexts(contexts), "sorted-runs")
     parts = staged(merged_runs(sorted_), "context-repeats")
-    several = join_with_hot(again.where("several").select("a", "c1", "c2", "t1", "t2", "lo"), parts, ["a", "c1", "c2"], kinds.where(F.col("here") * SHARES > total))
+    several = join_with_hot(again.where("several").select("a", "c1", "c2", "t1", "t2", "lo"), parts, ["a", "c1", "c2"], most_rows(kinds, ["a", "c1", "c2"], "here"))
     spans = (
         again.where("NOT several").select("t1", "t2", F.col("lo").alias("begin"), (F.col("hi") + LENGTH).alias("end"))
         .unionByName(several.select("t1", "t2", (F.col("lo") + F.col("begin")).alias("begin"), (F.col("lo") + F.col("end")).alias("end")))
@@ -447,8 +445,11 @@ def removed(df: DataFrame, text_column: str = "text") -> DataFrame:
     ids = dict(zip(("_d_t1", "_d_t2"), _text_id(text)))
     keyed = df.select(*(c.alias(n) for n, c in ids.items()), *(F.col(f"`{c}`") for c in others), text.alias("_d_text"))
     # rows of a hot text go whole, as they repeat; they are spread, not dealt by their text
-    hot = staged(hot_keys(keyed.select(*ids), list(ids)), "hot-texts").withColumn("_d_hot", F.lit(True))
-    marked = keyed.join(F.broadcast(hot), list(ids), "left").withColumn("_d_hot", F.coalesce("_d_hot", F.lit(False)))
+    hot = hot_keys(keyed.select(*ids), list(ids))
+    if hot is None:
+        marked = keyed.withColumn("_d_hot", F.lit(False))
+    else:
+        marked = keyed.join(F.broadcast(hot.withColumn("_d_hot", F.lit(True))), list(ids), "left").withColumn("_d_hot", F.coalesce("_d_hot", F.lit(False)))
     marked = marked.withColumn("_d_t1", F.when(F.col("_d_hot"), F.xxhash64(F.monotonically_increasing_id())).otherwise(F.col("_d_t1")))
     marked = marked.withColumn("_d_z", _squeezed("_d_text")).drop("_d_text")
     spans = repeats(df, text_column).select(F.col("t1").alias("_d_t1"), F.col("t2").alias("_d_t2"), F.lit(False).alias("_d_hot"), F.col("spans").alias("_d_found"))

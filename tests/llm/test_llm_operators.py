@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from ledgerloom.llm import chat, licenses, media_ts, near_copies, packing, quality_classifier, quality_rules, queries, simhash, suffix_dedup, token_counts, tokens
+from ledgerloom.llm import chat, common, licenses, media_ts, near_copies, packing, quality_classifier, quality_rules, queries, simhash, suffix_dedup, token_counts, tokens
 from ledgerloom.llm.common import documents
 
 SF = "/root/testdata/sf0.001"
@@ -111,6 +111,38 @@ def test_length_histogram(spark, odd, nothing, library):
     assert token_counts.suffix_sums(token_counts.length_histogram(nothing, queries.vocabulary())).count() == 0
 
 
+def test_clashing_columns_are_not_read(spark, odd):
+    clash = odd.withColumns({c: F.lit(7) for c in ("ids", "n_tokens", "keys", "texts", "vector", "quality", "w", "n", "s0", "block", "_c")})
+    path = queries.vocabulary()
+    rows = lambda df: sorted(map(str, df.collect()))
+    assert rows(tokens.roundtrip_digests(clash, path)) == rows(tokens.roundtrip_digests(odd, path))
+    assert rows(token_counts.length_histogram(clash, path)) == rows(token_counts.length_histogram(odd, path))
+    labels = spark.createDataFrame([(k, k % 2, 0) for k in range(30)], "doc_id long, quality int, toxic int")
+    kept = quality_classifier.keep_good(clash, labels)
+    assert kept.columns == clash.columns and kept.count() == quality_classifier.keep_good(odd, labels).count()
+
+
+def test_repeated_keys_train_once(spark):
+    docs = spark.range(4000).select(F.lit(5).cast("long").alias("doc_id"), F.lit("a text").alias("text")).unionByName(spark.range(40).select("id", F.concat(F.lit("word "), "id")).toDF("doc_id", "text"))
+    labels = spark.createDataFrame([(k, k % 2, 0) for k in range(40)], "doc_id long, quality int, toxic int")
+    vectors, network = quality_classifier.train(docs, labels, lambda key: key >= 0)
+    assert 0 < network.base < 1 and quality_classifier.score(docs, vectors, network).count() == 4040
+
+
+def test_a_text_of_megabytes(spark, library):
+    """One row of 2 MB of prose beside short ones, through the queries' operators."""
+    rng = random.Random(20)
+    long = " ".join(rng.choice(("river", "stone", "hill", "12", "light.", "--", "né")) + str(rng.randrange(999)) for _ in range(220_000))
+    docs = spark.createDataFrame([(1, long), (2, "short"), (3, None)], "doc_id long, text string")
+    ids = library.encode(long, add_special_tokens=False).ids
+    assert {r.doc_id: r.n_tokens for r in tokens.roundtrip_digests(docs, queries.vocabulary()).collect()}[1] == len(ids)
+    assert sum(r.length for r in packing.pack(docs, queries.vocabulary()).collect()) == len(ids) + 1 + len(library.encode("short", add_special_tokens=False).ids) + 2
+    media = {r.doc_id: r for r in media_ts.features(media_ts.store(docs)).collect()}[1]
+    assert media.n_bytes == len(long.encode()) and len(media.units) == -(-media.payload_bytes // media_ts.UNIT_BYTES)
+    assert {r.doc_id: r._s_fp % (1 << 64) for r in simhash.near_duplicates(docs).collect()}[1] == simhash.fingerprint(long)
+    assert suffix_dedup.removed(docs).where("doc_id = 2").first()._d_spans == []
+
+
 # -- media -----------------------------------------------------------------------
 
 
@@ -429,10 +461,10 @@ def planted():
     return texts + [make(100)] * 3 + ["ab " * 300, "ab " * 150 + make(10), "x" * 500, None, "", "y" * 199, "y" * 199, "z" * 200, "z" * 200, make(50) + texts[5][30:] * 2]
 
 
-@pytest.mark.parametrize("run, shares", [(suffix_dedup.RUN, suffix_dedup.SHARES), (2, 100), (10**6, 10**6)])
-def test_repeats_against_brute_force(spark, monkeypatch, run, shares):
+@pytest.mark.parametrize("run, hot", [(suffix_dedup.RUN, common.HOT_ROWS), (2, 3), (10**6, 1)])
+def test_repeats_against_brute_force(spark, monkeypatch, run, hot):
     monkeypatch.setattr(suffix_dedup, "RUN", run)  # 2: anchors are sorted in many runs, which are merged
-    monkeypatch.setattr(suffix_dedup, "SHARES", shares)  # 100: some anchors and contexts are hot
+    monkeypatch.setattr(common, "HOT_ROWS", hot)  # 1, 3: many anchors, contexts and texts are hot
     texts = planted()
     df = spark.createDataFrame([(k if k % 7 else None, t, k) for k, t in enumerate(texts)], "doc_id long, text string, place long").repartition(5)
     got = {r.place: (sum(s.end - s.begin for s in r._d_spans), len(r._d_spans), hashlib.sha256(r._d_kept).hexdigest()) for r in suffix_dedup.removed(df).collect()}
@@ -665,6 +697,7 @@ def brute_kept(rows):
 
 @pytest.mark.parametrize("chunk", [near_copies.CHUNK, 10])
 def test_near_copy_stage_against_brute_jaccard(spark, odd, nothing, monkeypatch, chunk):
+    monkeypatch.setattr(common, "HOT_ROWS", chunk)
     monkeypatch.setattr(near_copies, "CHUNK", chunk)  # 10: groups under a shingle lie in chunks
     rng, rows = random.Random(11), []
     words = [f"w{k}" for k in range(300)]
@@ -675,8 +708,8 @@ def test_near_copy_stage_against_brute_jaccard(spark, odd, nothing, monkeypatch,
             for _ in range(rng.randint(0, 5)):
                 text[rng.randrange(len(text))] = rng.choice(words)
             rows.append((len(rows), " ".join(text)))
-    common = [rng.choice(words) for _ in range(60)]  # one passage in documents that are no copies
-    rows += [(len(rows) + k, " ".join(common + [rng.choice(words) for _ in range(20)])) for k in range(30)]
+    passage = [rng.choice(words) for _ in range(60)]  # in documents that are no copies
+    rows += [(len(rows) + k, " ".join(passage + [rng.choice(words) for _ in range(20)])) for k in range(30)]
     rows += [(900, None), (901, " "), (902, "a b"), (903, "A  b"), (904, "a b c")]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     stage = dict(corpus_pipeline.STAGES)["simhash near-dedup"]
