@@ -3,14 +3,25 @@
 Each stage is a function of the session, the documents that the stage before kept, and
 the folder of the tables; its result is written as Parquet and read as the next stage's
 documents.  All but the last return the columns of ``documents``.
+
+Defined results: null texts are empty texts to every stage (the quality rules drop them,
+as they have no words); rows with null or repeated keys are rows like any others; an
+empty table stays empty; texts of any length are read whole; columns that ``documents`` doesn't
+have by default are kept by all stages but the last, whatever their names (but ``_q_``,
+``_c_``, ``_s_`` and ``_d_...``, which the operators use).
+
+What a stage stages in the shared folder is deleted when the next stage begins, as its
+result has been written by then.
 """
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame, SparkSession
 
 from ledgerloom.llm import near_copies, packing, quality_classifier, quality_rules, suffix_dedup
-from ledgerloom.llm.common import documents, staged
+from ledgerloom.llm.common import collected, discard, documents, release, staged
 from ledgerloom.llm.queries import vocabulary
 
 
@@ -39,12 +50,27 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return packing.pack(docs, vocabulary())
 
 
+#: What the stage that ran last has staged.
+_noted: list = []
+
+
+def _stage(work):
+    """The stage, after what the one before has left is deleted."""
+    @functools.wraps(work)
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        discard(_noted)
+        with collected(_noted):
+            return work(spark, docs, sf_dir)
+
+    return run_stage
+
+
 STAGES = [
-    ("quality classifier", classify),
-    ("quality rules", apply_rules),
-    ("simhash near-dedup", drop_near_copies),
-    ("suffix-array dedup", cut_repeats),
-    ("packing", pack),
+    ("quality classifier", _stage(classify)),
+    ("quality rules", _stage(apply_rules)),
+    ("simhash near-dedup", _stage(drop_near_copies)),
+    ("suffix-array dedup", _stage(cut_repeats)),
+    ("packing", _stage(pack)),
 ]
 
 #: Near-copy components, suffix sorts and trained networks are not expressible in SQL.
@@ -53,7 +79,9 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``; each but the last is written to the shared folder and read again."""
-    docs = documents(spark, sf_dir)
+    docs, before = documents(spark, sf_dir), None
     for name, stage in STAGES[:-1]:
-        docs = staged(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        docs, before = staged(stage(spark, docs, sf_dir), name.replace(" ", "-")), docs
+        if name != STAGES[0][0]:
+            release(before)
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -8,9 +8,11 @@ twice in a sample come last, so passages that many documents share bring few tog
 the sample decides that order only, never which pairs are found.  Sizes and places
 bound the overlap that a pair can still have.
 
-*Rounds.*  Small groups under one shingle propose all their pairs; large ones first
-the pairs with a few of their own, and later only pairs that aren't connected yet, so
-a large group of near copies doesn't cost its square.  Groups of over ``CHUNK`` sets aren't
+*Rounds.*  Groups of up to ``SMALL`` sets under one shingle propose all their pairs; larger
+ones first the pairs with the few of them whose hashes are least, so that one group of copies
+proposes the same pairs under each of its shingles, and later only pairs that aren't connected yet, so
+a large group of near copies doesn't cost its square; of those, pairs whose sets' parities
+differ in too many bits to be similar are left out, which is exact.  Groups of over ``CHUNK`` sets aren't
 met by one task: they pick those few by partial aggregation, and later lie in chunks, of
 which two meet in a task.  Every proposed pair's sets are compared; links become stars in
 ``simhash.components``.
@@ -29,14 +31,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ledgerloom.llm.common import SHARES, join_with_hot, portions, staged, whole_groups
+from ledgerloom.llm.common import join_spread, join_with_hot, most_rows, portions, release, small_batches, staged, whole_groups
 from ledgerloom.llm.simhash import SEED, bits_over_half, components, near_links
 
 SHINGLE = 5
 #: Documents that the order of shingles is taken from, and shingles that it ranks.
 SAMPLE, RANKED = 20_000, 1 << 18
-#: Groups that propose all pairs at once, groups that one task meets, pairs made at once.
-SMALL, CHUNK, PORTION = 8, 1024, 1 << 20
+#: Groups that propose all pairs at once, sets that larger ones propose pairs with, groups that one task meets, pairs made at once.
+SMALL, HEADS, CHUNK, PORTION = 4, 3, 1024, 1 << 20
+#: Bits of a set's parities, a sound bound on how far two sets differ.
+PARITY = 512
 #: Bits of a Bloom filter (4 MB whatever the input) by which sets that no pair needs are left out early.
 MARK = 25
 
@@ -78,7 +82,7 @@ def similar(a: bytes, b: bytes) -> bool:
 
 
 def _can(na, ia, nb, ib):
-    """Whether two sets can be similar that share their first shingle at these places."""
+    """Whether two sets of these sizes can be similar that share a shingle at these places and none before."""
     return 9 * np.minimum(na - ia, nb - ib) >= 4 * (na + nb)
 
 
@@ -86,6 +90,11 @@ def _edges(keys: np.ndarray) -> np.ndarray:
     return np.concatenate([[0], np.flatnonzero(keys[1:] != keys[:-1]) + 1, [len(keys)]])
 
 
+def parities(hashes: np.ndarray) -> bytes:
+    """For each of ``PARITY`` bits whether an odd number of hashes falls on it; two sets differ in as many elements at least as their parities do."""
+    return np.packbits(np.bincount((hashes % np.uint64(PARITY)).astype(np.int64), minlength=PARITY).astype(np.uint8) & 1).tobytes()
+
+
 def _unpack(at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return at >> 32, at & 0xFFFFFFFF
 
@@ -105,24 +114,23 @@ def propose(batches):
             lo, m = int(edges[k]), int(many[k])
             if m <= SMALL:
                 x, y = np.triu_indices(m, 1)
-            else:  # with some of the group, spread over the sizes
-                by = np.argsort(size[lo : lo + m], kind="stable")
-                heads = by[np.linspace(0, m - 1, SMALL).astype(int)]
-                x, y = np.repeat(heads, m), np.tile(np.arange(m), len(heads))
+            else:
+                x, y = np.repeat(np.arange(HEADS), m), np.tile(np.arange(m), HEADS)
             left.append(lo + x)
             right.append(lo + y)
         x, y = np.concatenate(left), np.concatenate(right)
         can = _can(size[x], place[x], size[y], place[y]) & (x != y)
         a, b = ids[x[can]], ids[y[can]]
-        for flag, cols in ((False, (np.minimum(a, b), np.maximum(a, b), np.zeros(len(a), np.int64))), (True, (keys[large], ids[large], at[large]))):
+        for flag, cols in ((False, (a, b, np.zeros(len(a), np.int64))), (True, (keys[large], ids[large], at[large]))):
             if len(cols[0]):
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(cols[0]), flag)), *map(pa.array, cols)], schema=schema)
 
 
 def propose_rest(batches):
-    """Pairs a, b that aren't connected; rows are shingle, pair of chunks, whether a row is of its second chunk, set, size and place, component."""
-    for shingle, low, high, second, ids, at, roots in whole_groups(batches, 7, keys=3):
+    """Pairs a, b that aren't connected; rows are shingle, pair of chunks, whether a row is of its second chunk, set, size and place, component, parities."""
+    for shingle, low, high, second, ids, at, roots, odd in whole_groups(batches, 8, keys=3):
         size, place = _unpack(at)
+        odd = np.frombuffer(b"".join(odd.tolist()), np.uint64).reshape(-1, PARITY // 64)
         change = (shingle[1:] != shingle[:-1]) | (low[1:] != low[:-1]) | (high[1:] != high[:-1])
         edges = np.concatenate([[0], np.flatnonzero(change) + 1, [len(ids)]])
         for lo, hi in zip(edges[:-1].tolist(), edges[1:].tolist()):
@@ -135,16 +143,20 @@ def propose_rest(batches):
             for k in range(0, len(mine), step):
                 x, y = mine[k : k + step, None], other[None, :]
                 x, y = np.nonzero(_can(size[x], place[x], size[y], place[y]) & (roots[x] != roots[y]))
+                x, y = mine[x + k], other[y]
+                # similar sets differ in a ninth of their sizes at most
+                apart = sum((np.bitwise_count(odd[x, j] ^ odd[y, j]).astype(np.int64) for j in range(odd.shape[1])), np.zeros(len(x), np.int64))
+                near = 9 * apart <= size[x] + size[y]
+                x, y = x[near], y[near]
                 if len(x):
-                    a, b = ids[mine[x + k]], ids[other[y]]
+                    a, b = ids[x], ids[y]
                     yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
 
 
 def heads(large: DataFrame) -> DataFrame:
-    """``shingle``, ``head``, ``head_at``: some of each group: the shortest, the longest, and others at random."""
-    me = F.struct("id", "at")
-    picked = [F.min_by(me, "at"), F.max_by(me, "at"), *(F.min_by(me, F.xxhash64("id", F.lit(k))) for k in range(SMALL - 2))]
-    return large.groupBy("shingle").agg(F.array(*picked).alias("h")).select("shingle", F.explode(F.array_distinct("h")).alias("h")).select("shingle", F.col("h.id").alias("head"), F.col("h.at").alias("head_at"))
+    """``shingle``, ``head``: some sets of each group, by hashes of their ids."""
+    picked = [F.min(F.struct(F.xxhash64("id", F.lit(k)), "id"))["id"] for k in range(HEADS)]
+    return large.groupBy("shingle").agg(F.array(*picked).alias("h")).select("shingle", F.explode(F.array_distinct("h")).alias("head"))
 
 
 def common_shingles(texts: DataFrame, sample: int = SAMPLE) -> tuple[np.ndarray, np.ndarray]:
@@ -168,7 +180,7 @@ def common_shingles(texts: DataFrame, sample: int = SAMPLE) -> tuple[np.ndarray,
 
 
 def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """The pairs (``a``, ``b``) of set ids whose sets are similar."""
+    """The pairs (``a``, ``b``; staged) of set ids whose sets are similar."""
     needed = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
     mark = F.col("id").bitwiseAND(F.lit((1 << MARK) - 1))
     words = needed.groupBy(F.shiftright(mark, 6).alias("w")).agg(F.bit_or(F.expr(f"shiftleft(1L, CAST((id & {(1 << MARK) - 1}) % 64 AS INT))")).alias("bits")).toArrow()  # at most 2 ** (MARK - 6) rows
@@ -196,14 +208,16 @@ def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
             yes = pa.array([similar(p.as_py(), q.as_py()) for p, q in zip(x, y)], pa.bool_())
             yield pa.RecordBatch.from_arrays([a.filter(yes), b.filter(yes)], names=["a", "b"])
 
-    both = pairs.join(sets.select(F.col("id").alias("a"), F.col("s").alias("x")), "a").join(sets.select(F.col("id").alias("b"), F.col("s").alias("y")), "b")
-    return staged(both.select("a", "b", "x", "y").mapInArrow(compare, "a long, b long"), "similar")
+    both = join_spread(pairs, sets.select(F.col("id").alias("a"), F.col("s").alias("x")), "a", "b").join(sets.select(F.col("id").alias("b"), F.col("s").alias("y")), "b")
+    out = staged(both.select("a", "b", "x", "y").mapInArrow(compare, "a long, b long"), "similar")
+    release(sets)
+    return out
 
 
 def keep_one(df: DataFrame, text_column: str = "text", key: str = "doc_id") -> DataFrame:
     """One row of each group that similar pairs connect, with the columns of ``df``: the one with the least key (nulls last), then text hash, then row hash."""
     key_, names = F.col(f"`{key}`"), [F.col(f"`{c}`") for c in df.columns]
-    marked = df.withColumns({"_s_null": key_.isNull(), "_s_key": F.coalesce(key_, F.lit(0)).cast("long"), "_s_hash": F.xxhash64(F.coalesce(F.col(f"`{text_column}`"), F.lit("")))})
+    marked = small_batches(df).withColumns({"_s_null": key_.isNull(), "_s_key": F.coalesce(key_, F.lit(0)).cast("long"), "_s_hash": F.xxhash64(F.coalesce(F.col(f"`{text_column}`"), F.lit("")))})
     texts = marked.select("_s_key", F.col(f"`{text_column}`").alias("_s_text"))
     common, rank = common_shingles(texts)
 
@@ -214,40 +228,38 @@ def keep_one(df: DataFrame, text_column: str = "text", key: str = "doc_id") -> D
                 first = [prefix(s, common, rank).view(np.int64) for s in sets]
                 prints = np.array([bits_over_half(s) for s in sets], np.uint64).view(np.int64)
                 yield pa.RecordBatch.from_arrays(
-                    [*part.columns[:3], pa.array([set_id(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array(first, pa.list_(pa.int64())), pa.array(prints)],
-                    names=["_s_null", "_s_key", "_s_hash", "id", "size", "first", "fp"],
+                    [*part.columns[:3], pa.array([set_id(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array(first, pa.list_(pa.int64())), pa.array(prints), pa.array([parities(s) for s in sets], pa.binary())],
+                    names=["_s_null", "_s_key", "_s_hash", "id", "size", "first", "fp", "odd"],
                 )
 
     rows = marked.select("_s_null", "_s_key", "_s_hash", F.col(f"`{text_column}`").alias("_s_text"))
-    rows = staged(rows.mapInArrow(read, "_s_null boolean, _s_key long, _s_hash long, id long, size long, first array<long>, fp long"), "prefixes")
+    rows = staged(rows.mapInArrow(read, "_s_null boolean, _s_key long, _s_hash long, id long, size long, first array<long>, fp long, odd binary"), "prefixes")
     dealt = rows.select("id", "size", F.posexplode("first").alias("place", "shingle")).select("shingle", "id", F.shiftleft("size", 32).bitwiseOR(F.col("place").cast("long")).alias("at"))
     large, small, chunks = _by_size(dealt)
     proposed = staged(small.repartition("shingle").sortWithinPartitions("shingle", "id").mapInArrow(propose, "large boolean, a long, b long, c long"), "proposed")
-    pairs = [proposed.where("NOT large").select("a", "b"), _alike(rows)]
-    if chunks is not None:
-        met = join_with_hot(large, heads(large), ["shingle"], chunks.where("hot"))
-        pairs.append(met.where("id <> head").select(F.least("id", "head").alias("a"), F.greatest("id", "head").alias("b")))
+    met = join_with_hot(large, heads(large), ["shingle"], most_rows(chunks, ["shingle"], "m"))
+    pairs = [proposed.where("NOT large").select("a", "b"), _alike(rows), met.where("id <> head").select(F.col("head").alias("a"), F.col("id").alias("b"))]
     out = pairs[0]
     for more in pairs[1:]:
         out = out.unionByName(more)
     pairs = staged(out.distinct(), "pairs")
     links = verified(pairs, texts)
     roots = components(links)
-    left = proposed.where("large").select(F.col("a").alias("shingle"), F.col("b").alias("id"), F.col("c").alias("at"))
-    if chunks is not None:
-        left = left.unionByName(large.select("shingle", "id", "at"))
+    left = proposed.where("large").select(F.col("a").alias("shingle"), F.col("b").alias("id"), F.col("c").alias("at")).unionByName(large.select("shingle", "id", "at"))
     left = left.join(roots, left["id"] == roots["node"], "left").select("shingle", "id", "at", F.coalesce("root", "id").alias("root"))
     left = staged(left.distinct(), "large-groups")
     # a group whose sets are all connected has nothing left to propose
     open_ = staged(left.groupBy("shingle").agg(F.min("root").alias("r1"), F.max("root").alias("r2"), F.ceil(F.count("*") / CHUNK).cast("int").alias("chunks"), F.count("*").alias("m")).where("r1 <> r2").select("shingle", "chunks", "m"), "open-groups")
     if not open_.isEmpty():
-        met = join_with_hot(left, open_.select("shingle", "chunks"), ["shingle"], open_.where(F.col("m") * SHARES > left.count()))
+        met = join_with_hot(left, open_.select("shingle", "chunks"), ["shingle"], most_rows(open_, ["shingle"], "m"))
+        odd = rows.join(met.select("id").distinct(), "id", "left_semi").groupBy("id").agg(F.first("odd").alias("odd"))
+        met = met.join(odd, "id")
         met = met.withColumn("chunk", F.pmod(F.xxhash64("id"), F.col("chunks")).cast("int"))
         # a chunk meets itself and each other chunk once
         met = met.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
-        met = met.select("shingle", F.least("chunk", "other").alias("low"), F.greatest("chunk", "other").alias("high"), (F.col("chunk") > F.col("other")).alias("second"), "id", "at", "root")
+        met = met.select("shingle", F.least("chunk", "other").alias("low"), F.greatest("chunk", "other").alias("high"), (F.col("chunk") > F.col("other")).alias("second"), "id", "at", "root", "odd")
         rest = staged(met.repartition("shingle", "low", "high").sortWithinPartitions("shingle", "low", "high").mapInArrow(propose_rest, "a long, b long").distinct(), "pairs")
-        rest = rest.join(pairs, ["a", "b"], "left_anti")
+        rest = staged(rest.join(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti"), "pairs")
         if not rest.isEmpty():
             roots = components(links.unionByName(verified(rest, texts)))
     least = rows.groupBy("id").agg(F.min(F.struct("_s_null", "_s_key", "_s_hash")).alias("least"))
@@ -262,19 +274,15 @@ def _alike(rows: DataFrame) -> DataFrame:
     """Pairs of sets whose fingerprints are equal or that the trie join links."""
     prints = staged(rows.select("fp", "id").distinct(), "set-fingerprints")
     least = prints.groupBy("fp").agg(F.min("id").alias("first"))
-    same = prints.join(least, "fp").where("id <> first").select(F.least("id", "first").alias("a"), F.greatest("id", "first").alias("b"))
+    same = prints.join(least, "fp").where("id <> first").select(F.col("first").alias("a"), F.col("id").alias("b"))
     links = near_links(least.select("fp"))
     x, y = least.select(F.col("fp").alias("a"), F.col("first").alias("x")), least.select(F.col("fp").alias("b"), F.col("first").alias("y"))
     linked = links.join(x, "a").join(y, "b").where("x <> y")
-    return same.unionByName(linked.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")))
+    return same.unionByName(linked.select(F.col("y").alias("a"), F.col("x").alias("b")))
 
 
-def _by_size(dealt: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame | None]:
-    """Rows of groups of over ``CHUNK`` sets, the other rows, and those groups (None if there are none)."""
+def _by_size(dealt: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Rows of groups of over ``CHUNK`` sets, the other rows, and those groups with their sizes."""
     counts = staged(dealt.groupBy("shingle").agg(F.count("*").alias("m")).where(F.col("m") > CHUNK), "large-shingles")
-    if counts.isEmpty():
-        return dealt, dealt, None
-    chunks = counts.select("shingle", (F.col("m") * SHARES > dealt.count()).alias("hot"))
-    large = staged(join_with_hot(dealt, counts.select("shingle"), ["shingle"], chunks.where("hot")).distinct(), "large-shingle-rows")
-    small = dealt.join(F.broadcast(chunks.where("hot")), "shingle", "left_anti").join(chunks.where("NOT hot"), "shingle", "left_anti")
-    return large, small, chunks
+    marked = dealt.join(counts, "shingle", "left")
+    return staged(marked.where("m IS NOT NULL").drop("m").distinct(), "large-shingle-rows"), marked.where("m IS NULL").drop("m"), counts
