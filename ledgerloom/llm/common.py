@@ -8,10 +8,12 @@ import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType
 
 #: Rows and bytes of text that one step inside Python handles at once.
 STEP_ROWS, STEP_BYTES = 128, 8 << 20
@@ -228,3 +230,18 @@ def words_of(text) -> F.Column:
     """The words ``[^\\x20\\x09-\\x0D]+`` of a text column, in order; null has none."""
     parts = F.split(F.coalesce(text, F.lit("")), r"[\x20\x09-\x0D]+")
     return F.filter(parts, lambda w: w != "")
+
+
+def text_ids(text: Column) -> list[Column]:
+    """Two longs that tell texts apart: the first 128 bits of a text's SHA-256."""
+    sha = F.sha2(text, 256)
+    return [F.conv(F.substring(sha, k, 16), 16, -10).cast("long") for k in (1, 17)]
+
+
+@F.pandas_udf(BinaryType())
+def squeezed(texts: pd.Series) -> pd.Series:
+    """Texts as compressed UTF-8, for a shuffle."""
+    import zstandard
+
+    pack = zstandard.ZstdCompressor(level=3).compress
+    return texts.map(lambda t: pack((t or "").encode()))

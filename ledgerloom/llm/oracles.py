@@ -66,3 +66,53 @@ g AS (SELECT DISTINCT r, list_aggregate(w[i:i + {licenses.SHINGLE - 1}], 'string
 m AS (SELECT r, name FROM g JOIN t USING (g) GROUP BY r, name, n HAVING count(*) >= {licenses.CONTAINED} * n)
 SELECT doc_id, count(name)::BIGINT AS n_licenses, coalesce(string_agg(name, ',' ORDER BY name), '') AS licenses FROM w LEFT JOIN m USING (r) GROUP BY r, doc_id
 """
+
+
+OP11 = rf"""
+WITH w AS (SELECT row_number() OVER () AS r, doc_id, {WORDS} AS w FROM documents),
+s AS (SELECT r, doc_id, i, md5(list_aggregate(w[i:i + 19], 'string_agg', ' ')) AS g FROM w, unnest(range(1, len(w) - 18)) AS u(i)),
+later AS (SELECT r, i FROM s QUALIFY (row(doc_id, i) > min(row(doc_id, i)) OVER (PARTITION BY g))),
+gone AS (SELECT DISTINCT r, i + k AS i FROM later, range(0, 20) AS v(k)),
+lists AS (SELECT r, list(i) AS g FROM gone GROUP BY r),
+cut AS (SELECT doc_id, w, coalesce(g, []) AS g, list_filter(w, lambda x, i: NOT list_contains(coalesce(g, []), i)) AS kept FROM w LEFT JOIN lists USING (r))
+SELECT doc_id, len(w)::BIGINT AS n_words, len(g)::BIGINT AS n_removed, sha256(array_to_string(kept, ' ')) AS kept_sha256 FROM cut
+"""
+
+
+OP12 = rf"""
+WITH d AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS t FROM documents),
+l AS (SELECT doc_id, bool_or(quality = 1) AS good, bool_or(toxic = 1) AS toxic FROM labels GROUP BY doc_id),
+w AS (SELECT *, list_filter(regexp_split_to_array(t, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w, min(doc_id) OVER (PARTITION BY t) AS first FROM d),
+f AS (SELECT part, coalesce(good, false) AS good, coalesce(toxic, false) AS toxic, [len(w) < 200, 100 * len(list_distinct(w)) < 50 * len(w),
+    100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 3 * length(t), regexp_matches(t, '[#$%&*|]'), coalesce(w.doc_id > first, false)] AS fails FROM w LEFT JOIN l ON l.doc_id = w.doc_id),
+c AS MATERIALIZED (SELECT part, fails, count(*) AS n, count(*) FILTER (good) AS good, count(*) FILTER (toxic) AS toxic FROM f GROUP BY part, fails),
+k AS (SELECT unnest([1, 2, 3, 4, 5]) AS k),
+o AS (SELECT [a.k, b.k, c.k, d.k, e.k] AS o FROM k a, k b, k c, k d, k e WHERE len(list_distinct([a.k, b.k, c.k, d.k, e.k])) = 5),
+s AS (SELECT o, array_to_string(list_transform(o, lambda x: chr((64 + x)::INT)), '') AS filter_order, step FROM o, unnest([1, 2, 3, 4, 5]) AS u(step)),
+x AS (SELECT part, filter_order, step, o[step] AS filter, n, good, toxic, fails[o[step]] AS fails_it,
+    coalesce(list_bool_or(list_transform(o[1:step - 1], lambda y: fails[y])), false) AS earlier, len(list_filter(fails, lambda y: y)) AS many FROM c, s),
+r AS (SELECT part, filter_order, step, filter,
+    coalesce(sum(n) FILTER (NOT earlier AND NOT fails_it), 0)::BIGINT AS kept, coalesce(sum(n) FILTER (NOT earlier AND fails_it), 0)::BIGINT AS removed,
+    coalesce(sum(n) FILTER (earlier AND fails_it), 0)::BIGINT AS redundant, coalesce(sum(n) FILTER (fails_it AND many = 1), 0)::BIGINT AS unique_fails,
+    coalesce(sum(good) FILTER (NOT earlier AND fails_it), 0)::BIGINT AS good_lost, coalesce(sum(toxic) FILTER (NOT earlier AND fails_it), 0)::BIGINT AS toxic_lost
+  FROM x GROUP BY ALL)
+SELECT part, filter_order, step::INT AS step, kept, removed, redundant, unique_fails, good_lost, toxic_lost, sum(removed) OVER (PARTITION BY part, filter)::BIGINT AS shapley FROM r
+"""
+
+
+OP13 = r"""
+WITH d AS (SELECT row_number() OVER () AS r, coalesce(text, '') AS text, coalesce(lang, '') AS lang, coalesce(source, '') AS source FROM documents),
+e AS (SELECT r, lang, source, translate(unnest(regexp_extract_all(text, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS term FROM d),
+c AS MATERIALIZED (SELECT lang, source, term, count(*) AS n FROM e GROUP BY ALL),
+v AS MATERIALIZED (SELECT lang, term FROM e GROUP BY lang, term HAVING count(DISTINCT r) >= 3),
+g AS MATERIALIZED (SELECT DISTINCT lang, source FROM d),
+z AS MATERIALIZED (SELECT g.lang, g.source, v.term, coalesce(c.n, 0) AS n FROM g JOIN v ON v.lang = g.lang LEFT JOIN c ON c.lang = g.lang AND c.source = g.source AND c.term = v.term),
+p AS MATERIALIZED (SELECT lang, source, term, n, (1 + (1000000000::HUGEINT * (n + 1)) // (sum(n) OVER s + count(*) OVER s))::BIGINT AS p FROM z WINDOW s AS (PARTITION BY lang, source)),
+q AS MATERIALIZED (SELECT lang, term, (1 + (1000000000::HUGEINT * (sum(n) + 1)) // (sum(sum(n)) OVER (PARTITION BY lang) + count(*) OVER (PARTITION BY lang)))::BIGINT AS q FROM z GROUP BY lang, term),
+f AS (SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // b.p)::BIGINT AS value FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+pairs AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(f.value, 0) AS value FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source
+  LEFT JOIN f ON f.lang = a.lang AND f.source = a.source AND f.item = b.source),
+terms AS (SELECT p.lang, p.source, 'term' AS part, p.term AS item, ((p - q) * (p - q) // q)::BIGINT AS value FROM p JOIN q ON q.lang = p.lang AND q.term = p.term WHERE n > 0 AND p > q),
+both_ AS (SELECT * FROM pairs UNION ALL SELECT * FROM terms)
+SELECT lang, source, part, item, value, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item)::INT AS rank FROM both_ QUALIFY part = 'pair' OR rank <= 200
+"""

@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerloom.llm import chat, licenses, media_ts, oracles, packing, quality_classifier, quality_rules, simhash, suffix_dedup, token_counts, tokens
+from ledgerloom.llm import chat, divergence, filter_audit, licenses, media_ts, oracles, packing, quality_classifier, quality_rules, simhash, substring_dedup, suffix_dedup, token_counts, tokens
 from ledgerloom.llm.common import documents
 
 #: The vocabulary file; only its place is known here.
@@ -83,5 +83,17 @@ def op10_simhash_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lpad(F.lower(F.hex("_s_fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-QUERIES = {f.__name__: f for f in (op1_transport_streams, op2_bpe_tree, op3_sum_of_squares, op4_weak_supervision, op5_length_histogram, op6_random_indexing, op7_event_sourced_chat, op8_suffix_sort, op9_license_windows, op10_simhash_trie)}
-ORACLE_SQL = {"op4_weak_supervision": oracles.op4(), "op7_event_sourced_chat": oracles.OP7, "op9_license_windows": oracles.op9()}
+def op11_cover_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.digests(substring_dedup.removed(documents(spark, sf_dir).select("doc_id", "text")))
+
+
+def op12_filter_shapley(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(filter_audit.mask_counts(filter_audit.marked(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))))
+
+
+def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(documents(spark, sf_dir))
+
+
+QUERIES = {f.__name__: f for f in (op1_transport_streams, op2_bpe_tree, op3_sum_of_squares, op4_weak_supervision, op5_length_histogram, op6_random_indexing, op7_event_sourced_chat, op8_suffix_sort, op9_license_windows, op10_simhash_trie, op11_cover_anchors, op12_filter_shapley, op13_source_divergence)}
+ORACLE_SQL = {"op4_weak_supervision": oracles.op4(), "op7_event_sourced_chat": oracles.OP7, "op9_license_windows": oracles.op9(), "op11_cover_anchors": oracles.OP11, "op12_filter_shapley": oracles.OP12, "op13_source_divergence": oracles.OP13}

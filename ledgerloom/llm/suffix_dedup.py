@@ -47,11 +47,11 @@ import hashlib
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import BinaryType, StringType
+from pyspark.sql.types import StringType
 
-from ledgerloom.llm.common import arrow_schema, hot_keys, join_with_hot, most_rows, portions, small_batches, staged
+from ledgerloom.llm.common import arrow_schema, hot_keys, join_with_hot, most_rows, portions, small_batches, squeezed, staged, text_ids
 
 LENGTH, GRAM = 200, 64
 #: Window starts handled at once; bytes of contexts sorted at once; occurrences of an anchor that share a run of the sort.
@@ -126,7 +126,7 @@ def digest(data: bytes) -> bytes:
 
 
 def text_id(data: bytes) -> bytes:
-    """What tells texts apart: the first half of their SHA-256, as ``_text_id`` makes it in Spark."""
+    """What tells texts apart: the first half of their SHA-256, as ``text_ids`` makes it in Spark."""
     return hashlib.sha256(data).digest()[:16]
 
 
@@ -366,19 +366,6 @@ def merged_runs(sorted_: DataFrame) -> DataFrame:
 # -- the whole -----------------------------------------------------------------
 
 
-@F.pandas_udf(BinaryType())
-def _squeezed(texts: pd.Series) -> pd.Series:
-    import zstandard
-
-    pack = zstandard.ZstdCompressor(level=3).compress
-    return texts.map(lambda t: pack((t or "").encode()))
-
-
-def _text_id(text: Column) -> list[Column]:
-    sha = F.sha2(text, 256)
-    return [F.conv(F.substring(sha, k, 16), 16, -10).cast("long") for k in (1, 17)]
-
-
 def _squeezed_classes(texts: DataFrame) -> DataFrame:
     """``t1``, ``t2``, ``z``: texts, a class once a task."""
     def run(batches):
@@ -442,7 +429,7 @@ def removed(df: DataFrame, text_column: str = "text") -> DataFrame:
     """All columns but the text, and ``_d_bytes``, ``_d_spans`` (united stretches), ``_d_kept`` (remaining bytes) of every row."""
     others = [c for c in df.columns if c != text_column]
     text = F.coalesce(F.col(f"`{text_column}`"), F.lit(""))
-    ids = dict(zip(("_d_t1", "_d_t2"), _text_id(text)))
+    ids = dict(zip(("_d_t1", "_d_t2"), text_ids(text)))
     keyed = df.select(*(c.alias(n) for n, c in ids.items()), *(F.col(f"`{c}`") for c in others), text.alias("_d_text"))
     # rows of a hot text go whole, as they repeat; they are spread, not dealt by their text
     hot = hot_keys(keyed.select(*ids), list(ids))
@@ -451,7 +438,7 @@ def removed(df: DataFrame, text_column: str = "text") -> DataFrame:
     else:
         marked = keyed.join(F.broadcast(hot.withColumn("_d_hot", F.lit(True))), list(ids), "left").withColumn("_d_hot", F.coalesce("_d_hot", F.lit(False)))
     marked = marked.withColumn("_d_t1", F.when(F.col("_d_hot"), F.xxhash64(F.monotonically_increasing_id())).otherwise(F.col("_d_t1")))
-    marked = marked.withColumn("_d_z", _squeezed("_d_text")).drop("_d_text")
+    marked = marked.withColumn("_d_z", squeezed("_d_text")).drop("_d_text")
     spans = repeats(df, text_column).select(F.col("t1").alias("_d_t1"), F.col("t2").alias("_d_t2"), F.lit(False).alias("_d_hot"), F.col("spans").alias("_d_found"))
     joined = marked.join(spans, ["_d_t1", "_d_t2", "_d_hot"], "left")
     fields = {f.name: f for f in df.schema}
