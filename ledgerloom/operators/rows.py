@@ -21,38 +21,6 @@ def _money(text: Column) -> Column:
     return F.regexp_replace(text, ",", "").try_cast(MONEY)
 
 
-def parse_rows(lines: DataFrame) -> DataFrame:
-    """ROW-03.  Ledger rows from lines (``doc_id``, ``line_no``, ``text``) that begin with a date and hold an amount.
-
-    The last amount is the balance.  One amount is an opening row; of two the first is
-    the movement, whose side the balance before tells within 0.02, else the narration's words; of
-    three and more the last but two is the debit and the last but one the credit.
-    The narration stands between the date and the movement; a last word of six or more
-    letters and digits with a digit among them is a reference.
-    """
-    rows = lines.withColumns({"_d": P.leading_date(F.col("text")), "_a": D.amounts_in(F.col("text"))}).where("_d IS NOT NULL AND size(_a) > 0")
-    n = F.size("_a")
-    at = lambda k: F.get("_a", n - k)
-    rows = rows.withColumns({"n": n, "date": S.parse_date(F.col("_d")), "balance": _money(at(1)), "_first": F.when(n >= 3, at(3)).otherwise(at(2)), "_x": _money(F.when(n >= 3, at(3)).otherwise(at(2))), "_y": _money(at(2))})
-    rows = rows.where("date IS NOT NULL").withColumn("_before", F.lag("balance").over(_order()))
-    body = F.expr("substring_index(substring(text, locate(_d, text) + length(_d)), _first, 1)")
-    body = S.clean(F.regexp_replace(body, r"\b\d{2}[/-]\d{2}[/-]\d{2,4}\s*$", ""))
-    rows = rows.withColumn("_body", body)
-    last = F.element_at(F.split(F.col("_body"), " "), -1)
-    ref = F.when(last.rlike(r"(?i)^[A-Z0-9]{6,}$") & last.rlike(r"\d") & (F.length("_body") > F.length(last)), last)
-    rows = rows.withColumn("_ref", ref)
-    text = S.tighten(F.when(F.col("_ref").isNull(), F.col("_body")).otherwise(F.expr("left(_body, length(_body) - length(_ref))")))
-    move = F.col("balance") - F.col("_before")
-    side = F.when(F.abs(move - F.col("_x")) <= F.lit("0.02").cast(MONEY), "deposit").when(F.abs(move + F.col("_x")) <= F.lit("0.02").cast(MONEY), "withdrawal").otherwise(R.side_by_words(F.col("_body")))
-    rows = rows.withColumn("_side", side)
-    amount = lambda c: F.when(F.col(c) > 0, F.col(c))
-    return rows.select(
-        "doc_id", "line_no", "date", F.when(F.col("n") == 1, "OPENING BALANCE").when(text == "", "TRANSACTION").otherwise(text).alias("particulars"), F.when(F.col("n") > 1, F.col("_ref")).alias("cheque_no"),
-        F.when(F.col("n") >= 3, amount("_x")).when((F.col("n") == 2) & (F.col("_side") == "withdrawal"), F.col("_x")).alias("withdrawal"),
-        F.when(F.col("n") >= 3, amount("_y")).when((F.col("n") == 2) & (F.col("_side") == "deposit"), F.col("_x")).alias("deposit"), "balance",
-    )
-
-
 def split_by_amounts(lines: DataFrame) -> DataFrame:
     """ROW-07.  Lines of a block (``block``, ``line_no``, ``n_amounts``) with the part they belong to: a line with an amount begins a new one once a part holds two.
 

@@ -46,16 +46,6 @@ def day(sep):
 BIG = "(balance + 50000000)::DECIMAL(18,2)"
 
 
-def printed_rows(l):
-    """Ledger rows as a statement prints them: one, two or three amounts a line."""
-    big = (F.col("balance") + 50000000).cast("decimal(18,2)").cast("string")
-    amount = F.coalesce("withdrawal", "deposit").cast("string")
-    three = F.concat(F.coalesce("withdrawal", F.lit(0).cast("decimal(18,2)")).cast("string"), F.lit(" "), F.coalesce("deposit", F.lit(0).cast("decimal(18,2)")).cast("string"))
-    money = F.when(F.col("seq") % 11 == 0, "").when(F.col("seq") % 7 == 0, F.concat(three, F.lit(" "))).otherwise(F.concat(amount, F.lit(" ")))
-    text = F.concat(day("/"), F.lit(" "), "particulars", F.lit(" "), F.coalesce(F.concat("cheque_no", F.lit(" ")), F.lit("")), money, big)
-    return l.where("txn_date IS NOT NULL AND balance IS NOT NULL").select("doc_id", F.col("seq").alias("line_no"), text.alias("text"))
-
-
 def draft_lines(l):
     """Lines whose parts are claimed: type, narration, cheque, amount, balance, side."""
     text = F.concat(day("-"), F.when(F.col("seq") % 2 == 0, " TFR ").otherwise(" "), "particulars", F.lit(" "), F.coalesce(F.concat("cheque_no", F.lit(" ")), F.lit("")), F.coalesce("withdrawal", "deposit").cast("string"), F.lit(" "), (F.col("balance") + 50000000).cast("decimal(18,2)").cast("string"), F.when(F.col("seq") % 3 == 0, " Dr.").otherwise(" CR"))
@@ -212,14 +202,6 @@ def mixed_values(l):
 
 
 PAIRS = {
-    "row_03_parsed_rows": (
-        ledger(lambda l: W.parse_rows(printed_rows(l))),
-        f"""WITH {LEDGER}, r AS (SELECT *, {BIG} AS b, seq % 11 = 0 AS one, seq % 11 <> 0 AND seq % 7 = 0 AS three, coalesce(withdrawal, deposit) AS a, length(cheque_no) >= 6 AS long FROM ledger WHERE txn_date IS NOT NULL AND balance IS NOT NULL),
-m AS (SELECT *, b - lag(b) OVER (PARTITION BY doc_id ORDER BY seq) AS move FROM r)
-SELECT doc_id, seq AS line_no, txn_date AS date, CASE WHEN one THEN 'OPENING BALANCE' ELSE replace(particulars, ' / ', '/') || CASE WHEN NOT long THEN ' ' || cheque_no ELSE '' END END AS particulars, CASE WHEN NOT one AND long THEN cheque_no END AS cheque_no,
-  CASE WHEN one THEN NULL WHEN three THEN withdrawal WHEN abs(move - a) <= 0.02 THEN NULL WHEN abs(move + a) <= 0.02 THEN a END AS withdrawal,
-  CASE WHEN one THEN NULL WHEN three THEN deposit WHEN abs(move - a) <= 0.02 THEN a WHEN abs(move + a) <= 0.02 THEN NULL ELSE a END AS deposit, b AS balance FROM m""",
-    ),
     "row_06_pending_narration": (
         ledger(lambda l: W.pending_narration(pending_lines(l))),
         f"""WITH {LEDGER}, r AS (SELECT doc_id, seq, CASE WHEN seq % 5 < 2 THEN seq END AS dated FROM ledger WHERE txn_date IS NOT NULL),
