@@ -10,6 +10,26 @@ from pyspark.sql import functions as F
 
 MONEY = "decimal(18,2)"
 
+def literal(value) -> str:
+    """SQL text of a constant: texts, numbers, flags, lists and (by name) structs; one call builds a whole table of them."""
+    if isinstance(value, str):
+        return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
+    if isinstance(value, bool):
+        return str(value).lower()
+    if isinstance(value, float):
+        return f"{value!r}D"
+    if isinstance(value, dict):
+        return "named_struct(" + ", ".join(f"'{k}', {literal(v)}" for k, v in value.items()) + ")"
+    if isinstance(value, (list, tuple)):
+        return "array(" + ", ".join(map(literal, value)) + ")"
+    return repr(value)
+
+
+def lookup(table: dict) -> Column:
+    """A constant map."""
+    return F.expr("map(" + ", ".join(literal(x) for pair in table.items() for x in pair) + ")")
+
+
 # -- text ----------------------------------------------------------------------
 
 
