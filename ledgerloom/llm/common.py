@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import atexit
-import contextlib
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -24,7 +24,8 @@ ARROW_ROWS, ARROW_SETTING, SPARK_ROWS = 512, "spark.sql.execution.arrow.maxRecor
 SHARES, HOT_ROWS = 4096, 1024
 
 _run = uuid.uuid4().hex[:12]
-_scopes: list[list[tuple[SparkSession, str]]] = []
+#: Staged tables and what tells whether a plan still reads them.
+_staged: dict[str, tuple] = {}
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -50,43 +51,44 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet into the shared folder and read it back.
 
     This cuts the lineage: a later stage that loses an executor reads these
-    files again and nothing before them.  The files stay until ``release`` is
-    called, what ``collected`` them calls ``discard``, or the driver ends.
+    files again and nothing before them.  The files stay while a plan can read
+    them: until ``release`` or the first ``sweep`` after the last one that could
+    is gone, or the driver ends.
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/ledgerloom-{_run}/{name}-{uuid.uuid4().hex[:12]}"
     df.write.parquet(path)
-    if _scopes:
-        _scopes[-1].append((spark, path))
-    atexit.register(remove, spark, path)
     out = spark.read.schema(df.schema).parquet(path)
+    # every plan that reads these files, of tables made from this one too, holds this object of the JVM
+    files = out._jdf.queryExecution().analyzed().relation().location()
+    _staged[path] = (spark, spark.sparkContext._jvm.java.lang.ref.WeakReference(files))
+    atexit.register(remove, spark, path)
     out._staged_at = path
     return out
 
 
-def release(df: DataFrame) -> None:
-    """Delete the files of a staged table that nothing reads any more."""
-    remove(df.sparkSession, df._staged_at)
+def free_shuffles(spark: SparkSession) -> None:
+    """Let the driver's JVM notice which shuffles nothing can read any more, so that executors delete their files now and not at some later collection."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
 
 
-@contextlib.contextmanager
-def collected(into: list):
-    """Note in a list what is staged inside, so that ``discard`` can delete it once its results are written."""
-    _scopes.append(into)
-    try:
-        yield
-    finally:
-        _scopes.pop()
+def sweep(spark: SparkSession) -> None:
+    """Delete the staged tables that no plan of this session can read any more."""
+    free_shuffles(spark)
+    for path, (owner, files) in list(_staged.items()):
+        if owner is spark and files.get() is None:
+            remove(spark, path)
 
 
-def discard(noted: list) -> None:
-    """Delete what ``collected`` has noted."""
-    while noted:
-        remove(*noted.pop())
+def release(df: DataFrame) -> None:
+    """Delete the files of a staged table that nothing reads any more."""
+    remove(df.sparkSession, df._staged_at)
 
 
 def remove(spark: SparkSession, path: str) -> None:
     """Delete a staged table; a stopped session leaves it to the cluster."""
+    _staged.pop(path, None)
     context = spark.sparkContext
     if context._jsc is None or context._jsc.sc().isStopped():
         return

@@ -5,11 +5,13 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerloom.llm import chat, divergence, filter_audit, licenses, media_ts, oracles, packing, quality_classifier, quality_rules, simhash, substring_dedup, suffix_dedup, token_counts, tokens
-from ledgerloom.llm.common import documents
+from ledgerloom.llm.common import documents, sweep
 
 #: The vocabulary file; only its place is known here.
 VOCABULARY = "byte_bpe_50k.json"
@@ -95,5 +97,15 @@ def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.audit(documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op1_transport_streams, op2_bpe_tree, op3_sum_of_squares, op4_weak_supervision, op5_length_histogram, op6_random_indexing, op7_event_sourced_chat, op8_suffix_sort, op9_license_windows, op10_simhash_trie, op11_cover_anchors, op12_filter_shapley, op13_source_divergence)}
+def _swept(query):
+    """The query, after what earlier ones have staged is deleted, where nothing can read it any more."""
+    @functools.wraps(query)
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        sweep(spark)
+        return query(spark, sf_dir)
+
+    return run
+
+
+QUERIES = {f.__name__: _swept(f) for f in (op1_transport_streams, op2_bpe_tree, op3_sum_of_squares, op4_weak_supervision, op5_length_histogram, op6_random_indexing, op7_event_sourced_chat, op8_suffix_sort, op9_license_windows, op10_simhash_trie, op11_cover_anchors, op12_filter_shapley, op13_source_divergence)}
 ORACLE_SQL = {"op4_weak_supervision": oracles.op4(), "op7_event_sourced_chat": oracles.OP7, "op9_license_windows": oracles.op9(), "op11_cover_anchors": oracles.OP11, "op12_filter_shapley": oracles.OP12, "op13_source_divergence": oracles.OP13}

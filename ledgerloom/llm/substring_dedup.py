@@ -49,7 +49,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerloom.llm.common import SHARES, arrow_schema, portions, small_batches, squeezed, staged
+from ledgerloom.llm.common import SHARES, arrow_schema, free_shuffles, portions, small_batches, squeezed, staged
 
 WINDOW, PERIOD, COVER = 20, 13, (0, 1, 3, 9)
 ANCHOR = WINDOW - PERIOD + 1
@@ -305,7 +305,9 @@ def window_rows(texts: DataFrame, open_: DataFrame) -> DataFrame:
 def repeats(texts: DataFrame, sample: int = SAMPLE, least: int = HOT) -> DataFrame:
     """``doc``, ``r``, ``claims``: repeated contexts and windows of each document that has any."""
     found = staged(later_ones(anchor_rows(texts, hot_anchors(texts, sample, least)), True), "anchor-classes")
+    free_shuffles(texts.sparkSession)
     windows = staged(later_ones(window_rows(texts, found.where("open")), False), "window-classes")
+    free_shuffles(texts.sparkSession)
     both = found.where("NOT open").withColumn("window", F.lit(False)).unionByName(windows.withColumn("window", F.lit(True)))
     return _claims(both)
 

@@ -289,3 +289,27 @@ def test_shares_of_very_large_counts(spark):
 
 def test_queries_have_sql():
     assert {"op11_cover_anchors", "op12_filter_shapley", "op13_source_divergence"} <= set(queries.QUERIES) & set(queries.ORACLE_SQL)
+
+
+# -- staged tables -------------------------------------------------------------------
+
+
+def test_stages_and_runs_live_as_long_as_they_are_held(spark):
+    """Two lazy stages, two runs, and tables made from results: none loses its files; what nobody holds goes."""
+    import corpus_pipeline
+    from ledgerloom.llm import common
+
+    folder = "/root/testdata/sf0.001"
+    docs, stages = common.documents(spark, folder), dict(corpus_pipeline.STAGES)
+    judged, single = stages["quality rules"](spark, docs, folder), stages["simhash near-dedup"](spark, docs, folder)
+    derived = single.where("doc_id >= 0")
+    del single
+    common.sweep(spark)
+    assert 0 < judged.count() < docs.count() and 0 < derived.count() <= docs.count()
+    before = len(common._staged)
+    one, two = corpus_pipeline.run(spark, folder), corpus_pipeline.run(spark, folder)
+    rows = lambda df: sorted(map(str, df.select("doc_id", "start", "length").collect()))
+    assert rows(one) == rows(two) == rows(one) and derived.count() > 0
+    del judged, derived, one, two
+    common.sweep(spark)
+    assert len(common._staged) <= before
