@@ -10,8 +10,9 @@ empty table stays empty; texts of any length are read whole; columns that ``docu
 have by default are kept by all stages but the last, whatever their names (but ``_q_``,
 ``_c_``, ``_s_`` and ``_d_...``, which the operators use).
 
-What a stage stages in the shared folder is deleted when the next stage begins, as its
-result has been written by then.
+What a stage stages in the shared folder is deleted when a later stage begins, if no
+table that somebody still holds can read it; so results may be lazy, used twice and in any
+order, and runs don't disturb each other.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ import functools
 from pyspark.sql import DataFrame, SparkSession
 
 from ledgerloom.llm import near_copies, packing, quality_classifier, quality_rules, suffix_dedup
-from ledgerloom.llm.common import collected, discard, documents, release, staged
+from ledgerloom.llm.common import documents, staged, sweep
 from ledgerloom.llm.queries import vocabulary
 
 
@@ -50,17 +51,12 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return packing.pack(docs, vocabulary())
 
 
-#: What the stage that ran last has staged.
-_noted: list = []
-
-
 def _stage(work):
-    """The stage, after what the one before has left is deleted."""
+    """The stage; what earlier ones have staged is deleted first, where no table that somebody holds can read it."""
     @functools.wraps(work)
     def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-        discard(_noted)
-        with collected(_noted):
-            return work(spark, docs, sf_dir)
+        sweep(spark)
+        return work(spark, docs, sf_dir)
 
     return run_stage
 
@@ -79,9 +75,7 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``; each but the last is written to the shared folder and read again."""
-    docs, before = documents(spark, sf_dir), None
+    docs = documents(spark, sf_dir)
     for name, stage in STAGES[:-1]:
-        docs, before = staged(stage(spark, docs, sf_dir), name.replace(" ", "-")), docs
-        if name != STAGES[0][0]:
-            release(before)
+        docs = staged(stage(spark, docs, sf_dir), name.replace(" ", "-"))
     return STAGES[-1][1](spark, docs, sf_dir)
