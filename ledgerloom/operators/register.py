@@ -64,7 +64,29 @@ def with_rates(register: DataFrame, rates: DataFrame, overrides: DataFrame) -> D
 
 
 def fan_out(flags: DataFrame, register: DataFrame) -> DataFrame:
-    """JOIN-14.  Rows that each flag touches; a null product or day means all."""
-    f = flags.select(F.col("id"), F.col("product").alias("fp"), F.col("day").alias("fd"))
-    on = (F.col("fp").isNull() | (F.col("fp") == F.col("product"))) & (F.col("fd").isNull() | (F.col("fd") == F.col("day")))
-    return register.select("product", "day").join(f, on).groupBy("product", "day").agg(F.array_join(F.array_sort(F.collect_list("id")), ",").alias("flags"))
+    """JOIN-14.  Rows that each flag touches; a null product or day means all.
+
+    Flags of each kind (both, product only, day only, neither) are put together by what they name and joined by
+    equality; those that name nothing are one row, so no row meets a flag that doesn't touch it.
+    """
+    named = lambda p, d: flags.where((F.col("product").isNotNull() if p else F.col("product").isNull()) & (F.col("day").isNotNull() if d else F.col("day").isNull()))
+    rows = register.select("product", "day")
+    for k, keys in enumerate((["product", "day"], ["product"], ["day"])):
+        some = named("product" in keys, "day" in keys).groupBy(*keys).agg(F.collect_list("id").alias(f"_ids{k}"))
+        rows = rows.join(some, keys, "left")
+    all_rows = named(False, False).agg(F.collect_list("id").alias("_ids3")).withColumn("_one", F.lit(1))  # one row whatever the input
+    rows = rows.withColumn("_one", F.lit(1)).join(F.broadcast(all_rows), "_one", "left")
+    ids = F.flatten(F.array_compact(F.array(*(F.col(f"_ids{k}") for k in range(4)))))
+    # repeated rows of a product and day are one
+    found = rows.select("product", "day", F.array_sort(ids).alias("ids")).where("size(ids) > 0").groupBy("product", "day").agg(F.flatten(F.collect_list("ids")).alias("ids"))
+    return found.select("product", "day", F.array_join(F.array_sort("ids"), ",").alias("flags"))
+
+
+def duplicate_days(rows: DataFrame, keys: list[str], order: str) -> DataFrame:
+    """DIS-07.  The second row of each product and day, by ``order``.
+
+    Keys are few and rows many: each task keeps the two first rows a key (a window with a limit is cut before the
+    shuffle), so a key's rows never meet in one task.
+    """
+    n = F.row_number().over(Window.partitionBy(*keys).orderBy(order))
+    return rows.withColumn("_n", n).where("_n <= 2").where("_n = 2").select(*keys, order)

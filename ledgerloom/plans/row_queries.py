@@ -440,7 +440,7 @@ SELECT doc_id, line, min(y) AS low, max(y) AS high, count(*) AS n FROM c GROUP B
         f"WITH {SUMMARY} SELECT doc_id, (printed_credits - opening)::{M} AS deposits FROM p",
     ),
     "dis_07_duplicate_days": (
-        table("events", lambda e: e.select("event_id", F.col("event_type").alias("product"), F.day("ts").alias("day")).withColumn("n", F.row_number().over(Window.partitionBy("product", "day").orderBy("event_id"))).where("n = 2").select("product", "day", "event_id")),
+        table("events", lambda e: e.select("event_id", F.col("event_type").alias("product"), F.day("ts").alias("day")).transform(G.duplicate_days, ["product", "day"], "event_id")),
         "SELECT event_type AS product, day(ts)::INT AS day, event_id FROM events QUALIFY row_number() OVER (PARTITION BY event_type, day(ts) ORDER BY event_id) = 2",
     ),
     "srt_02_reading_order": (

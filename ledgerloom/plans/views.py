@@ -46,6 +46,21 @@ SELECT l_orderkey AS invoice_id, line_no, l_suppkey AS supplier_id, CAST(l_shipd
   CAST(CASE WHEN l_partkey % 20 = 0 THEN NULL WHEN l_tax < 0.03 THEN 5 WHEN l_tax < 0.06 THEN 12 ELSE 18 END AS DECIMAL(5,2)) AS gst_rate,
   CAST(CAST(l_extendedprice AS {MONEY}) + CASE WHEN l_partkey % 37 = 0 THEN 7 ELSE 0 END AS {MONEY}) AS value
 FROM (SELECT *, CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS INT) AS line_no FROM {{lineitem}}) l""",
+    # what stands around an invoice's lines; faults of every kind come by the key
+    "invoice_heads": f"""
+SELECT invoice_id, CASE WHEN k % 2 = 0 THEN 'tax_invoice' ELSE 'receipt' END AS document_type, CASE WHEN k % 17 <> 0 THEN 'Supplier' END AS supplier_name,
+  CASE k % 5 WHEN 0 THEN NULL WHEN 1 THEN '27ABCDE1234F1Z9' WHEN 2 THEN '29ABCDE1234F1ZW' ELSE '27ABCDE1234F1Z0' END AS supplier_gstin, CASE k % 6 WHEN 2 THEN '27ABCDE1234F1Z0' WHEN 3 THEN 'x' END AS buyer_gstin,
+  CAST(NULL AS VARCHAR(2)) AS buyer_state, CASE k % 6 WHEN 0 THEN '29-Karnataka' WHEN 1 THEN '27' END AS place_of_supply, CASE WHEN k % 13 <> 0 THEN 'INV' END AS invoice_no,
+  CASE WHEN k % 19 = 0 THEN NULL WHEN k % 23 = 0 THEN '31/02/1995' ELSE lpad(CAST(extract(DAY FROM d) AS VARCHAR(2)), 2, '0') || '/' || lpad(CAST(extract(MONTH FROM d) AS VARCHAR(2)), 2, '0') || '/' || CAST(extract(YEAR FROM d) AS VARCHAR(4)) END AS invoice_date,
+  CASE WHEN k % 29 = 0 THEN '99/99/9999' WHEN k % 31 = 0 THEN '01/01/2999' END AS payment_date, CAST(CASE k % 5 WHEN 0 THEN grand_total - 20 WHEN 1 THEN grand_total + 20 WHEN 2 THEN grand_total END AS {MONEY}) AS paid,
+  subtotal, discount, taxable, cgst_rate, cgst, sgst_rate, sgst, igst_rate, igst, round_off, grand_total, CASE k % 12 WHEN 0 THEN 'nonsense' WHEN 1 THEN 'one hundred' END AS words, k % 14 = 0 AS overleaf,
+  CASE WHEN k % 15 = 0 THEN 'totals.cgst' END AS crossed, CASE k % 16 WHEN 0 THEN 'invoiceNo' WHEN 1 THEN 'totals.cgst' END AS doubt, CASE k % 18 WHEN 0 THEN 'totals.igst' WHEN 1 THEN 'address' END AS unread
+FROM (SELECT *, CASE WHEN k % 22 = 0 THEN NULL ELSE CAST(base + coalesce(cgst, 0) + coalesce(sgst, 0) + coalesce(igst, 0) + coalesce(round_off, 0) + CASE WHEN k % 9 = 0 THEN 2 ELSE 0 END AS {MONEY}) END AS grand_total
+  FROM (SELECT k AS invoice_id, k, d, base, CAST(CASE WHEN k % 8 = 3 THEN base END AS {MONEY}) AS subtotal, CAST(CASE WHEN k % 8 = 3 THEN 10 END AS {MONEY}) AS discount,
+    CAST(CASE WHEN k % 11 = 0 OR k % 8 = 3 THEN NULL WHEN k % 7 = 0 THEN base + 5 ELSE base END AS {MONEY}) AS taxable, CAST(CASE WHEN k % 3 = 0 THEN 9 END AS DECIMAL(5,2)) AS cgst_rate, CAST(CASE WHEN k % 21 = 0 THEN 6 WHEN k % 3 = 0 THEN 9 END AS DECIMAL(5,2)) AS sgst_rate,
+    CAST(CASE WHEN k % 3 = 1 THEN 18 END AS DECIMAL(5,2)) AS igst_rate, CAST(CASE WHEN k % 3 = 0 THEN floor(base * 9) / 100 + CASE WHEN k % 10 = 0 THEN 3 ELSE 0 END END AS {MONEY}) AS cgst, CAST(CASE WHEN k % 3 = 0 THEN floor(base * 9) / 100 END AS {MONEY}) AS sgst,
+    CAST(CASE WHEN k % 3 = 1 THEN floor(base * 18) / 100 END AS {MONEY}) AS igst, CAST(CASE k % 4 WHEN 0 THEN 0.40 WHEN 1 THEN 1.50 END AS {MONEY}) AS round_off
+    FROM (SELECT l_orderkey AS k, CAST(min(l_shipdate) AS DATE) AS d, CAST(sum(CAST(l_extendedprice AS {MONEY}) + CASE WHEN l_partkey % 37 = 0 THEN 7 ELSE 0 END) AS {MONEY}) AS base FROM {{lineitem}} GROUP BY l_orderkey) a) b) c""",
     "register": """
 SELECT product, day, CAST(net AS BIGINT) AS net,
   CASE WHEN day % 9 = 4 THEN NULL ELSE CAST(sum(net) OVER (PARTITION BY product ORDER BY day) + CASE WHEN day % 11 = 7 THEN 10 ELSE 0 END AS BIGINT) END AS cumulative,
