@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ledgerloom.functions import scalar as S
 from ledgerloom.operators import ledger as L
 from ledgerloom.operators import lines as T
+from ledgerloom.operators import passbooks as PB
 from ledgerloom.operators import reconcile as C
 from ledgerloom.operators import solvers as V
 from ledgerloom.plans.document_queries import LINES
@@ -163,3 +165,25 @@ SELECT o_orderkey, (floor((m + 5) / 10) / 100)::{M} AS up, (sign(m) * floor((abs
     "row_01_lines_exact": (lambda s, d: V.lines_exact(view(s, d, "tokens")), None),
     "join_13_align": (lambda s, d: V.align_frame(view(s, d, "tokens").select("doc_id", (F.col("token_id") % 2).cast("int").alias("side"), F.col("token_id").alias("place"), "y")), None),
 }
+
+
+def page_numbers(l):
+    """Passbook pages of the ledger: what is brought and carried forward, and each row's date, word, amount (debits left of credits) and balance, some of them misread or missing."""
+    total = (F.col("balance") + 5_000_000).cast("decimal(18,2)")
+    row = Window.partitionBy("doc_id", "page").orderBy("seq")
+    first, last = F.row_number().over(row) == 1, F.lead("seq").over(row).isNull()
+    rows = l.where("txn_date IS NOT NULL").withColumns({"_first": first, "_last": last})
+    y = (F.col("seq") * 100).cast("double")
+    at = lambda x, dy, text: F.struct(F.lit(float(x)).alias("x"), (y + dy).alias("y"), text.alias("text"))
+    amount = F.coalesce("withdrawal", "deposit").cast("string")
+    garbled = F.when(F.col("seq") % 29 == 7, F.concat(F.substring_index(amount, ".", 1), F.lit(".06"))).otherwise(amount)
+    printed = F.when(F.col("seq") % 23 == 5, F.substring_index(total.cast("string"), ".", 1)).when(F.col("seq") % 31 != 9, total.cast("string"))
+    before = (total + F.coalesce("withdrawal", F.lit(0)) - F.coalesce("deposit", F.lit(0))).cast("decimal(18,2)").cast("string")
+    cells = F.array(
+        F.when(F.col("_first"), at(150, -50.0, F.lit("Brought Forward"))), F.when(F.col("_first") & F.col("balance").isNotNull(), at(650, -50.0, before)), at(50, 0.0, F.date_format("txn_date", "dd/MM/yyyy")), at(150, 0.0, F.col("particulars")),
+        F.when(F.col("withdrawal").isNotNull(), at(400, 0.0, garbled)).otherwise(at(520, 0.0, garbled)), F.when(printed.isNotNull(), at(650, 0.0, printed)), F.when(F.col("_last"), at(150, 50.0, F.lit("Carried Forward"))), F.when(F.col("_last") & F.col("balance").isNotNull(), at(650, 50.0, total.cast("string"))),
+    )
+    return rows.select("doc_id", "page", F.inline(F.array_compact(cells))).select("doc_id", "page", "x", "y", "text")
+
+
+PAIRS["sol_01_page_tokens"] = (lambda s, d: PB.solve_passbook_pages(page_numbers(view(s, d, "ledger"))), None)

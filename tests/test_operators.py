@@ -263,3 +263,58 @@ def test_sheets_are_written_once_and_read_back(spark, tmp_path):
     assert writers.write_sheets(sheets, str(tmp_path)) == {"a": 3} and not (tmp_path / "empty").exists()
     with pytest.raises(Exception, match="(?i)exists"):
         writers.write_sheets(sheets, str(tmp_path))
+
+
+def all_paths(tokens, balance):
+    """The cost and number of rows of every reading of a page, by trying every next row."""
+    from ledgerloom.operators import passbooks
+
+    split = passbooks.side_split(tokens)
+
+    def go(at, balance, cost, rows):
+        yield round(cost + passbooks.SKIP * (len(tokens) - at), 6), -rows
+        for to, after, _, more, *_ in passbooks.steps(tokens, at, balance, split):
+            yield from go(to, after, cost + more, rows + 1)
+
+    return go(0, balance, 0.0, 0)
+
+
+def test_passbook_pages_against_every_reading():
+    from ledgerloom.operators import passbooks
+
+    rng = random.Random(61)
+    for k in range(150):
+        balance, tokens = rng.choice((None, 5_000_00)), []
+        now = balance or 5_000_00
+        for _ in range(rng.randint(1, 3)):
+            a, side = rng.randrange(100, 900_00), rng.choice((1, -1))
+            now += side * a
+            if rng.random() < 0.9:
+                tokens.append((400.0 if side < 0 else 520.0, a, False))
+            if rng.random() < 0.8:
+                tokens.append((650.0, now + rng.choice((0, 0, 0, 3)), False) if rng.random() < 0.8 else (650.0, now - now % 100, True))
+        cost, rows = passbooks.solve_page(tokens, balance)
+        assert (cost, -len(rows)) == min(all_paths(tokens, balance)), (k, tokens)
+
+
+def test_passbook_pages_read_clean_pages_exactly(spark):
+    from ledgerloom.operators import passbooks
+
+    rng, rows, want, balance = random.Random(62), [], [], 1000_00
+    for page in range(3):
+        rows.append((1, page, 0.0, 600.0, f"{balance / 100:.2f}"))
+        rows.append((1, page, 0.0, 100.0, "Brought Forward"))
+        for k in range(8):
+            a = rng.randrange(100, 50_000)
+            debit = balance > a and rng.random() < 0.5
+            balance += -a if debit else a
+            y = 100.0 * (k + 1)
+            rows += [(1, page, y, 50.0, "01/02/2024"), (1, page, y, 100.0, "WORDS"), (1, page, y, 300.0 if debit else 450.0, f"{a / 100:.2f}"), (1, page, y, 600.0, f"{balance / 100:,.2f}")]
+            want.append((page, k, f"{a / 100:.2f}" if debit else "None", "None" if debit else f"{a / 100:.2f}", f"{balance / 100:.2f}", True))
+        rows += [(1, page, 900.0, 100.0, "Carried Forward"), (1, page, 900.0, 600.0, f"{balance / 100:.2f}")]
+    df = spark.createDataFrame(rows, "doc_id long, page int, y double, x double, text string")
+    got = [(r.page, r.place, str(r.withdrawal), str(r.deposit), str(r.balance), r.confirmed) for r in passbooks.solve_passbook_pages(df).orderBy("page", "place").collect()]
+    assert got == want
+    blurred = df.where("NOT (page = 1 AND x = 600.0 AND y BETWEEN 100 AND 800)")
+    notes = {(r.page, r.note) for r in passbooks.solve_passbook_pages(blurred).where("place IS NULL").collect()}
+    assert notes == {(1, "too blurred")}
