@@ -54,7 +54,7 @@ from ledgerloom.llm.common import SHARES, arrow_schema, free_shuffles, portions,
 WINDOW, PERIOD, COVER = 20, 13, (0, 1, 3, 9)
 ANCHOR = WINDOW - PERIOD + 1
 #: Bytes of text whose rows are settled together, and rows made at once from a long text.
-STEP, PIECE = 8 << 20, 1 << 16
+STEP, PIECE = 2 << 20, 1 << 16
 #: One text in so many is looked at for hot anchors; rows that one has there at least.
 SAMPLE, HOT = 64, 64
 #: A null key's place in the order.
