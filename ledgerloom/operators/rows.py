@@ -47,8 +47,8 @@ def pending_narration(lines: DataFrame) -> DataFrame:
     """ROW-06.  Lines without a date between dated ones: text that a dated line without narration of its own is still waiting for goes to it, else to the line before."""
     dated = P.leading_date(F.col("text")).isNotNull()
     bare = dated & (F.size(F.filter(F.split("text", r"\s+"), lambda w: w.rlike("[A-Za-z]{2}"))) == 0)
-    w = _order()
-    rows = lines.withColumns({"_dated": dated, "_above": F.last(F.when(dated, F.col("line_no")), ignorenulls=True).over(w), "_below": F.first(F.when(dated, F.struct("line_no", bare.alias("bare"))), ignorenulls=True).over(w.rowsBetween(1, Window.unboundedFollowing))})
+    w, back = _order(), Window.partitionBy("doc_id").orderBy(F.desc("line_no")).rowsBetween(Window.unboundedPreceding, -1)
+    rows = lines.withColumns({"_dated": dated, "_above": F.last(F.when(dated, F.col("line_no")), ignorenulls=True).over(w), "_below": F.last(F.when(dated, F.struct("line_no", bare.alias("bare"))), ignorenulls=True).over(back)})
     return rows.where("NOT _dated").select("doc_id", "line_no", F.when(F.col("_below.bare"), F.col("_below.line_no")).otherwise(F.col("_above")).alias("row_line"))
 
 
@@ -89,16 +89,11 @@ def cells_to_rows(cells: DataFrame) -> DataFrame:
 def inline_rows(lines: DataFrame) -> DataFrame:
     """ROW-22.  Rows told by a reference and the value date behind it; a leading date that can't be read becomes the value date."""
     p = r"^\s*(\S+)\s+(.*?)\s*\b([A-Z0-9]{8,})\s+(\d{1,2}/\d{1,2}/\d{2,4})\b"
-    rows = lines.select("doc_id", "line_no", F.regexp_extract("text", p, 1).alias("a"), F.regexp_extract("text", p, 2).alias("particulars"), F.regexp_extract("text", p, 3).alias("ref"), S.parse_date(F.regexp_extract("text", p, 4)).alias("value_date"))
-    return rows.where("ref <> '' AND value_date IS NOT NULL").select("doc_id", "line_no", F.coalesce(S.parse_date(F.col("a")), F.col("value_date")).alias("date"), "particulars", "ref", "value_date")
-
-
-def claimed_spans(lines: DataFrame) -> DataFrame:
-    """ROW-25.  A draft row from a line, claiming from its end: side, balance, amount, then cheque and type from its start; what is left is the narration."""
-    whole = r"^\s*(\d{1,2}-\d{1,2}-\d{4})\s+(?:([A-Z]{2,4})\s+)?(.*?)\s+(?:(\d{6})\s+)?([\d,]+\.\d{2})\s+([\d,]+\.\d{2})\s*(?i:(cr|dr))\.?\s*$"
-    part = lambda k: F.nullif(F.regexp_extract("text", whole, k), F.lit(""))
-    rows = lines.where(F.col("text").rlike(whole))
-    return rows.select("doc_id", "line_no", S.parse_date(part(1)).alias("date"), part(2).alias("type"), part(3).alias("particulars"), part(4).alias("cheque_no"), _money(part(5)).alias("amount"), _money(part(6)).alias("balance"), F.upper(part(7)).alias("side"))
+    rows = lines.select("doc_id", "line_no", *(F.regexp_extract("text", p, k).alias(n) for k, n in enumerate(("a", "particulars", "ref", "v"), 1))).where("ref <> ''")
+    # bound by a lambda, the text that a date is read from stays one value wherever the filter is moved to
+    read = lambda c: F.get(F.transform(F.array(c), lambda t: S.parse_date(t)), F.lit(0))
+    rows = rows.withColumn("value_date", read("v")).where("value_date IS NOT NULL").withColumn("lead_date", read("a"))
+    return rows.select("doc_id", "line_no", F.coalesce("lead_date", "value_date").alias("date"), "particulars", "ref", "value_date")
 
 
 def recovered_balance(blocks: DataFrame) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ledgerloom.functions import scalar as S
 from ledgerloom.operators import card as C
+from ledgerloom.operators import claims as K
 from ledgerloom.operators import details as D
 from ledgerloom.operators import invoice as I
 from ledgerloom.operators import ledger as L
@@ -47,19 +48,23 @@ BIG = "(balance + 50000000)::DECIMAL(18,2)"
 
 
 def draft_lines(l):
-    """Lines whose parts are claimed: type, narration, cheque, amount, balance, side."""
-    text = F.concat(day("-"), F.when(F.col("seq") % 2 == 0, " TFR ").otherwise(" "), "particulars", F.lit(" "), F.coalesce(F.concat("cheque_no", F.lit(" ")), F.lit("")), F.coalesce("withdrawal", "deposit").cast("string"), F.lit(" "), (F.col("balance") + 50000000).cast("decimal(18,2)").cast("string"), F.when(F.col("seq") % 3 == 0, " Dr.").otherwise(" CR"))
-    return l.where("txn_date IS NOT NULL AND balance IS NOT NULL").select("doc_id", F.col("seq").alias("line_no"), text.alias("text"))
+    """Scanned lines of all rows: dates (one cut apart by spaces here and there), narration, type, id (its letter read as a digit here and there), cheque, amount, balance, side."""
+    date = F.when(F.col("seq") % 5 == 1, F.regexp_replace(day("-"), "-", " - ")).otherwise(day("-"))
+    key = F.lpad((F.col("seq") % 10000).cast("string"), 7, "0")
+    ref = F.when(F.col("seq") % 7 == 3, F.concat(F.lit("5"), key)).when(F.col("seq") % 7 != 5, F.concat(F.lit("S"), key))
+    balance = (F.col("balance") + 50000000).cast("decimal(18,2)").cast("string")
+    text = F.concat_ws(" ", date, F.when(F.col("seq") % 3 == 0, day("-")), F.replace("particulars", F.lit(" / ref "), F.lit("/REF")), F.when((F.col("seq") % 2 == 0) & ref.isNotNull(), "TFR"), ref, F.when(ref.isNotNull(), F.col("cheque_no")), F.coalesce("withdrawal", "deposit").cast("string"), balance, F.when(F.col("seq") % 3 == 0, "Dr.").otherwise("CR"))
+    return l.select("doc_id", F.col("seq").alias("line_no"), text.alias("text"))
 
 
 def inline_lines(l):
-    text = F.concat(F.when(F.col("seq") % 3 == 0, "?1/x").otherwise(day("/")), F.lit(" "), "particulars", F.lit(" REF0"), F.lpad(F.col("seq").cast("string"), 8, "0"), F.lit(" "), day("/"), F.lit(" x"))
-    return l.where("txn_date IS NOT NULL").select("doc_id", F.col("seq").alias("line_no"), text.alias("text"))
+    text = F.concat_ws(" ", F.when(F.col("seq") % 3 == 0, "?1/x").otherwise(day("/")), "particulars", F.concat(F.lit("REF0"), F.lpad(F.col("seq").cast("string"), 8, "0")), day("/"), F.lit("x"))
+    return l.select("doc_id", F.col("seq").alias("line_no"), text.alias("text"))
 
 
 def pending_lines(l):
-    text = F.when(F.col("seq") % 5 == 0, F.concat(day("/"), F.lit(" 5.00"))).when(F.col("seq") % 5 == 1, F.concat(day("/"), F.lit(" "), "particulars")).otherwise(F.col("particulars"))
-    return l.where("txn_date IS NOT NULL").select("doc_id", F.col("seq").alias("line_no"), text.alias("text"))
+    text = F.when(F.col("seq") % 5 == 0, F.concat_ws(" ", day("/"), F.lit("5.00"))).when(F.col("seq") % 5 == 1, F.concat_ws(" ", day("/"), "particulars")).otherwise(F.col("particulars"))
+    return l.select("doc_id", F.col("seq").alias("line_no"), text.alias("text"))
 
 
 def framed_lines(l):
@@ -204,7 +209,7 @@ def mixed_values(l):
 PAIRS = {
     "row_06_pending_narration": (
         ledger(lambda l: W.pending_narration(pending_lines(l))),
-        f"""WITH {LEDGER}, r AS (SELECT doc_id, seq, CASE WHEN seq % 5 < 2 THEN seq END AS dated FROM ledger WHERE txn_date IS NOT NULL),
+        f"""WITH {LEDGER}, r AS (SELECT doc_id, seq, CASE WHEN seq % 5 < 2 AND txn_date IS NOT NULL THEN seq END AS dated FROM ledger),
 n AS (SELECT *, last_value(dated IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS above, first_value(dated IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY seq ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS below FROM r)
 SELECT doc_id, seq AS line_no, CASE WHEN below % 5 = 0 THEN below ELSE above END AS row_line FROM n WHERE dated IS NULL""",
     ),
@@ -239,9 +244,13 @@ SELECT doc_id, row::BIGINT AS row, arg_min(t, seq) FILTER (k = 0) AS date, coale
         f"WITH {LEDGER} SELECT doc_id, seq AS line_no, txn_date AS date, particulars, 'REF0' || lpad(seq::VARCHAR, 8, '0') AS ref, txn_date AS value_date FROM ledger WHERE txn_date IS NOT NULL",
     ),
     "row_25_claimed_spans": (
-        ledger(lambda l: W.claimed_spans(draft_lines(l))),
-        f"""WITH {LEDGER} SELECT doc_id, seq AS line_no, txn_date AS date, CASE WHEN seq % 2 = 0 THEN 'TFR' END AS type, particulars || CASE WHEN length(cheque_no) <> 6 THEN ' ' || cheque_no ELSE '' END AS particulars, CASE WHEN length(cheque_no) = 6 THEN cheque_no END AS cheque_no,
-  coalesce(withdrawal, deposit) AS amount, {BIG} AS balance, CASE WHEN seq % 3 = 0 THEN 'DR' ELSE 'CR' END AS side FROM ledger WHERE txn_date IS NOT NULL AND balance IS NOT NULL""",
+        ledger(lambda l: K.claimed_spans(draft_lines(l))),
+        f"""WITH {LEDGER}, d AS (SELECT *, {BIG} AS b, coalesce(withdrawal, deposit) AS a, strftime(txn_date, '%d-%m-%Y') AS day, replace(particulars, ' / ref ', '/REF') AS said, lpad((seq % 10000)::VARCHAR, 7, '0') AS key, seq % 7 <> 5 AS has FROM ledger),
+e AS (SELECT *, CASE WHEN seq % 7 = 3 THEN '5' || key WHEN has THEN 'S' || key END AS ref, has AND length(cheque_no) >= 5 AS numbered, CASE WHEN seq % 2 = 0 AND has THEN 'TFR' END AS type FROM d)
+SELECT doc_id, seq AS line_no, txn_date AS date, txn_date AS value_date, type, ref AS tran_id, seq % 7 = 3 AS by_digits, CASE WHEN numbered THEN cheque_no END AS cheque_no, a AS amount, b AS balance, CASE WHEN seq % 3 = 0 THEN 'DR' ELSE 'CR' END AS side,
+  concat_ws(' ', said_, CASE WHEN has AND NOT coalesce(numbered, true) THEN cheque_no END) AS particulars,
+  concat_ws('; ', 'date:' || day, CASE WHEN seq % 3 = 0 THEN 'value date:' || day END, 'side:' || CASE WHEN seq % 3 = 0 THEN 'Dr' ELSE 'CR' END, 'amounts:' || concat_ws('+', a::VARCHAR, b::VARCHAR), CASE WHEN has AND seq % 7 <> 3 THEN 'id:' || ref END, CASE WHEN seq % 7 = 3 THEN 'id by digits:' || ref END,
+    'type:' || type, CASE WHEN numbered THEN 'cheque:' || cheque_no END) AS claims FROM (SELECT *, said AS said_ FROM e) x""",
     ),
     "row_26_recovered_balance": (
         table("orders", lambda o: W.recovered_balance(balance_blocks(o))),
