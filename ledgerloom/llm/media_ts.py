@@ -183,12 +183,10 @@ def demux(media: bytes) -> Stream:
             if starts and len(data):
                 begin = 1 + data[0]
                 if pid in sections:
-                    _table(out, pid, sections[pid] + bytes(data[1:begin]))
-                sections[pid] = bytes(data[begin:])
-            elif pid in sections:
-                sections[pid] += bytes(data)
-            if pid in sections and _table(out, pid, sections[pid]):
-                del sections[pid]
+                    _tables_in(out, pid, sections[pid] + bytes(data[1:begin]))
+                sections[pid] = _tables_in(out, pid, bytes(data[begin:]))
+            elif sections.get(pid):
+                sections[pid] = _tables_in(out, pid, sections[pid] + bytes(data))
         elif pid in out.streams:
             if starts:
                 _close(out, pid, open_.pop(pid, None))
@@ -205,17 +203,25 @@ def demux(media: bytes) -> Stream:
     return out
 
 
-def _table(out: Stream, pid: int, section: bytes) -> bool:
-    """Read a table if it is whole; whether it was."""
-    if len(section) < 3 or section[0] == 0xFF:
-        return bool(section)
-    size = 3 + (int.from_bytes(section[1:3]) & 0x0FFF)
-    if len(section) < size:
-        return False
-    section = section[:size]
+def _tables_in(out: Stream, pid: int, data: bytes) -> bytes:
+    """Read the sections that are whole, one after the other; what is left is the begin of one that goes on in the next packet."""
+    while data and data[0] != 0xFF:  # stuffing follows the last one
+        size = 3 + (int.from_bytes(data[1:3]) & 0x0FFF)
+        if len(data) < max(3, size):
+            return data
+        _table(out, pid, data[:size])
+        data = data[size:]
+    return b""
+
+
+def _table(out: Stream, pid: int, section: bytes) -> None:
+    """Read one whole section; tables of other kinds, and those that aren't in force yet, say nothing."""
+    size = len(section)
     if size < 12 or crc32_mpeg(section):
         out.bad_tables += 1
-        return True
+        return
+    if not section[5] & 1:
+        return
     if pid == PAT_PID and section[0] == 0:
         for k in range(8, size - 7, 4):
             number, at = int.from_bytes(section[k : k + 2]), int.from_bytes(section[k + 2 : k + 4]) & 0x1FFF
@@ -226,7 +232,6 @@ def _table(out: Stream, pid: int, section: bytes) -> bool:
         while k + 5 <= size - 4:
             out.streams[int.from_bytes(section[k + 1 : k + 3]) & 0x1FFF] = section[k]
             k += 5 + (int.from_bytes(section[k + 3 : k + 5]) & 0x0FFF)
-    return True
 
 
 def _close(out: Stream, pid: int, unit) -> None:

@@ -313,3 +313,32 @@ def test_stages_and_runs_live_as_long_as_they_are_held(spark):
     del judged, derived, one, two
     common.sweep(spark)
     assert len(common._staged) <= before
+
+
+# -- program tables ------------------------------------------------------------------
+
+
+def test_several_sections_in_a_packet_and_over_packets():
+    from ledgerloom.llm import media_ts
+
+    payload = media_ts.padded(random.Random(70).randbytes(3000))
+    media = media_ts.mux(payload)
+    body = (0xE000 | media_ts.DATA_PID).to_bytes(2) + b"\xf0\0" + bytes([media_ts.PRIVATE_DATA]) + (0xE000 | media_ts.DATA_PID).to_bytes(2) + b"\xf0\0"
+    pmt, foreign = media_ts._section(2, media_ts.PROGRAM, body), media_ts._section(0x42, 7, b"other words")
+    # a foreign section stands before the program map
+    both = media[: media_ts.PACKET] + media_ts._table_packet(media_ts.PMT_PID, foreign + pmt) + media[2 * media_ts.PACKET :]
+    s = media_ts.demux(both)
+    assert s.streams == {media_ts.DATA_PID: media_ts.PRIVATE_DATA} and s.payload() == payload and s.bad_tables == 0
+    # a long section ends in the next packet, where the map begins behind it
+    long = media_ts._section(0x42, 7, b"x" * 250)
+    first = bytes([media_ts.SYNC]) + (0x4000 | media_ts.PMT_PID).to_bytes(2) + b"\x10\0" + long[:183]
+    rest = long[183:]
+    second = bytes([media_ts.SYNC]) + (0x4000 | media_ts.PMT_PID).to_bytes(2) + b"\x11" + bytes([len(rest)]) + rest + pmt
+    over = media[: media_ts.PACKET] + first + second + b"\xff" * (media_ts.PACKET - len(second)) + media[2 * media_ts.PACKET :]
+    s = media_ts.demux(over)
+    assert s.payload() == payload and (s.gaps, s.bad_tables, s.damaged) == (0, 0, 0)
+    # a map that isn't in force yet names no streams
+    later = bytearray(pmt[:-4])
+    later[5] &= 0xFE
+    coming = bytes(later) + media_ts.crc32_mpeg(bytes(later)).to_bytes(4)
+    assert media_ts.demux(media[: media_ts.PACKET] + media_ts._table_packet(media_ts.PMT_PID, coming) + media[2 * media_ts.PACKET :]).streams == {}
