@@ -90,3 +90,74 @@ def duplicate_days(rows: DataFrame, keys: list[str], order: str) -> DataFrame:
     """
     n = F.row_number().over(Window.partitionBy(*keys).orderBy(order))
     return rows.withColumn("_n", n).where("_n <= 2").where("_n = 2").select(*keys, order)
+
+
+#: The cells of a register's row, in order.
+CELLS = ("salesByMeter", "pumpTest", "netSales", "cumulative")
+
+
+def slots_of(config: DataFrame, pages: DataFrame) -> DataFrame:
+    """JOIN-11.  Each product of a register's settings (``reg_id``, ``item``, ``register``, ``nth``, ``rate``) with its page: the nth one of its kind; null if there is none."""
+    place = F.row_number().over(Window.partitionBy("reg_id", "product").orderBy("page"))
+    own = pages.where("kind = 'register'").withColumn("nth", place).select("reg_id", F.col("product").alias("register"), "nth", "page", "second_read")
+    return config.join(own, ["reg_id", "register", "nth"], "left")
+
+
+def register_flags(pages: DataFrame, rows: DataFrame, rates: DataFrame, config: DataFrame, days: int) -> DataFrame:
+    """CHK-13.  All flags of registers: ``reg_id``, ``id``, ``kind``, ``product``, ``day``, ``col``, ``rate_key``, each once.
+
+    ``pages``: ``reg_id``, ``page``, ``kind`` (register, rates, other), ``product``, ``month``, ``other_class`` (what a second reading took it for), ``second_read`` (missing, or null).
+    ``rows``: ``reg_id``, ``page``, ``row_no``, ``day``, ``meter``, ``pump``, ``net``, ``cumulative``, ``unreadable`` (cells), ``alt`` (cells that a second reading has otherwise).
+    ``rates``: ``reg_id``, ``code``, ``rate``, ``alt``.  Only the first row of a day counts, in the order of days; what a row needs of those before it are windows over its page.
+    """
+    c = F.col
+    none = F.lit(None)
+    fields = ("product", "day", "col", "rate_key")
+
+    def flags(df: DataFrame, kind, **of) -> DataFrame:
+        cast = {"day": "int"}
+        return df.select("reg_id", (F.lit(kind) if isinstance(kind, str) else kind).alias("kind"), *((of.get(f, none)).cast(cast.get(f, "string")).alias(f) for f in fields))
+
+    slots = slots_of(config, pages)
+    own = rows.select("reg_id", "page", "row_no", "day", "meter", "pump", "net", "cumulative", "unreadable", "alt")
+    read = own.join(slots.where("page IS NOT NULL").select("reg_id", "page", "item", c("rate").alias("rate_key")), ["reg_id", "page"])
+    whole = F.coalesce(c("day").between(1, days), F.lit(False))
+    again = F.row_number().over(Window.partitionBy("reg_id", "item", "day").orderBy("row_no")) > 1
+    read = read.withColumns({"whole": whole, "again": again})
+    w = Window.partitionBy("reg_id", "item").orderBy("day")
+    good = read.where("whole AND NOT again").withColumns({
+        "running": F.sum(F.coalesce("net", F.lit(0))).over(w), "before": F.coalesce(F.last("cumulative", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)),
+    })
+    wrong = c("cumulative") != c("running")
+    good = good.withColumn("breaks", F.coalesce(wrong, F.lit(False))).withColumn("earlier", F.coalesce(F.bool_or("breaks").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(False)))
+    cell = lambda kind, col, ok: F.when(ok, F.struct(F.lit(kind).alias("kind"), (none if col is None else F.lit(col)).cast("string").alias("col")))
+    blank = F.coalesce(c("net") == 0, F.lit(True)) & ~F.array_contains("unreadable", "netSales") & (c("cumulative") != c("before"))
+    each = F.array(
+        *(cell("unreadable", k, F.array_contains("unreadable", k)) for k in CELLS), *(cell("disagree", k, F.array_contains(F.map_keys("alt"), k)) for k in CELLS),
+        cell("meter-test", None, c("meter") - c("pump") != c("net")), cell("blank-net", None, blank), cell("chain", None, c("breaks") & ~c("earlier")),
+    )
+    of_rows = good.select("reg_id", "item", "day", F.inline(F.array_compact(each)))
+    wanted = slots.where("page IS NOT NULL").select("reg_id", "item", F.explode(F.sequence(F.lit(1), F.lit(days))).alias("day"))
+    used = pages.where("kind = 'register'").groupBy("reg_id", c("product").alias("register")).agg(F.count("*").alias("n"))
+    asked = config.groupBy("reg_id", "register").agg(F.count("*").alias("asked"))
+    sold = good.where("net <> 0").select("reg_id", "rate_key").distinct()
+    parts = [
+        flags(pages.where("kind = 'register'").groupBy("reg_id").agg(F.count_distinct("month").alias("n")).where("n > 1"), "month"), flags(pages.where("other_class IS NOT NULL"), "page-class"),
+        flags(pages.where("kind = 'rates' AND second_read = 'missing'"), "single-read"), flags(slots.where("second_read = 'missing'"), "single-read", product=c("item")),
+        flags(rates.where("alt IS NOT NULL"), "rate-disagree", rate_key=c("code")), flags(used.join(asked, ["reg_id", "register"], "left").where("n > coalesce(asked, 0)"), "extra-page"),
+        flags(slots.where("page IS NULL"), "no-page", product=c("item")), flags(read.where("NOT whole"), "bad-day", product=c("item"), day=c("day")), flags(read.where("whole AND again"), "dup-day", product=c("item"), day=c("day")),
+        flags(of_rows, c("kind"), product=c("item"), day=c("day"), col=c("col")), flags(wanted.join(good.select("reg_id", "item", "day"), ["reg_id", "item", "day"], "left_anti"), "missing-day", product=c("item"), day=c("day")),
+        flags(sold.join(rates.where("rate IS NOT NULL").select("reg_id", c("code").alias("rate_key")), ["reg_id", "rate_key"], "left_anti"), "no-rate", rate_key=c("rate_key")),
+        flags(pages.groupBy("reg_id").agg(F.count_if(c("kind") == "rates").alias("n")).where("n = 0"), "no-rates-page"),
+    ]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    text = F.concat_ws("|", "kind", *(F.coalesce(c(f).cast("string"), F.lit("")) for f in fields))
+    return out.withColumn("id", text).dropDuplicates(["reg_id", "id"]).select("reg_id", "id", "kind", *fields)
+
+
+def unresolved(flags: DataFrame, accepted: DataFrame) -> DataFrame:
+    """CHK-13.  How many flags of each register nobody has accepted (``accepted``: ``reg_id``, ``id``), and how many there are."""
+    known = accepted.select("reg_id", "id").distinct().withColumn("_ok", F.lit(True))
+    return flags.join(known, ["reg_id", "id"], "left").groupBy("reg_id").agg(F.count_if(F.col("_ok").isNull()).alias("unresolved"), F.count("*").alias("flags"))
