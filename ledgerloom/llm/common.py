@@ -13,7 +13,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import BinaryType
+from pyspark.sql.types import BinaryType, StructType
 
 #: Rows and bytes of text that one step inside Python handles at once.
 STEP_ROWS, STEP_BYTES = 128, 8 << 20
@@ -136,11 +136,11 @@ def map_steps(df: DataFrame, step: Callable[[list[list]], Iterator | dict], sche
     return small_batches(df).mapInArrow(run, schema)
 
 
-def arrow_schema(schema: str) -> pa.Schema:
+def arrow_schema(schema: str | StructType) -> pa.Schema:
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import _parse_datatype_string
 
-    return to_arrow_schema(_parse_datatype_string(schema))
+    return to_arrow_schema(_parse_datatype_string(schema) if isinstance(schema, str) else schema)
 
 
 def record_batch(columns: dict, schema: pa.Schema) -> pa.RecordBatch:

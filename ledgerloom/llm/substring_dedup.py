@@ -48,6 +48,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StructType
 
 from ledgerloom.llm.common import SHARES, arrow_schema, free_shuffles, portions, small_batches, squeezed, staged
 
@@ -316,8 +317,8 @@ def removed(df: DataFrame, text: str = "text", key: str = "doc_id", sample: int
     """``row`` (the other columns), ``n_words``, ``spans`` (removed words, united) and ``kept`` (the others, joined by one space) of every row."""
     texts = keyed(df, text, key)
     wide = texts.select("doc", "r", squeezed("text").alias("z"), "row").join(repeats(texts, sample, least), ["doc", "r"], "left").select("row", "z", "claims")
-    row = next(f for f in wide.schema if f.name == "row").dataType.simpleString()
-    schema = f"row {row}, n_words long, spans array<struct<begin:long,end:long>>, kept string"
+    span = StructType().add("begin", "long").add("end", "long")
+    schema = StructType().add("row", wide.schema["row"].dataType).add("n_words", "long").add("spans", ArrayType(span)).add("kept", "string")
     arrow = arrow_schema(schema)
 
     def run(batches):
