@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import gc
 import tempfile
 import uuid
@@ -121,6 +122,21 @@ def portions(batch: pa.RecordBatch, text: int, rows: int = STEP_ROWS) -> Iterato
         yield batch.slice(start)
 
 
+def tidied(run: Callable) -> Callable:
+    """A function of Arrow batches whose worker hands memory back when its task ends: an idle worker else keeps what its largest step took."""
+    def task(batches):
+        try:
+            yield from run(batches)
+        finally:
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of the GNU library
+            if trim:
+                trim(0)
+
+    return task
+
+
 def map_steps(df: DataFrame, step: Callable[[list[list]], Iterator | dict], schema: str, text: int = -1) -> DataFrame:
     """``mapInArrow`` in small steps.
 
@@ -133,7 +149,7 @@ def map_steps(df: DataFrame, step: Callable[[list[list]], Iterator | dict], sche
                 yield record_batch(step([c.to_pylist() for c in part.columns]), arrow)
 
     arrow = arrow_schema(schema)
-    return small_batches(df).mapInArrow(run, schema)
+    return small_batches(df).mapInArrow(tidied(run), schema)
 
 
 def arrow_schema(schema: str | StructType) -> pa.Schema:

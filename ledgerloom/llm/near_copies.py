@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ledgerloom.llm.common import join_spread, join_with_hot, most_rows, portions, release, small_batches, staged, whole_groups
+from ledgerloom.llm.common import join_spread, join_with_hot, most_rows, portions, release, small_batches, staged, tidied, whole_groups
 from ledgerloom.llm.simhash import SEED, bits_over_half, components, near_links
 
 SHINGLE = 5
@@ -169,7 +169,7 @@ def common_shingles(texts: DataFrame, sample: int = SAMPLE) -> tuple[np.ndarray,
                 sets = [shingles(t) for t in part.column(0).to_pylist()]
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sets).view(np.int64))], names=["h"])
 
-    some = texts.where(F.pmod(F.xxhash64("_s_key", "_s_text"), F.lit(every)) == 0).select("_s_text").mapInArrow(run, "h long")
+    some = texts.where(F.pmod(F.xxhash64("_s_key", "_s_text"), F.lit(every)) == 0).select("_s_text").mapInArrow(tidied(run), "h long")
     got = some.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").orderBy(F.desc("n"), "h").limit(RANKED).toArrow()
     h, n = got.column("h").to_numpy().view(np.uint64), got.column("n").to_numpy()
     by = np.argsort(h)
@@ -199,7 +199,7 @@ def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
                         out[k] = s.tobytes()
                 yield pa.RecordBatch.from_arrays([pa.array(list(out), pa.int64()), pa.array(list(out.values()), pa.binary())], names=["id", "s"])
 
-    found = texts.select("_s_text").mapInArrow(run, "id long, s binary").join(needed, "id", "left_semi").dropDuplicates(["id"])
+    found = texts.select("_s_text").mapInArrow(tidied(run), "id long, s binary").join(needed, "id", "left_semi").dropDuplicates(["id"])
     sets = staged(found, "sets")
 
     def compare(batches):
@@ -209,7 +209,7 @@ def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([a.filter(yes), b.filter(yes)], names=["a", "b"])
 
     both = join_spread(pairs, sets.select(F.col("id").alias("a"), F.col("s").alias("x")), "a", "b").join(sets.select(F.col("id").alias("b"), F.col("s").alias("y")), "b")
-    out = staged(both.select("a", "b", "x", "y").mapInArrow(compare, "a long, b long"), "similar")
+    out = staged(both.select("a", "b", "x", "y").mapInArrow(tidied(compare), "a long, b long"), "similar")
     release(sets)
     return out
 
@@ -233,10 +233,10 @@ def keep_one(df: DataFrame, text_column: str = "text", key: str = "doc_id") -> D
                 )
 
     rows = marked.select("_s_null", "_s_key", "_s_hash", F.col(f"`{text_column}`").alias("_s_text"))
-    rows = staged(rows.mapInArrow(read, "_s_null boolean, _s_key long, _s_hash long, id long, size long, first array<long>, fp long, odd binary"), "prefixes")
+    rows = staged(rows.mapInArrow(tidied(read), "_s_null boolean, _s_key long, _s_hash long, id long, size long, first array<long>, fp long, odd binary"), "prefixes")
     dealt = rows.select("id", "size", F.posexplode("first").alias("place", "shingle")).select("shingle", "id", F.shiftleft("size", 32).bitwiseOR(F.col("place").cast("long")).alias("at"))
     large, small, chunks = _by_size(dealt)
-    proposed = staged(small.repartition("shingle").sortWithinPartitions("shingle", "id").mapInArrow(propose, "large boolean, a long, b long, c long"), "proposed")
+    proposed = staged(small.repartition("shingle").sortWithinPartitions("shingle", "id").mapInArrow(tidied(propose), "large boolean, a long, b long, c long"), "proposed")
     met = join_with_hot(large, heads(large), ["shingle"], most_rows(chunks, ["shingle"], "m"))
     pairs = [proposed.where("NOT large").select("a", "b"), _alike(rows), met.where("id <> head").select(F.col("head").alias("a"), F.col("id").alias("b"))]
     out = pairs[0]
@@ -258,7 +258,7 @@ def keep_one(df: DataFrame, text_column: str = "text", key: str = "doc_id") -> D
         # a chunk meets itself and each other chunk once
         met = met.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
         met = met.select("shingle", F.least("chunk", "other").alias("low"), F.greatest("chunk", "other").alias("high"), (F.col("chunk") > F.col("other")).alias("second"), "id", "at", "root", "odd")
-        rest = staged(met.repartition("shingle", "low", "high").sortWithinPartitions("shingle", "low", "high").mapInArrow(propose_rest, "a long, b long").distinct(), "pairs")
+        rest = staged(met.repartition("shingle", "low", "high").sortWithinPartitions("shingle", "low", "high").mapInArrow(tidied(propose_rest), "a long, b long").distinct(), "pairs")
         rest = staged(rest.join(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti"), "pairs")
         if not rest.isEmpty():
             roots = components(links.unionByName(verified(rest, texts)))

@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerloom.llm.common import arrow_schema, portions, small_batches, staged, whole_groups
+from ledgerloom.llm.common import arrow_schema, portions, small_batches, staged, tidied, whole_groups
 
 WINDOW, CLOSING = 1024, 0
 #: Windows of one level that a task holds open at most, and tasks whose open windows one task takes on.
@@ -180,7 +180,7 @@ def pack(df: DataFrame, path: str, window: int = WINDOW, id_column: str = "doc_i
         if rests := packer.drain():
             yield _batch(schema, [], 0, task, rests)
 
-    step = staged(small_batches(df).select(F.col(f"`{id_column}`").cast("long"), f"`{text_column}`").mapInArrow(read, _STEP), "pieces")
+    step = staged(small_batches(df).select(F.col(f"`{id_column}`").cast("long"), f"`{text_column}`").mapInArrow(tidied(read), _STEP), "pieces")
     done, level = [step.where("sequence_id IS NOT NULL")], 0
     while (last := step.where("sequence_id IS NULL").agg(F.max("task")).first()[0]) is not None:
         level += 1
@@ -210,4 +210,4 @@ def _merge(step: DataFrame, fan: int, level: int, last: bool, window: int) -> Da
                 yield _batch(schema, packer.out, _number(level, g), g, rests)
 
     rests = step.where("sequence_id IS NULL").select(F.floor(F.col("task") / fan).alias("group"), "task", "place", "doc_id", "start", "ids", "doc_tokens")
-    return rests.repartition("group").sortWithinPartitions("group", "task", "place").mapInArrow(run, _STEP)
+    return rests.repartition("group").sortWithinPartitions("group", "task", "place").mapInArrow(tidied(run), _STEP)

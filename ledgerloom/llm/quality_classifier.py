@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerloom.llm.common import map_steps, portions, small_batches, staged
+from ledgerloom.llm.common import map_steps, portions, small_batches, staged, tidied
 
 #: Words in the table at most (and the share of all words that brings one there), and occurrences that it needs.
 SHARES, LEAST = 1 << 18, 5
@@ -146,7 +146,7 @@ def word_counts(df: DataFrame, text_column: str = "text") -> DataFrame:
                     yield from flush()
         yield from flush()
 
-    return small_batches(df).select(f"`{text_column}`").mapInArrow(run, "w long, n long").groupBy("w").agg(F.sum("n").alias("n"))
+    return small_batches(df).select(f"`{text_column}`").mapInArrow(tidied(run), "w long, n long").groupBy("w").agg(F.sum("n").alias("n"))
 
 
 def frequent_words(df: DataFrame, text_column: str = "text", shares: int = SHARES, least: int = LEAST) -> np.ndarray:
@@ -189,7 +189,7 @@ def context_sums(df: DataFrame, frequent: np.ndarray, text_column: str = "text")
             yield from flush()
         yield row([None], whole[:, 0], whole[:, 1:])
 
-    sums = small_batches(df).select(f"`{text_column}`").mapInArrow(run, schema)
+    sums = small_batches(df).select(f"`{text_column}`").mapInArrow(tidied(run), schema)
     return sums.groupBy("w").agg(F.sum("n").alias("n"), *(F.sum(c).alias(c) for c in names))
 
 

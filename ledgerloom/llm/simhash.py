@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
-from ledgerloom.llm.common import join_by_key, release, small_batches, staged, whole_groups
+from ledgerloom.llm.common import join_by_key, release, small_batches, staged, tidied, whole_groups
 
 SHINGLE, SEED, BITS, BUDGET = 3, 42, 64, 3
 #: Fingerprints that agree on a block from which on the block is dealt out again.
@@ -205,7 +205,7 @@ def near_links(fingerprints: DataFrame, budget: int = BUDGET, large: int = LARGE
                 if len(linked):
                     yield pa.RecordBatch.from_arrays(back, names=["a", "b"])
 
-    return dealt.select("k", "head", "turned").repartition("k", "head").sortWithinPartitions("k", "head").mapInArrow(run, "a long, b long")
+    return dealt.select("k", "head", "turned").repartition("k", "head").sortWithinPartitions("k", "head").mapInArrow(tidied(run), "a long, b long")
 
 
 # -- components ----------------------------------------------------------------

@@ -50,7 +50,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StructType
 
-from ledgerloom.llm.common import SHARES, arrow_schema, free_shuffles, portions, small_batches, squeezed, staged
+from ledgerloom.llm.common import SHARES, arrow_schema, free_shuffles, portions, small_batches, squeezed, staged, tidied
 
 WINDOW, PERIOD, COVER = 20, 13, (0, 1, 3, 9)
 ANCHOR = WINDOW - PERIOD + 1
@@ -202,7 +202,7 @@ def anchor_rows(texts: DataFrame, hot: list[int] = ()) -> DataFrame:
                         c, hi = words.contexts(p)
                         yield len(words.line) * len(p) // len(places), (words.anchors(p), c, hi, p, np.full(len(p), doc), np.full(len(p), r))
 
-    return small_batches(texts).select("doc", "r", "text").mapInArrow(lambda batches: _collected(of_texts(batches), schema, hot), ROWS)
+    return small_batches(texts).select("doc", "r", "text").mapInArrow(tidied(lambda batches: _collected(of_texts(batches), schema, hot)), ROWS)
 
 
 def hot_anchors(texts: DataFrame, sample: int = SAMPLE, least: int = HOT) -> list[int]:
@@ -253,7 +253,7 @@ def later_ones(rows: DataFrame, opens: bool) -> DataFrame:
         if pending is not None and pending[1]:
             yield batch_of(*pending[0], True)
 
-    return rows.repartition("k").sortWithinPartitions("k", "c", F.shiftright("x", 32), "doc", "r", "x").mapInArrow(run, FOUND)
+    return rows.repartition("k").sortWithinPartitions("k", "c", F.shiftright("x", 32), "doc", "r", "x").mapInArrow(tidied(run), FOUND)
 
 
 def _claims(found: DataFrame) -> DataFrame:
@@ -300,7 +300,7 @@ def window_rows(texts: DataFrame, open_: DataFrame) -> DataFrame:
                     w1, w2 = words.windows(piece)
                     yield len(words.line) * len(piece) // len(words), (w1, w2, np.zeros(len(piece), np.int64), piece, np.full(len(piece), doc), np.full(len(piece), r))
 
-    return met.select("doc", "r", "z", "claims").mapInArrow(lambda batches: _collected(of_texts(batches), schema, None), ROWS)
+    return met.select("doc", "r", "z", "claims").mapInArrow(tidied(lambda batches: _collected(of_texts(batches), schema, None)), ROWS)
 
 
 def repeats(texts: DataFrame, sample: int = SAMPLE, least: int = HOT) -> DataFrame:
@@ -335,7 +335,7 @@ def removed(df: DataFrame, text: str = "text", key: str = "doc_id", sample: int
                 kept.append(cut)
             yield pa.RecordBatch.from_arrays([batch.column(0).cast(arrow[0].type), *(pa.array(v, f.type) for v, f in zip((counts, spans, kept), list(arrow)[1:]))], schema=arrow)
 
-    return wide.mapInArrow(run, schema)
+    return wide.mapInArrow(tidied(run), schema)
 
 
 def spans_of(words: Words, p: np.ndarray, c: np.ndarray, window: np.ndarray) -> tuple[list[dict], str]:

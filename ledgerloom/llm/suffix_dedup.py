@@ -51,7 +51,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-from ledgerloom.llm.common import arrow_schema, hot_keys, join_with_hot, most_rows, portions, small_batches, squeezed, staged, text_ids
+from ledgerloom.llm.common import arrow_schema, hot_keys, join_with_hot, most_rows, portions, small_batches, squeezed, staged, text_ids, tidied
 
 LENGTH, GRAM = 200, 64
 #: Window starts handled at once; bytes of contexts sorted at once; occurrences of an anchor that share a run of the sort.
@@ -194,7 +194,7 @@ def items(texts: DataFrame) -> DataFrame:
                     columns = [np.concatenate(c) if f.name != "a" else [x for y in c for x in y] for f, c in zip(schema, zip(*rows))]
                     yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for f, c in zip(schema, columns)], schema=schema)
 
-    return texts.select("text").mapInArrow(run, ITEMS)
+    return texts.select("text").mapInArrow(tidied(run), ITEMS)
 
 
 # -- the suffix sort -----------------------------------------------------------
@@ -352,7 +352,7 @@ def sort_contexts(contexts: DataFrame) -> DataFrame:
             yield sort(held)
 
     dealt = contexts.select("a", "run", "runs", "c1", "c2", "lead", "n", "context").repartition("a", "run").sortWithinPartitions("a", "run")
-    return dealt.mapInArrow(run, SORTED)
+    return dealt.mapInArrow(tidied(run), SORTED)
 
 
 def merged_runs(sorted_: DataFrame) -> DataFrame:
@@ -379,7 +379,7 @@ def _squeezed_classes(texts: DataFrame) -> DataFrame:
                     t = longs([r[0] for r in rows])
                     yield pa.RecordBatch.from_arrays([pa.array(t[:, 0]), pa.array(t[:, 1]), pa.array([r[1] for r in rows], pa.binary())], names=["t1", "t2", "z"])
 
-    return texts.select("text").mapInArrow(run, "t1 long, t2 long, z binary")
+    return texts.select("text").mapInArrow(tidied(run), "t1 long, t2 long, z binary")
 
 
 def repeats(df: DataFrame, text_column: str = "text") -> DataFrame:
@@ -413,7 +413,7 @@ def repeats(df: DataFrame, text_column: str = "text") -> DataFrame:
                 rows = [(*(i[f] for f in ("a", "run", "runs", "c1", "c2", "lead", "n")), data[i["lo"] : i["end"]]) for i in wanted.as_py()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for f, c in zip(schema, zip(*rows))], schema=schema)
 
-    contexts = staged(met.mapInArrow(cut, cut_schema), "contexts").dropDuplicates(["a", "c1", "c2"])
+    contexts = staged(met.mapInArrow(tidied(cut), cut_schema), "contexts").dropDuplicates(["a", "c1", "c2"])
     sorted_ = staged(sort_contexts(contexts), "sorted-runs")
     parts = staged(merged_runs(sorted_), "context-repeats")
     several = join_with_hot(again.where("several").select("a", "c1", "c2", "t1", "t2", "lo"), parts, ["a", "c1", "c2"], most_rows(kinds, ["a", "c1", "c2"], "here"))
@@ -464,7 +464,7 @@ def removed(df: DataFrame, text_column: str = "text") -> DataFrame:
                 made = [pa.array(c, f.type) for c, f in zip((sizes, found_, kept), list(arrow)[len(others) :])]
                 yield pa.RecordBatch.from_arrays([*part.columns[: len(others)], *made], schema=arrow)
 
-    return joined.select(*(f"`{c}`" for c in others), "_d_z", "_d_found", "_d_hot").mapInArrow(run, schema)
+    return joined.select(*(f"`{c}`" for c in others), "_d_z", "_d_found", "_d_hot").mapInArrow(tidied(run), schema)
 
 
 def digests(cut: DataFrame, key: str = "doc_id") -> DataFrame:
