@@ -14,8 +14,9 @@ proposes the same pairs under each of its shingles, and later only pairs that ar
 a large group of near copies doesn't cost its square; of those, pairs whose sets' parities
 differ in too many bits to be similar are left out, which is exact.  Groups of over ``CHUNK`` sets aren't
 met by one task: they pick those few by partial aggregation, and later lie in chunks, of
-which two meet in a task.  Every proposed pair's sets are compared; links become stars in
-``simhash.components``.
+which two meet in a task.  Proposed pairs, which grow faster than the input where texts share
+passages, first meet the sets' parities, about a fortieth of the sets, and those too far apart are left out, which is
+exact; the sets of the others, nearly all of them similar, are compared.  Links become stars in ``simhash.components``.
 
 Shingles and whole sets are known by 64-bit hashes.  Words are cut and lower-cased as
 in ``simhash``; a text of fewer than five words is one shingle, texts without a word
@@ -31,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ledgerloom.llm.common import join_spread, join_with_hot, most_rows, portions, release, small_batches, staged, tidied, whole_groups
+from ledgerloom.llm.common import free_shuffles, join_spread, join_with_hot, most_rows, portions, release, small_batches, staged, tidied, whole_groups
 from ledgerloom.llm.simhash import SEED, bits_over_half, components, near_links
 
 SHINGLE = 5
@@ -39,7 +40,7 @@ SHINGLE = 5
 SAMPLE, RANKED = 20_000, 1 << 18
 #: Groups that propose all pairs at once, sets that larger ones propose pairs with, groups that one task meets, pairs made at once.
 SMALL, HEADS, CHUNK, PORTION = 4, 3, 1024, 1 << 20
-#: Bits of a set's parities, a sound bound on how far two sets differ.
+#: Least bits of a set's parities, a sound bound on how far two sets differ.
 PARITY = 512
 #: Bits of a Bloom filter (4 MB whatever the input) by which sets that no pair needs are left out early.
 MARK = 25
@@ -91,8 +92,21 @@ def _edges(keys: np.ndarray) -> np.ndarray:
 
 
 def parities(hashes: np.ndarray) -> bytes:
-    """For each of ``PARITY`` bits whether an odd number of hashes falls on it; two sets differ in as many elements at least as their parities do."""
-    return np.packbits(np.bincount((hashes % np.uint64(PARITY)).astype(np.int64), minlength=PARITY).astype(np.uint8) & 1).tobytes()
+    """For each of ``PARITY`` bits (doubled until there are as many as hashes) whether an odd number of hashes falls on it; two sets differ in as many elements at least as their parities do."""
+    bits = max(PARITY, 1 << max(len(hashes) - 1, 0).bit_length())
+    return np.packbits(np.bincount((hashes % np.uint64(bits)).astype(np.int64), minlength=bits).astype(np.uint8) & 1).tobytes()
+
+
+def folded(odd: bytes, size: int = PARITY // 8) -> np.ndarray:
+    """Parities as they are with fewer bits (``size`` bytes)."""
+    return np.bitwise_xor.reduce(np.frombuffer(odd, np.uint64).reshape(-1, size // 8), axis=0)
+
+
+def can_be_similar(a: bytes, b: bytes, size_a: int, size_b: int) -> bool:
+    """Whether the parities of two sets leave it open that they are similar; similar ones differ in a ninth of their sizes at most."""
+    size = min(len(a), len(b))
+    apart = int(np.bitwise_count(folded(a, size) ^ folded(b, size)).sum())
+    return 9 * min(size_a, size_b) >= 4 * (size_a + size_b) and 9 * apart <= size_a + size_b
 
 
 def _unpack(at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -179,8 +193,28 @@ def common_shingles(texts: DataFrame, sample: int = SAMPLE) -> tuple[np.ndarray,
     return h, rank
 
 
-def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """The pairs (``a``, ``b``; staged) of set ids whose sets are similar."""
+def possible(pairs: DataFrame, rows: DataFrame) -> DataFrame:
+    """The pairs (``a``, ``b``; staged) of set ids that sizes and parities (``id``, ``size``, ``odd`` of ``rows``) leave open, each once."""
+    needed = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    sketches = staged(rows.select("id", "size", "odd").join(needed, "id", "left_semi").dropDuplicates(["id"]), "parities")
+
+    def compare(batches):
+        for batch in batches:
+            a, b, *rest = batch.columns
+            yes = pa.array([can_be_similar(*x) for x in zip(*(c.to_pylist() for c in rest))], pa.bool_())
+            yield pa.RecordBatch.from_arrays([a.filter(yes), b.filter(yes)], names=["a", "b"])
+
+    one, other = (sketches.select(F.col("id").alias(c), F.col("odd").alias(f"odd_{c}"), F.col("size").alias(f"size_{c}")) for c in "ab")
+    both = join_spread(pairs, one, "a", "b").join(other, "b").select("a", "b", "odd_a", "odd_b", "size_a", "size_b")
+    out = staged(both.mapInArrow(tidied(compare), "a long, b long"), "possible")
+    release(sketches)
+    free_shuffles(pairs.sparkSession)
+    return out
+
+
+def verified(pairs: DataFrame, texts: DataFrame, rows: DataFrame) -> DataFrame:
+    """The pairs (``a``, ``b``; staged) of set ids whose sets are similar; ``rows`` has the sets' sizes and parities."""
+    pairs = possible(pairs, rows)
     needed = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
     mark = F.col("id").bitwiseAND(F.lit((1 << MARK) - 1))
     words = needed.groupBy(F.shiftright(mark, 6).alias("w")).agg(F.bit_or(F.expr(f"shiftleft(1L, CAST((id & {(1 << MARK) - 1}) % 64 AS INT))")).alias("bits")).toArrow()  # at most 2 ** (MARK - 6) rows
@@ -201,6 +235,7 @@ def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 
     found = texts.select("_s_text").mapInArrow(tidied(run), "id long, s binary").join(needed, "id", "left_semi").dropDuplicates(["id"])
     sets = staged(found, "sets")
+    free_shuffles(pairs.sparkSession)
 
     def compare(batches):
         for batch in batches:
@@ -211,6 +246,7 @@ def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     both = join_spread(pairs, sets.select(F.col("id").alias("a"), F.col("s").alias("x")), "a", "b").join(sets.select(F.col("id").alias("b"), F.col("s").alias("y")), "b")
     out = staged(both.select("a", "b", "x", "y").mapInArrow(tidied(compare), "a long, b long"), "similar")
     release(sets)
+    free_shuffles(pairs.sparkSession)
     return out
 
 
@@ -226,24 +262,26 @@ def keep_one(df: DataFrame, text_column: str = "text", key: str = "doc_id") -> D
             for part in portions(batch, 3):
                 sets = [shingles(t) for t in part.column(3).to_pylist()]
                 first = [prefix(s, common, rank).view(np.int64) for s in sets]
+                odd = [parities(s) for s in sets]
                 prints = np.array([bits_over_half(s) for s in sets], np.uint64).view(np.int64)
                 yield pa.RecordBatch.from_arrays(
-                    [*part.columns[:3], pa.array([set_id(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array(first, pa.list_(pa.int64())), pa.array(prints), pa.array([parities(s) for s in sets], pa.binary())],
-                    names=["_s_null", "_s_key", "_s_hash", "id", "size", "first", "fp", "odd"],
+                    [*part.columns[:3], pa.array([set_id(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array(first, pa.list_(pa.int64())), pa.array(prints), pa.array(odd, pa.binary()), pa.array([folded(x).tobytes() for x in odd], pa.binary())],
+                    names=["_s_null", "_s_key", "_s_hash", "id", "size", "first", "fp", "odd", "brief"],
                 )
 
     rows = marked.select("_s_null", "_s_key", "_s_hash", F.col(f"`{text_column}`").alias("_s_text"))
-    rows = staged(rows.mapInArrow(tidied(read), "_s_null boolean, _s_key long, _s_hash long, id long, size long, first array<long>, fp long, odd binary"), "prefixes")
+    rows = staged(rows.mapInArrow(tidied(read), "_s_null boolean, _s_key long, _s_hash long, id long, size long, first array<long>, fp long, odd binary, brief binary"), "prefixes")
     dealt = rows.select("id", "size", F.posexplode("first").alias("place", "shingle")).select("shingle", "id", F.shiftleft("size", 32).bitwiseOR(F.col("place").cast("long")).alias("at"))
     large, small, chunks = _by_size(dealt)
     proposed = staged(small.repartition("shingle").sortWithinPartitions("shingle", "id").mapInArrow(tidied(propose), "large boolean, a long, b long, c long"), "proposed")
+    free_shuffles(df.sparkSession)
     met = join_with_hot(large, heads(large), ["shingle"], most_rows(chunks, ["shingle"], "m"))
     pairs = [proposed.where("NOT large").select("a", "b"), _alike(rows), met.where("id <> head").select(F.col("head").alias("a"), F.col("id").alias("b"))]
     out = pairs[0]
     for more in pairs[1:]:
         out = out.unionByName(more)
     pairs = staged(out.distinct(), "pairs")
-    links = verified(pairs, texts)
+    links = verified(pairs, texts, rows)
     roots = components(links)
     left = proposed.where("large").select(F.col("a").alias("shingle"), F.col("b").alias("id"), F.col("c").alias("at")).unionByName(large.select("shingle", "id", "at"))
     left = left.join(roots, left["id"] == roots["node"], "left").select("shingle", "id", "at", F.coalesce("root", "id").alias("root"))
@@ -252,7 +290,7 @@ def keep_one(df: DataFrame, text_column: str = "text", key: str = "doc_id") -> D
     open_ = staged(left.groupBy("shingle").agg(F.min("root").alias("r1"), F.max("root").alias("r2"), F.ceil(F.count("*") / CHUNK).cast("int").alias("chunks"), F.count("*").alias("m")).where("r1 <> r2").select("shingle", "chunks", "m"), "open-groups")
     if not open_.isEmpty():
         met = join_with_hot(left, open_.select("shingle", "chunks"), ["shingle"], most_rows(open_, ["shingle"], "m"))
-        odd = rows.join(met.select("id").distinct(), "id", "left_semi").groupBy("id").agg(F.first("odd").alias("odd"))
+        odd = rows.join(met.select("id").distinct(), "id", "left_semi").groupBy("id").agg(F.first("brief").alias("odd"))
         met = met.join(odd, "id")
         met = met.withColumn("chunk", F.pmod(F.xxhash64("id"), F.col("chunks")).cast("int"))
         # a chunk meets itself and each other chunk once
@@ -261,7 +299,8 @@ def keep_one(df: DataFrame, text_column: str = "text", key: str = "doc_id") -> D
         rest = staged(met.repartition("shingle", "low", "high").sortWithinPartitions("shingle", "low", "high").mapInArrow(tidied(propose_rest), "a long, b long").distinct(), "pairs")
         rest = staged(rest.join(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti"), "pairs")
         if not rest.isEmpty():
-            roots = components(links.unionByName(verified(rest, texts)))
+            roots = components(links.unionByName(verified(rest, texts, rows)))
+    free_shuffles(df.sparkSession)
     least = rows.groupBy("id").agg(F.min(F.struct("_s_null", "_s_key", "_s_hash")).alias("least"))
     kept = least.join(roots, least["id"] == roots["node"], "left").groupBy(F.coalesce("root", "id").alias("root")).agg(F.min("least").alias("k")).select("k.*")
     stay = marked.join(kept, ["_s_null", "_s_key", "_s_hash"], "left_semi")
@@ -284,5 +323,6 @@ def _alike(rows: DataFrame) -> DataFrame:
 def _by_size(dealt: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Rows of groups of over ``CHUNK`` sets, the other rows, and those groups with their sizes."""
     counts = staged(dealt.groupBy("shingle").agg(F.count("*").alias("m")).where(F.col("m") > CHUNK), "large-shingles")
+    free_shuffles(dealt.sparkSession)
     marked = dealt.join(counts, "shingle", "left")
     return staged(marked.where("m IS NOT NULL").drop("m").distinct(), "large-shingle-rows"), marked.where("m IS NULL").drop("m"), counts

@@ -724,6 +724,41 @@ def test_near_copy_stage_against_brute_jaccard(spark, odd, nothing, monkeypatch,
     assert near_copies.keep_one(nothing).count() == 0
 
 
+def test_parities_leave_similar_sets_open_and_few_others():
+    rng = np.random.default_rng(3)
+    for n in (1, 7, 300, 511, 513, 1024, 5000):
+        for share in (0.0, 0.5, 0.7, 0.8, 0.9, 1.0):
+            pool = np.unique(rng.integers(0, 1 << 64, 4 * n + 8, np.uint64))
+            both = round(2 * n * share / (1 + share))
+            a, b = (np.sort(np.concatenate([pool[:both], pool[at : at + n - both]])) for at in (both, n))
+            x, y = near_copies.parities(a), near_copies.parities(b)
+            open_ = near_copies.can_be_similar(x, y, len(a), len(b))
+            assert open_ or not near_copies.similar(a.tobytes(), b.tobytes())
+            assert not open_ or share > 0.7 or n < 300, (n, share)  # 512 bits alone leave any two sets of 5,000 open
+            few = np.bincount((a % np.uint64(near_copies.PARITY)).astype(np.int64), minlength=near_copies.PARITY).astype(np.uint8) & 1
+            assert near_copies.folded(x).tobytes() == np.packbits(few).tobytes()
+
+
+def test_near_copy_stage_fetches_no_sets_that_parities_rule_out(spark, monkeypatch):
+    rng = random.Random(5)
+    long = lambda n: [f"w{rng.randrange(10**6)}" for _ in range(n)]
+    shared, copy = long(1500), long(3000)
+    rows = [(k, " ".join(shared + long(1500))) for k in range(6)] + [(6, " ".join(copy)), (7, " ".join(copy[:-20] + long(20)))]
+    none = np.zeros(0, np.uint64)
+    monkeypatch.setattr(near_copies, "common_shingles", lambda texts: (none, none.astype(np.int64)))  # any order will do; in this one halves propose pairs
+    counts, staged = {}, near_copies.staged
+
+    def counted(df, name):
+        out = staged(df, name)
+        counts.setdefault(name, []).append(out.count())
+        return out
+
+    monkeypatch.setattr(near_copies, "staged", counted)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(r.doc_id for r in near_copies.keep_one(docs).collect()) == [0, 1, 2, 3, 4, 5, 6] == brute_kept(rows)
+    assert counts["pairs"][0] > 10 and sum(counts["sets"]) == 2
+
+
 # -- pipeline --------------------------------------------------------------------
 
 
