@@ -36,16 +36,15 @@ from pyspark.sql import functions as F
 
 from ledgerloom.llm.common import staged
 
-#: A term is a run of letters A to Z of either case and of anything beyond ASCII.
-TERM = r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+"
+#: What lies between terms; a term is a run of letters A to Z of either case and of anything beyond ASCII.
+BETWEEN = r"[\x00-\x40\x5B-\x60\x7B-\x7F]+"
 LEAST_DOCS, SCALE, TOP = 3, 1_000_000_000, 200
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
 def terms(text: Column) -> Column:
-    """A text's terms in order; only A to Z are made lower case, so texts beyond ASCII go sign by sign."""
-    small = F.when(text.rlike(r"[^\x00-\x7F]"), F.translate(text, UPPER, LOWER)).otherwise(F.lower(text))
-    return F.regexp_extract_all(small, F.lit(TERM), F.lit(0))
+    """A text's terms in order; only A to Z are made lower case.  Splitting finds them at a fraction of what extracting each costs."""
+    return F.array_remove(F.split(F.translate(text, UPPER, LOWER), BETWEEN), "")
 
 
 def term_counts(docs: DataFrame, text: str = "text", lang: str = "lang", source: str = "source") -> DataFrame:
