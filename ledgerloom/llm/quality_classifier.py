@@ -55,6 +55,13 @@ FEATURES = 2 * DIM + 5
 REMEMBERED, CHUNK = 100_000, 1 << 16
 
 _token = re.compile(r"[^\W\d_]+|\d+|[^\w\s]|_")
+#: The same in texts that are ASCII throughout, where these sets are read faster.
+_ascii_token = re.compile(r"[A-Za-z]+|[0-9]+|[^A-Za-z0-9\s]")
+
+
+def tokens_of(text: str | None) -> list[str]:
+    text = text or ""
+    return (_ascii_token if text.isascii() else _token).findall(text)
 
 
 def word_id(token: str) -> int:
@@ -76,12 +83,24 @@ def index_vectors(ids: np.ndarray) -> np.ndarray:
     return out
 
 
+class Rows(dict):
+    """Words' rows; a word that is looked up and isn't there gets the next one and is listed in ``new``."""
+
+    def __init__(self):
+        self.new: list[str] = []
+
+    def __missing__(self, token: str) -> int:
+        self[token] = row = len(self) + 1
+        self.new.append(token)
+        return row
+
+
 class Words:
     """The words that a worker has met, as rows of arrays that double when full; row 0 is no word."""
 
     def __init__(self, made):
         """``made`` gives arrays for new words' ids and tokens."""
-        self.row: dict[str, int] = {}
+        self.row = Rows()
         self.n, self.made = 1, made
         self.ids = np.zeros(1024, np.int64)
         self.arrays = [np.zeros((1024, *x.shape[1:]), x.dtype) for x in made(np.zeros(1, np.int64), ["-"])]
@@ -89,20 +108,18 @@ class Words:
     def full(self) -> bool:
         return len(self.row) > REMEMBERED
 
-    def rows(self, text: str | None) -> np.ndarray:
-        """Rows of a text's words, in order."""
-        tokens = _token.findall(text or "")
-        new = [t for t in dict.fromkeys(tokens) if t not in self.row]
-        if new:
-            at, self.n = self.n, self.n + len(new)
-            self.row.update(zip(new, range(at, self.n)))
+    def rows(self, texts: list) -> list[np.ndarray]:
+        """Rows of each text's words, in order."""
+        out = [np.fromiter(map(self.row.__getitem__, tokens), np.int32, len(tokens)) for tokens in map(tokens_of, texts)]
+        if new := self.row.new:  # what they need is made for all texts at once
+            at, self.n, self.row.new = self.n, self.n + len(new), []
             ids = np.array([word_id(t) for t in new], np.int64)
             self.ids = grown(self.ids, self.n)
             self.ids[at : self.n] = ids
             self.arrays = [grown(x, self.n) for x in self.arrays]
             for x, y in zip(self.arrays, self.made(ids, new)):
                 x[at : self.n] = y
-        return np.fromiter(map(self.row.__getitem__, tokens), np.int32, len(tokens))
+        return out
 
 
 def grown(x: np.ndarray, n: int) -> np.ndarray:
@@ -120,12 +137,13 @@ def add_contexts(table: np.ndarray, counts: np.ndarray, texts: list[np.ndarray],
     line = np.concatenate([gap] + [x for t in texts for x in (t, gap)])
     for at in range(REACH, len(line) - REACH, CHUNK):
         end = min(at + CHUNK, len(line) - REACH)
-        words = line[at:end]
-        around = sum(index[line[at + k : end + k]].astype(np.int32) for k in range(-REACH, REACH + 1) if k)
+        words, near = line[at:end], index[line[at - REACH : end + REACH]]
+        # sums of 2 * REACH entries, each of NONZERO at most, stay within 8 bits
+        around = sum((near[REACH + k : len(near) - REACH + k] for k in range(-REACH, REACH + 1) if k), np.zeros((end - at, DIM), np.int8))
         order = np.argsort(words, kind="stable")
         edges = np.flatnonzero(np.diff(words[order], prepend=-1))
         found = words[order][edges]
-        table[found] += np.add.reduceat(around[order], edges, axis=0)
+        table[found] += np.add.reduceat(around[order], edges, axis=0, dtype=np.int32)
         counts[found] += np.diff(edges, append=len(words))
 
 
@@ -141,7 +159,7 @@ def word_counts(df: DataFrame, text_column: str = "text") -> DataFrame:
 
         for batch in batches:
             for text in batch.column(0):
-                counts.update(_token.findall(text.as_py() or ""))
+                counts.update(tokens_of(text.as_py()))
                 if len(counts) > REMEMBERED:
                     yield from flush()
         yield from flush()
@@ -182,7 +200,7 @@ def context_sums(df: DataFrame, frequent: np.ndarray, text_column: str = "text")
                     words = None
                 if words is None:
                     words, table, counts = Words(lambda ids, _: (index_vectors(ids),)), np.zeros((1, DIM), np.int64), np.zeros(1, np.int64)
-                rows = [words.rows(t) for t in part.column(0).to_pylist()]
+                rows = words.rows(part.column(0).to_pylist())
                 table, counts = grown(table, words.n), grown(counts, words.n)
                 add_contexts(table, counts, rows, words.arrays[0])
         if words is not None:
@@ -224,7 +242,8 @@ def word_vectors(df: DataFrame, text_column: str = "text") -> Vectors:
 
 def shapes(tokens: list[str]) -> np.ndarray:
     """Whether each word is in capitals, digits, or a sign."""
-    return np.array([(len(t) > 1 and t.isupper(), t.isdigit(), not t.isalnum()) for t in tokens], np.float32).reshape(len(tokens), 3)
+    kinds = ([len(t) > 1 and t.isupper() for t in tokens], [t.isdigit() for t in tokens], [not t.isalnum() for t in tokens])
+    return np.array(kinds, bool).T.astype(np.float32)
 
 
 _met: list = [None, None]  # the vectors that this worker uses, and the words that it has met
@@ -236,8 +255,7 @@ def pooled(texts: list, vectors: Vectors) -> np.ndarray:
         _met[:] = vectors, Words(lambda ids, tokens: (vectors.of(ids), shapes(tokens)))
     words = _met[1]
     out = np.zeros((len(texts), FEATURES), np.float32)
-    for row, text in zip(out, texts):
-        rows = words.rows(text)
+    for row, rows in zip(out, words.rows(texts)):
         if len(rows):
             kinds, times = np.unique(rows, return_counts=True)
             v, w = words.arrays[0][kinds].astype(np.float64), times / len(rows)

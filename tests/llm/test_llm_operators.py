@@ -759,6 +759,24 @@ def test_near_copy_stage_fetches_no_sets_that_parities_rule_out(spark, monkeypat
     assert counts["pairs"][0] > 10 and sum(counts["sets"]) == 2
 
 
+def test_new_words_of_many_texts_are_made_at_once():
+    asked = []
+
+    def made(ids, new):
+        asked.append(list(new))
+        return (quality_classifier.index_vectors(ids),)
+
+    words = quality_classifier.Words(made)
+    texts = ["Ab ab 12 x_y", None, "ab \u00e9t\u00e9 \u0663\u0664 !", "12 zz"]
+    rows = words.rows(texts)
+    want = [quality_classifier._token.findall(t or "") for t in texts]
+    assert asked[1:] == [list(dict.fromkeys(w for x in want for w in x))]  # the first call only asks for types
+    names = {k: w for w, k in words.row.items()}
+    assert [[names[k] for k in r] for r in rows] == want and all(words.ids[k] == quality_classifier.word_id(w) for k, w in names.items())
+    every = "".join(chr(k) + x for k in range(128) for x in "a1 _.")
+    assert quality_classifier.tokens_of(every) == quality_classifier._token.findall(every)
+
+
 # -- pipeline --------------------------------------------------------------------
 
 
