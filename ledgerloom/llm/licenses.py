@@ -1,7 +1,7 @@
 """License scan: MinHash bands over overlapping windows, then exact containment; native expressions only.
 
 A text's words (lower-cased runs of letters and digits) make 5-word shingles, which
-are hashed once.  Windows of 4, 16 or 64 shingles overlap by half.  A window's MinHash
+are hashed once, word by word, without being joined.  Windows of 4, 16 or 64 shingles overlap by half.  A window's MinHash
 signature is made by one permutation: the least hash in each bin of hash space, each
 bin a band of one row; small windows have more bins, as they hold fewer hashes to choose from.  A template belongs to the least window size that holds
 it; one of more shingles than the largest window is cut into parts of that size, so
@@ -93,7 +93,14 @@ def bands_of(shingles: list[str]) -> list[int]:
     """The least hash of each bin, signed, as ``_bands`` makes them in Spark."""
     import xxhash
 
-    hashes = (xxhash.xxh64_intdigest(s.encode(), SEED) for s in shingles)
+    def chained(shingle: str) -> int:
+        """Each word's hash is the seed of the next, as ``F.xxhash64`` takes several columns."""
+        h = SEED
+        for word in shingle.split(" "):
+            h = xxhash.xxh64_intdigest(word.encode(), h)
+        return h
+
+    hashes = map(chained, shingles)
     least: dict[int, int] = {}
     for h in sorted(h - (1 << 64) if h >> 63 else h for h in hashes):
         least.setdefault(h >> 64 - BIN_BITS[size_of(shingles)], h)
@@ -106,13 +113,18 @@ def _bands(sizes: list[int]) -> str:
     for n in sizes:
         step = n // 2
         starts = f"sequence(0, greatest(size(_l_h) - {step} - 1, 0), {step})"
-        windows = f"transform({starts}, s -> array_sort(slice(_l_h, s + 1, {n})))"
+        windows = f"transform({starts}, s -> sort_array(slice(_l_h, s + 1, {n})))"
         bin_ = 64 - BIN_BITS[n]
         least = f"filter(a, (x, i) -> i = 0 OR shiftright(x, {bin_}) <> shiftright(get(a, i - 1), {bin_}))"
         of_size.append(f"flatten(transform({windows}, a -> {least}))")
     return f"concat({', '.join(of_size)})"
 
 
+def _per_shingle(value: str, kind: str) -> str:
+    """SQL for an array of a value for each shingle of ``_l_w``, the first word's place being ``i``."""
+    return f"CASE WHEN size(_l_w) >= {SHINGLE} THEN transform(sequence(0, size(_l_w) - {SHINGLE}), i -> {value}) ELSE CAST(array() AS array<{kind}>) END"
+
+
 def scan(df: DataFrame, templates: dict[str, str] | None = None, text_column: str = "text") -> DataFrame:
     """``df`` with ``_l_candidates``, how many templates bands retrieved, and ``_l_matches``: (license, containment), by name."""
     known = template_shingles(templates or TEMPLATES)
@@ -128,13 +140,10 @@ def scan(df: DataFrame, templates: dict[str, str] | None = None, text_column: st
     names = [F.col(f"`{c}`") for c in df.columns]
     text = F.lower(F.coalesce(F.col(f"`{text_column}`"), F.lit("")))
     words = df.select(*names, F.filter(F.split(text, r"[^\p{L}\p{N}]+"), lambda w: w != "").alias("_l_w"))
-    grams = words.select(
-        *names,
-        F.expr(f"CASE WHEN size(_l_w) >= {SHINGLE} THEN transform(sequence(0, size(_l_w) - {SHINGLE}), i -> concat_ws(' ', slice(_l_w, i + 1, {SHINGLE}))) ELSE CAST(array() AS array<string>) END").alias("_l_g"),
-    )
-    hashed = grams.select(*names, "_l_g", F.transform("_l_g", lambda g: F.xxhash64(g)).alias("_l_h"))
+    # hashes come from the words; shingles as strings are made only where a template is retrieved
+    hashed = words.select(*names, "_l_w", F.expr(_per_shingle(f"xxhash64({', '.join(f'get(_l_w, i + {k})' for k in range(SHINGLE))})", "bigint")).alias("_l_h"))
     sizes = sorted({size_of(p) for s in known.values() for p in parts_of(s)})
-    banded = hashed.select(*names, "_l_g", F.expr(_bands(sizes)).alias("_l_b"))
+    banded = hashed.select(*names, "_l_w", F.expr(_bands(sizes)).alias("_l_b"))
     none = F.array().cast("array<struct<license:string,containment:double>>")
     for k, part in enumerate(lists):
         banded = _matched(banded, part, names, k)
@@ -158,11 +167,12 @@ def _matched(banded: DataFrame, part: list, names: list, k: int) -> DataFrame:
     marked = f"filter(_l_b, v -> (shiftright(get(_l_t.bits, CAST(shiftright(v & {size - 1}L, 6) AS INT)), CAST(v & 63L AS INT)) & 1L) = 1L)"
     found = held.withColumn("_l_f", F.array_distinct(F.expr(marked)))
     chosen = found.withColumn("_l_c", F.when(F.size("_l_f") > 0, F.filter(F.col("_l_t.templates"), lambda t: F.arrays_overlap(t["sig"], F.col("_l_f")))))
+    grams = F.expr(_per_shingle(f"concat_ws(' ', slice(_l_w, i + 1, {SHINGLE}))", "string"))
     matches = F.filter(
-        F.transform("_l_c", lambda t: F.struct(t["name"].alias("license"), (F.size(F.array_intersect(t["shingles"], F.col("_l_g"))) / F.size(t["shingles"])).alias("containment"))),
+        F.transform("_l_c", lambda t: F.struct(t["name"].alias("license"), (F.size(F.array_intersect(t["shingles"], grams)) / F.size(t["shingles"])).alias("containment"))),
         lambda m: m["containment"] >= CONTAINED,
     )
     count = F.when(F.col("_l_c").isNull(), 0).otherwise(F.size("_l_c")).cast("long").alias(f"_l_n{k}")
     none = F.array().cast("array<struct<license:string,containment:double>>")
     before = [f"_l_{x}{j}" for j in range(k) for x in "nm"]
-    return chosen.select(*names, "_l_g", "_l_b", *before, count, F.coalesce(matches, none).alias(f"_l_m{k}"))
+    return chosen.select(*names, "_l_w", "_l_b", *before, count, F.coalesce(matches, none).alias(f"_l_m{k}"))
