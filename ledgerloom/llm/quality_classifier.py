@@ -3,12 +3,13 @@
 1. *Word vectors.*  Each word has a sparse random index vector of its own, drawn from
    its 64-bit hash.  Over all documents, a word's context vector is the sum of the
    index vectors of the words around its occurrences; tasks pass on partial counts by word
-   and then partial sums of frequent ones, which Spark adds up.  A word that is at least one in ``SHARES`` of all words has
+   and then one partial sum of each frequent one, which Spark adds up.  A word that is at least one in ``SHARES`` of all words has
    its context vector in the table that scoring uses: at most ``SHARES`` words can, so
    the table's size is bounded whatever the input (and every input is treated alike).
    Rarer words stand for themselves by their index vector alone; none is left out, and
    no two words share a vector.  Case doesn't matter to a word, and digits are one word
-   a length.
+   a length.  Texts are cut in bulk, by the kinds of their characters; strings are made
+   and hashed for the different words of a portion only.
 2. *Pooling.*  A document is the mean and the spread of its word vectors, its
    logarithmic length, and its shares of different words, capitals, digits and signs.
 3. *Network.*  Two layers, trained in numpy on at most ``TRAIN_ROWS`` labelled documents,
@@ -27,17 +28,19 @@ with null or repeated keys are scored each.
 
 from __future__ import annotations
 
+import functools
+import itertools
 import re
 import zlib
-from collections import Counter
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerloom.llm.common import map_steps, portions, small_batches, staged, tidied
+from ledgerloom.llm.common import ARROW_ROWS, arrow_schema, portions, record_batch, small_batches, staged, tidied
 
 #: Words in the table at most (and the share of all words that brings one there), and occurrences that it needs.
 SHARES, LEAST = 1 << 18, 5
@@ -51,26 +54,66 @@ HIDDEN, EPOCHS, STEP, BATCH, DECAY = 32, 40, 3e-3, 256, 1e-4
 SEED = 20_240
 FEATURES = 2 * DIM + 5
 
-#: Words that a worker remembers at most, and words handled at once.
-REMEMBERED, CHUNK = 100_000, 1 << 16
+#: Words that a worker remembers at most, counts that it holds before they are added up, and words handled at once.
+REMEMBERED, COUNTED, CHUNK = 100_000, 1 << 20, 1 << 16
 
+#: What a word is; ``split`` finds the same by the kinds of characters.
 _token = re.compile(r"[^\W\d_]+|\d+|[^\w\s]|_")
-#: The same in texts that are ASCII throughout, where these sets are read faster.
-_ascii_token = re.compile(r"[A-Za-z]+|[0-9]+|[^A-Za-z0-9\s]")
+SPACE, LETTER, DIGIT, SIGN = range(4)
+
+
+@functools.cache
+def kinds_of_characters() -> np.ndarray:
+    """The kind of every code point."""
+    every, out = "".join(map(chr, range(0x110000))), np.full(0x110000, SIGN, np.uint8)
+    for kind, pattern in ((SPACE, r"\s+"), (LETTER, r"[^\W\d_]+"), (DIGIT, r"\d+")):
+        for run in re.finditer(pattern, every):
+            out[run.start() : run.end()] = kind
+    return out
+
+
+def split(texts: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """The different words of the texts, which of them each word is, in order, and where each text's words begin and end."""
+    texts = pc.fill_null(texts.cast(pa.large_string()), "")
+    _, ends, data = texts.buffers()
+    edges = np.frombuffer(ends, np.int64)[texts.offset : texts.offset + len(texts) + 1]
+    raw = np.frombuffer(data, np.uint8)[edges[0] : edges[-1]] if data and len(edges) else np.zeros(0, np.uint8)
+    if not len(raw):
+        return [], np.zeros(0, np.int32), np.zeros(len(texts) + 1, np.int64)
+    edges = edges - edges[0]
+    kind = kinds_of_characters()[:256].take(raw)
+    beyond = raw > 127
+    if beyond.any():  # of these characters all bytes are as the character
+        rest = raw[beyond]
+        characters = np.frombuffer(rest.tobytes().decode().encode("utf-32-le"), np.uint32)
+        kind[beyond] = np.repeat(kinds_of_characters()[characters], np.diff(np.flatnonzero(rest > 191), append=len(rest)))
+    begins = kind == SIGN
+    begins &= (raw & 0xC0) != 0x80
+    begins[1:] |= kind[1:] != kind[:-1]
+    begins[edges[:-1][edges[:-1] < len(raw)]] = True
+    word = kind != SPACE
+    begins &= word
+    starts = np.flatnonzero(begins[word])
+    words = pa.LargeStringArray.from_buffers(len(starts), pa.py_buffer(np.append(starts, np.count_nonzero(word))), pa.py_buffer(raw[word])).dictionary_encode()
+    return words.dictionary.to_numpy(zero_copy_only=False).tolist(), words.indices.to_numpy(), np.searchsorted(np.flatnonzero(begins), edges)
 
 
 def tokens_of(text: str | None) -> list[str]:
-    text = text or ""
-    return (_ascii_token if text.isascii() else _token).findall(text)
+    words, which, _ = split(pa.array([text], pa.large_string()))
+    return [words[k] for k in which]
 
 
-def word_id(token: str) -> int:
-    """The hash of a word, signed; digits are one word a length."""
+def word_ids(tokens: list[str]) -> np.ndarray:
+    """The hashes of words, signed; digits are one word a length."""
     import xxhash
 
-    word = f"\0digits{len(token)}" if token.isdigit() else token.lower()
-    h = xxhash.xxh64_intdigest(word.encode("utf-8", "replace"), SEED)
-    return h - (1 << 64) if h >> 63 else h
+    lower = "\n".join(tokens).lower().split("\n")  # no word holds a line's end
+    words = (f"\0digits{len(t)}" if t.isdigit() else w for t, w in zip(tokens, lower))
+    return np.fromiter(map(xxhash.xxh64_intdigest, words, itertools.repeat(SEED)), np.uint64, len(tokens)).view(np.int64)
+
+
+def word_id(token: str) -> int:
+    return int(word_ids([token])[0])
 
 
 def index_vectors(ids: np.ndarray) -> np.ndarray:
@@ -108,12 +151,12 @@ class Words:
     def full(self) -> bool:
         return len(self.row) > REMEMBERED
 
-    def rows(self, texts: list) -> list[np.ndarray]:
-        """Rows of each text's words, in order."""
-        out = [np.fromiter(map(self.row.__getitem__, tokens), np.int32, len(tokens)) for tokens in map(tokens_of, texts)]
-        if new := self.row.new:  # what they need is made for all texts at once
+    def of(self, tokens: list[str]) -> np.ndarray:
+        """Rows of different words."""
+        out = np.fromiter(map(self.row.__getitem__, tokens), np.int32, len(tokens))
+        if new := self.row.new:  # what they need is made for all at once
             at, self.n, self.row.new = self.n, self.n + len(new), []
-            ids = np.array([word_id(t) for t in new], np.int64)
+            ids = word_ids(new)
             self.ids = grown(self.ids, self.n)
             self.ids[at : self.n] = ids
             self.arrays = [grown(x, self.n) for x in self.arrays]
@@ -121,6 +164,11 @@ class Words:
                 x[at : self.n] = y
         return out
 
+    def rows(self, texts: list | pa.Array) -> list[np.ndarray]:
+        """Rows of each text's words, in order."""
+        words, which, edges = split(texts if isinstance(texts, pa.Array) else pa.array(texts, pa.large_string()))
+        return np.split(self.of(words).take(which), edges[1:-1])
+
 
 def grown(x: np.ndarray, n: int) -> np.ndarray:
     """``x`` with room for ``n`` rows, the new ones zero."""
@@ -131,38 +179,49 @@ def grown(x: np.ndarray, n: int) -> np.ndarray:
     return out
 
 
-def add_contexts(table: np.ndarray, counts: np.ndarray, texts: list[np.ndarray], index: np.ndarray) -> None:
-    """Add the context vectors of all words of the texts (rows of words) to the table."""
+def add_contexts(table: np.ndarray, counts: np.ndarray, texts: list[np.ndarray], index: np.ndarray, place: np.ndarray) -> None:
+    """Add the context vectors of all words of the texts (rows of words) to their places in the table."""
     gap = np.zeros(REACH, np.int32)
     line = np.concatenate([gap] + [x for t in texts for x in (t, gap)])
     for at in range(REACH, len(line) - REACH, CHUNK):
         end = min(at + CHUNK, len(line) - REACH)
-        words, near = line[at:end], index[line[at - REACH : end + REACH]]
+        near = index.take(line[at - REACH : end + REACH], axis=0)
         # sums of 2 * REACH entries, each of NONZERO at most, stay within 8 bits
         around = sum((near[REACH + k : len(near) - REACH + k] for k in range(-REACH, REACH + 1) if k), np.zeros((end - at, DIM), np.int8))
-        order = np.argsort(words, kind="stable")
-        edges = np.flatnonzero(np.diff(words[order], prepend=-1))
-        found = words[order][edges]
-        table[found] += np.add.reduceat(around[order], edges, axis=0, dtype=np.int32)
-        counts[found] += np.diff(edges, append=len(words))
+        placed = np.sort(place.take(line[at:end]) << 32 | np.arange(end - at))  # words stand in the upper half
+        places, order = placed >> 32, placed & 0xFFFFFFFF
+        edges = np.flatnonzero(np.diff(places, prepend=-1))
+        found = places[edges]
+        table[found] += np.add.reduceat(around.take(order, axis=0), edges, axis=0, dtype=np.int32)
+        counts[found] += np.diff(edges, append=len(places))
+
+
+def summed(ids: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """The different ids and the sums of their counts."""
+    found, which = np.unique(np.concatenate([np.zeros(0, np.int64), *ids]), return_inverse=True)
+    out = np.zeros(len(found), np.int64)
+    np.add.at(out, which, np.concatenate([np.zeros(0, np.int64), *counts]))
+    return found, out
 
 
 def word_counts(df: DataFrame, text_column: str = "text") -> DataFrame:
     """``w``, ``n``: how often each word occurs, over all rows."""
     def run(batches):
-        counts: Counter = Counter()
+        ids, counts, held = [], [], 0
 
         def flush():
-            ids = np.array([word_id(t) for t in counts], np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(np.fromiter(counts.values(), np.int64, len(counts)))], names=["w", "n"])
-            counts.clear()
+            return pa.RecordBatch.from_arrays([pa.array(x) for x in summed(ids, counts)], names=["w", "n"])
 
         for batch in batches:
-            for text in batch.column(0):
-                counts.update(tokens_of(text.as_py()))
-                if len(counts) > REMEMBERED:
-                    yield from flush()
-        yield from flush()
+            for part in portions(batch, 0, ARROW_ROWS):
+                tokens, which, _ = split(part.column(0))
+                ids.append(word_ids(tokens))
+                counts.append(np.bincount(which, minlength=len(tokens)))
+                held += len(tokens)
+                if held > COUNTED:
+                    yield flush()
+                    ids, counts, held = [], [], 0
+        yield flush()
 
     return small_batches(df).select(f"`{text_column}`").mapInArrow(tidied(run), "w long, n long").groupBy("w").agg(F.sum("n").alias("n"))
 
@@ -179,33 +238,28 @@ def context_sums(df: DataFrame, frequent: np.ndarray, text_column: str = "text")
     names = [f"s{k}" for k in range(DIM)]
     schema = "w long, n long, " + ", ".join(f"{c} long" for c in names)
 
+    def made(ids, _):
+        """Index vectors, and places in the sums: the first is for no word, the last for words that aren't frequent."""
+        at = np.searchsorted(frequent, ids)
+        known = np.append(frequent, 0)[at] == ids
+        return index_vectors(ids), np.where(known & (at < len(frequent)), at, len(frequent)) + 1
+
     def run(batches):
-        words, whole = None, np.zeros((1, DIM + 1), np.int64)
+        words = None
+        table, counts = np.zeros((len(frequent) + 2, DIM), np.int64), np.zeros(len(frequent) + 2, np.int64)
 
         def row(ids, counts, table):
             return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(counts)] + [pa.array(np.ascontiguousarray(table[:, k])) for k in range(DIM)], names=["w", "n", *names])
 
-        def flush():
-            ids = words.ids[: words.n]
-            at = np.minimum(np.searchsorted(frequent, ids), max(len(frequent) - 1, 0))
-            found = np.flatnonzero((counts[: words.n] > 0) & (frequent[at] == ids if len(frequent) else False))
-            whole[0, 0] += counts[1 : words.n].sum()
-            whole[0, 1:] += table[1 : words.n].sum(axis=0)
-            yield row(ids[found], counts[found], table[found])
-
         for batch in batches:
-            for part in portions(batch, 0):
-                if words is not None and words.full():
-                    yield from flush()
-                    words = None
-                if words is None:
-                    words, table, counts = Words(lambda ids, _: (index_vectors(ids),)), np.zeros((1, DIM), np.int64), np.zeros(1, np.int64)
-                rows = words.rows(part.column(0).to_pylist())
-                table, counts = grown(table, words.n), grown(counts, words.n)
-                add_contexts(table, counts, rows, words.arrays[0])
-        if words is not None:
-            yield from flush()
-        yield row([None], whole[:, 0], whole[:, 1:])
+            for part in portions(batch, 0, ARROW_ROWS):
+                if words is None or words.full():
+                    words = Words(made)
+                rows = words.rows(part.column(0))
+                add_contexts(table, counts, rows, *words.arrays)
+        found = np.flatnonzero(counts[1:-1])
+        yield row(frequent[found], counts[1:-1][found], table[1:-1][found])
+        yield row([None], counts[1:].sum(keepdims=True), table[1:].sum(axis=0, keepdims=True))
 
     sums = small_batches(df).select(f"`{text_column}`").mapInArrow(tidied(run), schema)
     return sums.groupBy("w").agg(F.sum("n").alias("n"), *(F.sum(c).alias(c) for c in names))
@@ -249,28 +303,45 @@ def shapes(tokens: list[str]) -> np.ndarray:
 _met: list = [None, None]  # the vectors that this worker uses, and the words that it has met
 
 
-def pooled(texts: list, vectors: Vectors) -> np.ndarray:
+def pooled(texts: pa.Array, vectors: Vectors) -> np.ndarray:
     """Each text's features."""
+    parts = portions(pa.RecordBatch.from_arrays([texts], names=["text"]), 0, ARROW_ROWS)
+    return np.concatenate([np.zeros((0, FEATURES), np.float32), *(pooled_part(part.column(0), vectors) for part in parts)])
+
+
+def pooled_part(texts: pa.Array, vectors: Vectors) -> np.ndarray:
+    """As ``pooled``, all texts at once."""
     if _met[0] is not vectors or _met[1].full():
         _met[:] = vectors, Words(lambda ids, tokens: (vectors.of(ids), shapes(tokens)))
     words = _met[1]
+    tokens, which, edges = split(texts)
+    rows, sizes = words.of(tokens), np.diff(edges)
+    v = words.arrays[0].take(rows, axis=0).astype(np.float64)
+    each = np.concatenate([v, v**2, words.arrays[1].take(rows, axis=0)], axis=1)  # what is averaged, of each different word
+    met = np.sort(np.repeat(np.arange(len(texts)), sizes) << 32 | which)  # text and word
+    first = np.flatnonzero(np.diff(met, prepend=-1))
+    times, kinds = np.diff(first, append=len(met)), met[first] & 0xFFFFFFFF
+    ends = np.searchsorted(first, edges)
     out = np.zeros((len(texts), FEATURES), np.float32)
-    for row, rows in zip(out, words.rows(texts)):
-        if len(rows):
-            kinds, times = np.unique(rows, return_counts=True)
-            v, w = words.arrays[0][kinds].astype(np.float64), times / len(rows)
-            mean = w @ v
-            row[:DIM], row[DIM : 2 * DIM] = mean, np.sqrt(np.maximum(w @ v**2 - mean**2, 0))
-            row[2 * DIM], row[2 * DIM + 1], row[2 * DIM + 2 :] = np.log1p(len(rows)), len(kinds) / len(rows), w @ words.arrays[1][kinds]
+    for row, size, at, end in zip(out, sizes.tolist(), ends[:-1].tolist(), ends[1:].tolist()):
+        if size:
+            means = times[at:end] / size @ each.take(kinds[at:end], axis=0)
+            mean = means[:DIM]
+            row[:DIM], row[DIM : 2 * DIM] = mean, np.sqrt(np.maximum(means[DIM : 2 * DIM] - mean**2, 0))
+            row[2 * DIM], row[2 * DIM + 1], row[2 * DIM + 2 :] = np.log1p(size), (end - at) / size, means[2 * DIM :]
     return out
 
 
 def pool_frame(df: DataFrame, vectors: Vectors, columns: list[str], schema: str) -> DataFrame:
     """``columns`` of ``df``, of whose last, a text, the features are made."""
-    def step(values):
-        return dict(zip(columns[:-1], values[:-1])) | {"vector": list(pooled(values[-1], vectors))}
+    arrow = arrow_schema(schema)
+
+    def run(batches):
+        for batch in batches:
+            *values, texts = batch.columns
+            yield record_batch(dict(zip(columns, values)) | {"vector": list(pooled(texts, vectors))}, arrow)
 
-    return map_steps(df.select(*columns), step, schema)
+    return small_batches(df.select(*columns)).mapInArrow(tidied(run), schema)
 
 
 def training_keys(labels: DataFrame, learn) -> DataFrame:
@@ -344,7 +415,7 @@ def score_column(vectors: Vectors, network: Network):
     """A column function: text to the probability of label 1.  Only the text goes to Python."""
     @F.pandas_udf("double")
     def scored(texts: pd.Series) -> pd.Series:
-        return pd.Series(network.scores(pooled(texts.tolist(), vectors)))
+        return pd.Series(network.scores(pooled(pa.array(texts, pa.large_string()), vectors)))
 
     return scored
 

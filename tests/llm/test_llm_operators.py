@@ -1,10 +1,12 @@
 """The training-data operators on invented rows: brute force, round trips, and every odd case."""
 
+import collections
 import hashlib
 import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -787,6 +789,41 @@ def test_new_words_of_many_texts_are_made_at_once():
     assert quality_classifier.tokens_of(every) == quality_classifier._token.findall(every)
 
 
+def test_words_are_cut_and_counted_in_bulk(spark, monkeypatch):
+    texts = ["skipped", "Ab ab 12 x_y", None, "", "".join(map(chr, [*range(0xD800), *range(0xE000, 0x110000)])), " \u00c9t\u00e9\u0663\u06644\u20ac\u20ac ", "AB ab \U0001f600\U0001f600 ab 12", "the end", "\u00d1 the"]
+    want = [quality_classifier._token.findall(t or "") for t in texts]
+
+    def one_by_one(text):
+        raise AssertionError("a text is cut on its own")
+
+    monkeypatch.setattr(quality_classifier, "tokens_of", one_by_one)
+    for kind in (pa.string(), pa.large_string()):
+        words, which, edges = quality_classifier.split(pa.array(texts, kind).slice(1))  # a slice keeps what lies before it
+        assert [[words[k] for k in which[a:b]] for a, b in zip(edges, edges[1:])] == want[1:] and len(set(words)) == len(words)
+    assert [len(x) for x in quality_classifier.split(pa.array([], pa.string()))] == [0, 0, 1] and quality_classifier.split(pa.array([None, " "]))[2].tolist() == [0, 0, 0]
+    # counts and context sums against one word at a time
+    docs, reach = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(2), quality_classifier.REACH
+    ids = [[quality_classifier.word_id(w) for w in x] for x in want]
+    counts = collections.Counter(w for x in ids for w in x)
+    assert {r.w: r.n for r in quality_classifier.word_counts(docs).collect()} == counts
+    index = dict(zip(counts, quality_classifier.index_vectors(np.array(list(counts))).astype(np.int64)))
+    sums = {w: np.zeros(quality_classifier.DIM, np.int64) for w in [None, *counts]}
+    for x in ids:
+        for at, w in enumerate(x):
+            near = sum((index[y] for y in x[max(0, at - reach) : at] + x[at + 1 : at + 1 + reach]), np.zeros_like(sums[None]))
+            sums[w] += near
+            sums[None] += near
+    for frequent in (np.array(sorted(w for w, n in counts.items() if n > 1), np.int64), np.zeros(0, np.int64)):
+        found = {r.w: (r.n, list(r[2:])) for r in quality_classifier.context_sums(docs, frequent).collect()}
+        assert found == {w: (counts[w] if w is not None else counts.total(), sums[w].tolist()) for w in [None, *frequent.tolist()]}
+    # features against one text at a time
+    vectors = quality_classifier.Vectors(np.array(sorted(counts))[::2], np.ones((len(counts) + 1 >> 1, quality_classifier.DIM), np.float16))
+    for row, x, own in zip(quality_classifier.pooled(pa.array(texts), vectors), want, ids):
+        v = vectors.of(np.array(own, np.int64)).astype(np.float64)
+        plain = np.concatenate([v.mean(axis=0), v.std(axis=0), [np.log1p(len(x)), len(set(x)) / len(x)], quality_classifier.shapes(x).mean(axis=0)]) if x else np.zeros(quality_classifier.FEATURES)
+        assert np.allclose(row, plain, atol=1e-5)
+
+
 # -- pipeline --------------------------------------------------------------------
 
 
