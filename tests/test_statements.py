@@ -54,6 +54,24 @@ def test_detection_order_source_and_fallback(spark):
     assert dispatch.read_statements(both.limit(0)).count() == 0
 
 
+SHORT = [
+    ("axis-report", [(25.0, "01/04/2024"), (130.0, "RENT"), (300.0, "5.00"), (380.0, "DR")]), ("csb", [(14.0, "01-Apr-2024"), (121.0, "RENT"), (255.0, "100005"), (330.0, "5.00")]), ("hdfc-statement", [(31.0, "01/04/24"), (68.0, "RENT"), (412.0, "5.00")]),
+    ("axis", "01-04-2024 RENT CQ100005 5.00 BR"), ("union-bank", "01-04-2024 RENT 100005 5.00"), ("sbi", "01/04/2024 01/04/2024 RENT CQ100005 5.00 - -"),
+]
+
+
+@pytest.mark.parametrize("name, row", SHORT)
+def test_a_movement_without_a_balance_is_a_row_of_no_reader(spark, name, row):
+    from ledgerloom.plans.layout_queries import HEADINGS, TITLES
+
+    head = [[(float(x), w) for w, x in HEADINGS[name]]] if name in HEADINGS else []
+    # what the layout can't read at all still goes to the generic reader
+    other = "03/04/2024 SALARY 7.00 102.00"
+    source = next(y.source for y in dispatch.LAYOUTS if y.name == name) or "pdf"
+    both = lines(spark, [*TITLES[name], *head, row], source).unionByName(lines(spark, [*TITLES[name], *head, row, other], source, 2))
+    assert [(r.doc_id, r.format, r.date, r.particulars, r.balance) for r in dispatch.read_statements(both).collect()] == [(2, "generic", D(2024, 4, 3), "SALARY", N("102.00"))]
+
+
 @pytest.mark.parametrize(
     "text, want",
     [
