@@ -53,8 +53,10 @@ def sections(lines: DataFrame, header) -> DataFrame:
 
 
 def split_merged(lines: DataFrame, marker: str) -> DataFrame:
-    """ROW-08.  Lines cut before each place where ``marker`` matches."""
-    return lines.select("doc_id", "page", "line_no", F.posexplode(F.filter(F.split("text", f"(?={marker})"), lambda t: t != "")).alias("part", "text"))
+    """ROW-08.  Lines cut before each match of ``marker`` (a pattern that takes some text); matches follow each other from the line's start and don't overlap."""
+    found, gaps = F.regexp_extract_all("text", F.lit(marker), F.lit(0)), F.split("text", marker, -1)
+    parts = F.concat(F.slice(gaps, 1, 1), F.transform(found, lambda m, k: F.concat(m, F.get(gaps, k + 1))))
+    return lines.select("doc_id", "page", "line_no", F.posexplode(F.filter(parts, lambda t: t != "")).alias("part", "text"))
 
 
 def two_columns(lines: DataFrame, middle: float) -> DataFrame:

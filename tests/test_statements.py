@@ -72,6 +72,14 @@ def test_a_movement_without_a_balance_is_a_row_of_no_reader(spark, name, row):
     assert [(r.doc_id, r.format, r.date, r.particulars, r.balance) for r in dispatch.read_statements(both).collect()] == [(2, "generic", D(2024, 4, 3), "SALARY", N("102.00"))]
 
 
+def test_lines_are_cut_at_matches_that_do_not_overlap(spark):
+    from ledgerloom.operators.lines import split_merged
+
+    rows = spark.createDataFrame([(1, 0, 0, " The The The x"), (1, 0, 1, "a The b The "), (1, 0, 2, ""), (1, 0, 3, "plain" * 9000)], "doc_id long, page int, line_no int, text string")
+    got = [(r.line_no, r.text) for r in split_merged(rows, " The ").orderBy("line_no", "part").collect()]
+    assert got == [(0, " The The"), (0, " The x"), (1, "a"), (1, " The b"), (1, " The "), (3, "plain" * 9000)]
+
+
 @pytest.mark.parametrize(
     "text, want",
     [
