@@ -1,16 +1,19 @@
-"""Operators that are sequential by nature: one pandas call a document (or page), never the whole table.
+"""Operators that are sequential by nature: one call a document (or page), never the whole table.
 
+A pandas call a document costs more than most searches, so ``by_document`` hands over many documents at once, each as a row of lists.
 All keep the first of equal solutions, so results don't depend on partitioning.
 """
 
 from __future__ import annotations
 
 from collections import Counter, deque
+from collections.abc import Callable
 from itertools import product
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, StringType
 
@@ -25,6 +28,36 @@ CONFUSABLE = {
 ONES, MOST_ONES = "147", 4
 
 
+MISREADINGS: dict[str, list[tuple[str, float]]] = {}
+for _pair, _cost in CONFUSABLE.items():
+    MISREADINGS.setdefault(_pair[1], []).append((_pair[0], _cost))
+ONE_COSTS = {p: CONFUSABLE.get(p + "1", 0.0) for p in ONES}
+
+
+def by_document(rows: DataFrame, order: tuple[str, ...], columns: dict, solve: Callable, schema: str) -> DataFrame:
+    """``solve`` of each document's ``order`` and ``columns`` (name to expression), as lists in order; it gives lists for the columns of ``schema`` after the first, ``doc_id``."""
+    own = F.struct(*order, *(c.alias(name) for name, c in columns.items()))
+    docs = rows.groupBy("doc_id").agg(F.array_sort(F.collect_list(own)).alias("_rows")).select("doc_id", *(F.col("_rows")[c].alias(c) for c in (*order, *columns)))
+    kinds = {"long": pa.int64(), "int": pa.int32(), "double": pa.float64(), "string": pa.string(), "boolean": pa.bool_()}
+    names, types = zip(*((n, kinds[t]) for n, t in (x.split() for x in schema.split(", "))))
+
+    def run(batches):
+        for batch in batches:
+            out: list[list] = [[] for _ in names]
+            for doc, *lists in zip(*(c.to_pylist() for c in batch.columns)):
+                found = solve(*lists)
+                out[0] += [doc] * len(found[0])
+                for x, y in zip(out[1:], found):
+                    x += y
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, types)], names=list(names))
+
+    return docs.mapInArrow(run, schema)
+
+
+def _text(c: str) -> Column:
+    return F.col(c).cast("decimal(18,2)").cast("string")
+
+
 def single_swaps(number: str) -> list[str]:
     """A number as read, itself first, and what may have been printed if one digit is misread."""
     out = [number]
@@ -48,6 +81,11 @@ def variants(number: str) -> list[str]:
 
 def scan_distance(printed: str, read: str) -> float:
     """STR-09.  Edit distance from a printed number to what was read: a confusable digit costs what ``CONFUSABLE`` says, another edit 1, junk read in front of the number 0.5 a sign."""
+    if len(printed) == len(read):
+        # sign by sign; another way leaves out and puts in a sign at least, at 1.5 and more
+        swaps = sum(CONFUSABLE.get(p + r, 1.0) for p, r in zip(printed, read) if p != r)
+        if swaps <= 1.5:
+            return float(swaps)
     costs = [0.5 * j for j in range(len(read) + 1)]
     for i, p in enumerate(printed, 1):
         above, costs = costs, [float(i)]
@@ -57,6 +95,23 @@ def scan_distance(printed: str, read: str) -> float:
     return costs[-1]
 
 
+def readings(number: str) -> dict[str, float]:
+    """``variants`` of a number and the scan distance of each: their digits' costs, as ``scan_distance`` finds if these are 1.5 at most."""
+    out = {number: 0.0}
+    for i, d in enumerate(number):
+        for p, cost in MISREADINGS.get(d, ()):
+            out.setdefault(number[:i] + p + number[i + 1 :], cost)
+    ones = number.split("1")
+    if 1 < len(ones) <= MOST_ONES + 1:
+        made = [(ones[0], 0.0)]
+        for rest in ones[1:]:
+            made = [(text + p + rest, cost + ONE_COSTS[p]) for text, cost in made for p in ONES]
+        for text, cost in made:
+            if text not in out:
+                out[text] = cost if cost <= 1.5 else scan_distance(text, number)
+    return out
+
+
 def edit_distance(a: str, b: str) -> int:
     row = list(range(len(b) + 1))
     for i, x in enumerate(a, 1):
@@ -164,58 +219,103 @@ def sign_runs(ledger: DataFrame) -> DataFrame:
     return ledger.groupBy("doc_id").applyInPandas(one, "doc_id long, seq long, amount double, sign int, flagged boolean")
 
 
+def plain_chain(opening: float, amounts: list[int], balances: list[int | None], width: int = BEAM) -> list[tuple[float, float]] | None:
+    """The result of ``chain`` where every printed balance is explained by the figures as read; None where one isn't.
+
+    No path can be cheaper than one that pays for missing balances only, and such paths stand before all others in the beam, so no others are needed.
+    ``amounts`` and ``balances`` are in cents; offers are made in the order of ``chain``.
+    """
+    beam: list[tuple] = [(round(opening * 100), None)]
+    for a, printed in zip(amounts, balances):
+        grown: dict[int, tuple | None] = {}  # what is reached otherwise keeps its place
+        for now, path in beam:
+            for step in (a, -a):
+                to = now + step
+                if printed is not None and 0 < abs(to - printed) <= 1:
+                    return None  # a variant may be a cent off
+                if printed is None or to == printed:
+                    if grown.get(to) is None:
+                        grown[to] = ((step, to), path)
+                else:
+                    grown.setdefault(to, None)
+            if printed is not None:
+                grown.setdefault(printed, None)
+        beam = [(to, path) for to, path in grown.items() if path is not None]
+        if not 0 < len(beam) <= width:
+            return None
+    steps, path = [], beam[0][1]
+    while path:
+        steps.append((path[0][0] / 100, path[0][1] / 100))
+        path = path[1]
+    return steps[::-1]
+
+
 def chain(opening: float, rows: list[tuple[list[float], list[float]]], width: int = BEAM) -> tuple[float, list[tuple[float, float]]]:
     """A beam search after SOL-01, on rows that have their one amount and balance already.  The cheapest reading of rows as (signed amount, balance) chains.
 
     Each row has candidate amounts and balances, likeliest first; a later candidate
     costs ``MISREAD`` times its place, a balance that the chain doesn't explain ``SKIP`` more.
     """
-    beam: list[tuple] = [(0.0, round(opening * 100), None)]  # cost, balance in cents, (step, what came before)
+    # the beam: costs, balances in cents and (step, what came before), cheapest first
+    costs, at, paths = np.zeros(1), np.array([round(opening * 100)], np.int64), [None]
     for amounts, balances in rows:
         amounts, balances = [round(a * 100) for a in amounts], [round(b * 100) for b in balances]
-        place = {b: k for k, b in reversed(list(enumerate(balances)))}
-        grown: dict[int, tuple] = {}
-
-        def grow(tried: list[tuple[int, int]]) -> None:
-            for cost, balance, path in beam:
-                for i, a in tried:
-                    for sign in (1, -1):
-                        to = balance + sign * a
-                        k = next((place[x] for x in (to, to + 1, to - 1) if x in place), None)
-                        c = cost + MISREAD * i + (MISREAD * k if k is not None else 3 * MISREAD)
-                        if to not in grown or c < grown[to][0]:
-                            grown[to] = (c, to, ((sign * a, to), path))
-                if balances:  # the printed balance as it stands, whatever the amount says
-                    c, to = cost + MISREAD + 4 * SKIP, balances[0]
-                    if to not in grown or c < grown[to][0]:
-                        grown[to] = (c, to, ((to - balance, to), path))
-
-        grow(list(enumerate(amounts[:1])))
-        if balances and not any(c <= beam[0][0] for c, _, _ in grown.values()):  # only what isn't explained as it stands can be misread
-            grow(list(enumerate(amounts))[1:])
-        beam = sorted(grown.values(), key=lambda x: x[0])[:width] or beam
-    cost, _, path = beam[0]
-    steps = []
+        place = {b: MISREAD * k for k, b in reversed(list(enumerate(balances)))}
+        # what reaching a balance costs: as it stands, else a cent below or above a candidate
+        near = {b + 1: c for b, c in place.items()} | {b - 1: c for b, c in place.items()} | place
+        known = np.array(sorted(near), np.int64)
+        price = np.array([near[x] for x in known.tolist()])
+
+        def grow(tried: list[tuple[int, int]]) -> tuple:
+            """Every state with every movement, then the printed balance as it stands, whatever the amount says: cost, balance, movement and state."""
+            moves, more = np.array([m for _, a in tried for m in (a, -a)], np.int64), np.array([MISREAD * i for i, _ in tried for _ in "+-"])
+            to = at[:, None] + moves
+            c = costs[:, None] + more + 3 * MISREAD
+            if len(known):
+                k = np.minimum(np.searchsorted(known, to), len(known) - 1)
+                c = costs[:, None] + more + np.where(known[k] == to, price[k], 3 * MISREAD)
+            moves = np.broadcast_to(moves, to.shape)
+            if balances:
+                c = np.column_stack([c, costs + MISREAD + 4 * SKIP])
+                to, moves = np.column_stack([to, np.full(len(at), balances[0])]), np.column_stack([moves, balances[0] - at])
+            return c.ravel(), to.ravel(), moves.ravel(), np.repeat(np.arange(len(at)), to.shape[1])
+
+        grown = grow(list(enumerate(amounts[:1])))
+        if balances and grown[0].min() > costs[0]:  # only what isn't explained as it stands can be misread
+            grown = [np.concatenate(x) for x in zip(grown, grow(list(enumerate(amounts))[1:]))]
+        c, to, moves, state = grown
+        if not len(c):
+            continue
+        # of each balance the cheapest, of equals the first; balances of equal cost in the order in which they were reached
+        order = np.lexsort((c, to))
+        heads = np.flatnonzero(np.diff(to[order], prepend=to[order[0]] - 1))
+        best, first = order[heads], np.minimum.reduceat(order, heads)
+        best = best[np.lexsort((first, c[best]))[:width]]
+        costs, at = c[best], to[best]
+        paths = [((m, b), paths[k]) for m, b, k in zip(moves[best].tolist(), at.tolist(), state[best].tolist())]
+    steps, path = [], paths[0]
     while path:
         steps.append((path[0][0] / 100, path[0][1] / 100))
         path = path[1]
-    return cost, steps[::-1]
+    return float(costs[0]), steps[::-1]
 
 
 def solve_chains(ledger: DataFrame) -> DataFrame:
     """The search of ``chain`` over ``doc_id``, ``seq``, ``amount``, ``balance``, ``opening``: each row's amount and balance in the cheapest chain."""
-    def one(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("seq")
-        read = []
-        for r in rows.itertuples():
-            amounts = [float(v) for v in single_swaps(f"{r.amount:.2f}")] if pd.notna(r.amount) else []
-            balances = [float(v) for v in single_swaps(f"{r.balance:.2f}")] if pd.notna(r.balance) and r.balance >= 0 else [float(r.balance)] if pd.notna(r.balance) else []
-            read.append((amounts, balances))
-        _, path = chain(float(rows.opening.iloc[0]), read)
-        path += [(float("nan"), float("nan"))] * (len(rows) - len(path))
-        return pd.DataFrame({"doc_id": rows.doc_id, "seq": rows.seq, "signed": [p[0] for p in path], "balance": [p[1] for p in path]})
+    def cents(text: str | None) -> int | None:
+        return None if text is None else round(float(text) * 100)
 
-    return ledger.groupBy("doc_id").applyInPandas(one, "doc_id long, seq long, signed double, balance double")
+    def one(seq, amounts, balances, opening):
+        path = None if None in amounts else plain_chain(opening[0], [cents(a) for a in amounts], [cents(b) for b in balances])
+        if path is None:
+            read = [[float(v) for v in single_swaps(a)] if a is not None else [] for a in amounts]
+            seen = [[] if b is None else [float(b)] if b.startswith("-") else [float(v) for v in single_swaps(b)] for b in balances]
+            _, path = chain(opening[0], list(zip(read, seen)))
+        path += [(None, None)] * (len(seq) - len(path))
+        return seq, [p[0] for p in path], [p[1] for p in path]
+
+    columns = {"amount": _text("amount"), "balance": _text("balance"), "opening": F.col("opening").cast("double")}
+    return by_document(ledger, ("seq",), columns, one, "doc_id long, seq long, signed double, balance double")
 
 
 CHECKPOINT_RESET, DROP_WITH_BALANCE, DROP_WITHOUT = 8.0, 6.0, 2.0
@@ -245,17 +345,21 @@ def passbook(opening: float, steps: list[tuple], width: int = 60) -> tuple[float
                 offer(mark, cost + (0.0 if abs(balance - mark) <= 1 else CHECKPOINT_RESET), (None, path))
         else:
             amount, printed = step[1], step[2]
-            moves = [(round(float(v) * 100), scan_distance(v, amount)) for v in variants(amount)]
-            targets = None if printed is None else {round(float(v) * 100): scan_distance(v, printed) for v in reversed(variants(printed))}
+            moves = [(round(float(v) * 100), d) for v, d in readings(amount).items()]
+            targets = None if printed is None else {round(float(v) * 100): d for v, d in reversed(readings(printed).items())}
+            signed = [(step, d) for cents, d in moves for step in (cents, -cents)]
+            by_step: dict[int, list] = {}
+            for k, (step, d) in enumerate(signed):
+                by_step.setdefault(step, []).append((k, step, d))
             for balance, (cost, path) in beam.items():
                 offer(balance, cost + (DROP_WITHOUT if printed is None else DROP_WITH_BALANCE), (None, path))
-                for cents, d in moves:
-                    for signed in (cents, -cents):
-                        to = balance + signed
-                        if targets is None:
-                            offer(to, cost + d, ((signed, to), path))
-                        elif to in targets:
-                            offer(to, cost + d + targets[to], ((signed, to), path))
+                if targets is None:
+                    for step, d in signed:
+                        offer(balance + step, cost + d, ((step, balance + step), path))
+                else:  # few movements lead to a variant of the balance; they are offered in their order
+                    hits = by_step.keys() & {to - balance for to in targets}
+                    for _, step, d in sorted(x for h in hits for x in by_step[h]):
+                        offer(balance + step, cost + d + targets[balance + step], ((step, balance + step), path))
         beam = dict(sorted(grown.items(), key=lambda x: x[1][0])[:width])
     cost, path = min(beam.values(), key=lambda x: x[0])
     out = []
@@ -267,14 +371,13 @@ def passbook(opening: float, steps: list[tuple], width: int = 60) -> tuple[float
 
 def solve_passbooks(rows: DataFrame) -> DataFrame:
     """SOL-02 over ``doc_id``, ``seq``, ``kind`` (row or checkpoint), ``amount``, ``balance`` (text) and ``opening``: one call a document."""
-    def one(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("seq")
-        steps = [("checkpoint", float(r.balance)) if r.kind == "checkpoint" else ("row", r.amount, r.balance if isinstance(r.balance, str) else None) for r in rows.itertuples()]
-        _, found = passbook(float(rows.opening.iloc[0]), steps)
-        nan = float("nan")
-        return pd.DataFrame({"doc_id": rows.doc_id, "seq": rows.seq, "signed": [f[0] if f else nan for f in found], "balance": [f[1] if f else nan for f in found], "dropped": [f is None and k == "row" for f, k in zip(found, rows.kind)]})
+    def one(seq, kinds, amounts, balances, opening):
+        steps = [("checkpoint", float(b)) if k == "checkpoint" else ("row", a, b) for k, a, b in zip(kinds, amounts, balances)]
+        _, found = passbook(opening[0], steps)
+        return seq, [f[0] if f else None for f in found], [f[1] if f else None for f in found], [f is None and k == "row" for f, k in zip(found, kinds)]
 
-    return rows.groupBy("doc_id").applyInPandas(one, "doc_id long, seq long, signed double, balance double, dropped boolean")
+    columns = {"kind": F.col("kind"), "amount": F.col("amount"), "balance": F.col("balance"), "opening": F.col("opening").cast("double")}
+    return by_document(rows, ("seq",), columns, one, "doc_id long, seq long, signed double, balance double, dropped boolean")
 
 
 def repair_page(opening: float, rows: list[tuple[str, str]]) -> list[tuple[float, float, str]]:
@@ -294,10 +397,9 @@ def repair_page(opening: float, rows: list[tuple[str, str]]) -> list[tuple[float
     for k, (amount, balance) in enumerate(rows):
         found, how = fits(now, amount, balance), "read"
         if found is None:
-            printed = {round(float(b) * 100): (scan_distance(b, balance), j) for j, b in reversed(list(enumerate(variants(balance))))}
+            printed = {round(float(b) * 100): (d, j) for j, (b, d) in reversed(list(enumerate(readings(balance).items())))}
             tries = []
-            for i, a in enumerate(variants(amount)):
-                cost = scan_distance(a, amount)
+            for i, (a, cost) in enumerate(readings(amount).items()):
                 for signed in (round(float(a) * 100), -round(float(a) * 100)):
                     tries += [(cost + printed[to][0], i, printed[to][1], signed, to) for to in (now + signed - 1, now + signed, now + signed + 1) if to in printed]
             for *_, signed, to in sorted(tries):
@@ -314,12 +416,12 @@ def repair_page(opening: float, rows: list[tuple[str, str]]) -> list[tuple[float
 
 def repair_pages(rows: DataFrame) -> DataFrame:
     """SOL-04 over ``doc_id``, ``seq``, ``amount``, ``balance`` (text) and ``opening``."""
-    def one(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("seq")
-        found = repair_page(float(rows.opening.iloc[0]), list(zip(rows.amount, rows.balance)))
-        return pd.DataFrame({"doc_id": rows.doc_id, "seq": rows.seq, "signed": [f[0] for f in found], "balance": [f[1] for f in found], "how": [f[2] for f in found]})
+    def one(seq, amounts, balances, opening):
+        found = repair_page(opening[0], list(zip(amounts, balances)))
+        return seq, [f[0] for f in found], [f[1] for f in found], [f[2] for f in found]
 
-    return rows.groupBy("doc_id").applyInPandas(one, "doc_id long, seq long, signed double, balance double, how string")
+    columns = {"amount": F.col("amount"), "balance": F.col("balance"), "opening": F.col("opening").cast("double")}
+    return by_document(rows, ("seq",), columns, one, "doc_id long, seq long, signed double, balance double, how string")
 
 
 def balance_trail(values: list[float], opening: float, near: int = 5) -> list[bool]:
