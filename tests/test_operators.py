@@ -318,3 +318,51 @@ def test_passbook_pages_read_clean_pages_exactly(spark):
     blurred = df.where("NOT (page = 1 AND x = 600.0 AND y BETWEEN 100 AND 800)")
     notes = {(r.page, r.note) for r in passbooks.solve_passbook_pages(blurred).where("place IS NULL").collect()}
     assert notes == {(1, "too blurred")}
+
+
+@pytest.mark.parametrize("name", ["sol_01_solve_chains", "sol_04_page_repair", "sol_02_passbooks", "sol_01_page_tokens"])
+def test_searches_are_handed_many_documents_at_once(spark, name):
+    from compare import SF
+    from ledgerloom.plans import catalog
+
+    plan = catalog.QUERIES[name](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert "FlatMapGroupsInPandas" not in plan and "MapInArrow" in plan
+
+
+def test_plain_chains_are_what_the_whole_search_finds():
+    rng, plain = random.Random(4), 0
+    for _ in range(300):
+        now, amounts, balances = rng.randint(0, 10**6), [], []
+        opening = now / 100
+        for _ in range(rng.randint(1, 12)):
+            amounts.append(rng.choice([0, 1, rng.randint(1, 300), rng.randint(1, 10**7)]))
+            now += rng.choice([1, -1]) * amounts[-1]
+            balances.append(None if rng.random() < 0.2 else now + rng.choice([0] * 30 + [1, 1000]))
+        read = [([a / 100], [] if b is None else [float(v) for v in solvers.single_swaps(f"{b / 100:.2f}")] if b >= 0 else [b / 100]) for a, b in zip(amounts, balances)]
+        found = solvers.plain_chain(opening, amounts, balances)
+        plain += found is not None
+        assert found is None or found == solvers.chain(opening, read)[1]
+    assert plain > 100
+
+
+def test_readings_are_variants_with_their_distances():
+    rng = random.Random(6)
+    for text in ["1111.11", "111.4", "1471.17", "-31.14", *(f"{rng.randint(0, 10 ** rng.randint(1, 9)) / 100:.2f}" for _ in range(300))]:
+        assert list(solvers.readings(text).items()) == [(v, solvers.scan_distance(v, text)) for v in solvers.variants(text)]
+
+
+def test_bounded_page_search_is_the_whole_one():
+    from ledgerloom.operators import passbooks as P
+
+    rng = random.Random(8)
+    for _ in range(60):
+        now, tokens, opening = rng.randint(10**5, 10**7), [], None
+        if rng.random() < 0.5:
+            opening = now
+        for _ in range(rng.randint(1, 5)):
+            move = rng.randint(1, 10**5)
+            now += move if rng.random() < 0.5 else -move
+            tokens += [(rng.choice([400.0, 520.0]), move, False), (650.0, now + rng.choice([0, 0, 0, 100, 54321]), rng.random() < 0.1)]
+        tokens = [t for t in tokens if rng.random() < 0.9]
+        (cost, rows), (least, whole) = P.solve_page(tokens, opening), P._search(tokens, opening, P.side_split(tokens), P.BEAM, float("inf"))
+        assert (cost, len(rows)) == (least, len(whole))
