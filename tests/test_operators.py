@@ -89,6 +89,16 @@ def test_party_blocks_lose_no_similar_pair(spark):
         assert got[k] == (-best[1] if best[0] >= 0.85 else None)
 
 
+def test_party_names_are_compared_once_however_often_they_come(spark):
+    known = spark.createDataFrame([(f"SUPPLIER 00000{k}", 10 * k, k) for k in range(3)], "pn string, party_id long, ord long")
+    found = invoice.similar_names(spark.createDataFrame([("SVPPLIER 000001",)], "rn string"), known, 0.85)
+    assert {(r.pn, r.party_id) for r in found.collect()} == {("SUPPLIER 000000", 0), ("SUPPLIER 000001", 10), ("SUPPLIER 000002", 20)}
+    parties = spark.createDataFrame([(100 * c + k, 1000 - 100 * c + k, f"Supplier 00000{k} Ltd", "X" if k == 2 else None) for c in range(9) for k in range(3)], "party_id long, ord long, name string, gstin string")
+    rows = spark.createDataFrame([(n, f"Svpplier 00000{n % 3}", None) for n in range(30)] + [(30, "Supplier 000001", None), (31, "Supplier 000001", "X"), (32, "", None), (33, None, None)], "row_id long, name string, gstin string")
+    got = {r.row_id: (r.party_id, r.matched_by) for r in invoice.match_parties(rows, parties).collect()}
+    assert got == {n: (800 + n % 3, "name") for n in range(30)} | {30: (801, "name"), 31: (802, "gstin"), 32: (None, None), 33: (None, None)}
+
+
 def test_solvers():
     assert solvers.signs(100, [10, 20], 90) == [1, -1]
     assert solvers.signs(100, [1] * 9, 109) is None
